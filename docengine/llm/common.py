@@ -53,12 +53,12 @@ def attach(big: DataFrame, small: DataFrame, key: str, most: int = 50_000, salts
     small has one row a key. It's broadcast only if a count shows at most `most` rows; beyond that small is repeated
     over `salts` salts and big's rows of a key are dealt out over them.
     """
-    small = small.withColumnRenamed(key, "__key")
+    small = small.withColumnRenamed(key, "__attach")
     if small.limit(most + 1).count() <= most:
-        return big.join(F.broadcast(small), big[key].eqNullSafe(small["__key"]), "left").drop("__key")
+        return big.join(F.broadcast(small), big[key].eqNullSafe(small["__attach"]), "left").drop("__attach")
     salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = big.withColumn("__s", F.pmod(F.xxhash64(*[F.col(c) for c, t in big.dtypes if not t.startswith("map")]), F.lit(salts)).cast("int"))
-    return dealt.join(salted, dealt[key].eqNullSafe(salted["__key"]) & (dealt["__s"] == salted["__salt"]), "left").drop("__key", "__salt", "__s")
+    return dealt.join(salted, dealt[key].eqNullSafe(salted["__attach"]) & (dealt["__s"] == salted["__salt"]), "left").drop("__attach", "__salt", "__s")
 
 
 def n_words(text: Column) -> Column:

@@ -57,7 +57,7 @@ def targets(sources: DataFrame, weights: list[float], share: float, most: float)
     return s.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).select("source", "source_size", "target", "epochs", "rest")
 
 
-def cuts(slim: DataFrame, plan: DataFrame, rows_a_cut: int = 20_000) -> DataFrame:
+def cuts(slim: DataFrame, plan: DataFrame, rows_a_cut: int = 2_000) -> DataFrame:
     """plan with `cut`: the largest key that the fractional sample of each source takes (null: none).
 
     slim: source, size, key. A document is taken if the sizes before it plus half its own stay below the rest, so the

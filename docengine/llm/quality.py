@@ -3,7 +3,7 @@
 Line rules (a line is what stands between line feeds; one without a word is no line here):
 - symbols: over a tenth of its code points are of [#*$%&|<>], or over a third of its words end in one of them
 - navigation: at least three words, and at least one in ten is a lone separator (| > » · / -)
-- shouting: over half of its words (five at least) have no lower-case letter though they have letters
+- shouting: over half of its words (five at least) have capitals of A-Z and no letter of a-z
 - repetition: over half of its words (ten at least) equal the word before them
 - boilerplate: a short line with a notice in it (licence, rights, cookies, sign-up)
 - punctuation: ten words or more and no sentence mark at all
@@ -15,38 +15,38 @@ Null text: no words, rejected. Everything is per row; ties and repeats don't mat
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SYMBOLS = re.compile(r"[#*$%&|<>]")
-SYMBOL_TAIL = re.compile(rb"[#*$%&|<>]$")
+SYMBOLS = b"#*$%&|<>"
+BLANKS = b" \t\n\x0b\x0c\r"
 SEPARATORS = frozenset([b"|", b">", "»".encode(), "·".encode(), b"/", b"-"])
+SEPARATOR = re.compile(rb"(?:^|\s)(?:[|>/-]|\xc2\xbb|\xc2\xb7)(?:\s|$)")
 SENTENCE = re.compile(r"[.!?…。？！]")
 #: Notices (fixed values of the rule).
 NOTICE = re.compile(r"all rights reserved|licen[sc]ed under|\blicen[sc]e,? version|under the mit licen[sc]e|copyright \(c\)|©|terms of (use|service)|privacy policy|accept (all )?cookies|cookie policy|subscribe to our|sign up for|click here|javascript is (disabled|required)", re.I)
 NOTICE_WORDS = 25
-WORD_CODES = re.compile(rb"[\x80-\xbf]")
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def line_fails(line: str, words: list[bytes]) -> str | None:
-    """The rule that the line breaks, if any."""
+def line_fails(line: str, raw: bytes, words: list[bytes]) -> str | None:
+    """The rule that the line breaks, if any. raw: its UTF-8."""
     n = len(words)
-    if 10 * len(SYMBOLS.findall(line)) > len(line):
+    symbols = len(raw) - len(raw.translate(None, SYMBOLS))
+    if symbols and (10 * symbols > len(line) or n >= 3 and 3 * sum(w[-1] in SYMBOLS for w in words) > n):
         return "symbols"
-    if n >= 3 and 10 * sum(w in SEPARATORS for w in words) >= n:
+    if n >= 3 and SEPARATOR.search(raw) and 10 * sum(w in SEPARATORS for w in words) >= n:
         return "navigation"
-    if 3 * sum(SYMBOL_TAIL.search(w) is not None for w in words) > n and n >= 3:
-        return "symbols"
-    if n >= 10 and 2 * sum(a == b for a, b in zip(words, words[1:])) > n:
+    if n >= 10 and 2 * sum(map(eq, words, words[1:])) > n:
         return "repetition"
-    if n >= 5 and line != line.lower() and 2 * sum((t := w.decode("utf-8", "surrogatepass")).upper() == t != t.lower() for w in words) > n:
+    if n >= 5 and 2 * sum(map(bytes.isupper, words)) > n:
         return "shouting"
     if n <= NOTICE_WORDS and NOTICE.search(line):
         return "boilerplate"
@@ -57,46 +57,41 @@ def line_fails(line: str, words: list[bytes]) -> str | None:
 
 def repeat_words(words: list[bytes], width: int = 3) -> int:
     """Words that stand in a window of `width` words which the text holds twice or more."""
-    n = len(words) - width + 1
-    if n < 2:
+    windows = list(zip(*[words[i:] for i in range(width)]))
+    if len(set(windows)) == len(windows):
         return 0
-    number: dict = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words))
-    key = ids[:n]
-    for i in range(1, width):
-        _, key = np.unique(key, return_inverse=True)
-        key = key * len(number) + ids[i : i + n]
-    _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-    again = counts[inverse] > 1
-    covered = np.zeros(len(words), dtype=bool)
-    for i in range(width):
-        covered[i : i + n] |= again
-    return int(covered.sum())
+    counts = Counter(windows)
+    covered = upto = 0  # words before upto are counted
+    for i, w in enumerate(windows):
+        if counts[w] > 1:
+            covered += i + width - max(i, upto)
+            upto = i + width
+    return covered
 
 
 def judge(text: str | None, *, min_words: int, most_repeat: float, most_lost: float) -> tuple[tuple[int, ...], bool, bool, int, str]:
     """Counts (as COUNTS), base_failed, kept, words in failing lines, and the text without failing lines."""
     text = text or ""
-    lines = text.split("\n")
-    seen: set[str] = set()
-    n_words = lost = dup = 0
-    left, every = [], []
-    for line in lines:
-        words = line.encode("utf-8", "surrogatepass").split()
+    whole = text.encode("utf-8", "surrogatepass")
+    seen: set[bytes] = set()
+    lost = dup = 0
+    every: list[bytes] = []
+    left = []
+    for line, raw in zip(text.split("\n"), whole.split(b"\n"), strict=True):
+        words = raw.split()
         if words:
             every += words
-            dup += line in seen
-            seen.add(line)
-            if line_fails(line, words):
+            dup += raw in seen
+            seen.add(raw)
+            if line_fails(line, raw, words):
                 lost += len(words)
                 continue
         left.append(line)
-    n_words = len(every)
-    body = b"".join(every)
+    n = len(every)
     repeats = repeat_words(every)
-    counts = (n_words, len(body) - len(WORD_CODES.findall(body)), len(SYMBOLS.findall(text)), dup, repeats)
-    failed = n_words < min_words or repeats > most_repeat * n_words
-    return counts, failed, not failed and lost <= most_lost * n_words, lost, "\n".join(left)
+    counts = (n, len(text) - len(whole) + len(whole.translate(None, BLANKS)), len(whole) - len(whole.translate(None, SYMBOLS)), dup, repeats)
+    failed = n < min_words or repeats > most_repeat * n
+    return counts, failed, not failed and lost <= most_lost * n, lost, "\n".join(left)
 
 
 def clean(docs: DataFrame, *, min_words: int = 50, most_repeat: float = 0.5, most_lost: float = 0.5, text: str = "text", columns: list[str] | None = None, with_text: bool = True) -> DataFrame:

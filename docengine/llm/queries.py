@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import linededup, lm, mixing, packing, pii, quality, sharding, simhash, vectors
+from docengine.llm.common import written
+from docengine.llm import linededup, lm, mixing, packing, pii, quality, sharding, simhash, vectors, warc
 
 MIX = {"weights": [5.0, 2.0, 1.0], "share": 1.5, "most": 2.0, "seed": 17}
 SHARDS = 24
@@ -32,6 +33,29 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """A crawl made of pages: each page is a response at second page_id, and two revisits of it follow.
+
+    The first comes 40 000 s later by another spelling of the URL; every seventh of them has another entity tag, every eleventh
+    none, so its date decides. The second comes 1 s before the page itself, so only an older capture of its URL can match it.
+    """
+    p = pages.select("page_id", "url", F.sha2("html", 256).alias("digest"), F.col("html").alias("payload"))
+    tag = F.concat(F.lit('"'), F.substring("digest", 1, 16), F.lit('"'))
+    date = F.concat(F.lit("day "), (F.col("page_id") % 28).cast("string"))
+    full = p.select((F.col("page_id") * 3).alias("record_id"), "url", F.col("page_id").alias("at"), F.lit("response").alias("kind"), tag.alias("etag"), date.alias("last_modified"), F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("etag"), tag, F.lit("age"), F.lit("0")).alias("headers"), "payload")
+    other = F.when(F.col("page_id") % 7 == 0, F.lit('"changed"')).when(F.col("page_id") % 11 != 0, F.concat(F.lit("W/"), tag))
+    first = p.select((F.col("page_id") * 3 + 1).alias("record_id"), F.concat(F.regexp_replace("url", "^https?://", "HTTP://www."), F.lit("#again")).alias("url"), (F.col("page_id") + 40_000).alias("at"), F.lit("revisit").alias("kind"), other.alias("etag"), date.alias("last_modified"), F.create_map(F.lit("age"), F.lit("9"), F.lit("content-length"), F.lit("0")).alias("headers"), F.lit(None).cast("string").alias("payload"))
+    second = p.select((F.col("page_id") * 3 + 2).alias("record_id"), "url", (F.col("page_id") - 1).alias("at"), F.lit("revisit").alias("kind"), tag.alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.create_map(F.lit("age"), F.lit("1")).alias("headers"), F.lit(None).cast("string").alias("payload"))
+    return full.unionByName(first).unionByName(second)
+
+
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = captures(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    resolved = written(warc.resolve(records, bucket_seconds=3600))
+    full = warc.materialise(records, resolved).select(F.col("record_id").alias("rid"), F.sha2("payload", 256).alias("payload_sha256"), F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("headers"))
+    return resolved.join(full, F.col("record_id") == F.col("rid"), "left").select("record_id", "canonical", "response_id", "verdict", "headers", "payload_sha256")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(_docs(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -74,7 +98,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_simhash, op4_quality_rules, op5_line_dedup, op6_shards, op7_lm_score, op8_pack, op9_near_vectors, op10_pii)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_warc_revisits, op3_simhash, op4_quality_rules, op5_line_dedup, op6_shards, op7_lm_score, op8_pack, op9_near_vectors, op10_pii)}
 
 
 W = r"[^\x20\x09-\x0D]+"
@@ -97,6 +121,22 @@ r AS (SELECT k.doc_id, k.size, s4.source_size, s4.target, s4.epochs, s4.target -
   coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM k JOIN s4 ON k.source IS NOT DISTINCT FROM s4.source)
 SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN before + size / 2.0::DOUBLE < rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r"""
+    op2 = r"""
+WITH p AS (SELECT page_id, url, sha256(html) AS digest, '"' || substr(sha256(html), 1, 16) || '"' AS tag, 'day ' || (page_id % 28) AS date FROM pages),
+full_ AS (SELECT page_id * 3 AS record_id, url, page_id AS ts, tag AS etag, date AS lm, digest FROM p),
+rev AS (SELECT page_id * 3 + 1 AS record_id, regexp_replace(url, '^https?://', 'HTTP://www.') || '#again' AS url, page_id + 40000 AS ts,
+  CASE WHEN page_id % 7 = 0 THEN '"changed"' WHEN page_id % 11 <> 0 THEN 'W/' || tag END AS etag, date AS lm, '9' AS age FROM p
+  UNION ALL SELECT page_id * 3 + 2, url, page_id - 1, tag, NULL, '1' FROM p),
+c AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(?i)https?://(www[0-9]*\.)?', '') AS bare FROM (SELECT record_id, url, ts, etag, lm, digest, NULL AS age, TRUE AS is_full FROM full_ UNION ALL SELECT record_id, url, ts, etag, lm, NULL, age, FALSE FROM rev)),
+n AS (SELECT *, regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), ':(80|443)$', '') || CASE WHEN regexp_extract(bare, '^[^/?]*([^?]*)', 1) = '' THEN '/' ELSE regexp_extract(bare, '^[^/?]*([^?]*)', 1) END
+  || CASE WHEN regexp_extract(bare, '\?(.*)$', 1) = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(regexp_extract(bare, '\?(.*)$', 1), '&')), '&') END AS canonical FROM c),
+j AS (SELECT r.record_id, r.canonical, r.etag, r.lm, r.age, f.record_id AS fid, f.etag AS fetag, f.lm AS flm, f.digest,
+  row_number() OVER (PARTITION BY r.record_id ORDER BY f.ts DESC, f.record_id DESC) AS rn
+  FROM n r LEFT JOIN n f ON f.is_full AND f.canonical = r.canonical AND f.ts <= r.ts WHERE NOT r.is_full),
+v AS (SELECT *, CASE WHEN fid IS NULL THEN 'orphan' WHEN etag IS NOT NULL AND fetag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = regexp_replace(fetag, '^W/', '') THEN 'resolved' ELSE 'mismatch' END
+  WHEN lm IS NULL OR flm IS NULL THEN 'unchecked' WHEN lm = flm THEN 'resolved' ELSE 'mismatch' END AS verdict FROM j WHERE rn = 1)
+SELECT record_id, canonical, fid AS response_id, verdict, CASE WHEN verdict = 'resolved' THEN 'age=' || age || ';content-type=text/html;etag=' || fetag END AS headers,
+  CASE WHEN verdict = 'resolved' THEN digest END AS payload_sha256 FROM v"""
     op5 = rf"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, row_number() OVER () AS r FROM documents),
 l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
@@ -112,4 +152,4 @@ p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec
 c(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT c.a, p.b FROM c JOIN p ON c.b = p.a),
 m AS (SELECT a, min(b) AS component_id FROM c GROUP BY a)
 SELECT v.vec_id, CAST((SELECT count(*) FROM p WHERE p.a = v.vec_id) AS BIGINT) AS n_links, m.component_id, v.vec_id = m.component_id AS kept FROM v JOIN m ON m.a = v.vec_id"""
-    return {"op1_mix_sources": op1, "op5_line_dedup": op5, "op9_near_vectors": op9}
+    return {"op1_mix_sources": op1, "op2_warc_revisits": op2, "op5_line_dedup": op5, "op9_near_vectors": op9}

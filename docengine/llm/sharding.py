@@ -69,8 +69,10 @@ def _mixed(seed: int, round_: str, cols: list[Column]) -> Column:
 
 
 def shard(docs: DataFrame, n_shards: int, *, seed: int = 11, rows_a_partition: int = 200_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with shard (int, 0 to n_shards - 1) and slot (long, gapless from 0 in each shard)."""
+    """docs with shard (int, 0 to n_shards - 1) and slot (long, gapless from 0 in each shard); input columns of these names
+    give way."""
     spark = docs.sparkSession
+    docs = docs.drop("shard", "slot")
     ids = [F.col(doc_id), F.col(text)]
     rows = docs.count()
     n_parts = max(n_shards, math.ceil(rows / rows_a_partition))
