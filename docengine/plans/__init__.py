@@ -1,3 +1,3 @@
 """Queries over the tables, by topic. Importing this package registers them all."""
 
-from docengine.plans import overlays, reports, sheets, texts  # noqa: F401
+from docengine.plans import documents, overlays, reports, sheets, texts  # noqa: F401
