@@ -198,7 +198,7 @@ class Packer:
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, *, ranks: str, window: int = 2048, end_id: int = 1, step: int = 256, sentence_cost: float = 8.0, inner_cost: float = 48.0, chunk: int = 1_500_000, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, *, ranks: str, window: int = 2048, end_id: int = 1, step: int = 32, sentence_cost: float = 4.0, inner_cost: float = 12.0, chunk: int = 1_500_000, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, ids)."""
     id_type = docs.schema[doc_id].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), *T.StructType.fromDDL(PIECE).fields] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
