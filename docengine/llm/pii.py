@@ -98,7 +98,12 @@ def disclosing(docs: DataFrame, spans: DataFrame, *, reach: int, min_letters: in
     docs: __id, __row, __same (hash of the text), text. spans: __id, __row, __same, spans and their surroundings, one row a row.
     """
     by = spans.select("__same", F.explode("around").alias("e")).select("__same", F.col("e.entity").alias("entity"), F.explode(F.array_distinct(F.regexp_extract_all(F.col("e.near"), F.lit(_letters(min_letters)), F.lit(0)))).alias("term"))
-    together = written(by.distinct().groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= min_texts))
+    by = written(by.distinct())
+    # texts that hold the term are at least those that hold it by any entity: what falls short of the share even so is out
+    # before the corpus is searched, and with it every common word
+    around = by.select("term", "__same").distinct().groupBy(F.col("term").alias("term0")).agg(F.count(F.lit(1)).alias("n_tw"))
+    often = by.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= min_texts)
+    together = written(often.join(around, F.col("term") == F.col("term0")).filter(F.col("n_te") >= min_share * F.col("n_tw")).select("term", "entity", "n_te"))
     entities = spans.select("__same", F.explode("around").alias("e")).select("__same", F.col("e.entity").alias("entity0")).distinct().groupBy("entity0").agg(F.count(F.lit(1)).alias("n_e"))
     candidates = together.select(F.col("term").alias("cand")).distinct()
     words = docs.select("__id", "__row", "__same", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(_letters(min_letters)), F.lit(0)))).alias("term"))
