@@ -128,14 +128,16 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, recall: float =
     """(vec_id, n_links, component_id), one row a row of vectors."""
     spark = vectors.sparkSession
     x = F.col("x")
-    given = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("x"))
+    # floats travel as floats; cosines are taken in double precision of the same values
+    kind = "array<float>" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "array<double>"
+    given = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kind).alias("x"))
     fine = F.coalesce(F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(x, lambda e: e != 0), F.lit(False))
     given = written(given.withColumn("fine", fine).withColumn("k1", F.when(fine, F.xxhash64("x"))).withColumn("k2", F.when(fine, F.xxhash64(F.lit("v"), "x"))))
     # one row for equal vectors: first() of equal values
     classes = written(given.filter("fine").groupBy("k1", "k2").agg(F.first("x").alias("x"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least")).withColumn("v", F.col("k1").bitwiseXOR(F.shiftleft("k2", 1))))
     bits = bits_for(classes.count(), bucket)
     tables = tables_for(bits, threshold, recall)
-    hashed = written(classes.select("v", "x", "n").mapInArrow(lambda it: _hash(it, bits, tables, seed), "v long, x array<double>, n long, dim int, codes array<int>"))
+    hashed = written(classes.select("v", "x", "n").mapInArrow(lambda it: _hash(it, bits, tables, seed), f"v long, x {kind}, n long, dim int, codes array<int>"))
     flat = hashed.select("v", "dim", F.posexplode("codes").alias("table", "bucket"))
     crowded = flat.groupBy("table", "bucket", "dim").count().filter(F.col("count") > block).select(F.col("table").alias("t"), F.col("bucket").alias("k"), F.col("dim").alias("d"), F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     rows = hashed.select("v", "x", "n", "dim", "codes", F.posexplode("codes").alias("table", "bucket"))

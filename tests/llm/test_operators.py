@@ -361,6 +361,8 @@ def test_vectors(spark):
     rows = [(i, [float(np.float32(k)) for k in v]) for i, v in enumerate(x)]
     rows += [(900, None), (901, [0.0] * 16), (902, [1.0, None] * 8), (903, [float("nan")] * 16), (904, [float("inf")] * 16), (905, []), (906, [1.0] * 3)]
     got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=0.999999, block=7, bucket=4).collect()}
+    floats = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), recall=0.999999, block=7, bucket=4).collect()}
+    assert got == floats
     m = np.array([r[1] for r in rows if r[0] < 900])
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)
     close = (unit @ unit.T >= 0.9) & ~np.eye(len(m), dtype=bool)
