@@ -137,6 +137,28 @@ v AS (SELECT *, CASE WHEN fid IS NULL THEN 'orphan' WHEN etag IS NOT NULL AND fe
   WHEN lm IS NULL OR flm IS NULL THEN 'unchecked' WHEN lm = flm THEN 'resolved' ELSE 'mismatch' END AS verdict FROM j WHERE rn = 1)
 SELECT record_id, canonical, fid AS response_id, verdict, CASE WHEN verdict = 'resolved' THEN 'age=' || age || ';content-type=text/html;etag=' || fetag END AS headers,
   CASE WHEN verdict = 'resolved' THEN digest END AS payload_sha256 FROM v"""
+    notice = quality.NOTICE.pattern.replace("'", "''")
+    op4 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+l0 AS (SELECT r, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM d),
+l AS (SELECT *, regexp_extract_all(line, '{W}') AS w, length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS s FROM l0),
+f AS (SELECT r, len(w) AS n, row_number() OVER (PARTITION BY r, line ORDER BY pos) > 1 AS again,
+  10 * s > length(line) OR (s > 0 AND len(w) >= 3 AND 3 * len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]$'))) > len(w))
+  OR (len(w) >= 3 AND 10 * len(list_filter(w, lambda x: list_contains(['|', '>', '»', '·', '/', '-'], x))) >= len(w))
+  OR (len(w) >= 10 AND 2 * len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) > len(w))
+  OR (len(w) >= 5 AND 2 * len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) > len(w))
+  OR (len(w) <= {quality.NOTICE_WORDS} AND regexp_matches(line, '{notice}', 'i'))
+  OR (len(w) >= 10 AND NOT regexp_matches(line, '[.!?…。？！]')) AS fails FROM l WHERE len(w) > 0),
+a AS (SELECT r, sum(CASE WHEN fails THEN n ELSE 0 END) AS lost, count(*) FILTER (WHERE again) AS dup FROM f GROUP BY r),
+x AS (SELECT r, unnest(regexp_extract_all(t, '{W}')) AS w, unnest(range(len(regexp_extract_all(t, '{W}')))) AS i FROM d),
+g AS (SELECT r, i, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM x WINDOW o AS (PARTITION BY r ORDER BY i)),
+h AS (SELECT r, i, count(*) OVER (PARTITION BY r, w, w2, w3) AS k FROM g WHERE w3 IS NOT NULL),
+c AS (SELECT r, count(DISTINCT i + j) AS covered FROM h, (SELECT unnest([0, 1, 2]) AS j) WHERE k > 1 GROUP BY r),
+b AS (SELECT d.doc_id, CAST(len(regexp_extract_all(t, '{W}')) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered, 0) AS BIGINT) AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM d LEFT JOIN a USING (r) LEFT JOIN c USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * lost <= n_words AS kept FROM b"""
     op5 = rf"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, row_number() OVER () AS r FROM documents),
 l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
@@ -152,4 +174,4 @@ p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec
 c(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT c.a, p.b FROM c JOIN p ON c.b = p.a),
 m AS (SELECT a, min(b) AS component_id FROM c GROUP BY a)
 SELECT v.vec_id, CAST((SELECT count(*) FROM p WHERE p.a = v.vec_id) AS BIGINT) AS n_links, m.component_id, v.vec_id = m.component_id AS kept FROM v JOIN m ON m.a = v.vec_id"""
-    return {"op1_mix_sources": op1, "op2_warc_revisits": op2, "op5_line_dedup": op5, "op9_near_vectors": op9}
+    return {"op1_mix_sources": op1, "op2_warc_revisits": op2, "op4_quality_rules": op4, "op5_line_dedup": op5, "op9_near_vectors": op9}
