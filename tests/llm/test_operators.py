@@ -247,12 +247,12 @@ def test_line_rules(line, rule):
 
 
 def test_lm(docs, rows, none, spark):
-    got = lm.score(docs, min_word=3, min_arc=2, block_bytes=4000).collect()
-    assert len(got) == len(rows)
     tokens = lambda t: [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in WORD.findall(t or "")] + [""]
     held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
     c = collections.Counter(t for r in rows if not held(r[0]) for t in tokens(r[1]))
     total, kinds = sum(c.values()), len(c)
+    got = lm.score(docs, min_share=2.5 / total, min_arc=2, block_bytes=4000).collect()
+    assert len(got) == len(rows)
     once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
     d = (once + 0.5) / (once + 2 * twice + 1)
     p = lambda w: (c[w] - d) / total if c[w] else d * kinds / total
@@ -289,7 +289,7 @@ def test_lm(docs, rows, none, spark):
 
 
 def test_lm_beats_the_base_on_held_out_texts(spark, sf):
-    r = lm.score(spark.read.parquet(f"{sf}/documents.parquet"), min_word=20).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    r = lm.score(spark.read.parquet(f"{sf}/documents.parquet")).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r.s > r.b
 
 
