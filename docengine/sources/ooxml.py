@@ -464,3 +464,104 @@ def invalid_packages(entries: DataFrame, edges: DataFrame, kind: str) -> DataFra
     dangling = inner.join(parts.select("doc_id", F.col("part").alias("target")), ["doc_id", "target"], "left_anti").select("doc_id", F.concat(F.lit("dangling "), "target").alias("problem"))
     broken = entries.filter(F.col("error").isNotNull()).select("doc_id", F.concat(F.lit("unreadable "), "error").alias("problem"))
     return R.union_all([missing, doubled, dangling, broken])
+
+
+PICTURE = "doc_id string, part string, pos int, media string, svg string, width bigint, height bigint, crop array<int>, rotation int, flip_h boolean, flip_v boolean, error string"
+
+
+def pictures(name: str, content: bytes) -> Iterator[tuple]:
+    """Drawn images of Word stories and slides: media part, SVG twin, extent in EMU, crop in 1/100000, rotation in 1/60000 degree."""
+    package = Package(content)
+    for part in (p for p in package.names if p.endswith(".xml") and p.startswith(("word/", "ppt/slides/")) and "_rels/" not in p):
+        targets = {i: t for i, k, t, external in package.relations(part) if k == "image" and not external}
+        if not targets:
+            continue
+        root = package.xml(part)
+        pos = 0
+        for holder in (n for n in root.iter() if local(n) in ("inline", "anchor", "pic", "pict")):
+            if local(holder) == "pic" and part.startswith("word/") and any(holder in list(h.iter()) for h in root.iter() if local(h) in ("inline", "anchor")):
+                continue
+            blip = first(holder, "blip")
+            blip = blip if blip is not None else first(holder, "imagedata")
+            if blip is None:
+                continue
+            svg = first(blip, "svgBlip")
+            media = targets.get(attr(blip, "embed") or attr(blip, "id"))
+            twin = targets.get(attr(svg, "embed")) if svg is not None else None
+            if media is None and twin is None:
+                continue
+            size = first(holder, "extent")
+            size = size if size is not None else first(holder, "ext")
+            rect, turn = first(holder, "srcRect"), first(holder, "xfrm")
+            number = lambda node, key: int(node.get(key, "0")) if node is not None and re.fullmatch(r"-?\d+", node.get(key, "0")) else 0
+            flag = lambda key: turn is not None and turn.get(key) in ("1", "true")  # noqa: E731, B023
+            yield name, part, pos, media or twin, twin, number(size, "cx") or None, number(size, "cy") or None, [number(rect, k) for k in "ltrb"], number(turn, "rot") % 21_600_000, flag("flipH"), flag("flipV"), None
+            pos += 1
+
+
+def read_pictures(files: DataFrame) -> DataFrame:
+    return per_file(files, pictures, PICTURE)
+
+
+STYLE = "doc_id string, style_id string, kind string, parent_id string, props map<string,string>, error string"
+#: Run properties that styles hand on, and the attribute that holds each (fixed values).
+RUN_PROPS = {"b": "val", "i": "val", "u": "val", "sz": "val", "color": "val", "rFonts": "ascii", "vertAlign": "val"}
+
+
+def styles(name: str, content: bytes) -> Iterator[tuple]:
+    """A Word document's styles and document defaults (style id empty), each with the run properties it sets itself."""
+    package = Package(content)
+    if "word/styles.xml" not in package.names:
+        return
+    root = package.xml("word/styles.xml")
+
+    def props(node: ET.Element | None) -> list[tuple[str, str]]:
+        found = first(node, "rPr")
+        return [(local(p), attr(p, RUN_PROPS[local(p)], "1")) for p in (found if found is not None else ()) if local(p) in RUN_PROPS]
+
+    defaults = first(root, "rPrDefault")
+    yield name, "", "default", None, props(defaults), None
+    for s in (n for n in root if local(n) == "style"):
+        up = next((c for c in s if local(c) == "basedOn"), None)
+        yield name, attr(s, "styleId"), attr(s, "type"), attr(up, "val") or None if up is not None else None, props(s), None
+
+
+def read_styles(files: DataFrame) -> DataFrame:
+    return per_file(files, styles, STYLE)
+
+
+def resolved_styles(rows: DataFrame, most: int = 64) -> DataFrame:
+    """J14, AR4, XM4: (doc_id, style_id, kind, props) with what each style inherits, by pointer doubling over maps.
+
+    A parent of another kind or a missing one ends the chain; a cycle raises; document defaults come last.
+    """
+    from docengine.functions.arrays import merged
+
+    s = rows.filter(F.col("error").isNull())
+    own = s.filter("kind <> 'default'")
+    parents = own.select(F.col("doc_id").alias("d"), F.col("style_id").alias("p"), F.col("kind").alias("k"))
+    linked = own.join(parents, (F.col("doc_id") == F.col("d")) & (F.col("parent_id") == F.col("p")) & (F.col("kind") == F.col("k")), "left")
+    now = linked.select("doc_id", "style_id", "kind", F.col("p").alias("up"), "props")
+    for _ in range(max(1, most.bit_length())):
+        above = now.select(F.col("doc_id").alias("d"), F.col("style_id").alias("p"), F.col("kind").alias("k"), F.col("up").alias("up2"), F.col("props").alias("inherited"))
+        j = now.join(above, (F.col("doc_id") == F.col("d")) & (F.col("up") == F.col("p")) & (F.col("kind") == F.col("k")), "left")
+        now = j.select("doc_id", "style_id", "kind", F.col("up2").alias("up"), F.when(F.col("inherited").isNull(), F.col("props")).otherwise(merged("inherited", "props")).alias("props"))
+    base = s.filter("kind = 'default'").select(F.col("doc_id").alias("d"), F.col("props").alias("defaults"))
+    out = now.join(base, F.col("doc_id") == F.col("d"), "left")
+    done = F.when(F.col("up").isNotNull(), F.raise_error(F.concat(F.lit("style cycle at "), "style_id")).cast("string")).otherwise(F.col("style_id"))
+    return out.select("doc_id", done.alias("style_id"), "kind", F.when(F.col("defaults").isNull(), F.col("props")).otherwise(merged("defaults", "props")).alias("props"))
+
+
+PAGE = "doc_id string, pos int, page int, tbl array<array<string>>, merges array<array<int>>, error string"
+
+
+def table_pages(name: str, pos: int, tbl: list[list[str]], merges: list[list[int]], rows: int = 12, columns: int = 12) -> Iterator[tuple]:
+    """E5, AR2, W13: pages of at most rows x columns that cut no merge; a merge that fits no page is kept whole."""
+    from docengine.operators.layout import merge_pages
+
+    down = merge_pages([1] * len(tbl), [(m[0], m[2]) for m in merges], rows)
+    across = merge_pages([1] * len(tbl[0]), [(m[1], m[3]) for m in merges], columns)
+    for page, (r, c) in enumerate((r, c) for r in down for c in across):
+        part = [line[c[0] : c[1]] for line in tbl[r[0] : r[1]]]
+        inside = [[m[0] - r[0], m[1] - c[0], m[2], m[3]] for m in merges if r[0] <= m[0] < r[1] and c[0] <= m[1] < c[1]]
+        yield name, pos, page, part, inside, None

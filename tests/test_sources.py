@@ -246,3 +246,33 @@ def test_slides_and_modes(spark):
     assert C.contents_pages(made).count() == 2
     first = lambda mode: [r.text for r in C.slides_to_blocks(made, mode).orderBy("pos").limit(3).collect()]
     assert first("notes-first") == ["T1", "n", "b"] and first("handout") == ["T1", "b", "n"] and first("outline") == ["T1", "b", "T2"]
+
+
+def test_pictures(spark):
+    head = f'xmlns:w="{writers.NS["w"]}" xmlns:a="{writers.NS["a"]}" xmlns:r="{writers.NS["r"]}"'
+    body = '<w:p><w:drawing><wp:inline xmlns:wp="wp"><wp:extent cx="914400" cy="457200"/><a:pic><a:blipFill><a:blip r:embed="rId1"><asvg:svgBlip xmlns:asvg="s" r:embed="rId2"/></a:blip><a:srcRect l="10000" b="5"/></a:blipFill><a:spPr><a:xfrm rot="-5400000" flipH="1"/></a:spPr></a:pic></wp:inline></w:drawing></w:p>'
+    parts = {"word/document.xml": f"<w:document {head}><w:body>{body}</w:body></w:document>", "word/_rels/document.xml.rels": writers.rels([("rId1", "image", "media/a.png"), ("rId2", "image", "media/a.svg")])}
+    (r,) = ooxml.read_pictures(files(spark, p_docx=writers.zipped(parts))).collect()
+    assert (r.media, r.svg, r.width, r.height, r.crop, r.rotation, r.flip_h, r.flip_v, r.error) == ("word/media/a.png", "word/media/a.svg", 914400, 457200, [10000, 0, 0, 5], 16_200_000, True, False, None)
+
+
+def styled(spark, body):
+    xml = f'<w:styles xmlns:w="{writers.NS["w"]}"><w:docDefaults><w:rPrDefault><w:rPr><w:sz w:val="20"/><w:rFonts w:ascii="Serif"/></w:rPr></w:rPrDefault></w:docDefaults>{body}</w:styles>'
+    return ooxml.read_styles(files(spark, s_docx=writers.zipped({"word/styles.xml": xml})))
+
+
+def test_styles_inherit(spark):
+    style = lambda i, up, props, kind="paragraph": f'<w:style w:type="{kind}" w:styleId="{i}">' + (f'<w:basedOn w:val="{up}"/>' if up else "") + f"<w:rPr>{props}</w:rPr></w:style>"
+    got = {r.style_id: r.props for r in ooxml.resolved_styles(styled(spark, style("A", "", '<w:b/><w:sz w:val="22"/>') + style("B", "A", '<w:sz w:val="30"/>') + style("C", "B", "<w:i/>") + style("X", "A", "", "character"))).collect()}
+    assert got["C"] == {"b": "1", "i": "1", "sz": "30", "rFonts": "Serif"} and got["A"]["sz"] == "22"
+    assert got["X"] == {"sz": "20", "rFonts": "Serif"}  # a parent of another kind hands nothing on
+    with pytest.raises(Exception, match="style cycle"):
+        ooxml.resolved_styles(styled(spark, style("A", "B", "") + style("B", "A", ""))).collect()
+
+
+def test_big_table_pages():
+    tbl = [[f"{r}.{c}" for c in range(15)] for r in range(25)]
+    pages = list(ooxml.table_pages("d", 0, tbl, []))
+    assert len(pages) == 6 and sorted(x for p in pages for row in p[3] for x in row) == sorted(x for row in tbl for x in row)
+    cut = list(ooxml.table_pages("d", 0, tbl, [[10, 2, 5, 2]]))
+    assert [len(p[3]) for p in cut if p[3][0][0].endswith(".0")] == [10, 12, 3] and sum(len(p[4]) for p in cut) == 1
