@@ -75,6 +75,7 @@ def keyed_rows(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataF
 
 def drop_lines(docs: DataFrame, keyed: DataFrame, seen: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with line_kept (the text without the lines whose key is in seen), line_n and line_dropped."""
+    docs = docs.drop("line_kept", "line_n", "line_dropped")  # input columns of these names give way
     flat = keyed.select("__id", "__row", F.posexplode("keys").alias("pos", "k")).select("__id", "__row", "pos", F.col("k.a").alias("a"), F.col("k.b").alias("b"))
     marked = flat.join(seen.withColumn("hit", F.lit(True)).hint("merge"), ["a", "b"], "left").select("__id", "__row", "pos", F.coalesce("hit", F.lit(False)).alias("hit"))
     per_row = marked.groupBy("__id", "__row").agg(F.sort_array(F.collect_set(F.struct("pos", "hit"))).alias("p"), F.bool_or("hit").alias("any")).filter("any").select(F.col("__id").alias("__fid"), F.col("__row").alias("__frow"), F.transform("p", lambda x: x["hit"]).alias("__hits"))

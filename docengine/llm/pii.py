@@ -143,6 +143,7 @@ def find(docs: DataFrame, *, reach: int = 80, min_letters: int = 4, min_texts: i
 
 def sanitise(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with pii_text: base spans become [EMAIL] and the like, disclosing terms [TERM]; overlapping spans the first's label."""
+    docs = docs.drop("pii_text")  # an input column of this name gives way
     found = find(docs, doc_id=doc_id, text=text, **options).dropDuplicates(["doc_id", "__row"]).select(F.col("doc_id").alias("__fid"), F.col("__row").alias("__frow"), "spans")
     rows = docs.withColumn("__row", F.xxhash64(F.col(doc_id), F.col(text).cast("string")))
     both = rows.join(found, (F.col("__row") == F.col("__frow")) & rows[doc_id].eqNullSafe(F.col("__fid")), "left")

@@ -96,7 +96,7 @@ def judge(text: str | None, *, min_words: int, most_repeat: float, most_lost: fl
 
 def clean(docs: DataFrame, *, min_words: int = 50, most_repeat: float = 0.5, most_lost: float = 0.5, text: str = "text", columns: list[str] | None = None, with_text: bool = True) -> DataFrame:
     """docs (or `columns` of it) with q_<count>, q_base_failed, q_kept, q_lost_words and, if asked, q_text (cleaned)."""
-    carried = docs.columns if columns is None else columns
+    carried = [c for c in (docs.columns if columns is None else columns) if not c.startswith("q_")]  # input columns named q_ give way
     given = docs.select(*carried, F.col(text).cast("string").alias("__text"))
     extra = [T.StructField(f"q_{c}", T.LongType()) for c in COUNTS] + [T.StructField("q_base_failed", T.BooleanType()), T.StructField("q_kept", T.BooleanType()), T.StructField("q_lost_words", T.LongType())] + [T.StructField("q_text", T.StringType())] * with_text
     schema = T.StructType([f for f in docs.select(*carried).schema.fields] + extra)

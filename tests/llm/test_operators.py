@@ -42,7 +42,7 @@ def rows():
 @pytest.fixture(scope="module")
 def docs(spark, rows):
     clash = spark.createDataFrame(rows, DOC).repartition(3)
-    return clash.withColumns({"shard": F.lit("x"), "slot": F.lit(1.5), "size": F.lit(1), "key": F.lit("k"), "spans": F.lit("s"), "component_id": F.lit(0)})
+    return clash.withColumns({"shard": F.lit("x"), "slot": F.lit(1.5), "size": F.lit(1), "key": F.lit("k"), "spans": F.lit("s"), "component_id": F.lit(0), "line_kept": F.lit("l"), "q_kept": F.lit(1), "pii_text": F.lit("p"), "mix_size": F.lit("m"), "fp": F.lit("f"), "base": F.lit("b")})
 
 
 @pytest.fixture(scope="module")
