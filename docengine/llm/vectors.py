@@ -141,7 +141,13 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, recall: float =
     flat = hashed.select("v", "dim", F.posexplode("codes").alias("table", "bucket"))
     crowded = flat.groupBy("table", "bucket", "dim").count().filter(F.col("count") > block).select(F.col("table").alias("t"), F.col("bucket").alias("k"), F.col("dim").alias("d"), F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     rows = hashed.select("v", "x", "n", "dim", "codes", F.posexplode("codes").alias("table", "bucket"))
-    rows = rows.join(crowded, (F.col("table") == F.col("t")) & (F.col("bucket") == F.col("k")) & (F.col("dim") == F.col("d")), "left").drop("t", "k", "d")
+    crowded = written(crowded)
+    many = crowded.limit(50_001).count()
+    if many:  # few: broadcast, so the rows aren't dealt for a join that changes next to none of them
+        side = F.broadcast(crowded) if many <= 50_000 else crowded
+        rows = rows.join(side, (F.col("table") == F.col("t")) & (F.col("bucket") == F.col("k")) & (F.col("dim") == F.col("d")), "left").drop("t", "k", "d")
+    else:
+        rows = rows.withColumn("blocks", F.lit(1))
     rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "v"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("v", "x", "n", "dim", "codes", "table", "bucket", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
     cell = ["table", "bucket", "dim", "left", "right"]
