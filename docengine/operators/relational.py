@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.functions.nulls import first_given
+from docengine.operators.lineage import written
 
 
 def named(items: DataFrame, files: DataFrame, key: str = "file_id", name: str = "file_name") -> DataFrame:
@@ -100,15 +101,24 @@ def ordered_merge(user: DataFrame, recommended: DataFrame, key: str) -> DataFram
     return recommended.join(u, key, "left").orderBy(F.coalesce("__u", F.lit(1_000_000_000)), "pos").drop("__u")
 
 
-def ancestors(nodes: DataFrame, most: int = 64) -> DataFrame:
+def ancestors(nodes: DataFrame, most: int = 1 << 40) -> DataFrame:
     """(id, root, depth) of a forest (id, parent_id), by pointer doubling: log2(depth) joins, no recursion limit.
 
+    Each round is written, so the plan doesn't double with it, and the walk ends when every pointer stands on a root.
+
     A parent that doesn't exist ends the walk as its own root's absence: root is null. A cycle raises.
     """
+    nodes = written(nodes.select("id", "parent_id"))
     now = nodes.select("id", F.coalesce("parent_id", "id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    for _ in range(max(1, most.bit_length())):
+    moving = -1
+    for _ in range(most.bit_length()):
         jump = now.select(F.col("id").alias("k"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
         now = now.join(jump, F.col("up") == F.col("k"), "left").select("id", F.when(F.col("k").isNotNull(), F.col("up2")).alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"))
+        now = written(now)
+        still = now.filter(F.col("up").isNotNull()).join(nodes.filter("parent_id is null").select(F.col("id").alias("up")), "up", "left_anti").count()
+        if still in (0, moving):  # none left, or only cycles, which are as many in every round
+            break
+        moving = still
     roots = nodes.filter("parent_id is null").select(F.col("id").alias("r"))
     checked = now.join(roots, F.col("up") == F.col("r"), "left")
     cycle = F.when(F.col("up").isNotNull() & F.col("r").isNull(), F.raise_error(F.concat(F.lit("cycle at "), F.col("id").cast("string"))).cast("string"))

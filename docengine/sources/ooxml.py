@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docengine.operators import relational as R
+from docengine.operators.lineage import written
 from docengine.sources.archive import per_file
 
 BLOCK = "doc_id string, pos int, kind string, text string, level int, runs array<struct<text:string,b:boolean,i:boolean,size:int,font:string,color:string>>, tbl array<array<string>>, merges array<array<int>>, error string"
@@ -545,7 +546,9 @@ def resolved_styles(rows: DataFrame, most: int = 64) -> DataFrame:
     for _ in range(max(1, most.bit_length())):
         above = now.select(F.col("doc_id").alias("d"), F.col("style_id").alias("p"), F.col("kind").alias("k"), F.col("up").alias("up2"), F.col("props").alias("inherited"))
         j = now.join(above, (F.col("doc_id") == F.col("d")) & (F.col("up") == F.col("p")) & (F.col("kind") == F.col("k")), "left")
-        now = j.select("doc_id", "style_id", "kind", F.col("up2").alias("up"), F.when(F.col("inherited").isNull(), F.col("props")).otherwise(merged("inherited", "props")).alias("props"))
+        now = written(j.select("doc_id", "style_id", "kind", F.col("up2").alias("up"), F.when(F.col("inherited").isNull(), F.col("props")).otherwise(merged("inherited", "props")).alias("props")))
+        if not now.filter(F.col("up").isNotNull()).limit(1).count():
+            break
     base = s.filter("kind = 'default'").select(F.col("doc_id").alias("d"), F.col("props").alias("defaults"))
     out = now.join(base, F.col("doc_id") == F.col("d"), "left")
     done = F.when(F.col("up").isNotNull(), F.raise_error(F.concat(F.lit("style cycle at "), "style_id")).cast("string")).otherwise(F.col("style_id"))
