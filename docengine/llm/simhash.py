@@ -194,11 +194,14 @@ def near_groups(docs: DataFrame, *, width: int = 3, bits: int = 2, crowd: int =
     return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, width: int = 3, bits: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, *, width: int = 3, bits: int = 2, bound: int = 300_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group: the one with the smallest doc_id; of repeated rows with that id, one. Null ids: one a group
     of nothing else."""
     groups = near_groups(docs, width=width, bits=bits, doc_id=doc_id, text=text)
-    stay = written(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__keep")).agg(F.count(F.lit(1)).alias("n")))
-    rows = docs.join(stay.select("__keep"), docs[doc_id].cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    ids = written(groups.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count(F.lit(1)).alias("n")))
+    # what goes is far less than what stays: counted first, it is broadcast up to `bound` ids, and texts aren't dealt again
+    gone = ids.filter(~F.col("stays")).select("__id")
+    few = gone.limit(bound + 1).count() <= bound
+    rows = docs.join(F.broadcast(gone) if few else gone, docs[doc_id].cast("long").eqNullSafe(F.col("__id")), "left_anti")
     # ids are unique as a rule; only where they aren't, whole rows are dealt again to keep one of each
-    return rows.dropDuplicates([doc_id]) if stay.filter("n > 1").limit(1).count() else rows
+    return rows.dropDuplicates([doc_id]) if ids.filter("stays and n > 1").limit(1).count() else rows
