@@ -2,8 +2,8 @@
 
 Model: bigrams over unigrams, both smoothed.
 - unigrams: absolute discounting, p(w) = (c - d)/N; the mass d*V/N is the unknown word's. d from the counts of counts.
-- a bigram (v, w) is an arc if the training text holds it `min_arc` times and both words make up `min_share` of it at least, a
-  share and not a count, so that pairs grow with the input and no faster. With r(v) the arcs' counts: p(w | v) = (n + m p(w))/(r(v) + m) along an arc, m p(w)/(r(v) + m) along the failure arc; these sum to one. m is
+- a bigram (v, w) is an arc if the training text holds it `min_arc` times. Words seen less often than that can't be in one, so
+  they aren't numbered; `min_share` (none by default) asks both words for a share of the training text besides. With r(v) the arcs' counts: p(w | v) = (n + m p(w))/(r(v) + m) along an arc, m p(w)/(r(v) + m) along the failure arc; these sum to one. m is
   the best of a grid by the leave-one-out likelihood of all training text.
 A state is a context; its failure arc, with weight m/(r + m), leads to the root, which has an arc for every word. A text starts in a
 start state and ends with an end token.
@@ -113,6 +113,8 @@ class _Block:
         self.width = len(hashes) + 1  # the last number is the start of a text
         self.counts, self.ids, self.returns = (np.zeros(self.width, dtype=np.int64) for _ in range(3))
         self.ids[:] = -1
+        # a rare word of this block alone isn't sent back: its own count is the corpus's
+        self.counts[:-1] = np.frombuffer(vocabulary.column("counts")[0].as_py(), dtype=np.int32)
         self.counts[at] = words.column("c").to_numpy()
         self.ids[at] = words.column("id").fill_null(-1).to_numpy()
         self.returns[at] = words.column("r").fill_null(0).to_numpy()
@@ -199,7 +201,7 @@ def _settle(df: DataFrame) -> None:
 
 
 def _numbered(words: DataFrame, least: float) -> DataFrame:
-    """words (block, h, n) -> (block, h, c, id, lead): corpus counts, state numbers of frequent words, one lead row a word.
+    """words (block, h, n) -> (block, h, n, c, id, lead): corpus counts, state numbers of frequent words, one lead row a word.
 
     One shuffle, by a bucket of the hash, serves both windows: the first is over a word's rows (a block each), the second
     over a bucket's words. Numbers are (rank in the bucket, bucket), dense enough for 31 bits.
@@ -210,10 +212,10 @@ def _numbered(words: DataFrame, least: float) -> DataFrame:
     counted = dealt.withColumn("c", F.sum("n").over(own)).withColumn("lead", F.row_number().over(own.orderBy("block")) == 1)
     often = (F.col("c") >= least) & (F.col("c") > 0)
     rank = F.dense_rank().over(Window.partitionBy("b").orderBy(often.desc(), "h"))
-    return counted.select("block", "h", "c", F.when(often, (rank - 1).cast("long") * buckets + F.col("b")).alias("id"), "lead")
+    return counted.select("block", "h", "n", "c", F.when(often, (rank - 1).cast("long") * buckets + F.col("b")).alias("id"), "lead")
 
 
-def score(docs: DataFrame, *, folds: int = 5, held_fold: int = 1, min_share: float = 5e-6, min_arc: int = 5, block_bytes: int = 28_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, *, folds: int = 5, held_fold: int = 1, min_share: float = 0.0, min_arc: int = 5, block_bytes: int = 28_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row a row of docs."""
     held = F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held_fold
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).cast("string").alias("text"))
@@ -221,12 +223,14 @@ def score(docs: DataFrame, *, folds: int = 5, held_fold: int = 1, min_share: flo
     blocks = written(given.mapInArrow(lambda it: _blocks(it, block_bytes), "block long, kind int, doc_id long, held_out boolean, data binary, counts binary"), **small)
     words = written(blocks.filter("kind = 1").select("block", "data", "counts").mapInArrow(_words, "block long, h long, n int"), **small)
     tokens = words.agg(F.sum("n").alias("n")).first()["n"] or 0
-    known = written(_numbered(words, min_share * tokens), **small)
+    known = written(_numbered(words, max(min_share * tokens, min_arc)), **small)
     drop_written(words)
     _settle(docs)
     counts = known.filter("lead and c > 0")
-    t = counts.agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
+    t = counts.agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"), F.max("id").alias("last")).first()
     total, kinds = int(t["total"] or 0), int(t["kinds"])
+    if (t["last"] or 0) >= START_ID:
+        raise OverflowError("more frequent words than 31 bits can number")
     discount = (t["once"] + 0.5) / (t["once"] + 2 * t["twice"] + 1)
     none = F.lit(None).cast("long")
     often = known.filter("id is not null")
@@ -244,8 +248,12 @@ def score(docs: DataFrame, *, folds: int = 5, held_fold: int = 1, min_share: flo
     every = often.filter("lead").select("id", "c").unionByName(docs.sparkSession.range(1).select(F.lit(START_ID).cast("long").alias("id"), F.lit(starts).cast("long").alias("c")))
     mass = fit_mass(arcs.join(states, F.col("v") == F.col("s")), every, total, discount) if total else GRID[-1]
     at_start = (states.filter(F.col("s") == START_ID).first() or {"r": 0})["r"]
+    _settle(docs)
     named = often.join(states, F.col("id") == F.col("s"), "left").select("block", none.alias("pair"), "h", "c", "id", "r")
-    rare = known.filter("id is null").select("block", none.alias("pair"), "h", "c", "id", none.alias("r"))
-    answers = named.unionByName(rare).unionByName(kept.select("block", "pair", none.alias("h"), "c", none.alias("id"), none.alias("r")))
+    rare = known.filter("id is null and c <> n").select("block", none.alias("pair"), "h", "c", "id", none.alias("r"))
+    told = written(named.unionByName(rare), **small)
+    drop_written(known)
+    _settle(docs)
+    answers = told.unionByName(kept.select("block", "pair", none.alias("h"), "c", none.alias("id"), none.alias("r")))
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _score(a, b, total, kinds, discount, mass, at_start), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -288,6 +288,24 @@ def test_lm(docs, rows, none, spark):
     assert {g.score for g in lm.score(spark.createDataFrame(all_held, DOC)).collect()} == {0.0}
 
 
+def test_lm_takes_arcs_of_rare_words(spark):
+    """A pair seen ten times is an arc, however large the rest of the corpus; one seen four times isn't."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    train, kept_out = [i for i in range(400) if not held(i)], next(i for i in range(400) if held(i))
+    bulk = " ".join(f"w{k % 50}" for k in range(8000))
+    rows = [(i, ("rare pair " if n < 10 else "odd couple " if n < 14 else "") + bulk) for n, i in enumerate(train)]
+    rows += [(kept_out, "rare pair"), (kept_out, "pair rare"), (kept_out, "odd couple"), (kept_out, "couple odd")]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).filter(F.col("held_out")).select("n_tokens", "base_score", "score").collect()
+    assert got[0].n_tokens == 3 and 10 < 5e-6 * len(train) * 8000
+    by = collections.defaultdict(list)
+    for g in got:
+        by[round(g.base_score, 6)].append(g.score)
+    rare, odd = (by[k] for k in sorted(by, reverse=True))
+    # "rare" follows the start ten times, and "pair" follows "rare" as often: both orders differ only by these arcs
+    assert max(rare) - min(rare) > 0.1
+    assert max(odd) - min(odd) < 1e-9
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark, sf):
     r = lm.score(spark.read.parquet(f"{sf}/documents.parquet")).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r.s > r.b
