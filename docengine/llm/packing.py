@@ -10,7 +10,8 @@ The stream is solved a chunk at a time: windows before the last cheap cut are gi
 bounded and only a partition's last window is short. Nothing is shuffled. Texts are never cut to a prefix; null texts are empty
 (the end id alone). Repeated rows are packed as often as they come. An empty table gives no pieces.
 
-Ids are those of the byte-level BPE vocabulary given as ranks; special strings in a text are ordinary text. The encoder splits at
+Ids are those of the byte-level BPE vocabulary given as ranks, and of the added tokens that the tokenizer's JSON beside it lists:
+texts are split at those first, as `tokenizers` does. The encoder splits at
 single spaces between non-blanks, where the pre-tokenizer splits too, and keeps the ids of short pieces, so repeated words cost a
 look-up. `tests/llm` holds it to the `tokenizers` library's ids.
 """
@@ -18,6 +19,8 @@ look-up. `tests/llm` holds it to the `tokenizers` library's ids.
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 import zlib
 from collections import deque
@@ -57,6 +60,17 @@ class _Pieces(dict):
         return got
 
 
+def added_tokens(ranks: str) -> dict[str, int]:
+    """Strings that have ids of their own, of the JSON that goes with the ranks; a vocabulary of ranks alone has none."""
+    if not os.path.exists(path := f"{os.path.splitext(ranks)[0]}.json"):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(a["single_word"] or a["lstrip"] or a["rstrip"] for a in added):
+        raise ValueError("added tokens that look at their surroundings")
+    return {a["content"]: a["id"] for a in added}
+
+
 class Encoder:
     """text -> ids, as a numpy array, and the counts of ids before each cut after a sentence."""
 
@@ -68,13 +82,25 @@ class Encoder:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ordinary = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.pieces = _Pieces(self.ordinary)
-        self.closes = np.zeros(max(table.values()) + 1, dtype=bool)
+        self.added = added_tokens(ranks)
+        self.at_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
+        self.closes = np.zeros(max([*table.values(), *self.added.values()]) + 1, dtype=bool)
         self.opens = np.zeros(len(self.closes), dtype=bool)
         for token, i in table.items():
             self.closes[i] = token[-1:] in (b".", b"!", b"?") or b"\n" in token
             self.opens[i] = token[:1] in (b" ", b"\n")
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        pieces, at = [], 0
+        for m in self.at_added.finditer(text):
+            pieces += [self._plain(text[at : m.start()]), np.array([self.added[m[0]]], dtype="<u4").tobytes()]
+            at = m.end()
+        ids = np.frombuffer(b"".join([*pieces, self._plain(text[at:] if at else text)]), dtype="<u4")
+        ends = np.flatnonzero(self.closes[ids[:-1]] & self.opens[ids[1:]]) + 1 if len(ids) > 1 else np.zeros(0, dtype=np.int64)
+        return ids, ends
+
+    def _plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         parts = text.split(" ")
         try:
             if parts[0][-1:].isspace():
@@ -83,10 +109,7 @@ class Encoder:
         except _Odd:
             parts = SPLIT.split(text)
             rest = b"".join(np.array(self.ordinary(" " + p), dtype="<u4").tobytes() if p[-1:].isspace() else self.pieces[p] for p in parts[1:])
-        first = np.array(self.ordinary(parts[0]), dtype="<u4").tobytes()
-        ids = np.frombuffer(first + rest, dtype="<u4")
-        ends = np.flatnonzero(self.closes[ids[:-1]] & self.opens[ids[1:]]) + 1 if len(ids) > 1 else np.zeros(0, dtype=np.int64)
-        return ids, ends
+        return np.array(self.ordinary(parts[0]), dtype="<u4").tobytes() + rest
 
 
 @lru_cache(maxsize=2)

@@ -333,6 +333,11 @@ def test_ids_are_the_tokenizers_own(tokenizer, rows, spark, sf):
         assert enc.encode(text)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text[:80]
 
 
+@pytest.mark.parametrize("text", ["end <|endoftext|> of", "<|endoftext|>", "a<|endoftext|>b <|endoftext|><|endoftext|>\n", "  <|endoftext|>  x", "no. <|endoftext|>\nNo <|endoftext|", "<|endoftext|> a  b", "One. Two.<|endoftext|> <|EndOfText|>"])
+def test_added_tokens_have_their_own_ids(tokenizer, text):
+    assert packing.Encoder(ranks()).encode(text)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_round_trip(docs, rows, none, tokenizer):
     for chunk in (3000, 1_500_000):
         got = packing.pack(docs, ranks=ranks(), with_ids=True, chunk=chunk).collect()
