@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm.common import written
@@ -106,8 +106,9 @@ def anchors(fps: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fps = np.fromiter((fingerprint(x.as_py(), width) for x in b.column(1)), dtype=np.uint64, count=b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        *others, texts = b.columns
+        fps = np.fromiter((fingerprint(x.as_py(), width) for x in texts), dtype=np.uint64, count=b.num_rows)
+        yield pa.RecordBatch.from_arrays([*others, pa.array(fps.view(np.int64))], names=[*b.schema.names[:-1], "fp"])
 
 
 def _spread(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatch]:
@@ -183,25 +184,34 @@ def links(distinct: DataFrame, t: int = 2, crowd: int = 1500) -> DataFrame:
     return direct.unionByName(around)
 
 
+def _grouped(prints: DataFrame, least: Column, bits: int, crowd: int) -> DataFrame:
+    """prints (fp, ...) with `first`: the least over all rows reachable by links."""
+    classes = written(prints.groupBy("fp").agg(F.min(least).alias("least")))
+    comps = components(links(classes, bits, crowd))
+    rooted = classes.join(comps, classes["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    roots = rooted.groupBy("root").agg(F.min("least").alias("first")).withColumnRenamed("root", "r")
+    named = rooted.join(roots, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "first")
+    return prints.join(named, F.col("fp") == F.col("f")).drop("f")
+
+
 def near_groups(docs: DataFrame, *, width: int = 3, bits: int = 2, crowd: int = 1500, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp long, component_id), one row a row of docs; component_id is the smallest doc_id reachable by links."""
     prints = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lambda it: _fingerprints(it, width), "doc_id long, fp long"))
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    comps = components(links(classes, bits, crowd))
-    rooted = classes.join(comps, classes["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    roots = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
-    named = rooted.join(roots, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    return _grouped(prints, F.col("doc_id"), bits, crowd).select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, width: int = 3, bits: int = 2, bound: int = 300_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group: the one with the smallest doc_id; of repeated rows with that id, one. Null ids: one a group
-    of nothing else."""
-    groups = near_groups(docs, width=width, bits=bits, doc_id=doc_id, text=text)
-    ids = written(groups.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count(F.lit(1)).alias("n")))
-    # what goes is far less than what stays: counted first, it is broadcast up to `bound` ids, and texts aren't dealt again
-    gone = ids.filter(~F.col("stays")).select("__id")
+    """One row of each group: the one with the smallest doc_id, null ids last; where the id stands on several texts, the one
+    with the least hash of id and text. Of rows with the same id and text, one."""
+    given = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__key": F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))})
+    prints = written(given.select("__id", "__key", F.col(text).cast("string").alias("text")).mapInArrow(lambda it: _fingerprints(it, width), "__id long, __key long, fp long"))
+    order = F.struct(F.col("__id").isNull(), "__id", "__key")
+    # rows with the same id and text share a fingerprint, so they stay or go together
+    rows = written(_grouped(prints, order, bits, 1500).groupBy("__id", "__key").agg(F.bool_or(order.eqNullSafe(F.col("first"))).alias("stays"), F.count(F.lit(1)).alias("n")))
+    # what goes is far less than what stays: counted first, it is broadcast up to `bound` rows, and texts aren't dealt again
+    gone = rows.filter(~F.col("stays")).select(F.col("__id").alias("gone_id"), F.col("__key").alias("gone_key"))
     few = gone.limit(bound + 1).count() <= bound
-    rows = docs.join(F.broadcast(gone) if few else gone, docs[doc_id].cast("long").eqNullSafe(F.col("__id")), "left_anti")
-    # ids are unique as a rule; only where they aren't, whole rows are dealt again to keep one of each
-    return rows.dropDuplicates([doc_id]) if ids.filter("stays and n > 1").limit(1).count() else rows
+    left = given.join(F.broadcast(gone) if few else gone, (F.col("__key") == F.col("gone_key")) & F.col("__id").eqNullSafe(F.col("gone_id")), "left_anti")
+    # rows aren't repeated as a rule; only where they are, whole rows are dealt again to keep one of each
+    one = left.dropDuplicates(["__id", "__key"]) if rows.filter("stays and n > 1").limit(1).count() else left
+    return one.drop("__id", "__key")

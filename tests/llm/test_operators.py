@@ -183,6 +183,16 @@ def test_simhash(docs, rows, none):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted({c for c in want.values()})
 
 
+def test_keep_one_without_unique_ids(spark):
+    """Every group keeps one row, whether ids are null or stand on other texts too."""
+    text = lambda k: " ".join(words(60, 9000 + k, 5000))
+    rows = [(None, text(k)) for k in range(20)] + [(None, text(0)), (None, text(30)), (5, text(30))]
+    rows += [(7, text(40)), (7, text(41)), (8, text(41)), (6, text(42)), (7, text(42)), (9, text(43)), (9, text(43)), (9, text(44))]
+    got = [(r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(None, text(k)) for k in range(20)] + [(5, text(30)), (7, text(40)), (7, text(41)), (6, text(42)), (9, text(43)), (9, text(44))]
+    assert collections.Counter(got) == collections.Counter(want)
+
+
 @pytest.mark.parametrize("crowd", [3, 10_000])
 def test_links_find_every_close_pair(spark, crowd):
     rng = random.Random(5)
