@@ -21,7 +21,7 @@ def _files(made: DataFrame) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).filter("doc_id % 20 = 0").select(F.col("doc_id").cast("string").alias("doc_id"), "pos", F.col("line").alias("text"), F.when(F.length("line") < 60, 1).otherwise(0).alias("level"))
+    return lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), "pos", F.col("line").alias("text"), F.when(F.length("line") < 60, 1).otherwise(0).alias("level"))
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,3 +26,14 @@ def test_native_without_products(spark, name):
 def test_pushdown(spark, name, filters, columns):
     text = entry.queries()[name](spark, SF)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert filters in text and f"ReadSchema: struct<{columns}" in text
+
+
+def test_documents_are_whole(spark, sf):
+    """Every document with a line goes through the round trips."""
+    from docengine.plans.sheets import lines
+
+    every = {str(r.doc_id) for r in lines(spark, sf).select("doc_id").distinct().collect()}
+    for name in ("ooxml_word_round_trip", "ooxml_word_to_slides", "pdf_round_trip"):
+        got = entry.queries()[name](spark, sf)
+        assert {r.doc_id.rsplit(".", 1)[0] for r in got.select("doc_id").distinct().collect()} == every, name
+        assert not got.filter("error is not null").count(), name
