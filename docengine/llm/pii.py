@@ -108,7 +108,7 @@ def disclosing(docs: DataFrame, spans: DataFrame, *, reach: int, min_letters: in
     candidates = together.select(F.col("term").alias("cand")).distinct()
     words = docs.select("__id", "__row", "__same", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(_letters(min_letters)), F.lit(0)))).alias("term"))
     stands = written(words.join(candidates, F.col("term") == F.col("cand"), "left_semi"))
-    texts = docs.agg(F.approx_count_distinct("__same", 0.01).alias("n")).first()["n"]
+    texts = docs.groupBy("__same").agg(F.lit(1)).count()
     holds = stands.select("term", "__same").distinct().groupBy(F.col("term").alias("term0")).agg(F.count(F.lit(1)).alias("n_t"))
     judged = together.join(holds, F.col("term") == F.col("term0")).join(entities, F.col("entity") == F.col("entity0"))
     share = F.col("n_te") / F.col("n_t")

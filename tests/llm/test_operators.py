@@ -465,3 +465,13 @@ def test_warc(spark):
 
 def test_sha_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_pii_counts_texts_exactly(spark):
+    """A term stands or falls by the number of different texts, to the last one."""
+    rows = [(i, f"number {i} of many") for i in range(2997)] + [(3000 + i, f"Zebulon wrote from zeb@example.org, {i}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bits = math.log2(3000 / 3)
+    for least, n in ((bits - 1e-6, True), (bits + 1e-6, False)):
+        spans = [s.kind for r in pii.find(docs, min_bits=least).collect() for s in r.spans]
+        assert ("term" in spans) == n, least
