@@ -28,6 +28,27 @@ def attach(big: DataFrame, small: DataFrame, key: str, most: int = 50_000, salts
     return dealt.join(salted, dealt[key].eqNullSafe(salted["__attach"]) & (dealt["__s"] == salted["__salt"]), "left").drop("__attach", "__salt", "__s")
 
 
+def fetch(big: DataFrame, small: DataFrame, key: str, most: int = 10_000) -> DataFrame:
+    """big left join small on `key`, small with one row a non-null key; neither side is broadcast whole.
+
+    Keys that more than `most` rows of big hold are counted first; their rows are dealt out over as many salts as it takes, and
+    small's row is repeated for each. Null keys fetch nothing and are spread by their rows. big is a table or a written one, so
+    that its rows are numbered alike when a lost task is run again.
+    """
+    hot = big.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most)
+    hot = written(hot.select(key, F.ceil(F.col("__n") / most).cast("int").alias("__salts")))
+    row = F.xxhash64(F.monotonically_increasing_id())  # tells equal rows apart
+    if hot.limit(1).count():
+        big, small = attach(big, hot, key), attach(small, hot, key)
+        small = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+        big = big.withColumn("__s", F.when(F.col(key).isNull(), F.pmod(row, F.lit(1 << 20)).cast("int")).otherwise(F.pmod(row, F.coalesce("__salts", F.lit(1))).cast("int"))).drop("__salts")
+        return big.join(small.withColumnRenamed(key, "__k"), (F.col(key) == F.col("__k")) & (F.col("__s") == F.col("__salt")), "left").drop("__k", "__s", "__salt")
+    small = small.withColumnRenamed(key, "__k")
+    present = big.filter(F.col(key).isNotNull()).join(small, F.col(key) == F.col("__k"), "left").drop("__k")
+    absent = big.filter(F.col(key).isNull())
+    return present.unionByName(absent, allowMissingColumns=True)
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

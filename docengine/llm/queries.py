@@ -50,10 +50,11 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = captures(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    resolved = written(warc.resolve(records, bucket_seconds=3600))
-    full = warc.materialise(records, resolved).select(F.col("record_id").alias("rid"), F.sha2("payload", 256).alias("payload_sha256"), F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("headers"))
-    return resolved.join(full, F.col("record_id") == F.col("rid"), "left").select("record_id", "canonical", "response_id", "verdict", "headers", "payload_sha256")
+    # the query tells payloads by their digests, so digests are all that it has materialised
+    records = captures(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("payload", F.sha2("payload", 256))
+    full = warc.materialise(records, written(warc.resolve(records, bucket_seconds=3600, carry=("headers",))), unresolved=True)
+    headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return full.select("record_id", "canonical", "response_id", "verdict", headers.alias("headers"), F.col("payload").alias("payload_sha256"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

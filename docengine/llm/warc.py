@@ -4,12 +4,16 @@ As-of join by canonical URL: each revisit takes the latest response before it, t
 response (entity tags by weak comparison if both have one, else Last-Modified dates; with neither, or a mismatch, it stays
 unresolved), and the headers that a 304 may update are merged over the stored ones.
 
-The join is two-level, so a URL with a third of all captures is no single task's: captures are cut into (URL, time bucket)
-groups; inside a group a running last() finds the response, and where a group begins with revisits, the last response of an
-earlier group is carried in from one row a group. Only ids, times and validators are sorted; payloads join by id at the end.
-
-Ties: at equal times responses come before revisits and, among responses, the larger record id is later. Null URLs resolve
-nothing; null times sort before all others. Payloads may be null. Records that repeat an id are as many captures.
+The join is two-level, so a URL with a third of all captures is no single task's: captures are reduced to one point a (URL, second),
+points are cut into (URL, time bucket) groups; inside a group a running last() finds the response, and where a group begins
+with revisits, the last response of an earlier group is carried in from one row a group. Revisits fetch the answer of their
+point, and resolved ones their response's payload, by joins whose hot keys are counted and dealt out (`common.fetch`). Only
+ids, times and validators are sorted; payloads join at the end.
+
+Ties: at equal times responses come before revisits and, among responses, the larger record id is later (null ids first; equal
+ids: the larger hash of the whole record). Null URLs resolve nothing; null times sort before all others. Payloads and headers
+may be null. Records that repeat an id are as many captures: N revisits give N rows, whatever repeats. Records of other kinds
+are passed over. An empty table gives no rows. Columns beyond those named don't matter unless they are carried.
 """
 
 from __future__ import annotations
@@ -17,8 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docengine.llm.common import fetch, written
+
 #: Fields of a 304 that describe its own message and don't update the stored response (RFC 9110, RFC 9111).
 NOT_MERGED = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
+#: What a capture is known by, where there's no payload yet.
+SLIM = ("record_id", "url", "at", "kind", "etag", "last_modified")
+BEFORE_ALL = -(1 << 62)
 
 
 def canonical_url(url: Column) -> Column:
@@ -31,47 +40,63 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, F.when(path == "", "/").otherwise(path), F.when(sorted_query != "", F.concat(F.lit("?"), sorted_query)).otherwise(""))
 
 
+def _lowered(headers: Column) -> Column:
+    """Entries with names in lower case; of names that differ in case only, the last."""
+    entries = F.transform(F.coalesce(F.map_entries(headers), F.array().cast("array<struct<key:string,value:string>>")), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value")))
+    return F.filter(entries, lambda e, i: F.array_position(F.reverse(F.transform(entries, lambda x: x["key"])), e["key"]) == F.size(entries) - i)
+
+
 def merged_headers(stored: Column, fresh: Column) -> Column:
-    """stored with what fresh may update; names in lower case, fresh wins."""
-    empty = F.create_map().cast("map<string,string>")
-    kept = F.map_filter(F.coalesce(fresh, empty), lambda k, v: ~F.lower(k).isin(*NOT_MERGED))
-    base = F.map_filter(F.coalesce(stored, empty), lambda k, v: ~F.array_contains(F.map_keys(kept), k))
-    return F.map_concat(base, kept)
+    """stored with what fresh may update; names in lower case, fresh wins. Fields that fresh's Connection names stay out."""
+    new, old = _lowered(fresh), _lowered(stored)
+    named = F.flatten(F.transform(F.filter(new, lambda e: e["key"] == "connection"), lambda e: F.split(F.lower(F.coalesce(e["value"], F.lit(""))), r"\s*,\s*")))
+    updates = F.filter(new, lambda e: ~e["key"].isin(*NOT_MERGED) & ~F.array_contains(F.transform(named, F.trim), e["key"]))
+    names = F.transform(updates, lambda e: e["key"])
+    return F.map_from_entries(F.concat(F.filter(old, lambda e: ~F.array_contains(names, e["key"])), updates))
+
+
+def _capture(records: DataFrame) -> Column:
+    """64 bits a capture; equal captures share them."""
+    headers = [F.array_sort(F.map_entries("headers"))] if "headers" in records.columns else []
+    return F.xxhash64(*[F.col(c) for c in (*SLIM, *(["payload"] if "payload" in records.columns else []))], *headers)
 
 
-def resolve(records: DataFrame, *, bucket_seconds: int = 86_400) -> DataFrame:
+def resolve(records: DataFrame, *, bucket_seconds: int = 86_400, carry: tuple[str, ...] = ()) -> DataFrame:
     """records (record_id, url, at timestamp or long seconds, kind 'response' or 'revisit', etag, last_modified) ->
-    (record_id, canonical, response_id, verdict) for each revisit.
+    (record_id, canonical, response_id, verdict, response_key and the columns to carry) for each revisit.
 
     verdict: resolved, mismatch, unchecked (no validator in common), orphan (no earlier response; response_id null).
+    response_key tells captures that share an id apart (see `materialise`).
     """
-    seconds = F.col("at").cast("long")
-    slim = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), seconds.alias("at"), F.col("kind"), "etag", "last_modified").filter(F.col("kind").isin("response", "revisit"))
-    slim = slim.withColumn("bucket", F.floor(F.coalesce("at", F.lit(-(1 << 62))) / bucket_seconds))
-    is_response = F.col("kind") == "response"
-    found = F.when(is_response, F.struct("record_id", "etag", "last_modified"))
-    order = [F.col("at").asc_nulls_first(), F.when(is_response, 0).otherwise(1), F.col("record_id")]
-    inside = Window.partitionBy("canonical", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    near = slim.withColumn("inside", F.last(found, ignorenulls=True).over(inside))
-    last_of = slim.groupBy("canonical", "bucket").agg(F.max_by(F.struct("record_id", "etag", "last_modified"), F.when(is_response, F.struct(F.coalesce("at", F.lit(-(1 << 62))), "record_id"))).alias("last"))
+    slim = records.filter(F.col("kind").isin("response", "revisit")).withColumns({"canonical": canonical_url(F.col("url")), "seconds": F.coalesce(F.col("at").cast("long"), F.lit(BEFORE_ALL)), "key": _capture(records)})
+    carried = [F.col(c).alias(f"carry_{c}") for c in carry]
+    slim = written(slim.select("record_id", "canonical", "seconds", "kind", "etag", "last_modified", "key", *carried))
+    # the latest response of a second: the larger record id, then the larger key
+    latest = F.max(F.when(F.col("kind") == "response", F.struct("record_id", "key", "etag", "last_modified")))
+    points = slim.filter(F.col("canonical").isNotNull()).groupBy("canonical", "seconds").agg(latest.alias("found")).withColumn("bucket", F.floor(F.col("seconds") / bucket_seconds))
+    points = written(points)
+    inside = Window.partitionBy("canonical", "bucket").orderBy("seconds").rowsBetween(Window.unboundedPreceding, 0)
+    last_of = points.groupBy("canonical", "bucket").agg(F.max_by("found", F.when(F.col("found").isNotNull(), F.col("seconds"))).alias("last"))
     earlier = Window.partitionBy("canonical").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last_of.select(F.col("canonical").alias("c"), F.col("bucket").alias("b"), F.last("last", ignorenulls=True).over(earlier).alias("carried"))
-    revisits = near.filter(~is_response & F.col("canonical").isNotNull()).join(carried, (F.col("canonical") == F.col("c")) & (F.col("bucket") == F.col("b")), "left").withColumn("response", F.coalesce("inside", "carried"))
-    orphans = near.filter(~is_response & F.col("canonical").isNull()).withColumn("response", F.lit(None).cast(near.schema["inside"].dataType))
-    every = revisits.select("record_id", "canonical", "etag", "last_modified", "response").unionByName(orphans.select("record_id", "canonical", "etag", "last_modified", "response"))
+    before = last_of.select(F.col("canonical").alias("c"), F.col("bucket").alias("b"), F.last("last", ignorenulls=True).over(earlier).alias("before"))
+    near = points.withColumn("inside", F.last("found", ignorenulls=True).over(inside)).join(before, (F.col("canonical") == F.col("c")) & (F.col("bucket") == F.col("b")), "left")
+    answers = near.select(F.struct("canonical", "seconds").alias("point"), F.coalesce("inside", "before").alias("response"))
+    revisits = slim.filter("kind = 'revisit'").withColumn("point", F.struct("canonical", "seconds"))
+    every = fetch(revisits, answers, "point")
     weak = lambda x: F.regexp_replace(F.trim(x), "^W/", "")
     same = F.when(F.col("etag").isNotNull() & F.col("response.etag").isNotNull(), weak(F.col("etag")) == weak(F.col("response.etag"))).when(F.col("last_modified").isNotNull() & F.col("response.last_modified").isNotNull(), F.col("last_modified") == F.col("response.last_modified"))
     verdict = F.when(F.col("response").isNull(), "orphan").when(same.isNull(), "unchecked").when(same, "resolved").otherwise("mismatch")
-    return every.select("record_id", "canonical", F.col("response.record_id").alias("response_id"), verdict.alias("verdict"))
+    return every.select("record_id", "canonical", F.col("response.record_id").alias("response_id"), verdict.alias("verdict"), F.col("response.key").alias("response_key"), *[F.col(f"carry_{c}").alias(c) for c in carry])
 
 
-def materialise(records: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Resolved revisits as full records: the response's payload, the merged headers.
+def materialise(records: DataFrame, resolved: DataFrame, *, unresolved: bool = False) -> DataFrame:
+    """Resolved revisits as full records: resolved's columns but response_key, headers merged over the response's, its payload.
 
-    records also has headers map<string,string> and payload.
+    records also has headers map<string,string> and payload; resolved carries headers. Asked for, revisits that aren't resolved
+    stand too, with null headers and payload.
     """
-    hit = resolved.filter("verdict = 'resolved'").select(F.col("record_id").alias("rid"), "response_id", "canonical")
-    own = records.filter("kind = 'revisit'").select("record_id", "url", "at", F.col("headers").alias("fresh"))
-    stored = records.filter("kind = 'response'").select(F.col("record_id").alias("sid"), F.col("headers").alias("stored"), "payload")
-    both = hit.join(own, F.col("rid") == F.col("record_id")).join(stored, F.col("response_id") == F.col("sid"))
-    return both.select("record_id", "response_id", "url", "canonical", "at", merged_headers(F.col("stored"), F.col("fresh")).alias("headers"), "payload")
+    stored = records.filter("kind = 'response'").withColumn("key", _capture(records)).groupBy("key").agg(F.first(F.struct("headers", "payload")).alias("stored"))  # equal captures are one
+    hits = resolved.withColumn("hit", F.when(F.col("verdict") == "resolved", F.col("response_key")))
+    both = fetch(hits if unresolved else hits.filter("hit is not null"), stored.withColumnRenamed("key", "hit"), "hit")
+    own = [c for c in resolved.columns if c not in ("headers", "payload", "response_key")]
+    return both.select(*own, F.when(F.col("hit").isNotNull(), merged_headers(F.col("stored.headers"), F.col("headers"))).alias("headers"), F.col("stored.payload").alias("payload"))

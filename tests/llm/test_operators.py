@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from docengine.llm import components, linededup, lm, mixing, packing, pii, quality, sharding, simhash, vectors, warc
+from docengine.llm import common, components, linededup, lm, mixing, packing, pii, quality, sharding, simhash, vectors, warc
 from pyspark.sql import functions as F
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -451,16 +451,60 @@ def test_pii_terms_that_disclose(spark):
     assert "term:0:7" in spans[90] or spans[90] == ""
 
 
+REC = "record_id long, url string, at long, kind string, etag string, last_modified string, headers map<string,string>, payload string"
+
+
 def test_warc(spark):
-    rec = "record_id long, url string, at long, kind string, etag string, last_modified string, headers map<string,string>, payload string"
-    rows = [(1, "http://www.A.org:80/x?b=1&a=2#f", 10, "response", '"e1"', "d1", {"etag": '"e1"', "content-type": "t", "age": "0"}, "one"), (2, "https://a.org/x?a=2&b=1", 20, "response", '"e2"', "d2", {"age": "0"}, "two")]
-    rows += [(3, "https://a.org/x?a=2&b=1", 15, "revisit", 'W/"e1"', None, {"Age": "5", "Content-Length": "0"}, None), (4, "https://a.org/x?a=2&b=1", 200_000, "revisit", None, "d2", {}, None), (5, "https://a.org/x?a=2&b=1", 200_001, "revisit", '"zz"', "d2", None, None), (6, "https://a.org/x?a=2&b=1", 5, "revisit", '"e1"', None, {}, None), (7, None, 5, "revisit", None, None, None, None), (8, "https://a.org/x?a=2&b=1", 20, "revisit", None, None, None, None)]
-    df = spark.createDataFrame(rows, rec)
-    out = warc.resolve(df, bucket_seconds=7)
+    rows = [(1, "http://www.A.org:80/x?b=1&a=2#f", 10, "response", '"e1"', "d1", {"ETag": '"e1"', "content-type": "t", "Age": "0", "x-hop": "1"}, "one"), (2, "https://a.org/x?a=2&b=1", 20, "response", '"e2"', "d2", {"age": "0"}, "two")]
+    rows += [(3, "https://a.org/x?a=2&b=1", 15, "revisit", 'W/"e1"', None, {"age": "5", "Content-Length": "0", "Connection": "close, X-Hop", "X-Hop": "2"}, None), (4, "https://a.org/x?a=2&b=1", 200_000, "revisit", None, "d2", {}, None), (5, "https://a.org/x?a=2&b=1", 200_001, "revisit", '"zz"', "d2", None, None), (6, "https://a.org/x?a=2&b=1", 5, "revisit", '"e1"', None, {}, None), (7, None, 5, "revisit", None, None, None, None), (8, "https://a.org/x?a=2&b=1", 20, "revisit", None, None, None, None)]
+    df = spark.createDataFrame(rows, REC).withColumns({"bucket": F.lit("b"), "point": F.lit(1), "canonical": F.lit("c"), "key": F.lit("k")})
+    out = warc.resolve(df, bucket_seconds=7, carry=("headers",))
     assert {r.record_id: (r.response_id, r.verdict) for r in out.collect()} == {3: (1, "resolved"), 4: (2, "resolved"), 5: (2, "mismatch"), 6: (None, "orphan"), 7: (None, "orphan"), 8: (2, "unchecked")}
-    full = {r.record_id: r for r in warc.materialise(df, out).collect()}
-    assert full[3].payload == "one" and full[3].headers == {"etag": '"e1"', "content-type": "t", "age": "0", "Age": "5"} or full[3].headers["content-type"] == "t"
-    assert warc.resolve(spark.createDataFrame([], rec)).count() == 0
+    full = {r.record_id: r for r in warc.materialise(df, warc.written(out)).collect()}
+    assert set(full) == {3, 4}
+    assert full[3].payload == "one" and full[3].headers == {"etag": '"e1"', "content-type": "t", "age": "5", "x-hop": "1"}
+    assert full[4].payload == "two" and full[4].headers == {"age": "0"}
+    empty = spark.createDataFrame([], REC)
+    assert warc.materialise(empty, warc.resolve(empty, carry=("headers",))).count() == 0
+
+
+@pytest.mark.parametrize("most", [10_000, 3])
+def test_warc_against_brute_force(spark, monkeypatch, most):
+    """Repeated records, null ids and times, ties, a hot URL and a hot response: a row a revisit, with the right response."""
+    real = common.fetch
+    monkeypatch.setattr(warc, "fetch", lambda big, small, key: real(big, small, key, most))
+    rng = random.Random(12)
+    rows = []
+    for i in range(150):
+        kind = rng.choice(["response", "revisit", "revisit", "request"])
+        rows.append((None if i % 29 == 0 else i // 2, rng.choice(["http://a.org/", "https://www.A.org", None, "b.org/?y&x"]), None if i % 31 == 0 else rng.randrange(40), kind, rng.choice([None, '"e"', 'W/"f"']), rng.choice([None, "d"]), {"n": str(i)}, f"p{i}" if kind == "response" else None))
+    rows += [rows[k] for k in (3, 3, 10, 11, 12, 12)]
+    name = {"http://a.org/": "a.org/", "https://www.A.org": "a.org/", "b.org/?y&x": "b.org/?x&y", None: None}
+    first = lambda x: (x is not None, x)  # noqa: E731  nulls before all
+    df = spark.createDataFrame(rows, REC)
+    keys = {(r.record_id, r.payload): r.k for r in df.withColumn("k", warc._capture(df)).collect()}
+    want = []
+    for r in rows:
+        if r[3] != "revisit":
+            continue
+        earlier = [s for s in rows if s[3] == "response" and r[1] is not None and name[s[1]] == name[r[1]] and first(s[2]) <= first(r[2])]
+        s = max(earlier, key=lambda s: (first(s[2]), first(s[0]), keys[s[0], s[7]]), default=None)
+        if s is None:
+            verdict = "orphan"
+        else:
+            pair = (r[4], s[4]) if r[4] and s[4] else (r[5], s[5])
+            verdict = "unchecked" if None in pair else "resolved" if pair[0].removeprefix("W/") == pair[1].removeprefix("W/") else "mismatch"
+        want.append((r[0], name[r[1]], s and s[0], verdict, r[6]["n"] if verdict == "resolved" else None, s[7] if verdict == "resolved" else None))
+    got = warc.materialise(df, warc.written(warc.resolve(df, bucket_seconds=9, carry=("headers",))), unresolved=True).collect()
+    got = [(r.record_id, r.canonical, r.response_id, r.verdict, r.headers and r.headers["n"], r.payload) for r in got]
+    assert collections.Counter(got) == collections.Counter(want)
+
+
+def test_warc_copies_stay_as_many(spark):
+    full, again = (1, "a.org/", 1, "response", '"e"', None, {"h": "1"}, "body"), (2, "a.org/", 2, "revisit", '"e"', None, {"h": "2"}, None)
+    df = spark.createDataFrame([full] * 3 + [again] * 3, REC)
+    got = warc.materialise(df, warc.written(warc.resolve(df, carry=("headers",)))).collect()
+    assert [(r.record_id, r.headers, r.payload) for r in got] == [(2, {"h": "2"}, "body")] * 3
 
 
 def test_sha_of_nothing():
