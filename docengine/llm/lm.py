@@ -1,20 +1,26 @@
 """LM scoring by a weighted backoff automaton learned from the corpus itself.
 
-Model: bigrams over unigrams, both smoothed.
+Model: trigrams over bigrams over unigrams, each order smoothed by the next; every n-gram of the training text counts, once seen
+or often, so the model grows with its corpus and nothing is pruned.
 - unigrams: absolute discounting, p(w) = (c - d)/N; the mass d*V/N is the unknown word's. d from the counts of counts.
-- a bigram (v, w) is an arc if the training text holds it `min_arc` times. Words seen less often than that can't be in one, so
-  they aren't numbered; `min_share` (none by default) asks both words for a share of the training text besides. With r(v) the arcs' counts: p(w | v) = (n + m p(w))/(r(v) + m) along an arc, m p(w)/(r(v) + m) along the failure arc; these sum to one. m is
-  the best of a grid by the leave-one-out likelihood of all training text.
-A state is a context; its failure arc, with weight m/(r + m), leads to the root, which has an arc for every word. A text starts in a
-start state and ends with an end token.
-
-Distribution: no task ever holds the whole model. Texts are cut into blocks of about `block_bytes` with their own word numbers;
-words and word pairs are counted by shuffles of one row a block and pair; each block gets back only the counts and arcs that
-occur in it, builds its part of the automaton from them and walks all its documents from left to right, one token of every
-document at a time. All tables grow with the corpus.
+- n-grams: p(w | h) = (c(hw) + m p(w | h'))/(c(h) + m), h' being h without its first word. One m an order, so that the failure
+  mass is what leaving one out shows: the tokens whose n-gram would be unseen without them, by the counts of counts of
+  all training text, are as many as sum of c(h) m/(c(h) - 1 + m) says.
+States are contexts seen in training text: two words, one word, the root. An n-gram seen is an arc of its context with
+weight p(w | h); a context's failure arc, weight m/(c(h) + m), leads to the context one word shorter; the root has an arc for every
+word. After a word the automaton is in the longest context that is a state. A text starts in a start state and ends with an
+end token. One traversal from left to right carries the state of every text and adds up log-probabilities.
+
+Distribution: no task ever holds the model. Texts are cut into blocks of about `block_bytes`, kept as word numbers in a table
+bucketed by block, so it isn't shuffled again. A block lists its different n-grams as sorted 62-bit hashes with their training counts,
+cut into ranges of the hash space; a range's task adds up the counts of all blocks and answers each block with corpus counts
+in the order asked. So an n-gram, however frequent, is one entry a block, ranges are equal by the hash, and no key is hot. With
+the answers a block builds its part of the automaton and walks all its documents. Two n-grams share a hash, and so a
+count, with a chance of n^2/2^63 for n of them.
 
 Null texts are empty: the end token alone. doc_id null: crc32 of the empty string. An empty training set makes every token
-unknown with probability one. Repeated rows are scored each and counted each.
+unknown with probability one. Repeated rows are scored each and counted each. Texts of any length are one document of one
+block. Of the input only doc_id and text are read, so other columns can't clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,20 +30,34 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import drop_written, written
+from docengine.llm.common import bucketed, written
+
+#: The kind of an n-gram, the two low bits of its hash: bigrams that end a text are no contexts.
+LAST_PAIR, WORD, PAIR, TRIPLE = range(4)
+START = np.uint64(0x5DEECE66D)
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
 
-GRID = (2.0, 8.0, 32.0, 128.0, 512.0, 2048.0, 8192.0, 65536.0, 1048576.0)
+def squeeze(x: np.ndarray) -> bytes:
+    """64-bit numbers as compressed byte planes."""
+    return _ZSTD.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T), asbytes=True)
 
 
-def _hash(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word, 7)
-    return h - (1 << 64) if h >> 63 else h
+def unsqueeze(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(_ZSTD.decompress(data, 8 * n, asbytes=True), dtype=np.uint8) if n else np.zeros(0, dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel()
 
 
-START_ID = (1 << 31) - 1
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit numbers over 64 bits, one to one."""
+    x = x ^ (x >> np.uint64(31))
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x = x ^ (x >> np.uint64(29))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
 class _Numbers(dict):
@@ -46,214 +66,267 @@ class _Numbers(dict):
         return n
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
-    """One row a document: (block, kind 0, doc_id, held_out, word numbers), and one a block: (block, kind 1, hashes, counts)."""
+_BLOCK = "block long, part int, ids array<long>, held array<boolean>, lengths array<int>, data binary, n_train long"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int, piece: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Pieces of blocks: part 0 the hashes of the block's words by number, parts from 1 documents as word numbers (0: the end)."""
     from pyspark import TaskContext
 
-    block, number, size = TaskContext.get().partitionId() << 24, _Numbers({b"": 0}), 0
-    seen = np.zeros(0, dtype=np.int64)
-    names = ["block", "kind", "doc_id", "held_out", "data", "counts"]
+    block, number, size, part = TaskContext.get().partitionId() << 24, _Numbers({b"": 0}), 0, 0
+    ids: list = []
+    held: list = []
+    tokens: list[np.ndarray] = []
+
+    def row(part: int, ids: list, held: list, lengths: list, data: bytes, n_train: int) -> pa.RecordBatch:
+        cols = [pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32())), pa.array([data], pa.binary()), pa.array([n_train], pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, names=["block", "part", "ids", "held", "lengths", "data", "n_train"])
+
+    def documents() -> pa.RecordBatch:
+        nonlocal part
+        part += 1
+        lengths = [len(t) for t in tokens]
+        flat = np.concatenate(tokens).view(np.uint8).reshape(-1, 4)
+        out = row(part, list(ids), list(held), lengths, _ZSTD.compress(np.ascontiguousarray(flat.T), asbytes=True), sum(n for n, h in zip(lengths, held) if not h))
+        ids.clear(), held.clear(), tokens.clear()
+        return out
 
     def vocabulary() -> pa.RecordBatch:
-        hashes = np.fromiter(map(_hash, number), dtype=np.int64, count=len(number))
-        counts = np.zeros(len(number), dtype=np.int32)
-        counts[: len(seen)] = seen
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.bool_()), pa.array([hashes.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=names)
+        return row(0, [], [], [len(number)], b"".join([xxhash.xxh64_digest(w, 7) for w in number]), 0)
 
+    waiting = 0
     for b in batches:
-        ids, held, data = b.column(0), b.column(1), []
-        begin = 0
-        for i, text in enumerate(b.column(2)):
+        for doc, out, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
             words = raw.lower().split()
-            tokens = np.empty(len(words) + 1, dtype=np.int32)
-            tokens[:-1] = np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=len(words))
-            tokens[-1] = 0
-            data.append(tokens.tobytes())
-            if not held[i].as_py():
-                counts = np.bincount(tokens, minlength=len(seen))
-                counts[: len(seen)] += seen
-                seen = counts
+            t = np.empty(len(words) + 1, dtype=np.int32)
+            t[:-1] = np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=len(words))
+            t[-1] = 0
+            ids.append(doc), held.append(out), tokens.append(t)
             size += len(raw) + 64
-            if size >= block_bytes or i == b.num_rows - 1:
-                n = i + 1 - begin
-                yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array([0] * n, pa.int32()), ids.slice(begin, n), held.slice(begin, n), pa.array(data, pa.binary()), pa.nulls(n, pa.binary())], names=names)
-                data, begin = [], i + 1
+            waiting += len(t)
+            if waiting >= piece or size >= block_bytes:
+                yield documents()
+                waiting = 0
             if size >= block_bytes:
                 yield vocabulary()
-                block, number, size, seen = block + 1, _Numbers({b"": 0}), 0, np.zeros(0, dtype=np.int64)
+                block, number, size, part = block + 1, _Numbers({b"": 0}), 0, 0
+    if tokens:
+        yield documents()
     if size:
         yield vocabulary()
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for block, data, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            h, n = np.frombuffer(data, dtype=np.int64), np.frombuffer(counts, dtype=np.int32)
-            for i in range(0, len(h), 50_000):
-                k = len(h[i : i + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array(h[i : i + k]), pa.array(n[i : i + k])], names=["block", "h", "n"])
-
-
 class _Block:
-    """A block's documents and words, as the two sides of a cogroup bring them."""
-
-    def __init__(self, rows: pa.Table, words: pa.Table):
-        """words: h, c, id (null: too rare for a state) and r, some or all of the block's."""
-        kind = rows.column("kind").to_numpy()
-        docs, vocabulary = rows.filter(pa.array(kind == 0)), rows.filter(pa.array(kind == 1))
-        self.docs, self.held = docs.column("doc_id"), docs.column("held_out").to_numpy()
-        data = docs.column("data").to_pylist()
-        self.lengths = np.array([len(x) // 4 for x in data], dtype=np.int64)
-        self.tokens = np.frombuffer(b"".join(data), dtype=np.int32)
+    """A block's documents: tokens with a start before each text, and the hashes of the n-grams that end at each."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by("part")
+        parts = rows.column("part").to_pylist()
+        data = [x.as_py() for x in rows.column("data")]
+        lengths = rows.column("lengths").to_pylist()
+        hashes = np.frombuffer(data[0], dtype=">u8").astype(np.uint64) if parts[0] == 0 else np.zeros(0, dtype=np.uint64)
+        self.ids = [i for x in rows.column("ids").to_pylist()[1:] for i in x]
+        self.held = np.array([h for x in rows.column("held").to_pylist()[1:] for h in x], dtype=bool)
+        self.lengths = np.array([n for x in lengths[1:] for n in x], dtype=np.int64)
+        planes = [np.frombuffer(_ZSTD.decompress(d, 4 * sum(n), asbytes=True), dtype=np.uint8).reshape(4, -1) for d, n in zip(data[1:], lengths[1:])]
+        tokens = np.concatenate([np.ascontiguousarray(p.T).view(np.int32).ravel() for p in planes])
         self.starts = np.cumsum(self.lengths) - self.lengths
-        hashes = np.frombuffer(vocabulary.column("data")[0].as_py(), dtype=np.int64)
-        order = np.argsort(hashes)
-        at = order[np.searchsorted(hashes[order], words.column("h").to_numpy())]
-        self.width = len(hashes) + 1  # the last number is the start of a text
-        self.counts, self.ids, self.returns = (np.zeros(self.width, dtype=np.int64) for _ in range(3))
-        self.ids[:] = -1
-        # a rare word of this block alone isn't sent back: its own count is the corpus's
-        self.counts[:-1] = np.frombuffer(vocabulary.column("counts")[0].as_py(), dtype=np.int32)
-        self.counts[at] = words.column("c").to_numpy()
-        self.ids[at] = words.column("id").fill_null(-1).to_numpy()
-        self.returns[at] = words.column("r").fill_null(0).to_numpy()
-        self.ids[-1] = START_ID
-
-
-def _pairs(rows: pa.Table, words: pa.Table) -> pa.Table:
-    """Pairs of frequent words in the block: (block, pair, times in training text)."""
-    schema = pa.schema([("block", pa.int64()), ("pair", pa.int64()), ("n", pa.int32())])
-    if not len(rows) or not len(words):
-        return schema.empty_table()
-    b = _Block(rows, words)
-    often = b.ids >= 0
-    before = np.empty(len(b.tokens), dtype=np.int32)
-    before[1:] = b.tokens[:-1]
-    before[b.starts] = b.width - 1
-    ok = often[before] & often[b.tokens]
-    packed = (b.ids[before[ok]] << 32) | (b.ids[b.tokens[ok]] << 1) | np.repeat(~b.held, b.lengths)[ok]
-    packed.sort()
-    pair = packed >> 1
-    starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, dtype=np.int64)
-    n = np.add.reduceat(packed & 1, starts) if len(pair) else starts
-    return pa.table([pa.array(np.full(len(starts), rows.column("block")[0].as_py())), pa.array(pair[starts]), pa.array(n.astype(np.int32))], schema=schema)
-
-
-def _score(rows: pa.Table, answers: pa.Table, total: int, kinds: int, discount: float, mass: float, at_start: int) -> pa.Table:
-    """Builds the block's automaton and walks it. answers: its words (pair null), and the arcs that occur in it."""
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    if not len(rows):
-        return schema.empty_table()
-    single = np.asarray(answers.column("pair").is_null())
-    b = _Block(rows, answers.filter(pa.array(single)))
-    c = b.counts[:-1]
-    base = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
-    p = np.where(c > 0, c - discount, max(discount * kinds, 1e-300)) / total if total else np.ones(len(c))
-    # every word that is a state anywhere is one here, even if none of its arcs occur in the block
-    b.returns[-1] = at_start
-    root = -1
-    into = np.where(b.returns > 0, np.arange(b.width), root)
-    fail = np.r_[np.log10(mass / (b.returns + mass)), 0.0]  # the last one, numbered -1, is the root, which fails nowhere
-    at_root = np.log10(p)
-    arcs = answers.filter(pa.array(~single))
-    pair, n = arcs.column("pair").to_numpy(), arcs.column("c").to_numpy().astype(float)
-    by_id = np.argsort(b.ids)
-    number = lambda ids: by_id[np.searchsorted(b.ids[by_id], ids)]
-    state, word = number(pair >> 31), number(pair & ((1 << 31) - 1))
-    key = state * b.width + word
-    order = np.argsort(key)
-    along = np.r_[np.log10((n + mass * p[word]) / (b.returns[state] + mass))[order], 0.0]
-    key = np.r_[key[order], np.iinfo(np.int64).max]
-    # left to right, a token of every document at a time, the longest first
-    by = np.argsort(-b.lengths, kind="stable")
-    starts, lengths = b.starts[by], b.lengths[by]
-    now, score = np.full(len(by), into[-1]), np.zeros(len(by))
+        first = np.zeros(len(tokens), dtype=bool)
+        first[self.starts] = True
+        self.first, self.second = first, np.r_[False, first[:-1]] & ~first
+        word = mixed(hashes)[tokens]
+        before = np.r_[START, word[:-1]]
+        before[first] = START
+        pair = mixed(before * np.uint64(3) + word)
+        third = mixed(np.r_[START, pair[:-1]] * np.uint64(5) + word)
+        kind = np.where(tokens == 0, np.uint64(LAST_PAIR), np.uint64(PAIR))
+        clear = ~np.uint64(3)
+        #: kinds of n-grams by token; a text's first token has no triple
+        self.word, self.pair, self.triple = (word & clear) | np.uint64(WORD), (pair & clear) | kind, ((third & clear) | np.uint64(TRIPLE))[~first]
+
+    def grams(self) -> np.ndarray:
+        return np.concatenate([self.word, self.pair, self.triple])
+
+
+def _asks(rows: pa.Table, ranges: int) -> pa.Table:
+    """The block's different n-grams, sorted, with their counts in training texts: a row for each range of hashes."""
+    schema = pa.schema([("block", pa.int64()), ("range", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+    b = _Block(rows)
+    train = np.repeat(~b.held, b.lengths)
+    flags = np.concatenate([train, train, train[~b.first]])
+    grams = b.grams()
+    del b
+    order = np.argsort(grams)
+    grams, flags = grams[order], flags[order]
+    del order
+    starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+    counts = np.add.reduceat(flags.astype(np.int64), starts)
+    grams = grams[starts]
+    ends = np.searchsorted(grams, _bounds(ranges)[1:], side="left")
+    ends[-1] = len(grams)
+    out, at = [], 0
+    block = rows.column("block")[0].as_py()
+    for r, end in enumerate(ends.tolist()):
+        if end > at:
+            part = grams[at:end]
+            out.append((block, r, end - at, squeeze(np.r_[part[:1], np.diff(part)]), squeeze(counts[at:end])))
+            at = end
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+
+def _bounds(ranges: int) -> np.ndarray:
+    """ranges + 1 ends of equal parts of the hashes (the last stands for 2^64)."""
+    return np.array([min(r * (1 << 64) // ranges, (1 << 64) - 1) for r in range(ranges + 1)], dtype=np.uint64)
+
+
+#: Counts of counts: exact below, then a bin for every eighth of a doubling.
+EXACT = 64
+
+
+def _bin(c: np.ndarray) -> np.ndarray:
+    return np.where(c < EXACT, c, EXACT + np.floor(8 * np.log2(np.maximum(c, EXACT) / EXACT))).astype(np.int64)
+
+
+def _answers(rows: pa.Table) -> pa.Table:
+    """A range's corpus counts, to each block in the order of its asking; and (block null) counts of counts by kind:
+    n-grams and tokens a bin."""
+    schema = pa.schema([("block", pa.int64()), ("range", pa.int32()), ("n", pa.int32()), ("counts", pa.binary()), ("kinds", pa.list_(pa.int64())), ("bins", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
+    sizes = rows.column("n").to_pylist()
+    hashes = np.concatenate([np.cumsum(unsqueeze(h.as_py(), n), dtype=np.uint64) for h, n in zip(rows.column("hashes"), sizes)])
+    counts = np.concatenate([unsqueeze(c.as_py(), n).view(np.int64) for c, n in zip(rows.column("counts"), sizes)])
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    starts = np.flatnonzero(new)
+    total = np.add.reduceat(counts[order], starts)
+    kind = (ordered[starts] & np.uint64(3)).astype(np.int64)
+    told = np.empty(len(hashes), dtype=np.int64)
+    told[order] = total[np.cumsum(new) - 1]
+    out, at = [], 0
+    r = rows.column("range")[0].as_py()
+    for block, n in zip(rows.column("block").to_pylist(), sizes):
+        out.append((block, r, n, squeeze(told[at : at + n]), None, None, None, None))
+        at += n
+    seen = total > 0
+    cell = kind[seen] * 4096 + _bin(total[seen])
+    cells, back = np.unique(cell, return_inverse=True)
+    grams = np.bincount(back, minlength=len(cells))
+    tokens = np.zeros(len(cells), dtype=np.int64)
+    np.add.at(tokens, back, total[seen])
+    out.append((None, r, 0, None, (cells >> 12).tolist(), (cells & 4095).tolist(), grams.tolist(), tokens.tolist()))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+
+def fit(contexts: list[tuple[int, int]], single: int) -> float:
+    """m so that sum of tokens * m/(c - 1 + m) over contexts (n, tokens of all n) equals `single`. c: tokens / n, the mean."""
+    value = lambda m: sum(t * m / (t / n - 1 + m) for n, t in contexts)
+    lo, hi = 1e-3, 1e9
+    for _ in range(80):
+        mid = (lo * hi) ** 0.5
+        lo, hi = (mid, hi) if value(mid) < single else (lo, mid)
+    return (lo * hi) ** 0.5
+
+
+def walk(starts: np.ndarray, lengths: np.ndarray, arcs: list[tuple[np.ndarray, np.ndarray]], fails: list[np.ndarray], into: np.ndarray) -> np.ndarray:
+    """Log-probabilities of the documents: one traversal from left to right, a token of every document at a time.
+
+    A state is its level, the words of its context. arcs[k]: by token, whether the context of k words before it has an arc for it, and
+    the arc's weight; fails[k]: weight of that context's failure arc; into: the level after the token. Once few long documents
+    are left, they are walked one by one.
+    """
+    by = np.argsort(-lengths, kind="stable")
+    starts, lengths = starts[by], lengths[by]
+    state, score = np.ones(len(by), dtype=np.int8), np.zeros(len(by))
     live = len(by)
-    for t in range(int(lengths[0])):
+    t = 0
+    while t < int(lengths[0]):
         while live and lengths[live - 1] <= t:
             live -= 1
-        w = b.tokens[starts[:live] + t].astype(np.int64)
-        s = now[:live]
-        arc = s * b.width + w
-        at = np.searchsorted(key, arc)
-        score[:live] += np.where((key[at] == arc) & (s >= 0), along[at], fail[s] + at_root[w])
-        now[:live] = into[w]
+        if live < 24:
+            break
+        at = starts[:live] + t
+        s = state[:live]
+        open_ = np.ones(live, dtype=bool)
+        for k in range(len(arcs) - 1, -1, -1):
+            here = open_ & (s >= k)
+            found = here & arcs[k][0][at]
+            score[:live] += np.where(found, arcs[k][1][at], np.where(here, fails[k][at], 0.0))
+            open_ &= ~found
+        state[:live] = into[at]
+        t += 1
+    for i in range(live):
+        lo, hi, s, total = int(starts[i]) + t, int(starts[i] + lengths[i]), int(state[i]), float(score[i])
+        has, weight = [a[0][lo:hi].tolist() for a in arcs], [a[1][lo:hi].tolist() for a in arcs]
+        down, after = [f[lo:hi].tolist() for f in fails], into[lo:hi].tolist()
+        for j in range(hi - lo):
+            k = s
+            while not has[k][j]:
+                total += down[k][j]
+                k -= 1
+            total += weight[k][j]
+            s = after[j]
+        score[i] = total
     back = np.empty(len(by))
     back[by] = score
-    return pa.table([b.docs.combine_chunks(), pa.array(b.held), pa.array(b.lengths), pa.array(np.add.reduceat((c > 0)[b.tokens].astype(np.int64), b.starts)), pa.array(np.add.reduceat(base[b.tokens], b.starts)), pa.array(back)], schema=schema)
-
-
-def fit_mass(arcs: DataFrame, words: DataFrame, total: int, discount: float) -> float:
-    """The grid's m with the best leave-one-out likelihood. arcs: v, w, n, r; words: id, c, and the start state's."""
-    one = words.select(F.col("id").alias("w1"), "c")
-    with_p = arcs.join(one, F.col("w") == F.col("w1")).withColumn("p", (F.col("c") - discount) / total)
-    ctx = arcs.groupBy("v").agg(F.first("r").alias("r")).join(words.select(F.col("id").alias("v1"), "c"), F.col("v") == F.col("v1"))
-    along = with_p.agg(*[F.sum(F.col("n") * F.log((F.col("n") - 1 + m * F.col("p")) / (F.col("r") - 1 + m))).alias(f"m{i}") for i, m in enumerate(GRID)]).first()
-    beside = ctx.agg(*[F.sum(F.greatest(F.col("c") - F.col("r"), F.lit(0)) * F.log(F.lit(m) / (F.col("r") + m))).alias(f"m{i}") for i, m in enumerate(GRID)]).first()
-    value = [(along[i] or 0.0) + (beside[i] or 0.0) for i in range(len(GRID))]
-    return GRID[max(range(len(GRID)), key=value.__getitem__)] if along[0] is not None else GRID[-1]
+    return back
 
 
-def _settle(df: DataFrame) -> None:
-    """Lets the driver drop the shuffle files of phases that are over."""
-    df.sparkSession.sparkContext._jvm.System.gc()
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _numbered(words: DataFrame, least: float) -> DataFrame:
-    """words (block, h, n) -> (block, h, n, c, id, lead): corpus counts, state numbers of frequent words, one lead row a word.
-
-    One shuffle, by a bucket of the hash, serves both windows: the first is over a word's rows (a block each), the second
-    over a bucket's words. Numbers are (rank in the bucket, bucket), dense enough for 31 bits.
+def _score(rows: pa.Table, answers: pa.Table, total: int, kinds: int, discount: float, m2: float, m3: float, n_starts: int) -> pa.Table:
+    """Builds the block's automaton from the answers and walks its documents."""
+    if not len(rows):
+        return _SCORED.empty_table()
+    b = _Block(rows)
+    answers = answers.sort_by("range")
+    told = np.concatenate([unsqueeze(c.as_py(), n).view(np.int64) for c, n in zip(answers.column("counts"), answers.column("n").to_pylist())])
+    grams = b.grams()
+    order = np.argsort(grams)
+    ordered = grams[order]
+    del grams
+    counts = np.empty(len(ordered), dtype=np.int64)
+    counts[order] = told[np.cumsum(np.r_[True, ordered[1:] != ordered[:-1]]) - 1]
+    del order, ordered, told
+    n = len(b.word)
+    c1, c2, c3 = counts[:n], counts[n : 2 * n], np.zeros(n, dtype=np.int64)
+    c3[~b.first] = counts[2 * n :]
+    r1, r2 = np.r_[0, c1[:-1]], np.r_[0, c2[:-1]]
+    r1[b.first], r2[b.first] = n_starts, 0
+    base = np.log10((c1 + 0.5) / (total + 0.5 * (kinds + 1)))
+    p1 = np.where(c1 > 0, c1 - discount, max(discount * kinds, 1e-300)) / total if total else np.ones(n)
+    p2 = (c2 + m2 * p1) / (r1 + m2)
+    p3 = (c3 + m3 * p2) / (r2 + m3)
+    arcs = [(np.ones(n, dtype=bool), np.log10(p1)), (c2 > 0, np.log10(p2)), (c3 > 0, np.log10(p3))]
+    fails = [np.zeros(n), np.log10(m2 / (r1 + m2)), np.log10(m3 / (r2 + m3))]
+    into = np.where(c2 > 0, 2, np.where(c1 > 0, 1, 0)).astype(np.int8)
+    score = walk(b.starts, b.lengths, arcs, fails, into)
+    sums = lambda x: np.add.reduceat(x, b.starts)
+    return pa.table([pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.lengths), pa.array(sums((c1 > 0).astype(np.int64))), pa.array(sums(base)), pa.array(score)], schema=_SCORED)
+
+
+def score(docs: DataFrame, *, folds: int = 5, held_fold: int = 1, block_bytes: int = 16_000_000, range_grams: int = 3_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row a row of docs.
+
+    range_grams: n-grams that a range's task holds at once, about.
     """
-    buckets = max(4096, words.count() // 5000)
-    dealt = words.withColumn("b", F.pmod("h", F.lit(buckets)).cast("int")).repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "b")
-    own = Window.partitionBy("b", "h")
-    counted = dealt.withColumn("c", F.sum("n").over(own)).withColumn("lead", F.row_number().over(own.orderBy("block")) == 1)
-    often = (F.col("c") >= least) & (F.col("c") > 0)
-    rank = F.dense_rank().over(Window.partitionBy("b").orderBy(often.desc(), "h"))
-    return counted.select("block", "h", "n", "c", F.when(often, (rank - 1).cast("long") * buckets + F.col("b")).alias("id"), "lead")
-
-
-def score(docs: DataFrame, *, folds: int = 5, held_fold: int = 1, min_share: float = 0.0, min_arc: int = 5, block_bytes: int = 28_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row a row of docs."""
     held = F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held_fold
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).cast("string").alias("text"))
-    small = {"compression": "zstd"}
-    blocks = written(given.mapInArrow(lambda it: _blocks(it, block_bytes), "block long, kind int, doc_id long, held_out boolean, data binary, counts binary"), **small)
-    words = written(blocks.filter("kind = 1").select("block", "data", "counts").mapInArrow(_words, "block long, h long, n int"), **small)
-    tokens = words.agg(F.sum("n").alias("n")).first()["n"] or 0
-    known = written(_numbered(words, max(min_share * tokens, min_arc)), **small)
-    drop_written(words)
-    _settle(docs)
-    counts = known.filter("lead and c > 0")
-    t = counts.agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"), F.max("id").alias("last")).first()
-    total, kinds = int(t["total"] or 0), int(t["kinds"])
-    if (t["last"] or 0) >= START_ID:
-        raise OverflowError("more frequent words than 31 bits can number")
-    discount = (t["once"] + 0.5) / (t["once"] + 2 * t["twice"] + 1)
-    none = F.lit(None).cast("long")
-    often = known.filter("id is not null")
-    sides = blocks.groupBy("block").cogroup(often.select("block", "h", "c", "id", none.alias("r")).groupBy("block"))
-    pairs = written(sides.applyInArrow(_pairs, "block long, pair long, n int"), **small)
-    _settle(docs)
-    own = Window.partitionBy("pair")
-    counted = pairs.withColumn("c", F.sum("n").over(own)).withColumn("lead", F.row_number().over(own.orderBy("block")) == 1)
-    kept = written(counted.filter(F.col("c") >= min_arc).select("block", "pair", "c", "lead"), **small)
-    drop_written(pairs)
-    _settle(docs)
-    arcs = kept.filter("lead").select(F.shiftright("pair", 31).alias("v"), F.col("pair").bitwiseAND((1 << 31) - 1).alias("w"), F.col("c").alias("n"))
-    states = written(arcs.groupBy(F.col("v").alias("s")).agg(F.sum("n").alias("r")))
-    starts = given.filter(~F.col("held_out")).count()
-    every = often.filter("lead").select("id", "c").unionByName(docs.sparkSession.range(1).select(F.lit(START_ID).cast("long").alias("id"), F.lit(starts).cast("long").alias("c")))
-    mass = fit_mass(arcs.join(states, F.col("v") == F.col("s")), every, total, discount) if total else GRID[-1]
-    at_start = (states.filter(F.col("s") == START_ID).first() or {"r": 0})["r"]
-    _settle(docs)
-    named = often.join(states, F.col("id") == F.col("s"), "left").select("block", none.alias("pair"), "h", "c", "id", "r")
-    rare = known.filter("id is null and c <> n").select("block", none.alias("pair"), "h", "c", "id", none.alias("r"))
-    told = written(named.unionByName(rare), **small)
-    drop_written(known)
-    _settle(docs)
-    answers = told.unionByName(kept.select("block", "pair", none.alias("h"), "c", none.alias("id"), none.alias("r")))
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _score(a, b, total, kinds, discount, mass, at_start), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = bucketed(given.mapInArrow(lambda it: _blocks(it, block_bytes), _BLOCK), parts, "block")
+    scalars = blocks.agg(F.sum("n_train").alias("total"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, n: s + n)).alias("tokens"), F.sum(F.size(F.filter("held", lambda h: ~h))).alias("starts")).first()
+    total, starts = int(scalars["total"] or 0), int(scalars["starts"] or 0)
+    ranges = max(parts, 2 * int(scalars["tokens"] or 0) // range_grams)
+    asks = blocks.groupBy("block").applyInArrow(lambda rows: _asks(rows, ranges), "block long, range int, n int, hashes binary, counts binary")
+    answers = written(asks.groupBy("range").applyInArrow(_answers, "block long, range int, n int, counts binary, kinds array<long>, bins array<long>, grams array<long>, tokens array<long>"))
+    cells = answers.filter("block is null").select(F.explode(F.arrays_zip("kinds", "bins", "grams", "tokens")).alias("z")).groupBy("z.kinds", "z.bins").agg(F.sum("z.grams").alias("grams"), F.sum("z.tokens").alias("tokens")).collect()  # a few hundred bins a kind
+    bins = {kind: {r["bins"]: (r["grams"], r["tokens"]) for r in cells if r["kinds"] == kind} for kind in (LAST_PAIR, WORD, PAIR, TRIPLE)}
+    size = lambda kind, b: bins[kind].get(b, (0, 0))[0]
+    kinds, once, twice = sum(n for n, _ in bins[WORD].values()), size(WORD, 1), size(WORD, 2)
+    discount = (once + 0.5) / (once + 2 * twice + 1)
+    m2 = fit(list(bins[WORD].values()), size(PAIR, 1) + size(LAST_PAIR, 1))  # the end, no context, stands for the start, which is as frequent
+    m3 = fit(list(bins[PAIR].values()), size(TRIPLE, 1))
+    told = answers.filter("block is not null").select("block", "range", "n", "counts")
+    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: _score(a, b, total, kinds, discount, m2, m3, starts), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

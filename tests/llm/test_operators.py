@@ -256,69 +256,97 @@ def test_line_rules(line, rule):
     assert quality.line_fails(line, line.encode(), line.encode().split()) == rule
 
 
-def test_lm(docs, rows, none, spark):
-    tokens = lambda t: [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in WORD.findall(t or "")] + [""]
-    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
-    c = collections.Counter(t for r in rows if not held(r[0]) for t in tokens(r[1]))
-    total, kinds = sum(c.values()), len(c)
-    got = lm.score(docs, min_share=2.5 / total, min_arc=2, block_bytes=4000).collect()
-    assert len(got) == len(rows)
-    once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
-    d = (once + 0.5) / (once + 2 * twice + 1)
-    p = lambda w: (c[w] - d) / total if c[w] else d * kinds / total
-    pairs = collections.Counter()
-    for r in rows:
-        if not held(r[0]):
-            t = tokens(r[1])
-            pairs.update(zip(["\n", *t], t))
-    arcs = {k: n for k, n in pairs.items() if n >= 2 and c[k[1]] >= 3 and (k[0] == "\n" or c[k[0]] >= 3)}
-    ret = collections.Counter()
-    for (v, _), n in arcs.items():
-        ret[v] += n
-    ctx = dict(c)
-    ctx["\n"] = sum(not held(r[0]) for r in rows)
-
-    def likelihood(m):
-        return sum(n * math.log((n - 1 + m * p(w)) / (ret[v] - 1 + m)) for (v, w), n in arcs.items()) + sum(max(ctx[v] - ret[v], 0) * math.log(m / (ret[v] + m)) for v in ret)
-
-    m = max(lm.GRID, key=likelihood)
-    texts = {r[0]: r[1] for r in rows}
-    for g in got:
-        t = tokens(texts[g.doc_id])
-        base = sum(math.log10((c[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in t)
-        score = sum(math.log10((arcs[v, w] + m * p(w)) / (ret[v] + m) if (v, w) in arcs else m / (ret[v] + m) * p(w) if ret[v] else p(w)) for v, w in zip(["\n", *t], t))
-        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (held(g.doc_id), len(t), sum(c[w] > 0 for w in t), total)
-        assert g.base_score == pytest.approx(base, rel=1e-9) and g.score == pytest.approx(score, rel=1e-9)
-    for v in list(ret)[:20]:  # a state's probabilities sum to one
-        known = sum((n + m * p(w)) / (ret[v] + m) for (x, w), n in arcs.items() if x == v)
-        rest = m / (ret[v] + m) * (1 - sum(p(w) for (x, w) in arcs if x == v))
-        assert known + rest == pytest.approx(1)
+def lm_tokens(t):
+    return [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in WORD.findall(t or "")] + [""]
+
+
+class PlainModel:
+    """The same model from plain counters."""
+
+    def __init__(self, texts):
+        tokens = [lm_tokens(t) for t in texts]
+        self.c = collections.Counter(w for t in tokens for w in t)
+        self.pairs = collections.Counter(p for t in tokens for p in zip(["\n", *t], t))
+        self.triples = collections.Counter(p for t in tokens for p in zip(["\n", *t], t, t[1:]))
+        self.starts, self.total, self.kinds = len(tokens), sum(self.c.values()), len(self.c)
+        once, twice = (sum(v == k for v in self.c.values()) for k in (1, 2))
+        self.d = (once + 0.5) / (once + 2 * twice + 1)
+        self.m2 = self.mass(list(self.c.values()), sum(v == 1 for v in self.pairs.values()))
+        self.m3 = self.mass([n for (_, w), n in self.pairs.items() if w], sum(v == 1 for v in self.triples.values()))
+
+    @staticmethod
+    def mass(contexts, single):
+        lo, hi = 1e-3, 1e9
+        while hi / lo > 1 + 1e-13:
+            m = math.sqrt(lo * hi)
+            lo, hi = (m, hi) if sum(c * m / (c - 1 + m) for c in contexts) < single else (lo, m)
+        return math.sqrt(lo * hi)
+
+    def p(self, u, v, w):
+        p1 = ((self.c[w] - self.d) if self.c[w] else self.d * self.kinds) / self.total
+        r1 = self.starts if v == "\n" else self.c[v]
+        p2 = (self.pairs[v, w] + self.m2 * p1) / (r1 + self.m2)
+        r2 = self.pairs[u, v] if u is not None else 0
+        return (self.triples[u, v, w] + self.m3 * p2) / (r2 + self.m3)
+
+    def score(self, text):
+        t = lm_tokens(text)
+        return sum(math.log10(self.p(u, v, w)) for u, v, w in zip([None, "\n", *t], ["\n", *t], t))
+
+
+def lm_held(d):
+    return zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1
+
+
+@pytest.mark.parametrize("block_bytes", [4000, 16_000_000])
+def test_lm(docs, rows, none, spark, block_bytes):
+    given = [*rows, (None, rows[4][1], None, None, None), (None, "unseen words", None, None, None)]
+    m = PlainModel([r[1] for r in given if not lm_held(r[0])])
+    more = spark.createDataFrame(given[-2:], DOC)
+    got = lm.score(docs.unionByName(more, allowMissingColumns=True), block_bytes=block_bytes).collect()
+    want = []
+    for r in given:
+        t = lm_tokens(r[1])
+        base = sum(math.log10((m.c[w] + 0.5) / (m.total + 0.5 * (m.kinds + 1))) for w in t)
+        want.append((r[0] is None, r[0] or 0, lm_held(r[0]), len(t), sum(m.c[w] > 0 for w in t), m.total, base, m.score(r[1])))
+    got = sorted((g.doc_id is None, g.doc_id or 0, g.held_out, g.n_tokens, g.n_known, g.train_tokens, g.base_score, g.score) for g in got)
+    assert len(got) == len(want)
+    for g, w in zip(got, sorted(want)):
+        assert g[:6] == w[:6] and g[6:] == pytest.approx(w[6:], rel=1e-6), g
+    for u, v in list(m.pairs)[:10]:  # a state's probabilities sum to one, the unknown word's included
+        if v:
+            assert sum(m.p(u, v, w) for w in [*m.c, "never seen"]) == pytest.approx(1)
     assert lm.score(none).count() == 0
-    all_held = [r for r in rows if held(r[0])]
+    all_held = [r for r in rows if lm_held(r[0])]
     assert {g.score for g in lm.score(spark.createDataFrame(all_held, DOC)).collect()} == {0.0}
 
 
-def test_lm_takes_arcs_of_rare_words(spark):
-    """A pair seen ten times is an arc, however large the rest of the corpus; one seen four times isn't."""
-    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
-    train, kept_out = [i for i in range(400) if not held(i)], next(i for i in range(400) if held(i))
-    bulk = " ".join(f"w{k % 50}" for k in range(8000))
-    rows = [(i, ("rare pair " if n < 10 else "odd couple " if n < 14 else "") + bulk) for n, i in enumerate(train)]
-    rows += [(kept_out, "rare pair"), (kept_out, "pair rare"), (kept_out, "odd couple"), (kept_out, "couple odd")]
-    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).filter(F.col("held_out")).select("n_tokens", "base_score", "score").collect()
-    assert got[0].n_tokens == 3 and 10 < 5e-6 * len(train) * 8000
-    by = collections.defaultdict(list)
-    for g in got:
-        by[round(g.base_score, 6)].append(g.score)
-    rare, odd = (by[k] for k in sorted(by, reverse=True))
-    # "rare" follows the start ten times, and "pair" follows "rare" as often: both orders differ only by these arcs
-    assert max(rare) - min(rare) > 0.1
-    assert max(odd) - min(odd) < 1e-9
-
-
-def test_lm_beats_the_base_on_held_out_texts(spark, sf):
-    r = lm.score(spark.read.parquet(f"{sf}/documents.parquet")).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
-    assert r.s > r.b
+def test_lm_walks_few_and_many_alike():
+    rng = np.random.default_rng(3)
+    lengths = np.r_[rng.integers(1, 40, 60), 700, 900]
+    starts, n = np.cumsum(lengths) - lengths, int(lengths.sum())
+    has = [np.ones(n, dtype=bool), rng.random(n) < 0.7, rng.random(n) < 0.4]
+    weight, fails, into = [rng.random(n) for _ in range(3)], [np.zeros(n), rng.random(n), rng.random(n)], rng.integers(0, 3, n).astype(np.int8)
+    got = lm.walk(starts, lengths, list(zip(has, weight)), fails, into)
+    for d, (lo, size) in enumerate(zip(starts, lengths)):
+        state, total = 1, 0.0
+        for i in range(lo, lo + size):
+            k = state
+            while not has[k][i]:
+                total, k = total + fails[k][i], k - 1
+            total, state = total + weight[k][i], into[i]
+        assert got[d] == pytest.approx(total)
+
+
+def test_lm_squeezes_losslessly():
+    x = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64))
+    assert (np.cumsum(lm.unsqueeze(lm.squeeze(np.r_[x[:1], np.diff(x)]), 1000), dtype=np.uint64) == x).all()
+
+
+def test_lm_knows_what_it_has_read(spark, sf):
+    """Texts of the training set and held-out texts score above the unigram base, by far most of them."""
+    scored = lm.score(spark.read.parquet(f"{sf}/documents.parquet")).groupBy("held_out").agg(F.avg((F.col("score") > F.col("base_score")).cast("int")).alias("above")).collect()
+    assert all(r.above > 0.9 for r in scored), scored
 
 
 @pytest.fixture(scope="module")
