@@ -12,11 +12,11 @@ word. After a word the automaton is in the longest context that is a state. A te
 end token. One traversal from left to right carries the state of every text and adds up log-probabilities.
 
 Distribution: no task ever holds the model. Texts are cut into blocks of about `block_bytes`, kept as word numbers in a table
-bucketed by block, so it isn't shuffled again. A block lists its different n-grams as sorted 62-bit hashes with their training counts,
+bucketed by block, so it isn't shuffled again. A block lists its different n-grams as sorted 61-bit hashes with their training counts,
 cut into ranges of the hash space; a range's task adds up the counts of all blocks and answers each block with corpus counts
 in the order asked. So an n-gram, however frequent, is one entry a block, ranges are equal by the hash, and no key is hot. With
 the answers a block builds its part of the automaton and walks all its documents. Two n-grams share a hash, and so a
-count, with a chance of n^2/2^63 for n of them.
+count, with a chance of n^2/2^62 for n of them.
 
 Null texts are empty: the end token alone. doc_id null: crc32 of the empty string. An empty training set makes every token
 unknown with probability one. Repeated rows are scored each and counted each. Texts of any length are one document of one
@@ -134,19 +134,16 @@ class _Block:
         self.starts = np.cumsum(self.lengths) - self.lengths
         first = np.zeros(len(tokens), dtype=bool)
         first[self.starts] = True
-        self.first, self.second = first, np.r_[False, first[:-1]] & ~first
+        self.first = first
         word = mixed(hashes)[tokens]
         before = np.r_[START, word[:-1]]
         before[first] = START
         pair = mixed(before * np.uint64(3) + word)
         third = mixed(np.r_[START, pair[:-1]] * np.uint64(5) + word)
         kind = np.where(tokens == 0, np.uint64(LAST_PAIR), np.uint64(PAIR))
-        clear = ~np.uint64(3)
-        #: kinds of n-grams by token; a text's first token has no triple
-        self.word, self.pair, self.triple = (word & clear) | np.uint64(WORD), (pair & clear) | kind, ((third & clear) | np.uint64(TRIPLE))[~first]
-
-    def grams(self) -> np.ndarray:
-        return np.concatenate([self.word, self.pair, self.triple])
+        #: n-grams by token, of 63 bits; a text's first token has no triple
+        kinds = lambda x, kind: (x >> np.uint64(1) & ~np.uint64(3)) | kind
+        self.word, self.pair, self.triple = kinds(word, np.uint64(WORD)), kinds(pair, kind), kinds(third, np.uint64(TRIPLE))[~first]
 
 
 def _asks(rows: pa.Table, ranges: int) -> pa.Table:
@@ -154,14 +151,17 @@ def _asks(rows: pa.Table, ranges: int) -> pa.Table:
     schema = pa.schema([("block", pa.int64()), ("range", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
     b = _Block(rows)
     train = np.repeat(~b.held, b.lengths)
-    flags = np.concatenate([train, train, train[~b.first]])
-    grams = b.grams()
+    # the lowest bit tells training text; sorted in place, so that a block's n-grams are held twice at most
+    grams = np.concatenate([b.word, b.pair, b.triple])
+    grams <<= np.uint64(1)
+    grams |= np.concatenate([train, train, train[~b.first]])
     del b
-    order = np.argsort(grams)
-    grams, flags = grams[order], flags[order]
-    del order
+    grams.sort()
+    flags = (grams & np.uint64(1)).astype(np.int64)
+    grams >>= np.uint64(1)
     starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-    counts = np.add.reduceat(flags.astype(np.int64), starts)
+    counts = np.add.reduceat(flags, starts)
+    del flags
     grams = grams[starts]
     ends = np.searchsorted(grams, _bounds(ranges)[1:], side="left")
     ends[-1] = len(grams)
@@ -176,8 +176,8 @@ def _asks(rows: pa.Table, ranges: int) -> pa.Table:
 
 
 def _bounds(ranges: int) -> np.ndarray:
-    """ranges + 1 ends of equal parts of the hashes (the last stands for 2^64)."""
-    return np.array([min(r * (1 << 64) // ranges, (1 << 64) - 1) for r in range(ranges + 1)], dtype=np.uint64)
+    """ranges + 1 ends of equal parts of the hashes."""
+    return np.array([r * (1 << 63) // ranges for r in range(ranges + 1)], dtype=np.uint64)
 
 
 #: Counts of counts: exact below, then a bin for every eighth of a doubling.
@@ -282,28 +282,40 @@ def _score(rows: pa.Table, answers: pa.Table, total: int, kinds: int, discount:
     b = _Block(rows)
     answers = answers.sort_by("range")
     told = np.concatenate([unsqueeze(c.as_py(), n).view(np.int64) for c, n in zip(answers.column("counts"), answers.column("n").to_pylist())])
-    grams = b.grams()
+    grams = np.concatenate([b.word, b.pair, b.triple])
+    del b.word, b.pair, b.triple
     order = np.argsort(grams)
-    ordered = grams[order]
-    del grams
-    counts = np.empty(len(ordered), dtype=np.int64)
-    counts[order] = told[np.cumsum(np.r_[True, ordered[1:] != ordered[:-1]]) - 1]
-    del order, ordered, told
-    n = len(b.word)
+    grams = grams[order]
+    counts = np.empty(len(grams), dtype=np.int64)
+    counts[order] = told[np.cumsum(np.r_[True, grams[1:] != grams[:-1]]) - 1]
+    del order, grams, told
+    n = len(b.first)
     c1, c2, c3 = counts[:n], counts[n : 2 * n], np.zeros(n, dtype=np.int64)
     c3[~b.first] = counts[2 * n :]
+    # documents of some hundred thousand tokens at a time, so that weights need little memory
+    out, ends, lo = [], np.cumsum(b.lengths), 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + 400_000)))
+        at = slice(int(b.starts[lo]), int(ends[hi - 1]))
+        out.append(_weigh(c1[at], c2[at], c3[at], b.starts[lo:hi] - b.starts[lo], b.lengths[lo:hi], b.first[at], total, kinds, discount, m2, m3, n_starts))
+        lo = hi
+    known, base, score = (np.concatenate(x) for x in zip(*out))
+    return pa.table([pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.lengths), pa.array(known), pa.array(base), pa.array(score)], schema=_SCORED)
+
+
+def _weigh(c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray, total: int, kinds: int, discount: float, m2: float, m3: float, n_starts: int) -> tuple[np.ndarray, ...]:
+    """Known tokens, base score and score of documents, given the corpus counts of the n-grams that end at each token."""
     r1, r2 = np.r_[0, c1[:-1]], np.r_[0, c2[:-1]]
-    r1[b.first], r2[b.first] = n_starts, 0
+    r1[first], r2[first] = n_starts, 0
     base = np.log10((c1 + 0.5) / (total + 0.5 * (kinds + 1)))
-    p1 = np.where(c1 > 0, c1 - discount, max(discount * kinds, 1e-300)) / total if total else np.ones(n)
+    p1 = np.where(c1 > 0, c1 - discount, max(discount * kinds, 1e-300)) / total if total else np.ones(len(c1))
     p2 = (c2 + m2 * p1) / (r1 + m2)
     p3 = (c3 + m3 * p2) / (r2 + m3)
-    arcs = [(np.ones(n, dtype=bool), np.log10(p1)), (c2 > 0, np.log10(p2)), (c3 > 0, np.log10(p3))]
-    fails = [np.zeros(n), np.log10(m2 / (r1 + m2)), np.log10(m3 / (r2 + m3))]
+    arcs = [(np.ones(len(c1), dtype=bool), np.log10(p1)), (c2 > 0, np.log10(p2)), (c3 > 0, np.log10(p3))]
+    fails = [np.zeros(len(c1)), np.log10(m2 / (r1 + m2)), np.log10(m3 / (r2 + m3))]
     into = np.where(c2 > 0, 2, np.where(c1 > 0, 1, 0)).astype(np.int8)
-    score = walk(b.starts, b.lengths, arcs, fails, into)
-    sums = lambda x: np.add.reduceat(x, b.starts)
-    return pa.table([pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.lengths), pa.array(sums((c1 > 0).astype(np.int64))), pa.array(sums(base)), pa.array(score)], schema=_SCORED)
+    sums = lambda x: np.add.reduceat(x, starts)
+    return sums((c1 > 0).astype(np.int64)), sums(base), walk(starts, lengths, arcs, fails, into)
 
 
 def score(docs: DataFrame, *, folds: int = 5, held_fold: int = 1, block_bytes: int = 16_000_000, range_grams: int = 3_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
