@@ -28,6 +28,11 @@ def bucketed(df: DataFrame, n: int, *keys: str, sort: bool = False) -> DataFrame
     return out
 
 
+def few(df: DataFrame, most: int) -> bool:
+    """Whether df has at most `most` rows, counted no further than that."""
+    return df.limit(most + 1).count() <= most
+
+
 def attach(big: DataFrame, small: DataFrame, key: str, most: int = 50_000, salts: int = 32) -> DataFrame:
     """big left join small on `key` (null equals null), where single keys may hold a third of big's rows.
 
@@ -35,7 +40,7 @@ def attach(big: DataFrame, small: DataFrame, key: str, most: int = 50_000, salts
     over `salts` salts and big's rows of a key are dealt out over them.
     """
     small = small.withColumnRenamed(key, "__attach")
-    if small.limit(most + 1).count() <= most:
+    if few(small, most):
         return big.join(F.broadcast(small), big[key].eqNullSafe(small["__attach"]), "left").drop("__attach")
     salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = big.withColumn("__s", F.pmod(F.xxhash64(*[F.col(c) for c, t in big.dtypes if not t.startswith("map")]), F.lit(salts)).cast("int"))

@@ -95,7 +95,8 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_docs(spark, sf_dir, "doc_id", "text"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.told(F.col("base")), 256).alias("base_sha256"), pii.told(F.col("spans")).alias("spans"))
+    added = F.size("spans") - F.size("base")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.told(F.col("base")), 256).alias("base_sha256"), pii.told(F.col("spans")).alias("spans"), added.cast("long").alias("n_added"), (F.size("spans") > 0).alias("private"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

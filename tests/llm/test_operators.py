@@ -466,17 +466,109 @@ def test_pii_base_spans(spark, sf):
     assert sorted((r.doc_id, r.base) for r in got) == sorted((i, plain_spans(t)) for i, t in rows)
 
 
-def test_pii_terms_that_disclose(spark):
+TERM = re.compile(r"(?<![^\W\d_])[^\W\d_]{3,}")
+
+
+def plain_secrets(bare, least):
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}", bare):
+        v = m[0]
+        turns = len(re.findall(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])", v))
+        if turns >= 6 and sum(n * math.log2(len(v) / n) for n in collections.Counter(v).values()) >= least:
+            out.append((m.start(), m.end()))
+    return out
+
+
+def plain_pii(rows, min_texts=3, min_share=0.5, min_bits=4.0, reach=80, secret_bits=80.0):
+    """(id, spans) of every row, by the definitions."""
+    parsed = {}
+    for text in {r[1] or "" for r in rows}:
+        base = [x.rsplit(":", 2) for x in plain_spans(text).split(",") if x]
+        bare = list(text)
+        for k, s, e in base:
+            if k == "email":
+                bare[int(s) : int(e)] = "\x01" * (int(e) - int(s))
+        bare = "".join(bare)
+        secrets = plain_secrets(bare, secret_bits)
+        masked = list(bare)
+        for s, e in secrets:
+            masked[s:e] = "\x01" * (e - s)
+        parsed[text] = ([(int(s), pii.KINDS.index(k), k, int(e)) for k, s, e in base] + [(s, 4, "secret", e) for s, e in secrets], "".join(masked))
+    by, entities, holds = collections.defaultdict(set), collections.defaultdict(set), collections.defaultdict(set)
+    for text, (spans, masked) in parsed.items():
+        for t in TERM.findall(masked):
+            holds[t].add(text)
+        for s, _, k, e in spans:
+            lo = max(0, s - reach)
+            left, right = masked[lo:s], masked[e : e + reach]
+            left = re.sub(r"^[^\W\d_]+", "", left) if lo else left
+            right = re.sub(r"[^\W\d_]+$", "", right) if len(right) == reach else right
+            for entity in (k, f"{k}:{text[s:e]}"):
+                entities[entity].add(text)
+                for t in TERM.findall(left + " " + right):
+                    by[t, entity].add(text)
+    n = len(parsed)
+    terms = {t for (t, x), held in by.items() if len(held) >= min_texts and len(held) >= min_share * len(holds[t]) and math.log2(len(held) / len(holds[t]) * n / len(entities[x])) >= min_bits}
+    out = []
+    for d, text in rows:
+        spans, masked = parsed[text or ""]
+        found = [(m.start(), 5, "term", m.end()) for m in TERM.finditer(masked) if m[0] in terms]
+        out.append((d, ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted([*spans, *found]))))
+    return out
+
+
+def disclosing_rows():
     fill = lambda i: " ".join(words(20, i))
     rows = [(i, f"{fill(i)}. Quentin Marsh may be reached at qmarsh@corp.example, he said {i}. {fill(i + 50)}") for i in range(6)]
     rows += [(20 + i, f"{fill(i)} plain text said again and again by others {i}, reached at last, may be.") for i in range(40)]
-    rows += [(90, "Quentin alone."), (91, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in pii.sanitise(df, min_bits=1.0).collect()}
-    assert "Quentin" not in got[0].pii_text and "qmarsh" not in got[0].pii_text and "[EMAIL]" in got[0].pii_text and "[TERM] [TERM]" in got[0].pii_text
-    assert got[25].pii_text == dict(rows)[25] and got[91].pii_text == ""
-    spans = {r.doc_id: r.spans for r in pii.find(df, min_bits=1.0).select("doc_id", pii.told(F.col("spans")).alias("spans")).collect()}
-    assert "term:0:7" in spans[90] or spans[90] == ""
+    rows += [(70 + i, f"{fill(i)} passwort = {hashlib.sha1(str(i).encode()).hexdigest()} {fill(i + 9)} été{i}") for i in range(4)]
+    rows += [(80 + i, f"{fill(i)} Ünïtoken@x.example Marsh{i} Marsh +1 (555) 123-456{i} " + "Quentin " * i) for i in range(5)]
+    return [*rows, (90, "Quentin alone."), (91, None), (92, ""), (None, "Quentin by null"), (None, None), (90, "Quentin alone."), (90, "Quentin twice. Quentin.")]
+
+
+@pytest.mark.parametrize(("bound", "most", "bits"), [(200_000, 200_000, 1.0), (0, 0, 1.0), (200_000, 200_000, 4.0)])
+def test_pii_terms_that_disclose(spark, monkeypatch, bound, most, bits):
+    rows = disclosing_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"terms": F.lit(1), "around": F.lit(2), "__same": F.lit(3)})
+    real = pii._among
+    monkeypatch.setattr(pii, "_among", lambda a, b, k: real(a, b, k, most, 3))
+    got = pii.find(df, min_bits=bits, bound=bound).select("doc_id", pii.told(F.col("spans")).alias("spans")).collect()
+    want = plain_pii(rows, min_bits=bits)
+    assert collections.Counter((r.doc_id, r.spans) for r in got) == collections.Counter(want)
+    if bits == 1.0:
+        assert ("term:0:7" in dict(want)[90]) and dict(want)[25] == ""
+        text = {r.doc_id: r.pii_text for r in pii.sanitise(df.filter("doc_id < 90"), min_bits=bits).collect()}
+        assert "[TERM] [TERM]" in text[0] and "Quentin" not in text[0] and "[EMAIL]" in text[0] and "[SECRET]" in text[70] and text[25] == dict(rows)[25]
+    assert pii.find(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_pii_against_brute_force_on_documents(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), min_texts=2, min_bits=2.0).select("doc_id", pii.told(F.col("spans")).alias("spans")).collect()
+    assert collections.Counter((r.doc_id, r.spans) for r in got) == collections.Counter(plain_pii(rows, min_texts=2, min_bits=2.0))
+
+
+def test_pii_finds_terms_and_secrets_in_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kinds = [s.kind for r in pii.find(docs).select("spans").collect() for s in r.spans]
+    assert kinds.count("secret") > 3 and kinds.count("term") > 3
+
+
+def test_pii_is_not_quadratic_in_matches(spark):
+    many = " ".join(f"a{i}@b.cd" for i in range(50_000))
+    r = pii.find(spark.createDataFrame([(1, many)], "doc_id long, text string")).first()
+    at = [m.span() for m in re.finditer(r"\S+", many)]
+    assert [(s.start, s.end) for s in r.base] == at
+
+
+def test_pii_counts_texts_exactly(spark):
+    """A term stands or falls by the number of different texts, to the last one."""
+    rows = [(i, f"number {i} of many") for i in range(2997)] + [(3000 + i, f"Zebulon wrote from zeb@example.org, {i}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bits = math.log2(3000 / 3)
+    for least, n in ((bits - 1e-6, True), (bits + 1e-6, False)):
+        spans = [s.kind for r in pii.find(docs, min_bits=least).collect() for s in r.spans]
+        assert ("term" in spans) == n, least
 
 
 REC = "record_id long, url string, at long, kind string, etag string, last_modified string, headers map<string,string>, payload string"
@@ -533,17 +625,3 @@ def test_warc_copies_stay_as_many(spark):
     df = spark.createDataFrame([full] * 3 + [again] * 3, REC)
     got = warc.materialise(df, warc.written(warc.resolve(df, carry=("headers",)))).collect()
     assert [(r.record_id, r.headers, r.payload) for r in got] == [(2, {"h": "2"}, "body")] * 3
-
-
-def test_sha_of_nothing():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
-
-
-def test_pii_counts_texts_exactly(spark):
-    """A term stands or falls by the number of different texts, to the last one."""
-    rows = [(i, f"number {i} of many") for i in range(2997)] + [(3000 + i, f"Zebulon wrote from zeb@example.org, {i}") for i in range(3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bits = math.log2(3000 / 3)
-    for least, n in ((bits - 1e-6, True), (bits + 1e-6, False)):
-        spans = [s.kind for r in pii.find(docs, min_bits=least).collect() for s in r.spans]
-        assert ("term" in spans) == n, least
