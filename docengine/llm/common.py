@@ -18,10 +18,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def bucketed(df: DataFrame, n: int, *keys: str, sort: bool = False) -> DataFrame:
     """df as a table in the shared folder, cut into n buckets by the hash of keys: what groups or joins by them doesn't shuffle
-    it again. sort: rows are dealt by the keys first, so a bucket is one file in their order."""
+    it again. sort: files are in the order of the keys."""
     spark, name = df.sparkSession, f"docengine_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    writer = (df.repartition(n, *keys) if sort else df).write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, *keys)
+    writer = df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, *keys)
     (writer.sortBy(*keys) if sort else writer).saveAsTable(name)
     out = spark.table(name)
     out._written_path = path

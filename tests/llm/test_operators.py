@@ -103,17 +103,29 @@ def test_mix_refines_cuts_like_a_full_sort(spark):
         assert r.cut == last or r.cut is None and mixing.RANK_BITS
 
 
-def test_lines(docs, rows, none, spark):
-    got = docs.transform(lambda d: linededup.dedup_lines(d, min_docs=10)).collect()
+@pytest.mark.parametrize(("bound", "min_chars"), [(20_000, 1), (0, 1), (20_000, 18), (0, 18)])
+def test_lines(docs, rows, none, spark, bound, min_chars, monkeypatch):
+    real = common.fetch
+    monkeypatch.setattr(linededup, "fetch", lambda big, small, key: real(big, small, key, 7))
+    got = docs.transform(lambda d: linededup.dedup_lines(d, min_docs=10, bound=bound, min_chars=min_chars)).collect()
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    df = collections.Counter(k for r in rows for k in {key(x) for x in (r[1] or "").split("\n")} if k)
+    df = collections.Counter(k for r in rows for k in {key(x) for x in (r[1] or "").split("\n")} if len(k) >= min_chars)
     want = []
     for r in rows:
         lines = (r[1] or "").split("\n")
-        kept = [x for x in lines if not (key(x) and df[key(x)] >= 10)]
+        kept = [x for x in lines if df[key(x)] < 10]
         want.append((r[0], "\n".join(kept), len(lines), len(lines) - len(kept)))
     assert sorted((r.doc_id, r.line_kept, r.line_n, r.line_dropped) for r in got) == sorted(want)
-    assert linededup.dedup_lines(none).count() == 0
+    assert linededup.dedup_lines(none, bound=bound).count() == 0
+
+
+def test_line_keys_fold_the_case_of_a_to_z_only(spark):
+    lines = ["Été", "été", "ÉTÉ", "éTé", "Straße", "straSSe", "ÿ", "Ÿ", "ж", "Ж", "a\u0301", "A\u0301", "ä", "Ä", "\u00c3\u00a9", "é", "\ue3a9\u0080x", "×", "÷", "İ", "i̇", "ß", "ẞ", "日本A", "日本a", "😀A", "😀a", "\xa0A", "A"]
+    got = [r.k[0] for r in spark.createDataFrame([(x,) for x in lines], "t string").select(linededup.line_keys(F.col("t"), 1).alias("k")).collect()]
+    fold = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in lines]
+    for i in range(len(lines)):
+        for j in range(i):
+            assert (got[i] == got[j]) == (fold[i] == fold[j]), (lines[i], lines[j])
 
 
 def test_line_runs_compact_and_increment(spark):
@@ -125,7 +137,18 @@ def test_line_runs_compact_and_increment(spark):
         out = linededup.dedup_increment(runs, make(i)).collect()
         assert {r.line_kept for r in out} == {f"own {i}-0", f"own {i}-1"}
     assert [len(x) for x in runs.levels] == [0, 0, 1]
-    assert runs.seen(8).count() == 1
+    # the shared line was known after the first batch, so later batches' runs left it out
+    assert runs.seen(1).count() == 9 and runs.seen(2).count() == 1 and runs.seen(3).count() == 0
+
+
+def test_line_runs_are_joined_without_a_shuffle_of_their_own(spark):
+    runs = linededup.LineRuns(spark, fan_in=9)
+    keyed = spark.createDataFrame([(f"l{i}\nsame",) for i in range(50)], "text string").select(linededup.line_keys(F.col("text"), 1).alias("keys"))
+    runs.add(keyed, 2)
+    run = runs.runs()[0]
+    new = keyed.select(F.explode("keys").alias("k")).groupBy("k.a", "k.b").count().join(run.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan, plan
 
 
 def test_shards_are_exact_and_gapless(docs, rows, none):
