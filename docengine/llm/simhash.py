@@ -14,6 +14,14 @@ An anchor with more than `crowd` fingerprints isn't compared pairwise: its membe
 at most one bit away from them, which two fingerprints share exactly if they differ in 2 bits or fewer. That is 65 rows
 a fingerprint, not the square of the crowd.
 
+Wide fingerprints (`keep_one`) serve a similarity instead of a few bits: five words a shingle, 128 bits, and two texts link at `distance`
+bits or fewer, which a share of common shingles of 0.8 stays below nine times in ten. Each of `tables` tables takes 46 of
+the bits and sends a fingerprint to every anchor with excess <= 1 (9.6 on average); two that share an anchor in any table are compared.
+At a similarity of 0.8, 0.85 and 0.9 a pair meets with a chance of 0.91, 0.98 and 1.00 in 12 tables (simulated).
+A wide anchor with more than `crowd` fingerprints is cut into blocks; each block is linked, components are linked again through one
+fingerprint each, and what is then outside an anchor's largest component meets every block: no pair is lost and no block's
+square is taken twice.
+
 Null and empty texts have no shingles: fingerprint zero. Fewer words than a shingle: one shingle of all words. Repeated
 rows share a fingerprint. A null doc_id gets a row, and counts for a component only if nothing else is in it.
 """
@@ -28,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import written
+from docengine.llm.common import attach, fetch, few, written
 from docengine.llm.components import Forest, components
 
 SEED = 42
@@ -37,11 +45,11 @@ GOLAY = 0b101011100011
 BITS = 23
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """The text's fingerprint, unsigned."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """A row of 8 bytes a shingle, big-endian."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros((0, 8), dtype=np.uint8)
     if len(words) <= width:
         digests = xxhash.xxh64_digest(b" ".join(words), SEED)
     else:
@@ -53,13 +61,31 @@ def fingerprint(text: str | None, width: int) -> int:
             ends.append(at)
         starts = [0, *[e + 1 for e in ends[:-1]]]
         digests = b"".join([digest(whole[a:b], SEED) for a, b in zip(starts, ends[width - 1 :])])
-    rows = np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8)
+    return np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8)
+
+
+def majority(rows: np.ndarray) -> int:
+    """64 bits, each set if over half of the rows have it."""
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(rows), 8192):
         counts += np.unpackbits(rows[i : i + 8192], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > len(rows)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, width: int) -> int:
+    """The text's fingerprint, unsigned."""
+    return majority(shingle_hashes(text, width))
+
+
+def wide_fingerprint(text: str | None, width: int) -> tuple[int, int]:
+    """128 bits as two words: the second from the same hashes, mixed."""
+    rows = shingle_hashes(text, width)
+    again = rows.view(">u8").astype(np.uint64).ravel()
+    again = (again ^ (again >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    again = (again ^ (again >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return majority(rows), majority((again ^ (again >> np.uint64(32))).astype(">u8").view(np.uint8).reshape(-1, 8))
+
+
 def _syndrome(x: np.ndarray) -> np.ndarray:
     """Remainders of 23-bit words by the generator polynomial: zero for codewords."""
     x = x.astype(np.int64).copy()
@@ -171,8 +197,9 @@ def links(distinct: DataFrame, t: int = 2, crowd: int = 1500) -> DataFrame:
     """distinct (fp), no repeats -> edges (a, b) that join exactly the fingerprints linked at t or fewer bits, transitively."""
     if t != 2:
         raise ValueError("crowds are linked through points one bit away, which two share at 2 differing bits or fewer")
-    spread = distinct.select("fp").mapInArrow(lambda it: _spread(it, t), "anchor long, fp long, home boolean")
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one row becomes 61, so rows are spread over all tasks first
+    spread = distinct.select("fp").repartition(n).mapInArrow(lambda it: _spread(it, t), "anchor long, fp long, home boolean")
     dealt = spread.repartition(n, "anchor").sortWithinPartitions("anchor")
     found = written(dealt.mapInArrow(lambda it: _compare(it, t, crowd), "kind int, a long, b long"))
     direct = found.filter("kind = 0").select("a", "b")
@@ -184,34 +211,200 @@ def links(distinct: DataFrame, t: int = 2, crowd: int = 1500) -> DataFrame:
     return direct.unionByName(around)
 
 
-def _grouped(prints: DataFrame, least: Column, bits: int, crowd: int) -> DataFrame:
+def wide_anchors(hi: np.ndarray, lo: np.ndarray, table: int, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """(index, cell): the anchors of excess <= 1 in the table's 46 bits."""
+    chosen = np.random.default_rng([seed, table]).permutation(128)[: 2 * BITS]
+    bits = np.zeros(len(hi), dtype=np.uint64)
+    for place, b in enumerate(chosen.tolist()):
+        word = hi if b < 64 else lo
+        bits |= ((word >> np.uint64(b % 64)) & np.uint64(1)) << np.uint64(place)
+    at, anchor, _ = anchors(bits, 1)
+    return at, anchor | (table << (2 * BITS))
+
+
+def node(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """One number for a wide fingerprint."""
+    x = hi ^ ((lo ^ (lo >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(27))).view(np.int64)
+
+
+def _wide_prints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        *others, texts = b.columns
+        found = np.array([wide_fingerprint(x.as_py(), width) for x in texts], dtype=np.uint64).reshape(-1, 2)
+        hi, lo = np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1])
+        yield pa.RecordBatch.from_arrays([*others, pa.array(node(hi, lo)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64))], names=[*b.schema.names[:-1], "fp", "hi", "lo"])
+
+
+def _wide_spread(batches: Iterator[pa.RecordBatch], tables: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        hi, lo = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+        for i in range(0, len(hi), 4000):
+            for table in range(tables):
+                at, cell = wide_anchors(hi[i : i + 4000], lo[i : i + 4000], table)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(hi[i + at].view(np.int64)), pa.array(lo[i + at].view(np.int64))], names=["cell", "hi", "lo"])
+
+
+def _far(hi: np.ndarray, lo: np.ndarray, x: np.ndarray | int, y: np.ndarray | int) -> np.ndarray:
+    return np.bitwise_count(hi[x] ^ hi[y]).astype(np.int16) + np.bitwise_count(lo[x] ^ lo[y])
+
+
+def _link_many(hi: np.ndarray, lo: np.ndarray, group: np.ndarray, distance: int, link) -> None:
+    """Links all pairs within the distance that aren't of one group yet: a member meets only what is outside its group."""
+    group = np.unique(group, return_inverse=True)[1]
+    for x in range(len(hi)):
+        others = np.flatnonzero(group != group[x])
+        if not len(others):
+            return
+        near = others[_far(hi, lo, x, others) <= distance]
+        for y in near[np.unique(group[near], return_index=True)[1]].tolist():
+            link(x, y)
+            group[group == group[y]] = group[x]
+
+
+def _wide_compare(batches: Iterator[pa.RecordBatch], distance: int, crowd: int, seeded: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, hi, lo and, if seeded, group) come sorted by cell. Gives (kind, cell, a, b): 0 links of a forest (nodes), 1 members
+    of a cell of more than crowd (hi, lo)."""
+    handful = 24
+
+    def out(kind: int, cell: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), pa.array(cell), pa.array(a), pa.array(b)], names=["kind", "cell", "a", "b"])
+
+    def linked(cell: np.ndarray, hi: np.ndarray, lo: np.ndarray, group: np.ndarray | None) -> pa.RecordBatch:
+        forest, ids = Forest(), node(hi, lo)
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        sizes = np.diff(np.r_[starts, len(cell)])
+        small = np.repeat(sizes <= handful, sizes) if group is None else np.zeros(len(cell), dtype=bool)
+        live, lag = np.flatnonzero(small), 1
+        while len(live):
+            live = live[live + lag < len(cell)]
+            live = live[cell[live] == cell[live + lag]]
+            near = live[_far(hi, lo, live, live + lag) <= distance]
+            for a, b in zip(ids[near].tolist(), ids[near + lag].tolist()):
+                forest.link(a, b)
+            lag += 1
+        more = np.flatnonzero((sizes > 1) & ~small[starts])
+        for s, n in zip(starts[more].tolist(), sizes[more].tolist()):
+            part = slice(s, s + n)
+            own = ids[part].tolist()
+            _link_many(hi[part], lo[part], ids[part] if group is None else group[part], distance, lambda x, y, own=own: forest.link(own[x], own[y]))
+        a, b = forest.edges()
+        return out(0, np.zeros(len(a), dtype=np.int64), np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))
+
+    held: tuple | None = None
+    crowded: int | None = None
+    for b in batches:
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4 if seeded else 3)]
+        if not len(cols[0]):
+            continue
+        if held is not None:
+            cols, held = [np.concatenate([p, c]) for p, c in zip(held, cols, strict=True)], None
+        cell = cols[0]
+        sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]), len(cell)])
+        big = np.zeros(len(cell), dtype=bool) if seeded else (np.repeat(sizes, sizes) > crowd) | ((cell == crowded) if crowded is not None else False)
+        if big.any():
+            yield out(1, cell[big], cols[1][big], cols[2][big])
+        last = cell[-1]
+        crowded = int(last) if big[-1] else None
+        rest = ~big & (cell != last)
+        view = lambda keep, cols=cols: (cols[0][keep], cols[1][keep].view(np.uint64), cols[2][keep].view(np.uint64), cols[3][keep] if seeded else None)
+        if rest.any():
+            yield linked(*view(rest))
+        if crowded is None:
+            held = tuple(c[cell == last] for c in cols)
+    if held is not None:
+        yield linked(held[0], held[1].view(np.uint64), held[2].view(np.uint64), held[3] if seeded else None)
+
+
+_LINKS = "kind int, cell long, a long, b long"
+
+
+def _seeded(rows: DataFrame, distance: int) -> DataFrame:
+    """Links among rows (cell, block, hi, lo, group) of a block, those of one group excepted."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rows.select(F.xxhash64("cell", "block").alias("key"), "hi", "lo", "group")
+    found = keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda it: _wide_compare(it, distance, 0, True), _LINKS)
+    return written(found.select("a", "b"))
+
+
+def _crowd_links(members: DataFrame, distance: int, crowd: int) -> DataFrame:
+    """members (cell, hi, lo, id) of crowded cells -> edges that join all that are linked in a cell. See the module's text."""
+
+    def blocked(rows: DataFrame) -> DataFrame:
+        blocks = written(rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / crowd).cast("int").alias("blocks")))
+        return attach(rows, blocks, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+    def grouped(edges: DataFrame) -> DataFrame:
+        return written(members.join(components(edges), F.col("id") == F.col("node"), "left").select("cell", "hi", "lo", "id", F.coalesce("component", "id").alias("group")))
+
+    own = members.withColumn("group", F.col("id"))
+    edges = _seeded(blocked(own), distance)
+    named, before = grouped(edges), None
+    while True:
+        one = written(named.groupBy("cell", "group").agg(F.min(F.struct("id", "hi", "lo")).alias("m")).select("cell", "m.hi", "m.lo", "m.id", "group"))
+        most = one.groupBy("cell").count().agg(F.max("count")).first()[0]
+        edges = edges.unionByName(_seeded(blocked(one), distance))
+        named = grouped(edges)
+        if most <= crowd or before is not None and most >= before:
+            break
+        before = most
+    largest = named.groupBy("cell", "group").count().groupBy("cell").agg(F.max_by("group", F.struct("count", "group")).alias("main"))
+    placed = written(attach(blocked(named), largest, "cell"))
+    guests = placed.filter(F.col("group") != F.col("main")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["cell", "block", "hi", "lo", "group"]
+    return edges.unionByName(_seeded(placed.select(*columns).unionByName(guests.select(*columns)).distinct(), distance))
+
+
+def wide_links(distinct: DataFrame, distance: int = 24, tables: int = 12, crowd: int = 4000) -> DataFrame:
+    """distinct (hi, lo), no repeats -> edges (a, b) between their nodes."""
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = distinct.select("hi", "lo").repartition(n).mapInArrow(lambda it: _wide_spread(it, tables), "cell long, hi long, lo long")
+    dealt = spread.repartition(n, "cell").sortWithinPartitions("cell")
+    found = written(dealt.mapInArrow(lambda it: _wide_compare(it, distance, crowd, False), _LINKS))
+    edges = found.filter("kind = 0").select("a", "b")
+    crowds = found.filter("kind = 1")
+    if not crowds.limit(1).count():
+        return edges
+    members = crowds.select("cell", F.col("a").alias("hi"), F.col("b").alias("lo")).mapInArrow(_with_node, "cell long, hi long, lo long, id long")
+    return edges.unionByName(_crowd_links(written(members), distance, crowd))
+
+
+def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        hi, lo = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (1, 2))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node(hi, lo))], names=[*b.schema.names, "id"])
+
+
+def _grouped(prints: DataFrame, least: Column, link) -> DataFrame:
     """prints (fp, ...) with `first`: the least over all rows reachable by links."""
-    classes = written(prints.groupBy("fp").agg(F.min(least).alias("least")))
-    comps = components(links(classes, bits, crowd))
+    wide = [F.first(c).alias(c) for c in ("hi", "lo") if c in prints.columns]
+    classes = written(prints.groupBy("fp").agg(F.min(least).alias("least"), *wide))
+    comps = components(link(classes))
     rooted = classes.join(comps, classes["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("first")).withColumnRenamed("root", "r")
     named = rooted.join(roots, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "first")
-    return prints.join(named, F.col("fp") == F.col("f")).drop("f")
+    return fetch(prints, named.withColumnRenamed("f", "fp"), "fp")
 
 
 def near_groups(docs: DataFrame, *, width: int = 3, bits: int = 2, crowd: int = 1500, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp long, component_id), one row a row of docs; component_id is the smallest doc_id reachable by links."""
     prints = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lambda it: _fingerprints(it, width), "doc_id long, fp long"))
-    return _grouped(prints, F.col("doc_id"), bits, crowd).select("doc_id", "fp", F.col("first").alias("component_id"))
+    return _grouped(prints, F.col("doc_id"), lambda c: links(c, bits, crowd)).select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, width: int = 3, bits: int = 2, bound: int = 300_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group: the one with the smallest doc_id, null ids last; where the id stands on several texts, the one
-    with the least hash of id and text. Of rows with the same id and text, one."""
+def keep_one(docs: DataFrame, *, width: int = 5, distance: int = 24, tables: int = 12, crowd: int = 4000, bound: int = 300_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of texts whose wide fingerprints link: the one with the smallest doc_id, null ids last; where the id stands
+    on several texts, the one with the least hash of id and text. Of rows with the same id and text, one."""
     given = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__key": F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))})
-    prints = written(given.select("__id", "__key", F.col(text).cast("string").alias("text")).mapInArrow(lambda it: _fingerprints(it, width), "__id long, __key long, fp long"))
+    prints = written(given.select("__id", "__key", F.col(text).cast("string").alias("text")).mapInArrow(lambda it: _wide_prints(it, width), "__id long, __key long, fp long, hi long, lo long"))
     order = F.struct(F.col("__id").isNull(), "__id", "__key")
     # rows with the same id and text share a fingerprint, so they stay or go together
-    rows = written(_grouped(prints, order, bits, 1500).groupBy("__id", "__key").agg(F.bool_or(order.eqNullSafe(F.col("first"))).alias("stays"), F.count(F.lit(1)).alias("n")))
-    # what goes is far less than what stays: counted first, it is broadcast up to `bound` rows, and texts aren't dealt again
+    rows = written(_grouped(prints, order, lambda c: wide_links(c, distance, tables, crowd)).groupBy("__id", "__key").agg(F.bool_or(order.eqNullSafe(F.col("first"))).alias("stays"), F.count(F.lit(1)).alias("n")))
+    # what goes is less than what stays: counted first, it is broadcast up to `bound` rows, and texts aren't dealt again
     gone = rows.filter(~F.col("stays")).select(F.col("__id").alias("gone_id"), F.col("__key").alias("gone_key"))
-    few = gone.limit(bound + 1).count() <= bound
-    left = given.join(F.broadcast(gone) if few else gone, (F.col("__key") == F.col("gone_key")) & F.col("__id").eqNullSafe(F.col("gone_id")), "left_anti")
+    scarce = few(gone, bound)
+    left = given.join(F.broadcast(gone) if scarce else gone, (F.col("__key") == F.col("gone_key")) & F.col("__id").eqNullSafe(F.col("gone_id")), "left_anti")
     # rows aren't repeated as a rule; only where they are, whole rows are dealt again to keep one of each
     one = left.dropDuplicates(["__id", "__key"]) if rows.filter("stays and n > 1").limit(1).count() else left
     return one.drop("__id", "__key")

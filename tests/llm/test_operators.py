@@ -178,7 +178,7 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
-def plain_groups(fps):
+def plain_groups(fps, distance=2):
     """doc -> smallest doc reachable; fps: doc -> fingerprint."""
     up = {d: d for d in fps}
 
@@ -190,7 +190,7 @@ def plain_groups(fps):
     ids = sorted(fps)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if (fps[a] ^ fps[b]).bit_count() <= 2 and root(a) != root(b):
+            if (fps[a] ^ fps[b]).bit_count() <= distance and root(a) != root(b):
                 x, y = root(a), root(b)
                 up[max(x, y)] = min(x, y)
     return {d: root(d) for d in ids}
@@ -203,7 +203,70 @@ def test_simhash(docs, rows, none):
     assert len(got) == len(rows)
     assert {(r.doc_id, r.fp % (1 << 64), r.component_id) for r in got} == {(d, fps[d], want[d]) for d in fps}
     assert simhash.near_groups(none).count() == 0
-    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted({c for c in want.values()})
+    groups = wide_groups({r[0]: r[1] for r in rows})
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(groups.values()))
+
+
+def wide_groups(texts, distance=24):
+    """doc -> smallest doc reachable by wide fingerprints."""
+    fps = {d: (lambda f: f[0] << 64 | f[1])(simhash.wide_fingerprint(t, 5)) for d, t in texts.items()}
+    return plain_groups(fps, distance)
+
+
+def test_wide_fingerprint_is_a_majority_of_five_word_shingles():
+    w = words(300, 5)
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 5]).encode(), 42) for i in range(296)]
+    hi, lo = simhash.wide_fingerprint(" ".join(w), 5)
+    assert hi == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > 296)
+    assert hi != lo and simhash.wide_fingerprint(None, 5) == (0, 0)
+
+
+@pytest.mark.parametrize("crowd", [2, 7, 4000])
+def test_wide_links_join_what_is_close(spark, crowd):
+    """Clusters, chains and single prints: components equal those of all pairs, whatever counts as a crowd."""
+    rng = random.Random(5)
+    prints = {rng.getrandbits(128) for _ in range(30)}
+    for k in range(4):
+        x = rng.getrandbits(128)
+        for _ in range(25):
+            y = x
+            for _ in range(rng.randrange(1, 4)):
+                y ^= 1 << rng.randrange(128)
+            prints.add(y)
+        for _ in range(6):  # a chain away from the cluster
+            for b in rng.sample(range(128), 9):
+                x ^= 1 << b
+            prints.add(x)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    rows = [(signed(x >> 64), signed(x & ((1 << 64) - 1))) for x in prints]
+    edges = simhash.wide_links(spark.createDataFrame(rows, "hi long, lo long"), distance=10, tables=24, crowd=crowd)
+    got = {r.node: r.component for r in components.components(edges).collect()}
+    as_node = lambda x: int(simhash.node(np.array([x >> 64], dtype=np.uint64), np.array([x & ((1 << 64) - 1)], dtype=np.uint64))[0])
+    want = collections.defaultdict(set)
+    for x, c in plain_groups({x: x for x in prints}, 10).items():
+        want[c].add(as_node(x))
+    have = collections.defaultdict(set)
+    for x in prints:
+        have[got.get(as_node(x), as_node(x))].add(as_node(x))
+    assert sorted(map(sorted, have.values())) == sorted(map(sorted, want.values()))
+
+
+def test_keep_one_finds_similar_texts(spark):
+    """Copies at 5-word similarity 0.85 go, texts that share little stay."""
+    rng = random.Random(2)
+    pool = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    rows, copies = [], set()
+    for i in range(60):
+        w = [rng.choice(pool) for _ in range(300)]
+        rows.append((i, " ".join(w)))
+        v = list(w)
+        for k in rng.sample(range(0, 300, 8), 5):  # 25 of 296 shingles changed on either side: 0.844
+            v[k] = rng.choice(pool)
+        rows.append((1000 + i, " ".join(v)))
+        copies.add(1000 + i)
+        rows.append((2000 + i, " ".join(w[:100] + [rng.choice(pool) for _ in range(200)])))  # a third shared
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, _ in rows} - copies <= kept and len(copies & kept) <= 6
 
 
 def test_keep_one_without_unique_ids(spark):

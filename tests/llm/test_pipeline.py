@@ -7,7 +7,7 @@ import pytest
 from docengine.llm import quality
 
 import corpus_pipeline as P
-from test_operators import DOC, WORD, plain_fingerprint, plain_groups
+from test_operators import DOC, WORD, wide_groups
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +42,7 @@ def test_stages(spark, raw):
     source = {r[0]: r[3] for r in raw}
     three_df = P.near_dedup(spark, spark.createDataFrame([(k, v, "en", source[k], len(v)) for k, v in two.items()], DOC), "")
     three = {r.doc_id: r.text for r in three_df.collect()}
-    groups = plain_groups({i: plain_fingerprint(t) for i, t in two.items()})
+    groups = wide_groups(two)
     assert three == {i: two[i] for i in set(groups.values())}
     assert 3 in three and not set(range(100, 105)) & set(three)
 
