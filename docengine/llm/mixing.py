@@ -7,8 +7,8 @@ shared again by weight. The target's whole epochs take every document; the rest
 The prefix sum never sorts a whole source: keys are cut into 40-bit ranks, sizes are summed by (source, rank digit), and
 only the digit in which the budget ends is refined (1024 times narrower each level) until few rows are left to sort.
 
-Null texts have size 0, a null source is a source (last in order), rows that share a doc_id (nulls too) share a key and
-are taken or left together, an empty table gives an empty mix. Columns of the input pass through; the operator's own are
+Null texts have size 0, a null source is a source (last in order), rows that share a doc_id (nulls too) and a quality share a key and
+are taken or left together, the smaller counting first, an empty table gives an empty mix. Columns of the input pass through; the operator's own are
 named by `prefix` and replace none.
 """
 
@@ -84,7 +84,7 @@ def cuts(slim: DataFrame, plan: DataFrame, rows_a_cut: int = 2_000) -> DataFrame
         # no digit ends beyond the rest: the range above all ranks is left, so every document of the old range is taken
         now = written(wide.select("source", "source_size", "target", "epochs", "rest", F.coalesce(F.shiftleft(F.col("e.digit"), shift), F.col("hi")).alias("lo"), F.coalesce(F.shiftleft(F.col("e.digit") + 1, shift), F.col("hi")).alias("hi"), F.coalesce(F.col("e.before"), F.col("base")).alias("base")))
         largest = inside(["source"]).groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    ordered = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = Window.partitionBy("source").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = inside(["source", "size", "key", "base", "rest"]).withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(ordered), F.lit(0)))
     last = rows.filter(F.col("before") + F.col("size") / 2 < F.col("rest")).groupBy("source").agg(F.max("key").alias("last")).select(F.col("source").alias("__src"), "last")
     full = now.join(last, now["source"].eqNullSafe(last["__src"]), "left")
