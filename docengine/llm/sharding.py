@@ -8,7 +8,9 @@
 4. Rows are permuted again within the shard: the slot. Shards are cut into hash ranges with counted offsets, so no task
    ever sorts a whole shard.
 
-Null ids and texts are values like others. Rows equal in id and text are interchangeable. Other columns pass through.
+Null ids and texts are values like others. Rows equal in id and text are interchangeable and share a partition, unless there are
+so many that the partition would be several times too large: then rows are told apart by their place in a written table. An empty
+table gives no rows. Other columns pass through; input columns named shard or slot give way.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from docengine.llm.common import written
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """How many of `draws` drawn without return are good: inversion outwards from the mode, exact for counts of any size."""
+    """How many of `draws` drawn without return are good: inversion outwards from the mode, with probabilities in double precision."""
     lo, hi = max(0, draws - bad), min(draws, good)
     if lo == hi:
         return lo
@@ -76,8 +78,18 @@ def shard(docs: DataFrame, n_shards: int, *, seed: int = 11, rows_a_partition: i
     ids = [F.col(doc_id), F.col(text)]
     rows = docs.count()
     n_parts = max(n_shards, math.ceil(rows / rows_a_partition))
-    keyed = docs.withColumns({"__p": F.pmod(_mixed(seed, "part", ids), F.lit(n_parts)).cast("int"), "__first": _mixed(seed, "first", ids), "__second": _mixed(seed, "second", ids)})
-    counts = {r["__p"]: r["n"] for r in keyed.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def dealt_by(ids: list[Column]) -> DataFrame:
+        return docs.withColumns({"__p": F.pmod(_mixed(seed, "part", ids), F.lit(n_parts)).cast("int"), "__first": _mixed(seed, "first", ids), "__second": _mixed(seed, "second", ids)})
+
+    def counted(keyed: DataFrame) -> dict[int, int]:
+        return {r["__p"]: r["n"] for r in keyed.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}  # a number for each rows_a_partition rows
+
+    keyed = dealt_by(ids)
+    counts = counted(keyed)
+    if max(counts.values(), default=0) > 4 * rows_a_partition:  # a group of equal rows
+        keyed = written(dealt_by([*ids, F.monotonically_increasing_id()]))
+        counts = counted(keyed)
     ends = []
     for p, row in enumerate(matrix([counts.get(p, 0) for p in range(n_parts)], n_shards, seed)):
         upto = 0
