@@ -9,7 +9,8 @@ Line rules (a line is what stands between line feeds; one without a word is no l
 - punctuation: ten words or more and no sentence mark at all
 Document: base_failed, or more than `most_lost` of its words stood in failing lines.
 
-Null text: no words, rejected. Everything is per row; ties and repeats don't matter; other columns pass through.
+Null text: no words, rejected. Everything is per row, whatever its id and however long its text; ties and repeats don't matter; an
+empty table gives no rows; other columns pass through, those named q_ give way.
 """
 
 from __future__ import annotations
@@ -29,8 +30,14 @@ BLANKS = b" \t\n\x0b\x0c\r"
 SEPARATORS = frozenset([b"|", b">", "»".encode(), "·".encode(), b"/", b"-"])
 SEPARATOR = re.compile(rb"(?:^|\s)(?:[|>/-]|\xc2\xbb|\xc2\xb7)(?:\s|$)")
 SENTENCE = re.compile(r"[.!?…。？！]")
-#: Notices (fixed values of the rule).
-NOTICE = re.compile(r"all rights reserved|licen[sc]ed under|\blicen[sc]e,? version|under the mit licen[sc]e|copyright \(c\)|©|terms of (use|service)|privacy policy|accept (all )?cookies|cookie policy|subscribe to our|sign up for|click here|javascript is (disabled|required)", re.I)
+#: Notices in English, German, French and Spanish (fixed values of the rule).
+NOTICE = re.compile(
+    r"all rights reserved|licen[sc]ed under|\blicen[sc]e,? version|under the mit licen[sc]e|copyright \(c\)|©|terms of (use|service)|privacy policy|accept (all )?cookies|cookie policy|subscribe to our|sign up for|click here|javascript is (disabled|required)"
+    r"|alle rechte vorbehalten|lizenziert unter|nutzungsbedingungen|datenschutz(erklärung|hinweise|richtlinie)|cookies (akzeptieren|zulassen)|newsletter abonnieren|hier klicken|javascript ist deaktiviert"
+    r"|tous droits réservés|sous licence|mentions légales|conditions (générales )?d.utilisation|politique de confidentialité|accepter (tous )?les cookies|abonnez-vous à|cliquez ici|javascript est désactivé"
+    r"|todos los derechos reservados|bajo (la )?licencia|aviso legal|términos (de uso|y condiciones)|política de (privacidad|cookies)|aceptar (todas )?las cookies|suscríbete a|haga clic aquí|javascript está desactivado",
+    re.I,
+)
 NOTICE_WORDS = 25
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
