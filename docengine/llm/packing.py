@@ -1,14 +1,15 @@
 """Order-preserving packing: window cuts by dynamic programming over document and sentence boundaries.
 
 A partition's documents, in order, are one stream of tokens (each document's ids, then an end id). Cut candidates are document
-ends, sentence ends (the token after which a text's sentence mark and white space follow), and, in longer stretches, every
-`step` tokens. The cost of a window is its padding; a cut at a sentence end costs `sentence_cost` more, one elsewhere inside
+ends and sentence ends (the token after which a text's sentence mark and white space follow); only in a stretch longer than a
+window, where there's none to choose, every `step` tokens. The cost of a window is its padding; a cut at a sentence end costs `sentence_cost` more, one elsewhere inside
 a document `inner_cost`. f(j) = min over i in [j - window, j) of f(i) + window - (j - i) + cost(j): f(i) + i over a sliding
 range, so a monotone queue gives every minimum in constant time.
 
 The stream is solved a chunk at a time: windows before the last cheap cut are given out, the rest is carried on, so memory is
 bounded and only a partition's last window is short. Nothing is shuffled. Texts are never cut to a prefix; null texts are empty
-(the end id alone). Repeated rows are packed as often as they come. An empty table gives no pieces.
+(the end id alone). Repeated rows are packed as often as they come, null ids like others. An empty table gives no pieces. Of the
+input only doc_id and text are read; other columns don't come through.
 
 Ids are those of the byte-level BPE vocabulary given as ranks, and of the added tokens that the tokenizer's JSON beside it lists:
 texts are split at those first, as `tokenizers` does. The encoder splits at
@@ -117,15 +118,15 @@ def encoder(ranks: str) -> Encoder:
     return Encoder(ranks)
 
 
-def cut_points(lengths: list[int], ends: list[np.ndarray], step: int, sentence_cost: float, inner_cost: float) -> tuple[np.ndarray, np.ndarray]:
+def cut_points(lengths: list[int], ends: list[np.ndarray], window: int, step: int, sentence_cost: float, inner_cost: float) -> tuple[np.ndarray, np.ndarray]:
     """Sorted candidates (tokens before the cut, from 1) and their costs, for documents one after another."""
     points, costs, base = [], [], 0
     for n, e in zip(lengths, ends, strict=True):
         inner = e[(e > 0) & (e < n)]
         marks = np.r_[0, inner, n]
         gaps = np.diff(marks)
-        if (gaps > step).any():
-            far = np.concatenate([np.arange(a + step, b, step) for a, b, g in zip(marks[:-1], marks[1:], gaps) if g > step])
+        if (gaps > window).any():
+            far = np.concatenate([np.arange(a + step, b, step) for a, b, g in zip(marks[:-1], marks[1:], gaps) if g > window])
             at = np.r_[inner, far, n]
             cost = np.r_[np.full(len(inner), sentence_cost), np.full(len(far), inner_cost), 0.0]
             order = np.argsort(at, kind="stable")
@@ -192,7 +193,7 @@ class Packer:
     def flush(self, last: bool) -> Iterator[tuple]:
         if not self.docs:
             return
-        points, costs = cut_points([len(d[3]) for d in self.docs], [d[4] for d in self.docs], *self.costs)
+        points, costs = cut_points([len(d[3]) for d in self.docs], [d[4] for d in self.docs], self.window, *self.costs)
         base = at = 0  # tokens before the current document; documents done
         for end in _windows(points, costs, self.window, last):
             begin = self._begin
