@@ -10,7 +10,8 @@ A bucket of more than `block` vectors is cut into blocks by a hash, and every tw
 is capped, and no task holds more than two blocks.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are their own component;
-so do vectors of different length. Rows that repeat a vec_id count as further vectors with that id.
+so do vectors of different length. Rows that repeat a vec_id count as further vectors with that id; a null vec_id gets a row and
+names a component only if nothing else is in it. An empty table gives no rows. Other columns are neither read nor returned.
 """
 
 from __future__ import annotations

@@ -100,7 +100,20 @@ def test_mix_refines_cuts_like_a_full_sort(spark):
             if before + n / 2 >= r.rest:
                 break
             before, last = before + n, key
-        assert r.cut == last or r.cut is None and mixing.RANK_BITS
+        # no cut: the refined range alone decides, and ends where the sorted sample does
+        taken = {key for s, _, key in rows if s == r.source and (r.cut is not None and key <= r.cut or spark.range(1).select(mixing._rank(F.lit(key))).first()[0] < r.lo)} if r.cut is None else None
+        assert r.cut == last or taken == {key for s, _, key in rows if s == r.source and key <= last}
+
+
+def test_mix_breaks_ties_by_size(spark):
+    """Equal keys: whatever the order of the rows, the same are taken."""
+    rows = [("s", n, 1.0) for n in (5, 1, 9, 3)] + [("s", 4, 2.0), ("s", 6, 0.5)]
+    plan = [("s", 28, 9.0, 0, 9.0)]
+    cuts = set()
+    for k in range(4):
+        slim = spark.createDataFrame(rows[k:] + rows[:k], "source string, size long, key double")
+        cuts.add(mixing.cuts(slim, spark.createDataFrame(plan, "source string, source_size long, target double, epochs long, rest double")).first().cut)
+    assert cuts == {1.0}
 
 
 @pytest.mark.parametrize(("bound", "min_chars"), [(20_000, 1), (0, 1), (20_000, 18), (0, 18)])
@@ -162,6 +175,31 @@ def test_shards_are_exact_and_gapless(docs, rows, none):
     assert sharding.shard(none, 3).count() == 0
 
 
+@pytest.mark.parametrize("copies", [0, 150])
+def test_shards_against_brute_force(spark, rows, copies):
+    """Shard and slot of every row, from the same hashes by plain Python; with many equal rows, exact sizes still."""
+    given = [(r[0], r[1]) for r in rows] + [(None, "a"), (None, "b"), (None, None)] + [(7000, "copy")] * copies
+    df = common.written(spark.createDataFrame(given, "doc_id long, text string").repartition(2))
+    got = sharding.shard(df, 5, rows_a_partition=20, seed=3).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(given)
+    if copies:
+        sizes = collections.Counter(r.shard for r in got)
+        assert max(sizes.values()) - min(sizes.values()) <= 1 and all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in sizes.items())
+        return
+    ids = [F.col("doc_id"), F.col("text")]
+    n_parts = max(5, math.ceil(len(given) / 20))
+    keyed = df.select(*ids, F.pmod(sharding._mixed(3, "part", ids), F.lit(n_parts)).alias("p"), sharding._mixed(3, "first", ids).alias("f"), sharding._mixed(3, "second", ids).alias("s")).collect()
+    parts = [sorted((r for r in keyed if r.p == p), key=lambda r: r.f) for p in range(n_parts)]
+    shards = collections.defaultdict(list)
+    for part, row in zip(parts, sharding.matrix([len(x) for x in parts], 5, 3)):
+        at = 0
+        for s, n in enumerate(row):
+            shards[s] += part[at : at + n]
+            at += n
+    want = [(r.doc_id, r.text, s, i) for s, held in shards.items() for i, r in enumerate(sorted(held, key=lambda r: r.s))]
+    assert collections.Counter((r.doc_id, r.text, r.shard, r.slot) for r in got) == collections.Counter(want)
+
+
 def test_matrix_and_hypergeometric():
     m = sharding.matrix([10, 0, 33, 7], 6, 1)
     assert [sum(r) for r in m] == [10, 0, 33, 7] and sorted(map(sum, zip(*m))) == [8, 8, 8, 8, 9, 9]
@@ -711,3 +749,32 @@ def test_warc_copies_stay_as_many(spark):
     df = spark.createDataFrame([full] * 3 + [again] * 3, REC)
     got = warc.materialise(df, warc.written(warc.resolve(df, carry=("headers",)))).collect()
     assert [(r.record_id, r.headers, r.payload) for r in got] == [(2, {"h": "2"}, "body")] * 3
+
+
+def test_null_and_repeated_ids(spark):
+    """What an operator says of a text doesn't hang on its id: null, repeated or its own."""
+    texts = [" ".join(words(60, k)).capitalize() + f".\nSame line {k % 2}.\nmail a{k}@b.example" for k in range(24)] + [None, ""]
+    given = {"own": [(k, t) for k, t in enumerate(texts)], "null": [(None, t) for t in texts], "same": [(5, t) for t in texts]}
+    frames = {k: spark.createDataFrame(v, "doc_id long, text string").withColumn("source", F.lit("s")) for k, v in given.items()}
+
+    def alike(run) -> None:
+        found = {k: collections.Counter(tuple(map(str, r)) for r in run(df).collect()) for k, df in frames.items()}
+        assert found["own"] == found["null"] == found["same"], found
+        assert sum(found["own"].values()) == len(texts)
+
+    alike(lambda d: quality.clean(d).select("text", "q_text", "q_kept", "q_lost_words"))
+    alike(lambda d: linededup.dedup_lines(d).select("text", "line_kept", "line_dropped"))
+    alike(lambda d: pii.sanitise(d).select("text", "pii_text"))
+    alike(lambda d: simhash.near_groups(d).select("fp"))
+    alike(lambda d: simhash.keep_one(d).select(F.coalesce("text", F.lit("")).alias("text")).unionByName(spark.createDataFrame([("",)], "text string")))  # null and "" are one
+    for name, df in frames.items():
+        mixed = mixing.mix(df, weights=[1.0], share=1.5).collect()
+        assert len(mixed) == len(texts) and {r.mix_copies for r in mixed} <= {1, 2}
+        shards = sharding.shard(df, 4).collect()
+        assert len(shards) == len(texts) and collections.Counter(r.shard for r in shards) == {0: 7, 1: 7, 2: 6, 3: 6}
+        scored = lm.score(df).collect()
+        assert len(scored) == len(texts) and all(r.held_out == lm_held(r.doc_id) for r in scored), name
+        pieces = packing.pack(df, ranks=ranks()).collect()
+        assert sum(r.start == 0 for r in pieces) == len(texts)
+    near = vectors.near_vectors(spark.createDataFrame([(None, [1.0, 0.0]), (None, [0.0, 1.0]), (3, [1.0, 0.01]), (3, [0.5, 0.5]), (None, None)], "vec_id long, embedding array<double>")).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in near) == [("3", 0, "3"), ("3", 1, "3"), ("None", 0, "None"), ("None", 0, "None"), ("None", 1, "3")]
