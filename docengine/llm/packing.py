@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 #: Between these the pre-tokenizer always splits: one space, non-blanks at both sides.
 SPLIT = re.compile(r"(?<=\S) (?=\S)")
-PIECES_KEPT, PIECE_CHARS = 500_000, 40
+PIECES_KEPT, PIECE_CHARS = 120_000, 40
 
 
 class _Odd(Exception):

@@ -29,6 +29,7 @@ rows share a fingerprint. A null doc_id gets a row, and counts for a component o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -96,9 +97,7 @@ def _syndrome(x: np.ndarray) -> np.ndarray:
 
 def cosets(t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Error patterns of weight <= 3 + t by syndrome: patterns, their excess, and where each syndrome's begin."""
-    every = np.arange(1 << BITS, dtype=np.int64)
-    weight = np.bitwise_count(every).astype(np.int64)
-    near = every[weight <= 3 + t]
+    near = np.array([sum(1 << b for b in c) for w in range(4 + t) for c in combinations(range(BITS), w)], dtype=np.int64)
     excess = np.maximum(np.bitwise_count(near).astype(np.int64) - 3, 0)
     s = _syndrome(near)
     order = np.lexsort((excess, s))
