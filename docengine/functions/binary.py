@@ -28,6 +28,17 @@ def kind_of(content: Column | str) -> Column:
     return out
 
 
+def data_uri(content: Column | str, mime: Column) -> Column:
+    """BI2: bytes inside a document, as base64."""
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(col(content)))
+
+
+def from_data_uri(uri: Column | str) -> Column:
+    """BI2: the bytes of a base64 data URI; null for anything else."""
+    said = F.regexp_extract(col(uri), r"^data:[^;,]*;base64,([A-Za-z0-9+/]*={0,2})$", 1)
+    return F.when(said != "", F.unbase64(said))
+
+
 def is_pdf(content: Column | str) -> Column:
     tail = F.decode(F.substring(col(content), -2048, 2048), "ISO-8859-1")
     return (kind_of(content) == "pdf") & tail.contains("%%EOF")

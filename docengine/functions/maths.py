@@ -22,12 +22,11 @@ def angle_60000(degrees: Column | str) -> Column:
 
 
 def to_emu(length: Column | str) -> Column:
-    """A CSS-like length (2.5cm, 12pt, 96) in EMU; bare numbers are pixels, anything else null."""
-    c = F.lower(F.trim(col(length)))
-    number = F.regexp_extract(c, r"^([0-9]*\.?[0-9]+)\s*(in|cm|mm|pt|pc|px)?$", 1)
-    unit = F.regexp_extract(c, r"^([0-9]*\.?[0-9]+)\s*(in|cm|mm|pt|pc|px)?$", 2)
-    factor = F.try_element_at(F.create_map(*[F.lit(v) for kv in EMU.items() for v in kv]), F.when(unit == "", "px").otherwise(unit))
-    return F.round(number.try_cast("decimal(20,6)") * factor, 0).cast("long")
+    """A length with its unit (2.5cm, 12pt) in whole EMU, cut off; bare numbers, percentages and anything else are 0."""
+    said = F.lower(F.trim(col(length)))
+    part = lambda i: F.regexp_extract(said, r"^([0-9]+(?:\.[0-9]+)?)\s*(in|cm|mm|pt|pc|px)$", i)
+    factor = F.try_element_at(F.create_map(*[F.lit(v) for kv in EMU.items() for v in kv]), part(2))
+    return F.coalesce(F.floor(part(1).try_cast("decimal(20,6)") * factor), F.lit(0)).cast("long")
 
 
 def emu_to_twips(h: Column | str) -> Column:

@@ -125,6 +125,19 @@ def resolve_part(base: Column | str, target: Column | str) -> Column:
     return F.when(F.size(walked) > 0, F.array_join(walked, "/"))
 
 
+def slice_runs(runs: Column | str, start: int, length: int) -> Column:
+    """STR11: the runs that make up `length` characters from `start` (from 0), each with its own style. runs: array of structs with text."""
+    r = col(runs)
+    size = lambda x: F.length(F.coalesce(x["text"], F.lit("")))
+    before = F.transform(r, lambda x, i: F.aggregate(F.slice(r, F.lit(1), i), F.lit(0), lambda s, y: s + size(y)))
+
+    def part(x: Column, at: Column) -> Column:
+        lo, hi = F.greatest(F.lit(start) - at, F.lit(0)), F.least(size(x), F.lit(start + length) - at)
+        return x.withField("text", F.substring(x["text"], lo + 1, F.greatest(hi - lo, F.lit(0))))
+
+    return F.filter(F.zip_with(r, before, part), lambda x: F.length(x["text"]) > 0)
+
+
 def unique_name(stem: Column, extension: Column, rank: Column) -> Column:
     """stem.ext, stem-1.ext, stem-2.ext ... by rank from 1."""
     return F.concat(stem, F.when(rank > 1, F.concat(F.lit("-"), (rank - 1).cast("string"))).otherwise(""), extension)

@@ -36,6 +36,31 @@ def islands(rows: DataFrame, key: list[str], order: str, continues: Column) -> D
     return rows.withColumn("island", F.sum(F.when(continues, 0).otherwise(1)).over(w).cast("long"))
 
 
+def banded_islands(rows: DataFrame, key: list[str], order: str, value: str, band: int = 4096) -> DataFrame:
+    """rows with island: a new one opens where value differs from the row before (by `order`, a whole number) or is null.
+
+    A key may hold any share of the rows: windows run inside bands of `band` order values; what a band leaves open is carried
+    over from one row a band.
+    """
+    b = rows.withColumn("__band", F.floor(F.col(order) / band))
+    w = Window.partitionBy(*key, "__band").orderBy(order)
+    b = b.withColumn("__opens", F.when(F.row_number().over(w) > 1, F.when(F.col(value) == F.lag(value).over(w), 0).otherwise(1)))
+    ends = b.groupBy(*key, "__band").agg(F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"), F.sum(F.coalesce("__opens", F.lit(0))).alias("inside"))
+    over = Window.partitionBy(*key).orderBy("__band")
+    ends = ends.withColumn("head", F.when(F.col("first") == F.lag("last").over(over), 0).otherwise(1))
+    upto = F.sum(F.col("head") + F.col("inside")).over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("inside")
+    base = ends.select(*key, "__band", upto.alias("__base"))
+    within = F.sum(F.coalesce("__opens", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return b.withColumn("__within", within).join(base, [*key, "__band"]).select(*rows.columns, (F.col("__base") + F.col("__within")).cast("long").alias("island"))
+
+
+def raised_heights(heights: Column, need: Column) -> Column:
+    """Heights raised to sum to need, in equal parts, the remainder to the first rows."""
+    n = F.greatest(F.size(heights), F.lit(1))
+    lack = F.greatest(need - F.aggregate(heights, F.lit(0).cast("long"), lambda s, h: s + h), F.lit(0))
+    return F.transform(heights, lambda h, i: h + F.floor(lack / n) + F.when(i < lack % n, 1).otherwise(0))
+
+
 def allotted(rows: DataFrame, key: list[str], order: list[str], weight: str, total: int) -> DataFrame:
     """rows with share: whole numbers in proportion to weight that sum to total, by cumulative rounding."""
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

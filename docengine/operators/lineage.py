@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error else."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that all its executors share")
         found = tempfile.mkdtemp(prefix="docengine-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

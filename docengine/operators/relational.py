@@ -40,14 +40,15 @@ def compared(before: DataFrame, after: DataFrame, label: str, value: str) -> Dat
 def within_regions(cells: DataFrame, regions: DataFrame, group: list[str], row: str = "row", column: str = "col") -> DataFrame:
     """cells with the first region that holds them (region: id, top, left, bottom, right), or null.
 
-    A range join as an equi-join: regions are cut into row bands of `band` rows, cells meet only the regions of their band.
+    A range join as an equi-join: regions are cut into row bands of `band` rows and gathered by band; a cell meets the one row of
+    its band, so equal cells stay as many as they are.
     """
     band = 64
     r = regions.withColumn("__band", F.explode(F.sequence(F.floor(F.col("top") / band), F.floor(F.col("bottom") / band))))
-    c = cells.withColumn("__band", F.floor(F.col(row) / band)).withColumn("__cell", F.struct(*cells.columns))
-    on = [c[g] == r[g] for g in group] + [c["__band"] == r["__band"], c[row].between(r["top"], r["bottom"]), c[column].between(r["left"], r["right"])]
-    found = c.join(r, on, "left").groupBy(c["__cell"]).agg(F.min(r["id"]).alias("region"))
-    return found.select("__cell.*", "region")
+    bands = r.groupBy(*group, "__band").agg(F.collect_list(F.struct("id", "top", "left", "bottom", "right")).alias("__regions"))
+    c = cells.withColumn("__band", F.floor(F.col(row) / band)).join(bands, [*group, "__band"], "left")
+    holds = F.filter("__regions", lambda x: F.col(row).between(x["top"], x["bottom"]) & F.col(column).between(x["left"], x["right"]))
+    return c.select(*cells.columns, F.array_min(F.transform(holds, lambda x: x["id"])).alias("region"))
 
 
 def matched_flag(left: DataFrame, right: DataFrame, on: str, flag: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docengine.functions.arrays import dense
 from docengine.operators import layout, relational as R
 from docengine.sources import ooxml, pdf, writers
 
@@ -31,15 +32,25 @@ def contents_pages(slides: DataFrame, per_page: int = 18) -> DataFrame:
     return titles.withColumn("toc_page", F.floor((n - 1) / per_page).cast("int")).groupBy("doc_id", "toc_page").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "title"))), lambda x: x["title"]).alias("entries"))
 
 
-#: What each mode of slides -> document puts where: order of title, notes, body (fixed values).
-MODES = {"outline": ("title", "body"), "handout": ("title", "body", "notes"), "notes-first": ("title", "notes", "body"), "mixed": ("title", "body", "notes")}
+#: What each mode of slides -> document tells of a slide, in order, and the line that leads its notes (fixed values).
+MODES = {"outline": (("title", "body"), ""), "handout": (("title", "body", "notes"), "备注"), "notes-first": (("title", "notes", "body"), "讲者备注"), "mixed": (("title", "place", "body", "notes"), "备注")}
+PLACE, CONTENTS = "幻灯片缩略图占位：第 %d 页", "目录"
 
 
-def slides_to_blocks(slides: DataFrame, mode: str = "outline") -> DataFrame:
-    """Blocks in the mode's order."""
-    part = {"title": F.array(F.struct(F.col("title").alias("text"), F.lit(1).alias("level"))), **{k: F.transform(k, lambda x: F.struct(x.alias("text"), F.lit(0).alias("level"))) for k in ("body", "notes")}}
+def slides_to_blocks(slides: DataFrame, mode: str = "outline", contents: bool = False) -> DataFrame:
+    """Blocks in the mode's order; with a table of contents first if asked."""
+    order, lead = MODES[mode]
+    line = lambda x, level=0: F.struct(x.alias("text"), F.lit(level).alias("level"))
+    lines = lambda c: F.transform(F.filter(c, lambda x: x != ""), lambda x: line(x))
+    notes = lines("notes")
+    part = {"title": F.array(line(F.col("title"), 1)), "place": F.array(line(F.format_string(PLACE, "idx"))), "body": lines("body"), "notes": F.when(F.size(notes) > 0, F.concat(F.array(line(F.lit(lead))), notes)).otherwise(notes)}
     ok = slides.filter(F.col("error").isNull()) if "error" in slides.columns else slides
-    return ok.select("doc_id", "idx", F.posexplode(F.concat(*[part[p] for p in MODES[mode]])).alias("k", "b")).select("doc_id", (F.col("idx") * 100_000 + F.col("k")).alias("pos"), "b.text", "b.level")
+    told = ok.select("doc_id", "idx", F.posexplode(F.concat(*[part[p] for p in order])).alias("k", "b")).select("doc_id", (F.col("idx").cast("long") * 100_000 + F.col("k")).alias("pos"), "b.text", "b.level")
+    if not contents:
+        return told
+    entries = ok.select("doc_id", F.col("idx").cast("long").alias("pos"), F.concat_ws(". ", F.col("idx").cast("string"), "title").alias("text"), F.lit(0).alias("level"))
+    heads = ok.select("doc_id").distinct().select("doc_id", F.lit(0).cast("long").alias("pos"), F.lit(CONTENTS).alias("text"), F.lit(1).alias("level"))
+    return R.union_all([heads, entries, told])
 
 
 def write_docx(blocks: DataFrame) -> DataFrame:
@@ -89,15 +100,23 @@ def excel_to_word(cells: DataFrame) -> DataFrame:
     return write_docx(tables.select("doc_id", pos.alias("pos"), F.lit("").alias("text"), F.lit(0).alias("level"), "tbl"))
 
 
-def excel_to_slides(cells: DataFrame, points: DataFrame, rows_a_slide: int = 12) -> DataFrame:
-    """A sheet's rows by twelves, then a slide a chart series with its points."""
+CHARTS = "array<struct<kind:string,series:array<struct<name:string,categories:array<string>,values:array<string>>>>>"
+
+
+def excel_to_slides(cells: DataFrame, points: DataFrame, rows_a_slide: int = 12, kind: str = "bar") -> DataFrame:
+    """A sheet's rows by twelves, then a slide a chart, as a native chart of all its series."""
     lines = sheet_lines(cells)
     part = F.floor((F.row_number().over(Window.partitionBy("doc_id", "sheet_index").orderBy("row")) - 1) / rows_a_slide).cast("int")
     text = lines.withColumn("part", part).groupBy("doc_id", "sheet_index", "part").agg(F.first("sheet_name").alias("title"), F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]).alias("body"))
     table = ooxml.chart_table(points)
-    series = table.groupBy("doc_id", "sheet_index", "chart", "series").agg(F.first("name").alias("title"), F.transform(F.array_sort(F.collect_list(F.struct("idx", "category", "value"))), lambda x: F.concat_ws(": ", x["category"], x["value"])).alias("body"))
-    both = text.select("doc_id", "sheet_index", F.col("part").alias("o1"), F.lit(0).alias("o2"), "title", "body").unionByName(series.select("doc_id", "sheet_index", (F.lit(1_000_000) + F.col("chart")).alias("o1"), F.col("series").alias("o2"), "title", "body"))
-    return both.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("sheet_index", "o1", "o2")).alias("idx"), "title", "body", F.array().cast("array<string>").alias("notes"))
+    at = lambda c: F.map_from_entries(F.collect_list(F.struct("idx", c)))
+    series = table.groupBy("doc_id", "sheet_index", "chart", "series").agg(F.first("name").alias("name"), dense(at("category")).alias("categories"), dense(at("value")).alias("values"))
+    charts = series.groupBy("doc_id", "sheet_index", "chart").agg(F.array_sort(F.collect_list(F.struct("series", "name", "categories", "values"))).alias("s"))
+    drawn = F.array(F.struct(F.lit(kind).alias("kind"), F.transform("s", lambda x: F.struct(x["name"].alias("name"), x["categories"].alias("categories"), x["values"].alias("values"))).alias("series"))).cast(CHARTS)
+    none = F.array().cast("array<string>")
+    both = text.select("doc_id", "sheet_index", F.col("part").alias("o"), "title", "body", F.array().cast(CHARTS).alias("charts"))
+    both = both.unionByName(charts.select("doc_id", "sheet_index", (F.lit(1_000_000) + F.col("chart")).alias("o"), F.col("s")[0]["name"].alias("title"), none.alias("body"), drawn.alias("charts")))
+    return both.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("sheet_index", "o")).alias("idx"), F.coalesce("title", F.lit("")).alias("title"), "body", none.alias("notes"), "charts")
 
 
 def select_sheets(cells: DataFrame, wanted: list[str]) -> DataFrame:
@@ -110,7 +129,7 @@ def select_sheets(cells: DataFrame, wanted: list[str]) -> DataFrame:
 
 
 def select_cells(cells: DataFrame, ranges: list[str] | None = None, first_n: int = 12) -> DataFrame:
-    """cells in any of the ranges, by interval; without ranges the first n of each sheet, n from 1 to 200."""
+    """Cells in any of the ranges, by interval; without ranges the first n of each sheet by (row, col), n from 1 to 200."""
     if ranges:
         hit = None
         for top, left, bottom, right in map(ooxml.range_at, ranges):

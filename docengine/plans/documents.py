@@ -1,15 +1,15 @@
-"""Document jobs over files that are made from the tables: write, read back, reconcile. Rows only; tests check the facts."""
+"""Document jobs over files that are made from the tables: write, read back, reconcile."""
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.plans import conversions as C
-from docengine.plans.sheets import lines
+from docengine.operators.lineage import shared_dir
+from docengine.plans.sheets import LINES, lines
 from docengine.plans.tables import Tables
 from docengine.registry import query
 from docengine.sources import archive, images, ooxml, pdf, vba, writers
@@ -30,43 +30,58 @@ def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return some.select(F.concat(F.lit("b"), F.floor(F.col("l_orderkey") / 100).cast("string")).alias("doc_id"), F.col("l_orderkey").alias("pos"), "cells")
 
 
-@query()
+#: A line without white space at its ends.
+BARE = "trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13) || chr(160))"
+
+
+@query(f"""WITH l AS ({LINES}), v AS (SELECT doc_id, pos, {BARE} AS text, CASE WHEN length(line) < 60 OR pos = 0 THEN 1 ELSE 0 END AS level FROM l), k AS (SELECT * FROM v WHERE text <> '')
+SELECT doc_id || '.docx' AS doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos, 'paragraph' AS kind, text, CAST(level AS INTEGER) AS level, CAST(NULL AS VARCHAR) AS error FROM k
+UNION ALL SELECT doc_id || '.docx', 0, 'paragraph', CAST(doc_id AS VARCHAR), 1, NULL FROM (SELECT DISTINCT doc_id FROM l) WHERE doc_id NOT IN (SELECT doc_id FROM k)""")
 def ooxml_word_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as DOCX and read back as blocks."""
+    """S7, S20, O12, STR4, STR5, XM1: documents written as DOCX and read back as blocks with their levels."""
     return ooxml.read_docx(_files(C.write_docx(_blocks(spark, sf_dir)))).select("doc_id", "pos", "kind", "text", "level", "error")
 
 
-@query()
+@query(f"""WITH s AS (SELECT *, count(*) FILTER (WHERE length(line) < 60) OVER w AS section, last_value(CASE WHEN length(line) < 60 THEN line END IGNORE NULLS) OVER w AS title FROM ({LINES}) WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+b AS (SELECT *, greatest((count(*) FILTER (WHERE length(line) >= 60) OVER (PARTITION BY doc_id, section ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1) // 12, 0) AS part FROM s),
+g AS (SELECT doc_id, section, part, coalesce(any_value(title), '正文') AS title, list(line ORDER BY pos) FILTER (WHERE length(line) >= 60) AS body FROM b GROUP BY 1, 2, 3),
+i AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section, part) AS idx, list_filter(list_transform(list_prepend(title, coalesce(body, [])), lambda line: {BARE}), lambda x: x <> '') AS t FROM g)
+SELECT doc_id || '.pptx' AS doc_id, CAST(idx AS INTEGER) AS idx, coalesce(t[1], '幻灯片 ' || idx) AS title, t[2:] AS body, CAST(NULL AS VARCHAR) AS error FROM i""")
 def ooxml_word_to_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks to slides, written as PPTX, read back."""
+    """Blocks to slides, written as PPTX, read back."""
     b = _blocks(spark, sf_dir).withColumn("error", F.lit(None).cast("string"))
     return ooxml.read_pptx(_files(C.write_pptx(C.word_to_slides(b)))).select("doc_id", "idx", "title", "body", "error")
 
 
-@query()
+@query("""WITH u AS (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem), c AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) AS col FROM u),
+r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey // 100 ORDER BY l_orderkey) AS "row" FROM (SELECT DISTINCT l_orderkey FROM lineitem))
+SELECT 'b' || (l_orderkey // 100) || '.xlsx' AS doc_id, CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col, chr(CAST(64 + col AS INTEGER)) || "row" AS ref, l_returnflag AS value, CAST(NULL AS VARCHAR) AS error FROM c JOIN r USING (l_orderkey)""")
 def ooxml_sheet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sheets written as XLSX, read back as cells."""
+    """S9, O8, XM3: sheets written as XLSX, read back as cells."""
     made = writers.per_group(_grid(spark, sf_dir), "doc_id", ["pos"], lambda rows: writers.xlsx([list(r["cells"]) for r in rows]), lambda k: f"{k}.xlsx")
     return ooxml.read_cells(_files(made)).select("doc_id", "row", "col", "ref", "value", "error")
 
 
-@query()
+PDF_LINES = f"""l AS ({LINES}), t AS (SELECT doc_id, pos, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS text FROM l), f AS (SELECT doc_id, text, min(pos) AS pos FROM t WHERE text <> '' GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {PDF_LINES} SELECT doc_id || '.pdf' AS doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos, text, CAST(NULL AS VARCHAR) AS error FROM f""")
 def pdf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as PDF, read back as lines."""
+    """S10, O11, STR14, BI3: documents written as PDF, read back as lines by first occurrence."""
     made = writers.per_group(_blocks(spark, sf_dir), "doc_id", ["pos"], lambda rows: writers.pdf([r["text"] for r in rows]), lambda k: f"{k}.pdf")
     return pdf.read_pdf(_files(made))
 
 
-@query()
+@query("""SELECT (page_id // 50) || '.zip' AS doc_id, CAST(row_number() OVER (PARTITION BY page_id // 50 ORDER BY page_id || '.html') - 1 AS INTEGER) AS pos, page_id || '.html' AS part, CAST(strlen(html) AS BIGINT) AS size, CAST(NULL AS VARCHAR[]) AS reasons FROM pages""")
 def zip_bundle_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages bundled into archives, listed with their safety verdict."""
-    p = Tables(spark, sf_dir).pages.select((F.col("page_id") % 10).cast("string").alias("task"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.col("html").cast("binary").alias("content"))
+    """Pages bundled into archives of fifty, listed with their safety verdict."""
+    p = Tables(spark, sf_dir).pages.select(F.floor(F.col("page_id") / 50).cast("string").alias("task"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.col("html").cast("binary").alias("content"))
     listed = archive.entries(_files(writers.bundle(p, "task")))
     bad = archive.unsafe(listed).groupBy("doc_id").agg(F.array_sort(F.collect_list("reason")).alias("reasons"))
-    return listed.join(bad, "doc_id", "left").select("doc_id", "pos", "part", "size", "crc", "reasons")
+    return listed.join(bad, "doc_id", "left").select("doc_id", "pos", "part", "size", "reasons")
 
 
-@query()
+@query("""SELECT CAST(vec_id AS VARCHAR) AS doc_id, 'bmp' AS kind, CAST(vec_id % 200 + 1 AS INTEGER) AS width, CAST(4 AS INTEGER) AS height, CAST(NULL AS VARCHAR) AS error FROM embeddings""")
 def image_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header probes over small BMP files made from embeddings' ids."""
     head = F.concat(F.lit("424D"), F.repeat(F.lit("0"), 24), F.lit("28000000"), F.lpad(F.hex(F.col("vec_id") % 200 + 1), 2, "0"), F.lit("000000FCFFFFFF"), F.repeat(F.lit("0"), 60))
@@ -74,7 +89,7 @@ def image_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.read_sizes(files)
 
 
-@query()
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS doc_id, m.name AS macro_name, 'M' || c_custkey AS module_name, CAST(m.line AS INTEGER) AS source_line, 'M' || c_custkey || '.' || m.name AS qualified_name, CAST(NULL AS VARCHAR) AS error FROM customer, (VALUES ('Run', 2), ('Also', 7)) m(name, line)""")
 def vba_macro_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Macros of modules made from customers."""
     source = F.concat(F.lit('Attribute VB_Name = "M'), F.col("c_custkey").cast("string"), F.lit("\"\nPublic Sub Run_\n  ' Sub No()\nEnd Sub\nPrivate Sub Hidden()\nEnd Sub\nSub Also(): x = \"Sub Neither()\"\nEnd Sub\n"))
@@ -83,8 +98,7 @@ def vba_macro_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"/tmp/docengine-{os.getuid()}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("""SELECT event_type AS level, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY event_type""")

@@ -151,10 +151,10 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, sha256(text) AS image_hash, count(*) OVER (PARTITION BY sha256(text)) > 1 AS is_duplicate FROM documents""")
 def duplicate_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A19, BI1: contents that occur twice. Counted per digest and joined back, so a hot digest is pre-aggregated."""
+    """A19, BI1: contents that occur twice; those without a text are equal too. Only digests that repeat are joined back, as flags."""
     d = Tables(spark, sf_dir).documents.select("doc_id", binary.sha256(F.col("text").cast("binary")).alias("image_hash"))
-    per = d.groupBy("image_hash").agg(F.count(F.lit(1)).alias("n"))
-    return d.join(per, "image_hash").select("doc_id", "image_hash", (F.col("n") > 1).alias("is_duplicate"))
+    again = d.groupBy("image_hash").count().filter("count > 1").select(F.col("image_hash").alias("h"), F.lit(True).alias("again"))
+    return d.join(again, d["image_hash"].eqNullSafe(again["h"]), "left").select("doc_id", "image_hash", F.coalesce("again", F.lit(False)).alias("is_duplicate"))
 
 
 @query("""SELECT event_type AS macro, count(*) AS usage_count, max(ts) AS last_used_at, max(ts) >= TIMESTAMP '2024-01-15 00:00:00' AS recently_used FROM events GROUP BY event_type""")

@@ -46,10 +46,10 @@ def column_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.withColumn("back", text.column_number("letters").cast("long"))
 
 
-@query("""SELECT doc_id, list_filter(list_transform(regexp_split_to_array(substr(text, 1, 400), '[,，;；' || chr(10) || ']+'), lambda s: trim(s)), lambda s: s <> '') AS parts FROM documents""")
+@query("""SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[,，;；' || chr(10) || ']+'), lambda s: trim(s)), lambda s: s <> '') AS parts FROM documents""")
 def split_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR9, F23: parts of a list, trimmed, empty ones dropped."""
-    return Tables(spark, sf_dir).documents.select("doc_id", text.split_trim(F.substring("text", 1, 400)).alias("parts"))
+    return Tables(spark, sf_dir).documents.select("doc_id", text.split_trim("text").alias("parts"))
 
 
 @query(r"""SELECT event_id, 'opened ' || regexp_replace('/home/user' || user_id || '/in/' || event_type || '.docx', '(?:/(?:Users|home|var|tmp|private|opt|etc|mnt|Volumes)(?:/[^/\s"''<>|]+)*)/([^/\s"''<>|]+)', '\1', 'g') || ' ok' AS message FROM events""")
@@ -59,16 +59,16 @@ def redact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).events.select("event_id", text.redact_paths(said).alias("message"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(substr(text, 1, 200), '[^\x20-\x7E]', '?', 'g') AS shown FROM documents""")
+@query(r"""SELECT doc_id, regexp_replace(text, '[^\x20-\x7E]', '?', 'g') AS shown FROM documents""")
 def ascii_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR18, T3."""
-    return Tables(spark, sf_dir).documents.select("doc_id", text.ascii_project(F.substring("text", 1, 200)).alias("shown"))
+    return Tables(spark, sf_dir).documents.select("doc_id", text.ascii_project("text").alias("shown"))
 
 
-@query("""SELECT doc_id, replace(replace(replace(replace(replace(substr(text, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS html, '来源：' || source || '；语言：' || lang AS label FROM documents""")
+@query("""SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS html, '来源：' || source || '；语言：' || lang AS label FROM documents""")
 def escape_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR8, STR15."""
-    return Tables(spark, sf_dir).documents.select("doc_id", text.escape(F.substring("text", 1, 300)).alias("html"), F.concat_ws("；", F.concat(F.lit("来源："), "source"), F.concat(F.lit("语言："), "lang")).alias("label"))
+    return Tables(spark, sf_dir).documents.select("doc_id", text.escape("text").alias("html"), F.concat_ws("；", F.concat(F.lit("来源："), "source"), F.concat(F.lit("语言："), "lang")).alias("label"))
 
 
 @query("""SELECT o_orderkey, CAST(s AS BIGINT) AS seconds, CASE WHEN s >= 3600 THEN (s // 3600) || '小时' || ((s // 60) % 60) || '分' || (s % 60) || '秒' WHEN s >= 60 THEN (s // 60) || '分' || (s % 60) || '秒' ELSE s || '秒' END AS label
@@ -103,8 +103,8 @@ def half_up_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", "l_discount", maths.half_up("l_discount", 100000).alias("crop"), maths.angle_60000(F.col("l_quantity") * 17).alias("turn"))
 
 
-@query("""SELECT p_partkey, CAST(round(p_size * CASE p_partkey % 4 WHEN 0 THEN 914400 WHEN 1 THEN 360000 WHEN 2 THEN 12700 ELSE 9525 END, 0) AS BIGINT) AS emu,
-CAST(floor((p_size * CASE p_partkey % 4 WHEN 0 THEN 914400 WHEN 1 THEN 360000 WHEN 2 THEN 12700 ELSE 9525 END + 317) / 635.0) AS BIGINT) AS twips FROM part""")
+@query("""SELECT p_partkey, CAST(round(p_size * CASE p_partkey % 4 WHEN 0 THEN 914400 WHEN 1 THEN 360000 WHEN 2 THEN 12700 ELSE 0 END, 0) AS BIGINT) AS emu,
+CAST(floor((p_size * CASE p_partkey % 4 WHEN 0 THEN 914400 WHEN 1 THEN 360000 WHEN 2 THEN 12700 ELSE 0 END + 317) / 635.0) AS BIGINT) AS twips FROM part""")
 def unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MA3, MA5."""
     unit = F.element_at(F.array(*[F.lit(u) for u in ("in", "cm", "pt", "")]), (F.col("p_partkey") % 4 + 1).cast("int"))
@@ -137,10 +137,10 @@ def truthy_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT l_orderkey, list_transform(range(0, CAST(max(l_linenumber) + 1 AS BIGINT)), lambda i: coalesce(list_first(list_filter(list(l_linenumber || ':' || l_returnflag ORDER BY l_returnflag DESC), lambda x: starts_with(x, i || ':'))), '')) AS vec
-FROM lineitem WHERE l_orderkey < 300 GROUP BY l_orderkey""".replace("list_first(", "list_extract(").replace("i || ':'))), '')", "i || ':')), 1), '')"))
+FROM lineitem GROUP BY l_orderkey""".replace("list_first(", "list_extract(").replace("i || ':'))), '')", "i || ':')), 1), '')"))
 def dense_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AR3: a sparse vector made dense, gaps blank."""
-    few = Tables(spark, sf_dir).lineitem.filter("l_orderkey < 300").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("f"))
+    few = Tables(spark, sf_dir).lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("f"))
     m = few.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_linenumber", F.concat_ws(":", F.col("l_linenumber").cast("string"), "f")))).alias("m"))
     return m.select("l_orderkey", arrays.dense("m").alias("vec"))
 

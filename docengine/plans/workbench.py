@@ -45,6 +45,72 @@ def renamed(files: DataFrame) -> DataFrame:
     return files.withColumn("file_name", text.unique_name(stem, ext, rank))
 
 
+def stored_names(files: DataFrame, how: str = "rename") -> DataFrame:
+    """Files of one name: numbered (rename), the first stays (skip) or the last does (overwrite), by id."""
+    if how == "rename":
+        return renamed(files)
+    row, at = F.struct(*files.columns), F.col("id")
+    return files.groupBy("file_name").agg((F.min_by(row, at) if how == "skip" else F.max_by(row, at)).alias("x")).select("x.*")
+
+
+def replaced(files: DataFrame, new: DataFrame, children: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files with new contents under their ids, children without those of replaced files: they're built again from the new ones)."""
+    n = new.select(F.col("id").alias("__id"), F.col("content").alias("__new"))
+    now = files.join(n, F.col("id") == F.col("__id"), "left").select(*[c for c in files.columns if c != "content"], F.coalesce("__new", "content").alias("content"), F.col("__id").isNotNull().alias("replaced"))
+    return now, children.join(n.select(F.col("__id").alias("parent_id")), "parent_id", "left_anti")
+
+
+#: Kinds of tasks (fixed values).
+TASK_TYPES = ("formula_recognition", "image_extract", "macro_run", "omml_preflight", "batch_process", "word_to_ppt", "ppt_to_word", "pdf_to_word", "excel_to_pdf", "excel_to_word", "excel_to_ppt")
+
+
+def created(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """P5: (id, task_type, files, error, status) of asked-for tasks. asked: id, task_type, sources (file_id, sha256 when listed);
+    files: file_id, sha256 now. A source that changed or is gone, or an unknown type, fails the task before it runs."""
+    s = asked.select("id", F.explode("sources").alias("s")).select("id", "s.file_id", F.col("s.sha256").alias("listed"))
+    now = files.select(F.col("file_id").alias("f"), F.col("sha256").alias("now"))
+    changed = s.join(now, F.col("file_id") == F.col("f"), "left").groupBy("id").agg(F.bool_or(~F.col("listed").eqNullSafe(F.col("now"))).alias("changed"))
+    both = asked.join(changed, "id", "left")
+    error = F.when(truthy("changed"), "来源已变").when(~F.col("task_type").isin(*TASK_TYPES), "类型未知").otherwise("")
+    return both.select("id", "task_type", F.when(error == "", F.size("sources")).otherwise(0).alias("files"), error.alias("error"), F.when(error == "", "待处理").otherwise("失败").alias("status"))
+
+
+def imported(sources: DataFrame, most_bytes: int = 2_000_000) -> DataFrame:
+    """Macro sources (name, source_text, id) with their digest; again: the same contents came in before, so nothing is added."""
+    s = sources.withColumn("digest", F.sha2("source_text", 256))
+    first = s.groupBy("digest").agg(F.min("id").alias("__first"))
+    error = F.when(F.octet_length("source_text") > most_bytes, "宏源码过大").otherwise("")
+    return s.join(first, "digest").withColumns({"again": F.col("id") > F.col("__first"), "error": error}).drop("__first")
+
+
+def queued(tasks: DataFrame, column: str, kinds: list[str]) -> DataFrame:
+    """What waits in the tasks' results: (task_id, kind, n, first_id). column: array of (event_type, event_id)."""
+    flat = tasks.select("task_id", F.explode(column).alias("r")).select("task_id", "r.*").filter(F.col("event_type").isin(*kinds))
+    return flat.groupBy("task_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+
+
+def restorable(registered: DataFrame, held: DataFrame) -> DataFrame:
+    """P20: (id, verdict) of backups: registered digests against the bytes that are held."""
+    h = held.select(F.col("id").alias("__id"), F.sha2("content", 256).alias("__now"))
+    verdict = F.when(F.col("__now").isNull(), "备份缺失").when(F.col("__now") != F.col("sha256"), "校验失败").otherwise("可恢复")
+    return registered.join(h, F.col("id") == F.col("__id"), "left").select("id", verdict.alias("verdict"))
+
+
+def allowed(payload: Column, schema: str, most: int = 200, known: dict[str, list[str]] | None = None) -> Column:
+    """of a JSON payload the fields of an allow-list (DDL): texts cut to `most`, lists to known names where those are given."""
+    p = F.from_json(payload, schema)
+
+    def field(f: T.StructField) -> Column:
+        c = p[f.name]
+        if isinstance(f.dataType, T.StringType):
+            return F.left(c, F.lit(most))
+        if f.name in (known or {}):
+            return F.filter(c, lambda x: x.isin(*known[f.name]))
+        return c
+
+    return F.when(p.isNotNull(), F.struct(*[field(f).alias(f.name) for f in T.StructType.fromDDL(schema)]))
+
+
 def settings(saved: DataFrame, defaults: dict[str, str], forced: dict[str, str] | None = None) -> dict[str, str]:
     """F16, M9: the known settings; unknown keys are ignored, forced ones stay. A few rows by nature, so they come to the driver."""
     known = saved.filter(F.col("key").isin(list(defaults))).select("key", "value").limit(len(defaults)).collect()
@@ -209,12 +275,12 @@ def recovery_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).orders.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus").isin("F", "P")).alias("retryable"))
 
 
-@query("""SELECT doc_id, '<math xmlns="http://www.w3.org/1998/Math/MathML"><mtext>' || replace(replace(replace(replace(replace(substr(text, 1, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</mtext></math>' AS mathml FROM documents WHERE lang = 'de'""")
+@query("""SELECT doc_id, '<math xmlns="http://www.w3.org/1998/Math/MathML"><mtext>' || replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</mtext></math>' AS mathml FROM documents""")
 def mathml_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formulas without MathML as text."""
     from docengine.sources.writers import mathml
 
-    return Tables(spark, sf_dir).documents.filter("lang = 'de'").select("doc_id", mathml(F.lit(None).cast("string"), F.substring("text", 1, 80)).alias("mathml"))
+    return Tables(spark, sf_dir).documents.select("doc_id", mathml(F.lit(None).cast("string"), F.col("text")).alias("mathml"))
 
 
 @query("""SELECT source, '"' || source || '","' || count(*) || '","' || CAST(sum(n_chars) AS BIGINT) || '"' AS line FROM documents GROUP BY source""")

@@ -23,7 +23,7 @@ def landed(spark: SparkSession, folder: str, pattern: str = "*", most_bytes: int
 def per_file(files: DataFrame, parse: Callable[[str, bytes], Iterator[tuple]], schema: str) -> DataFrame:
     """Rows that parse(path, bytes) gives for each file. The last column takes the error of a file that can't be read."""
     fields = T.StructType.fromDDL(schema)
-    arrow = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in fields])
+    arrow = arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -33,12 +33,16 @@ def per_file(files: DataFrame, parse: Callable[[str, bytes], Iterator[tuple]], s
                     rows = list(parse(name, content.as_py()))
                 except Exception as e:  # noqa: BLE001  one bad file is a row, not a lost job
                     rows = [(name, *[None] * (len(fields) - 2), f"{type(e).__name__}: {e}")]
-                if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(fields.names, r)) for r in rows], schema=arrow)
+                if rows:  # by column: no row of its own is built for Arrow
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
     return files.select(F.col("path"), F.col("content")).mapInArrow(run, fields)
 
 
+def arrow_schema(fields: T.StructType) -> pa.Schema:
+    return pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in fields])
+
+
 def _arrow(t: T.DataType) -> pa.DataType:
     if isinstance(t, T.ArrayType):
         return pa.list_(_arrow(t.elementType))
@@ -50,14 +54,15 @@ def _arrow(t: T.DataType) -> pa.DataType:
 
 
 def entries(files: DataFrame, with_data: bool = False, most_entry: int = 256 * 1024 * 1024) -> DataFrame:
-    """The directory of every archive."""
+    """The directory of every archive, with the entries' bytes if asked; an entry that is too large to read says so."""
 
     def parse(name: str, content: bytes) -> Iterator[tuple]:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             for i, e in enumerate(z.infolist()):
                 locked = bool(e.flag_bits & 1)
-                data = z.read(e) if with_data and not locked and e.file_size <= most_entry else None
-                yield name, i, e.filename, e.file_size, e.compress_size, e.CRC, locked, e.is_dir(), data, None
+                large = with_data and not locked and e.file_size > most_entry
+                data = z.read(e) if with_data and not locked and not large else None
+                yield name, i, e.filename, e.file_size, e.compress_size, e.CRC, locked, e.is_dir(), data, f"entry is larger than {most_entry} bytes" if large else None
 
     return per_file(files, parse, ENTRY)
 

@@ -7,6 +7,7 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import groupby
 from xml.etree import ElementTree as ET
 
 from pyspark.sql import DataFrame
@@ -133,37 +134,44 @@ def _runs(p: ET.Element) -> list[dict]:
     return out
 
 
+def _table_cells(tbl: ET.Element) -> Iterator[tuple[int, int, int, str, str]]:
+    """(column, span, row, vertical mark, text) of a table's cells; a row may begin some grid columns in."""
+    number = lambda node, default: int(attr(node, "val", "")) if node is not None and attr(node, "val", "").isdigit() else default
+    own = lambda node, name: [n for n in node if local(n) == name]
+    for row, tr in enumerate(own(tbl, "tr")):
+        column = sum(number(first(pr, "gridBefore"), 0) for pr in own(tr, "trPr"))
+        for tc in own(tr, "tc"):
+            pr = next(iter(own(tc, "tcPr")), None)
+            span, merge = max(1, number(first(pr, "gridSpan"), 1)), first(pr, "vMerge")
+            mark = "" if merge is None else attr(merge, "val", "continue")
+            yield column, span, row, mark, "\n".join(filter(None, map(visible, own(tc, "p"))))
+            column += span
+
+
 def table_grid(tbl: ET.Element) -> tuple[list[list[str]], list[list[int]]]:
-    """Rows as a full grid, and merges [top, left, height, width]; a vertical merge goes on while the next row continues at
-    the same column and span."""
-    rows: list[list[str]] = []
-    merges: list[list[int]] = []
-    active: dict[tuple[int, int], list[int]] = {}
-    for r, tr in enumerate(n for n in tbl if local(n) == "tr"):
-        row: list[str] = []
-        now: dict[tuple[int, int], list[int]] = {}
-        for tc in (n for n in tr if local(n) == "tc"):
-            props = next((n for n in tc if local(n) == "tcPr"), None)
-            span_node, v = first(props, "gridSpan"), first(props, "vMerge")
-            span = max(1, int(attr(span_node, "val", "1"))) if span_node is not None else 1
-            at = len(row)
-            key = (at, span)
-            text = "\n".join(t for t in (visible(p) for p in tc if local(p) == "p") if t)
-            if v is not None and attr(v, "val", "continue") == "continue" and key in active:
-                m = active[key]
-                m[2] += 1
-                now[key] = m
-                text = ""
-            elif v is not None or span > 1:
-                m = [r, at, 1, span]
-                merges.append(m)
-                if v is not None:
-                    now[key] = m
-            row += [text] + [""] * (span - 1)
-        active = now
-        rows.append(row)
-    width = max(map(len, rows), default=0)
-    return [r + [""] * (width - len(r)) for r in rows], [m for m in merges if m[2] > 1 or m[3] > 1]
+    """A full grid of texts, and merges [top, left, height, width].
+
+    Cells of the same column and span are looked at from top to bottom: one that is marked as going on, right below a marked one,
+    belongs to the island above it. An island shows its first text.
+    """
+    cells = sorted(_table_cells(tbl))
+    rows = sum(local(n) == "tr" for n in tbl)
+    grid = [[""] * max((c + span for c, span, *_ in cells), default=0) for _ in range(rows)]
+    merges = []
+    for (left, width), place in groupby(cells, key=lambda x: x[:2]):
+        islands: list[list[tuple]] = []
+        for cell in place:
+            above = islands[-1][-1] if islands else None
+            if above and cell[3] == "continue" and above[3] and above[2] == cell[2] - 1:
+                islands[-1].append(cell)
+            else:
+                islands.append([cell])
+        for island in islands:
+            top = island[0][2]
+            grid[top][left] = island[0][4]
+            if len(island) * width > 1:
+                merges.append([top, left, len(island), width])
+    return grid, sorted(merges)
 
 
 def _level(p: ET.Element, index: int) -> int:
@@ -250,6 +258,50 @@ def pptx_slides(name: str, content: bytes) -> Iterator[tuple]:
         yield name, i, texts[0] if texts else f"幻灯片 {i}", texts[1:], notes, count(root, "txBody"), count(root, "sp"), len(tables), len(media), len(charts), count(root, "oMath"), tables, None
 
 
+SLIDE_TABLE = "doc_id string, idx int, pos int, tbl array<array<string>>, merges array<array<int>>, widths array<bigint>, heights array<bigint>, alignments array<array<string>>, error string"
+
+
+def slide_tables(name: str, content: bytes) -> Iterator[tuple]:
+    """Tables on slides: texts, merges [top, left, height, width], sizes in EMU, alignments; what a merge covers has no text."""
+    package = Package(content)
+    number = lambda node, key, default: int(node.get(key)) if (node.get(key) or "").isdigit() else default
+    for i, (_, part) in enumerate(package.ordered("ppt/presentation.xml", "sldId", "slide"), 1):
+        for pos, tbl in enumerate(n for n in package.xml(part).iter() if local(n) == "tbl"):
+            rows = [[tc for tc in tr if local(tc) == "tc"] for tr in tbl if local(tr) == "tr"]
+            spot = [(r, c, tc) for r, line in enumerate(rows) for c, tc in enumerate(line)]
+            merges = [[r, c, h, w] for r, c, tc in spot if (h := number(tc, "rowSpan", 1)) * (w := number(tc, "gridSpan", 1)) > 1]
+            texts = [["" if tc.get("hMerge") or tc.get("vMerge") else " ".join(_paragraphs(tc, False)) for tc in line] for line in rows]
+            align = [[next((attr(p, "algn") for p in tc.iter() if local(p) == "pPr" and attr(p, "algn")), "") for tc in line] for line in rows]
+            yield name, i, pos, texts, merges, [number(g, "w", 0) for g in tbl.iter() if local(g) == "gridCol"], [number(tr, "h", 0) for tr in tbl if local(tr) == "tr"], align, None
+
+
+def read_slide_tables(files: DataFrame) -> DataFrame:
+    return per_file(files, slide_tables, SLIDE_TABLE)
+
+
+SLIDE_POINT = "doc_id string, idx int, chart int, series int, name string, point int, category string, value string, error string"
+
+
+def slide_points(name: str, content: bytes) -> Iterator[tuple]:
+    """Cached points of charts on slides; a gap is no row."""
+    package = Package(content)
+    for i, (_, part) in enumerate(package.ordered("ppt/presentation.xml", "sldId", "slide"), 1):
+        for n, target in enumerate((t for _, k, t, external in package.relations(part) if k == "chart" and not external), 1):
+            for s, ser in enumerate((x for x in package.xml(target).iter() if local(x) == "ser"), 1):
+                held = {local(c): {int(p.get("idx", "0")): (first(p, "v").text or "") for p in c.iter() if local(p) == "pt"} for c in ser if local(c) in ("tx", "cat", "val")}
+                for at, value in sorted(held.get("val", {}).items()):
+                    yield name, i, n, s, held.get("tx", {}).get(0, ""), at, held.get("cat", {}).get(at), value, None
+
+
+def read_slide_points(files: DataFrame) -> DataFrame:
+    return per_file(files, slide_points, SLIDE_POINT)
+
+
+def notes_lines(name: str, content: bytes) -> Iterator[tuple]:
+    """what a notes page says, without its placeholders for header, footer, date, number and picture."""
+    yield name, _paragraphs(parse(content), True), None
+
+
 def letters_number(letters: str) -> int:
     n = 0
     for c in letters.upper():
@@ -479,9 +531,9 @@ def pictures(name: str, content: bytes) -> Iterator[tuple]:
             continue
         root = package.xml(part)
         pos = 0
-        for holder in (n for n in root.iter() if local(n) in ("inline", "anchor", "pic", "pict")):
-            if local(holder) == "pic" and part.startswith("word/") and any(holder in list(h.iter()) for h in root.iter() if local(h) in ("inline", "anchor")):
-                continue
+        # a drawing's own picture is told by the drawing
+        inner = {id(n) for h in root.iter() if local(h) in ("inline", "anchor") for n in h.iter() if local(n) == "pic"} if part.startswith("word/") else set()
+        for holder in (n for n in root.iter() if local(n) in ("inline", "anchor", "pic", "pict") and id(n) not in inner):
             blip = first(holder, "blip")
             blip = blip if blip is not None else first(holder, "imagedata")
             if blip is None:
@@ -568,3 +620,20 @@ def table_pages(name: str, pos: int, tbl: list[list[str]], merges: list[list[int
         part = [line[c[0] : c[1]] for line in tbl[r[0] : r[1]]]
         inside = [[m[0] - r[0], m[1] - c[0], m[2], m[3]] for m in merges if r[0] <= m[0] < r[1] and c[0] <= m[1] < c[1]]
         yield name, pos, page, part, inside, None
+
+
+def paged(tables: DataFrame, rows: int = 12, columns: int = 12) -> DataFrame:
+    """tables (doc_id, pos, tbl, merges) as their pages."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from docengine.sources.archive import arrow_schema
+
+    schema = arrow_schema(T.StructType.fromDDL(PAGE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.to_pylist():
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, p)) for p in table_pages(t["doc_id"], t["pos"], t["tbl"], t["merges"], rows, columns)], schema=schema)
+
+    return tables.select("doc_id", "pos", "tbl", "merges").mapInArrow(run, PAGE)

@@ -33,7 +33,18 @@ def test_docx_round_trip(spark):
     assert got[1].runs[0].b and got[1].runs[0].size == 24 and got[1].runs[0].color == "FF0000" and not got[1].runs[1].b
     assert got[2].tbl == [["x", "", "y"], ["", "", "z"]] and got[2].merges == [[0, 0, 2, 2]]
     with pytest.raises(ValueError):
-        writers.merge_cells([["a"]], [[0, 0, 2, 1]])
+        writers.Merges([[0, 0, 2, 1]], 1, 1)
+
+
+def test_tables_with_late_rows_and_broken_merges():
+    ns = f'xmlns:w="{writers.NS["w"]}"'
+    cell = lambda t, props="": f"<w:tc><w:tcPr>{props}</w:tcPr><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    go, start = '<w:vMerge/>', '<w:vMerge w:val="restart"/>'
+    rows = [cell("a", start) + cell("b"), '<w:trPr><w:gridBefore w:val="1"/></w:trPr>' + cell("c", go), cell("", go) + cell("", go), cell("d") + cell("", go), cell("", go) + cell("e", '<w:gridSpan w:val="2"/>')]
+    grid, merges = ooxml.table_grid(ooxml.parse(f"<w:tbl {ns}>{''.join(f'<w:tr>{r}</w:tr>' for r in rows)}</w:tbl>".encode()))
+    assert grid == [["a", "b", ""], ["", "c", ""], ["", "", ""], ["d", "", ""], ["", "e", ""]]
+    # the second row begins in the second column, so nothing there goes on from "a"; "c" itself goes on for two rows
+    assert merges == [[1, 1, 3, 1], [4, 1, 1, 2]]
 
 
 def test_broken_files_are_rows(spark):
@@ -245,7 +256,9 @@ def test_slides_and_modes(spark):
     made = spark.createDataFrame([("d", i, f"T{i}", ["b"], ["n"]) for i in range(1, 26)], "doc_id string, idx int, title string, body array<string>, notes array<string>")
     assert C.contents_pages(made).count() == 2
     first = lambda mode: [r.text for r in C.slides_to_blocks(made, mode).orderBy("pos").limit(3).collect()]
-    assert first("notes-first") == ["T1", "n", "b"] and first("handout") == ["T1", "b", "n"] and first("outline") == ["T1", "b", "T2"]
+    assert first("notes-first") == ["T1", "讲者备注", "n"] and first("handout") == ["T1", "b", "备注"] and first("outline") == ["T1", "b", "T2"] and first("mixed") == ["T1", "幻灯片缩略图占位：第 1 页", "b"]
+    told = C.slides_to_blocks(made, "outline", contents=True).orderBy("pos").collect()
+    assert [r.text for r in told[:3]] == ["目录", "1. T1", "2. T2"] and len(told) == 76
 
 
 def test_pictures(spark):

@@ -18,8 +18,14 @@ def test_versions(spark, tmp_path):
     assert s.read("logs").count() == 0
     s.vacuum("tasks", 1)
     assert len(s.versions("tasks")) == 1
-    (tmp_path / "tasks" / "v99").mkdir()  # a write that never committed
+    (tmp_path / "tasks" / "v99").mkdir()  # a write that never ended
     assert s.read("tasks").count() == 2
+    staged = {n: s.stage(n, s.read(n).limit(0)) for n in ("tasks", "logs")}  # a cascade that broke off before its commit
+    assert s.read("tasks").count() == 2
+    s.publish(staged)
+    assert s.read("tasks").count() == 0 and s.read("logs").count() == 0
+    s.vacuum("tasks", 1)
+    assert s.exists("tasks") and not s.exists("other")
 
 
 def test_json_objects(spark, tmp_path):
