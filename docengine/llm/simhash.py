@@ -380,10 +380,10 @@ def _grouped(prints: DataFrame, least: Column, link) -> DataFrame:
     wide = [F.first(c).alias(c) for c in ("hi", "lo") if c in prints.columns]
     classes = written(prints.groupBy("fp").agg(F.min(least).alias("least"), *wide))
     comps = components(link(classes))
-    rooted = classes.join(comps, classes["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    roots = rooted.groupBy("root").agg(F.min("least").alias("first")).withColumnRenamed("root", "r")
-    named = rooted.join(roots, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "first")
-    return fetch(prints, named.withColumnRenamed("f", "fp"), "fp")
+    rooted = written(classes.join(comps, classes["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root")))
+    roots = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    named = fetch(rooted, roots, "root").select("fp", "first")
+    return fetch(prints, named, "fp")
 
 
 def near_groups(docs: DataFrame, *, width: int = 3, bits: int = 2, crowd: int = 1500, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
