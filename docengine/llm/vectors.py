@@ -36,7 +36,7 @@ def tables_for(bits: int, threshold: float, recall: float) -> int:
 
 def bits_for(n: int, bucket: int) -> int:
     """Bits that leave about `bucket` of n spread vectors in a bucket."""
-    return min(24, max(4, round(math.log2(max(1, n) / bucket)) if n > bucket else 4))
+    return min(30, max(4, round(math.log2(max(1, n) / bucket)) if n > bucket else 4))
 
 
 def codes(x: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
@@ -68,6 +68,7 @@ def _within(cell: tuple[int, int, int, int], ids: np.ndarray, x: np.ndarray, n:
     a = np.flatnonzero(block == left)
     b = a if left == right else np.flatnonzero(block == right)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    far, label, own = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids)), ids.tolist()
     for i in range(0, len(a), 512):
         rows = a[i : i + 512]
         p, q = np.nonzero(unit[rows] @ unit[b].T >= threshold - 1e-9)
@@ -79,10 +80,19 @@ def _within(cell: tuple[int, int, int, int], ids: np.ndarray, x: np.ndarray, n:
             p, q = p[first], q[first]
         # the exact check: the cosine as defined, in double precision
         exact = (x[p] * x[q]).sum(axis=1) / np.sqrt((x[p] ** 2).sum(axis=1) * (x[q] ** 2).sum(axis=1)) >= threshold
-        for s, t, ns, nt in zip(ids[p[exact]].tolist(), ids[q[exact]].tolist(), n[p[exact]].tolist(), n[q[exact]].tolist()):
-            counts[s] = counts.get(s, 0) + nt
-            counts[t] = counts.get(t, 0) + ns
-            forest.link(s, t)
+        p, q = p[exact], q[exact]
+        np.add.at(far, p, n[q])
+        np.add.at(far, q, n[p])
+        while len(p):  # every member takes the least label that it is linked to, until none moves
+            before = label.copy()
+            np.minimum.at(label, p, label[q])
+            np.minimum.at(label, q, label[p])
+            label = label[label]
+            if (label == before).all():
+                break
+    for i in np.flatnonzero(far).tolist():
+        counts[own[i]] = counts.get(own[i], 0) + int(far[i])
+        forest.link(own[i], own[label[i]])
 
 
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
