@@ -38,6 +38,8 @@ PATTERNS = {
 #: What a text must hold for the pattern to be tried at all.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+"
+#: A secret has a letter beside a digit; few texts have one at all.
+SECRET_HINT = r"[0-9][A-Za-z]|[A-Za-z][0-9]"
 SECRET_RANK, TERM_RANK = len(KINDS), len(KINDS) + 1
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
@@ -187,8 +189,9 @@ def find(docs: DataFrame, *, reach: int = 80, min_letters: int = 3, min_texts: i
     secret = _secret(min_secret_bits)
     bare = F.when(F.col("text").contains("@"), _masked(F.col("text"), PATTERNS["email"], VALID["email"])).otherwise(F.col("text"))
     given = given.withColumn("bare", bare)
-    given = given.withColumn("masked", F.when(F.col("bare").rlike(SECRET), _masked(F.col("bare"), SECRET, secret)).otherwise(F.col("bare")))
-    secrets = F.when(F.col("bare").rlike(SECRET), _matches(F.col("bare"), F.lit(SECRET), SECRET_RANK, "secret", secret)).otherwise(F.array().cast(SPAN))
+    keyed = F.col("bare").rlike(SECRET_HINT) & F.col("bare").rlike(SECRET)
+    given = given.withColumn("masked", F.when(keyed, _masked(F.col("bare"), SECRET, secret)).otherwise(F.col("bare")))
+    secrets = F.when(keyed, _matches(F.col("bare"), F.lit(SECRET), SECRET_RANK, "secret", secret)).otherwise(F.array().cast(SPAN))
     lo = lambda s: F.greatest(s["start"] - reach, F.lit(0))
 
     def near(s: Column, pieces: Column, n: Column) -> Column:
