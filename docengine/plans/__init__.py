@@ -1,3 +1,3 @@
 """Queries over the tables, by topic. Importing this package registers them all."""
 
-from docengine.plans import documents, library, overlays, reports, sheets, texts, workbench  # noqa: F401
+from docengine.plans import documents, library, overlays, quality_report, reports, sheets, texts, workbench  # noqa: F401
