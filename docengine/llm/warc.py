@@ -1,4 +1,4 @@
-"""WARC: revisit records of the server-not-modified profile resolved to the latest earlier full response.
+"""WARC: records of files, and revisit records of the server-not-modified profile resolved to the latest earlier full response.
 
 As-of join by canonical URL: each revisit takes the latest response before it, then its validators are checked against that
 response (entity tags by weak comparison if both have one, else Last-Modified dates; with neither, or a mismatch, it stays
@@ -18,6 +18,13 @@ are passed over. An empty table gives no rows. Columns beyond those named don't
 
 from __future__ import annotations
 
+import gzip
+import re
+import zlib
+from collections.abc import Iterator
+from datetime import datetime, timezone
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +37,100 @@ SLIM = ("record_id", "url", "at", "kind", "etag", "last_modified")
 BEFORE_ALL = -(1 << 62)
 
 
+RECORD = "path string, pos int, record_id string, url string, at long, kind string, etag string, last_modified string, headers map<string,string>, payload binary, error string"
+
+
+def members(data: bytes) -> Iterator[bytes]:
+    """A file's gzip members one after another, or the file itself if it isn't compressed."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while data:
+        d = zlib.decompressobj(31)
+        out = d.decompress(data)
+        if not d.eof:
+            raise ValueError("the last gzip member is cut off")
+        yield out
+        data = d.unused_data
+
+
+def _fields(block: bytes) -> list[tuple[str, str]]:
+    """Header fields in order; folded lines belong to the field before."""
+    lines = re.sub(rb"\r?\n[ \t]+", b" ", block).split(b"\n")
+    pairs = (x.decode("utf-8", "replace").partition(":") for x in lines if b":" in x)
+    return [(name.strip(), value.strip()) for name, _, value in pairs]
+
+
+def parse_records(data: bytes) -> Iterator[tuple]:
+    """(record_id, url, seconds, kind, etag, last_modified, headers, payload) of a WARC file's records, in order.
+
+    headers and payload are those of the HTTP message inside a response or revisit; of other kinds the payload is the whole block.
+    """
+    for member in members(data):
+        at = 0
+        while at < len(member):
+            if member[at : at + 1] in (b"\r", b"\n"):
+                at += 1
+                continue
+            end = re.compile(rb"\r?\n\r?\n").search(member, at)
+            if not member.startswith(b"WARC/", at) or end is None:
+                raise ValueError(f"no record at byte {at}")
+            said = {k.lower(): v for k, v in _fields(member[at : end.start()])}
+            size = int(said["content-length"])
+            block, at = member[end.end() : end.end() + size], end.end() + size
+            if len(block) < size:
+                raise ValueError("the last record is cut off")
+            kind, headers = said.get("warc-type", ""), None
+            if kind in ("response", "revisit"):
+                head, _, rest = block.partition(b"\r\n\r\n") if b"\r\n\r\n" in block else block.partition(b"\n\n")
+                headers, block = dict(_fields(head)), rest
+            low = {k.lower(): v for k, v in (headers or {}).items()}
+            when = said.get("warc-date")
+            seconds = int(datetime.fromisoformat(when.replace("Z", "+00:00")).timestamp()) if when else None
+            yield said.get("warc-record-id", "").strip("<>") or None, said.get("warc-target-uri", "").strip("<>") or None, seconds, kind, low.get("etag"), low.get("last-modified"), headers, block
+
+
+def read_warc(files: DataFrame) -> DataFrame:
+    """files (path, content), as Spark's binaryFile gives them -> the records of resolve() and materialise(), one row each. A file that
+    can't be read to its end gives the records before that, and a last row with the error. A file is one task's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string()]
+        names = [f.split()[0] for f in RECORD.replace("map<string,string>", "map").split(", ")]
+
+        def out(path: str, rows: list[tuple]) -> pa.RecordBatch:
+            cols = zip(*[(path, *r) for r in rows])
+            return pa.RecordBatch.from_arrays([pa.array([list(x.items()) if isinstance(x, dict) else x for x in c], t) for c, t in zip(cols, types)], names=names)
+
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+                rows, pos = [], 0
+                try:
+                    for r in parse_records(content.as_py() or b""):
+                        rows.append((pos, *r, None))
+                        pos += 1
+                        if len(rows) >= 500:
+                            yield out(path, rows)
+                            rows = []
+                except (ValueError, KeyError, zlib.error) as e:
+                    rows.append((pos, *[None] * 8, f"{type(e).__name__}: {e}"))
+                if rows:
+                    yield out(path, rows)
+
+    return files.select(F.col("path").cast("string"), F.col("content").cast("binary")).mapInArrow(run, RECORD)
+
+
+def write_record(record_id: str, url: str, at: int, kind: str, headers: dict[str, str] | None, payload: bytes | None) -> bytes:
+    """A response or revisit as a gzip member."""
+    status = "304 Not Modified" if kind == "revisit" else "200 OK"
+    message = f"HTTP/1.1 {status}\r\n" + "".join(f"{k}: {v}\r\n" for k, v in (headers or {}).items()) + "\r\n"
+    block = message.encode() + (payload or b"")
+    date = datetime.fromtimestamp(at, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    profile = "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/server-not-modified\r\n" if kind == "revisit" else ""
+    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{record_id}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: {url}\r\n{profile}Content-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n"
+    return gzip.compress(head.encode() + block + b"\r\n\r\n", mtime=0)
+
+
 def canonical_url(url: Column) -> Column:
     """Scheme, www., default ports and fragment dropped, host lower-cased, query parameters sorted, path / if none."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "^(?i)https?://(www[0-9]*\\.)?", "")

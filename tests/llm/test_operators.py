@@ -744,6 +744,23 @@ def test_warc_against_brute_force(spark, monkeypatch, most):
     assert collections.Counter(got) == collections.Counter(want)
 
 
+def test_warc_files(spark):
+    """Written, read, resolved and materialised; broken files keep what comes before the break."""
+    made = [("urn:1", "http://a.org/", 1_700_000_000, "response", {"ETag": '"e"', "Content-Type": "text/html"}, b"body\r\n\r\nmore \xff"), ("urn:2", "http://a.org/", 1_700_000_100, "revisit", {"ETag": 'W/"e"', "Age": "7"}, None)]
+    whole = b"".join(warc.write_record(*r) for r in made)
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 4\r\n\r\nsoft\r\n\r\n"
+    files = spark.createDataFrame([("w.gz", bytearray(whole)), ("cut.gz", bytearray(whole[:-9])), ("plain", bytearray(info * 2)), ("junk", bytearray(b"nothing")), ("empty", bytearray(b"")), ("null", None)], "path string, content binary")
+    got = collections.defaultdict(list)
+    for r in warc.read_warc(files).collect():
+        got[r.path].append(r)
+    assert [(r.record_id, r.url, r.at, r.kind, r.headers, bytes(r.payload)) for r in got["w.gz"]] == [(*r[:5], r[5] or b"") for r in made]
+    assert [r.error is None for r in got["cut.gz"]] == [True, False] and [bytes(r.payload) for r in got["plain"]] == [b"soft"] * 2
+    assert len(got["junk"]) == 1 and got["junk"][0].error and "empty" not in got and "null" not in got
+    records = common.written(warc.read_warc(files.filter("path = 'w.gz'")))
+    (full,) = warc.materialise(records, common.written(warc.resolve(records, carry=("headers",)))).collect()
+    assert full.record_id == "urn:2" and full.response_id == "urn:1" and bytes(full.payload) == made[0][5] and full.headers == {"etag": 'W/"e"', "content-type": "text/html", "age": "7"}
+
+
 def test_warc_copies_stay_as_many(spark):
     full, again = (1, "a.org/", 1, "response", '"e"', None, {"h": "1"}, "body"), (2, "a.org/", 2, "revisit", '"e"', None, {"h": "2"}, None)
     df = spark.createDataFrame([full] * 3 + [again] * 3, REC)
