@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docengine.functions.arrays import dense
 from docengine.operators import layout, relational as R
-from docengine.sources import ooxml, pdf, writers
+from docengine.sources import archive, ooxml, pdf, writers
 
 
 def _named(extension: str):
@@ -156,14 +156,21 @@ def formula_mode(cells: DataFrame) -> DataFrame:
     return cells.withColumn("value", shown)
 
 
-def previews(blocks: DataFrame, slides: DataFrame, cells: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc_id, kind, page, text) with each kind's cap."""
+def previews(blocks: DataFrame, slides: DataFrame, cells: DataFrame, lines: DataFrame, sizes: DataFrame | None = None, entries: DataFrame | None = None) -> DataFrame:
+    """(doc_id, kind, page, text) with each kind's cap. sizes: image headers; entries: what archives hold."""
     rn = lambda key, *order: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     a = blocks.filter("error is null").withColumn("n", rn(["doc_id"], "pos")).filter("n <= 30").select("doc_id", F.lit("Word").alias("kind"), F.col("n").alias("page"), F.left("text", F.lit(240)).alias("text"))
     b = slides.filter("error is null and idx <= 40").select("doc_id", F.lit("PPT").alias("kind"), F.col("idx").alias("page"), F.left("title", F.lit(240)).alias("text"))
     c = cells.filter("error is null and sheet_index <= 24").withColumn("n", rn(["doc_id", "sheet_index"], "row", "col")).filter("n <= 16").groupBy("doc_id", "sheet_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]), " ").alias("text")).select("doc_id", F.lit("Excel").alias("kind"), F.col("sheet_index").alias("page"), F.left("text", F.lit(600)).alias("text"))
     d = lines.filter("error is null").withColumn("page", F.floor(F.col("pos") / 42).cast("int") + 1).filter("page <= 20").groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text")).select("doc_id", F.lit("PDF").alias("kind"), "page", "text")
-    return R.union_all([a, b, c, d])
+    parts = [a, b, c, d]
+    if sizes is not None:
+        said = F.format_string("%d × %d", "width", "height")
+        parts.append(sizes.select("doc_id", F.lit("图片").alias("kind"), F.lit(1).alias("page"), F.when(F.col("error").isNull(), said).otherwise("尺寸未知").alias("text")))
+    if entries is not None:
+        shown = archive.preview(entries.filter("error is null"), 40)
+        parts.append(shown.select("doc_id", F.lit("压缩包").alias("kind"), (F.col("pos") + 1).alias("page"), F.left(F.concat_ws(" ", "part", F.col("size").cast("string")), F.lit(240)).alias("text")))
+    return R.union_all(parts)
 
 
 def compare_previews(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from docengine.plans.documents import BARE, PDF_LINES
 from docengine.plans.sheets import LINES, lines
 from docengine.plans.tables import Tables
 from docengine.registry import query
-from docengine.sources import archive, ooxml, pdf, store, writers
+from docengine.sources import archive, images, ooxml, pdf, store, writers
 
 
 def _files(made: DataFrame) -> DataFrame:
@@ -241,6 +241,13 @@ def redact_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.redact_rows(p).select("page_id", F.to_json("payload").alias("payload"))
 
 
+@query("""SELECT event_id, '{"a":{"token":"","list":[{"output_path":"' || event_type || '.docx"},"saw x.txt ' || user_id || '"]},"n":' || event_id || '}' AS payload FROM events""")
+def redact_json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F17, F18, JS3: payloads of unknown shape, as JSON texts, as they may be shown."""
+    said = F.concat(F.lit('{"a":{"token":"x\\\\\\"y","list":[{"output_path":"/home/u/out/'), "event_type", F.lit('.docx"},"saw /tmp/d/x.txt '), F.col("user_id").cast("string"), F.lit('"]},"n":'), F.col("event_id").cast("string"), F.lit("}"))
+    return Tables(spark, sf_dir).events.select("event_id", W.redacted_json(said).alias("payload"))
+
+
 @query("""SELECT page_id, 'data:text/html;base64,' || base64(CAST(left(url, 40) AS BLOB)) AS uri, left(url, 40) AS back FROM pages""".replace("CAST(left(url, 40) AS BLOB)", "encode(left(url, 40))"))
 def base64_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BI2: bytes inside documents, there and back."""
@@ -410,6 +417,18 @@ def word_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "page", "text")
 
 
+@query("""SELECT 'z' || (page_id // 50) || '.zip' AS doc_id, '压缩包' AS kind, CAST(rn AS INTEGER) AS page, page_id || '.html ' || strlen(html) AS text FROM (SELECT *, row_number() OVER (PARTITION BY page_id // 50 ORDER BY page_id || '.html') AS rn FROM pages) WHERE rn <= 40
+UNION ALL SELECT CAST(vec_id AS VARCHAR), '图片', 1, CASE WHEN vec_id % 2 = 0 THEN '7 × ' || (vec_id % 9 + 1) ELSE '尺寸未知' END FROM embeddings""")
+def file_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Previews of archives, by their first forty entries, and of pictures, by their size."""
+    t = Tables(spark, sf_dir)
+    p = t.pages.select(F.concat(F.lit("z"), F.floor(F.col("page_id") / 50).cast("string")).alias("task"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.col("html").cast("binary").alias("content"))
+    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A" + "00" * 8 + "00000007000000"), F.lpad(F.hex(F.col("vec_id") % 9 + 1), 2, "0")))
+    sizes = images.read_sizes(t.embeddings.select(F.col("vec_id").cast("string").alias("path"), F.when(F.col("vec_id") % 2 == 0, png).otherwise(F.unhex(F.lit("00"))).alias("content")))
+    none = lambda schema: spark.createDataFrame([], schema)
+    return C.previews(none("doc_id string, pos int, text string, error string"), none("doc_id string, idx int, title string, error string"), none("doc_id string, sheet_index int, row int, col int, value string, error string"), none("doc_id string, pos int, text string, error string"), sizes, archive.entries(_files(writers.bundle(p, "task"))))
+
+
 @query("""WITH a AS (SELECT lang AS kind, count(*) AS n FROM documents GROUP BY 1), b AS (SELECT lang AS kind, count(*) AS n FROM documents WHERE n_chars > 500 GROUP BY 1)
 SELECT kind, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta, greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0) AS lost FROM a FULL JOIN b USING (kind)""")
 def preview_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -418,14 +437,14 @@ def preview_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.compare_previews(d, d.filter("n_chars > 500"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'outside' WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 3 = 0 THEN 'bad digest' WHEN doc_id % 2 = 0 THEN 'changed' WHEN doc_id % 11 = 0 THEN 'stale' END AS reason FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'outside' WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 3 = 0 THEN 'bad digest' WHEN doc_id % 2 = 0 THEN 'changed' WHEN doc_id % 11 = 0 THEN 'stale' WHEN doc_id % 13 = 0 THEN 'bad format' END AS reason FROM documents WHERE text IS NOT NULL""")
 def verified_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I1, I2, I3, I5, M3, O18, BI4: outputs against what is registered of them: place, presence, digest, size, time."""
     d = Tables(spark, sf_dir).documents.filter("text is not null")
     k = F.col("doc_id")
     path = F.concat(F.when(k % 7 == 0, "/out/../x/").otherwise("/out/"), k.cast("string"))
     want = F.when(k % 3 == 0, "nothing").otherwise(F.sha2("text", 256))
-    registered = d.select(path.alias("path"), (F.octet_length("text") + F.when(k % 2 == 0, 1).otherwise(0)).cast("long").alias("size"), want.alias("sha256"), F.expr("timestamp'2024-01-02 00:00:00'").alias("started_at"))
+    registered = d.select(path.alias("path"), F.when(k % 13 == 0, "png").alias("kind"), (F.octet_length("text") + F.when(k % 2 == 0, 1).otherwise(0)).cast("long").alias("size"), want.alias("sha256"), F.expr("timestamp'2024-01-02 00:00:00'").alias("started_at"))
     found = d.filter(k % 5 != 0).select(path.alias("path"), F.col("text").cast("binary").alias("content"), F.when(k % 11 == 0, F.expr("timestamp'2024-01-01 00:00:00'")).otherwise(F.expr("timestamp'2024-01-03 00:00:00'")).alias("modificationTime"))
     good, bad = W.verified(registered, found, "/out")
     both = good.select("path", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("path", "reason"))
@@ -579,6 +598,23 @@ def restorable_backups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.restorable(registered, held)
 
 
+@query("""SELECT n_nationkey || '.docx' AS doc_id, 'word/media/image1.png' AS media, CAST(9525 * (n_nationkey + 1) AS BIGINT) AS width, CAST(19050 AS BIGINT) AS height, TRUE AS same_bytes, 'x' AS cell, 'center' AS alignment, 1200 AS grid FROM nation""")
+def word_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures and sized, aligned tables written to Word and read back."""
+    n = F.col("n_nationkey")
+    image = F.unhex(F.concat(F.lit("89504E470D0A1A0A"), F.lpad(F.hex(n), 4, "0")))
+    none = lambda t: F.lit(None).cast(t)
+    row = lambda pos, tbl, widths, alignment, data: Tables(spark, sf_dir).nation.select(n.cast("string").alias("doc_id"), F.lit(pos).alias("pos"), F.lit("").alias("text"), F.lit(0).alias("level"), tbl.alias("tbl"), widths.alias("widths"), alignment.alias("alignment"), data.alias("image"), F.lit("a.png").alias("image_name"), (F.lit(9525) * (n + 1)).cast("long").alias("cx"), F.lit(19050).cast("long").alias("cy"))
+    blocks = row(0, none("array<array<string>>"), none("array<int>"), none("string"), image).unionByName(row(1, F.array(F.array(F.lit("x"))), F.array(F.lit(1200)), F.lit("center"), none("binary")))
+    made = _files(C.write_docx(blocks))
+    parts = archive.entries(made, with_data=True)
+    xml = parts.filter("part = 'word/document.xml'").select("doc_id", F.decode("data", "UTF-8").alias("x"))
+    told = xml.select("doc_id", F.regexp_extract("x", 'w:jc w:val="([a-z]+)"', 1).alias("alignment"), F.regexp_extract("x", 'w:gridCol w:w="([0-9]+)"', 1).cast("int").alias("grid"))
+    held = parts.filter("part = 'word/media/image1.png'").select("doc_id", (F.hex("data") == F.concat(F.lit("89504E470D0A1A0A"), F.lpad(F.hex(F.regexp_extract("doc_id", "^([0-9]+)", 1).cast("long")), 4, "0"))).alias("same_bytes"))
+    cells = ooxml.read_docx(made).filter("kind = 'table'").select("doc_id", F.col("tbl")[0][0].alias("cell"))
+    return ooxml.read_pictures(made).select("doc_id", "media", "width", "height").join(held, "doc_id").join(cells, "doc_id").join(told, "doc_id")
+
+
 def _xml_shapes(kinds: list[str]) -> str:
     head = f'xmlns:a="{writers.NS["a"]}" xmlns:p="{writers.NS["p"]}"'
     shape = lambda k: f'<p:sp><p:nvSpPr><p:nvPr><p:ph type="{k}"/></p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>{k}</a:t></a:r></a:p></p:txBody></p:sp>'

@@ -140,6 +140,16 @@ def redacted(c: Column, t: T.DataType, key: str = "") -> Column:
     return c
 
 
+def redacted_json(payload: Column) -> Column:
+    """F17, JS3: a payload of unknown shape, as JSON text: secrets emptied, paths under path keys cut to names, other texts' paths cut
+    where they stand. Keys decide at any depth; numbers and structure stay."""
+    keys = lambda ks: "|".join(ks)
+    string = r'"(?:[^"\\]|\\.)*"'
+    out = F.regexp_replace(payload, rf'("(?:{keys(SECRET_KEYS)})"\s*:\s*){string}', '$1""')
+    out = F.regexp_replace(out, rf'("(?:{keys(PATH_KEYS)})"\s*:\s*")(?:[^"\\]|\\.)*(?:/|\\\\)([^"/\\]*)"', '$1$2"')
+    return text.redact_paths(out)
+
+
 def redact_rows(df: DataFrame) -> DataFrame:
     flags = [F.col(f.name).isNotNull().alias(f"{f.name}_available") for f in df.schema if f.name in PATH_KEYS]
     return df.select(*[redacted(F.col(f.name), f.dataType, f.name).alias(f.name) for f in df.schema], *flags)
@@ -152,11 +162,13 @@ def preserved(blocks: DataFrame, tables: bool = True, images: bool = True) -> Da
 
 
 def verified(registered: DataFrame, found: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected with reason): inside the root, of the registered size and digest, not older than the attempt."""
-    r = registered.select("path", F.col("size").alias("want_size"), F.col("sha256").alias("want"), "started_at")
-    got = found.select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified_at"))
+    """(accepted, rejected with reason): inside the root, of the registered size and digest, not older than the attempt, and,
+    where a format is registered (kind), begun as such files begin."""
+    kind = F.col("kind") if "kind" in registered.columns else F.lit(None).cast("string")
+    r = registered.select("path", F.col("size").alias("want_size"), F.col("sha256").alias("want"), "started_at", kind.alias("want_kind"))
+    got = found.select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified_at"), binary.kind_of("content").alias("kind"))
     both = r.join(got, "path", "left")
-    reason = F.when(~archive.contained(F.col("path"), root), "outside").when(F.col("sha256").isNull(), "missing").when(~binary.is_digest("want"), "bad digest").when((F.col("size") != F.col("want_size")) | (F.col("sha256") != F.col("want")), "changed").when(truthy(F.col("modified_at") < F.col("started_at")), "stale")
+    reason = F.when(~archive.contained(F.col("path"), root), "outside").when(F.col("sha256").isNull(), "missing").when(~binary.is_digest("want"), "bad digest").when((F.col("size") != F.col("want_size")) | (F.col("sha256") != F.col("want")), "changed").when(truthy(F.col("modified_at") < F.col("started_at")), "stale").when(F.col("want_kind").isNotNull() & ~F.col("want_kind").eqNullSafe(F.col("kind")), "bad format")
     judged = both.withColumn("reason", reason)
     return judged.filter(F.col("reason").isNull()).drop("reason"), judged.filter(F.col("reason").isNotNull())
 
