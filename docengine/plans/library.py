@@ -659,6 +659,25 @@ def resolved_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "style_id", F.try_element_at("props", F.lit("b")).alias("bold"), F.try_element_at("props", F.lit("sz")).alias("size"))
 
 
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS doc_id, s AS style_id, CASE s WHEN 'B' THEN '0' WHEN 'C' THEN '1' ELSE '1' END AS bold, CASE s WHEN 'A' THEN 'Song ' || n_nationkey ELSE 'Own' END AS font, CASE s WHEN 'A' THEN '00' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || 'FF' ELSE 'ABCDEF' END AS color FROM nation, (VALUES ('A'), ('B'), ('C')) t(s)""")
+def theme_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XM4, STR19: styles with their theme's font for its language and its colour; bold switches along the chain."""
+    ns = f'xmlns:w="{writers.NS["w"]}"'
+    style = lambda i, up, props: f'<w:style w:type="paragraph" w:styleId="{i}">' + (f'<w:basedOn w:val="{up}"/>' if up else "") + f"<w:rPr>{props}</w:rPr></w:style>"
+
+    def build(rows: list[dict]) -> bytes:
+        n = int(rows[0]["n"])
+        body = style("A", "", '<w:b/><w:rFonts w:asciiTheme="minorHAnsi"/><w:color w:val="auto" w:themeColor="accent1"/>'.replace('w:val="auto" ', "")) + style("B", "A", '<w:b/><w:rFonts w:ascii="Own"/><w:color w:val="ABCDEF"/>') + style("C", "B", "<w:b/>")
+        theme = f'<a:theme xmlns:a="{writers.NS["a"]}"><a:clrScheme><a:accent1><a:srgbClr val="00{n:02}FF"/></a:accent1></a:clrScheme><a:fontScheme><a:minorFont><a:latin typeface="Plain"/><a:font script="Hans" typeface="Song {n}"/></a:minorFont></a:fontScheme></a:theme>'
+        links = writers.rels([("rId1", "theme", "theme/theme1.xml"), ("rId2", "settings", "settings.xml")])
+        return writers.zipped({"word/document.xml": f"<w:document {ns}/>", "word/_rels/document.xml.rels": links, "word/styles.xml": f"<w:styles {ns}>{body}</w:styles>", "word/theme/theme1.xml": theme, "word/settings.xml": f'<w:settings {ns}><w:themeFontLang w:val="zh-CN"/></w:settings>'})
+
+    made = _files(writers.per_group(Tables(spark, sf_dir).nation.select(F.col("n_nationkey").alias("n"), F.lit(0).alias("pos")), "n", ["pos"], build, lambda k: str(k)))
+    got = ooxml.themed(ooxml.resolved_styles(ooxml.read_styles(made)), ooxml.read_themes(made))
+    of = lambda key: F.try_element_at("props", F.lit(key))
+    return got.select("doc_id", "style_id", of("b").alias("bold"), of("rFonts").alias("font"), of("color").alias("color"))
+
+
 @query("""SELECT n_nationkey || '.xlsx' AS doc_id, r AS ref, CASE r WHEN 'A1' THEN n_name WHEN 'B1' THEN 'shared ' || n_regionkey ELSE n_regionkey || ' (=1+1)' END AS value FROM nation, (VALUES ('A1'), ('B1'), ('C1')) t(r)""")
 def shared_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """XM2, XM3, S9: cells by shared strings, and a formula beside its result."""

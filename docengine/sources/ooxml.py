@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from itertools import groupby
 from xml.etree import ElementTree as ET
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.operators import relational as R
@@ -559,6 +559,9 @@ def read_pictures(files: DataFrame) -> DataFrame:
 STYLE = "doc_id string, style_id string, kind string, parent_id string, props map<string,string>, error string"
 #: Run properties that styles hand on, and the attribute that holds each (fixed values).
 RUN_PROPS = {"b": "val", "i": "val", "u": "val", "sz": "val", "color": "val", "rFonts": "ascii", "vertAlign": "val"}
+#: Properties that switch: a style that sets one turns what it inherits (fixed values).
+TOGGLES = ("b", "i")
+OFF = ("0", "false", "off")
 
 
 def styles(name: str, content: bytes) -> Iterator[tuple]:
@@ -569,8 +572,19 @@ def styles(name: str, content: bytes) -> Iterator[tuple]:
     root = package.xml("word/styles.xml")
 
     def props(node: ET.Element | None) -> list[tuple[str, str]]:
-        found = first(node, "rPr")
-        return [(local(p), attr(p, RUN_PROPS[local(p)], "1")) for p in (found if found is not None else ()) if local(p) in RUN_PROPS]
+        found, out = first(node, "rPr"), []
+        for p in found if found is not None else ():
+            name = local(p)
+            if name in TOGGLES:
+                out.append((name, "0" if attr(p, "val", "1") in OFF else "1"))
+            elif name in RUN_PROPS:
+                value = attr(p, RUN_PROPS[name], "1")
+                if name in ("rFonts", "color"):  # an own value ends a theme's that was inherited, and the other way round
+                    value = "" if attr(p, RUN_PROPS[name]) in ("", "auto") else value
+                    theme = attr(p, "asciiTheme" if name == "rFonts" else "themeColor")
+                    out.append((f"{name}Theme", "" if attr(p, "themeTint") + attr(p, "themeShade") else theme))
+                out.append((name, value))
+        return out
 
     defaults = first(root, "rPrDefault")
     yield name, "", "default", None, props(defaults), None
@@ -586,9 +600,16 @@ def read_styles(files: DataFrame) -> DataFrame:
 def resolved_styles(rows: DataFrame, most: int = 64) -> DataFrame:
     """J14, AR4, XM4: (doc_id, style_id, kind, props) with what each style inherits, by pointer doubling over maps.
 
-    A parent of another kind or a missing one ends the chain; a cycle raises; document defaults come last.
+    A parent of another kind or a missing one ends the chain; a cycle raises; document defaults come last. Bold and italics switch:
+    of the styles in a chain that turn them on, an odd number leaves them turned.
     """
-    from docengine.functions.arrays import merged
+    from docengine.functions.arrays import merged as plain
+
+    def merged(below: str, above: str) -> Column:
+        turned = lambda k: (F.coalesce(F.try_element_at(F.col(below), F.lit(k)), F.lit("0")) != F.coalesce(F.try_element_at(F.col(above), F.lit(k)), F.lit("0"))).cast("int").cast("string")
+        there = lambda k: F.map_contains_key(below, k) | F.map_contains_key(above, k)
+        switched = F.map_filter(F.create_map(*[x for k in TOGGLES for x in (F.lit(k), F.when(there(k), turned(k)))]), lambda k, v: v.isNotNull())
+        return plain(plain(below, above), switched)
 
     s = rows.filter(F.col("error").isNull())
     own = s.filter("kind <> 'default'")
@@ -604,7 +625,60 @@ def resolved_styles(rows: DataFrame, most: int = 64) -> DataFrame:
     base = s.filter("kind = 'default'").select(F.col("doc_id").alias("d"), F.col("props").alias("defaults"))
     out = now.join(base, F.col("doc_id") == F.col("d"), "left")
     done = F.when(F.col("up").isNotNull(), F.raise_error(F.concat(F.lit("style cycle at "), "style_id")).cast("string")).otherwise(F.col("style_id"))
-    return out.select("doc_id", done.alias("style_id"), "kind", F.when(F.col("defaults").isNull(), F.col("props")).otherwise(merged("defaults", "props")).alias("props"))
+    whole = F.when(F.col("defaults").isNull(), F.col("props")).otherwise(merged("defaults", "props"))
+    return out.select("doc_id", done.alias("style_id"), "kind", F.map_filter(whole, lambda k, v: v != "").alias("props"))
+
+
+THEME = "doc_id string, name string, value string, error string"
+#: A theme's colours by the names that texts use (fixed values).
+THEME_COLORS = {"text1": "dk1", "dark1": "dk1", "text2": "dk2", "dark2": "dk2", "background1": "lt1", "light1": "lt1", "background2": "lt2", "light2": "lt2", "hyperlink": "hlink", "followedHyperlink": "folHlink", **{f"accent{i}": f"accent{i}" for i in range(1, 7)}}
+
+
+def themes(name: str, content: bytes) -> Iterator[tuple]:
+    """XM4: a Word document's theme as names and values: fonts (minorAscii, majorEastAsia:Hans), colours, languages (lang:Ascii)."""
+    package = Package(content)
+    parts = {k: t for _, k, t, external in package.relations("word/document.xml") if not external and t in package.names}
+    if "theme" in parts:
+        root = package.xml(parts["theme"])
+        for group in ("major", "minor"):
+            fonts = first(root, f"{group}Font")
+            for node in fonts if fonts is not None else ():
+                kind = {"latin": ("Ascii", "HAnsi"), "ea": ("EastAsia",)}.get(local(node), ())
+                for k in ("Ascii", "HAnsi", "EastAsia") if local(node) == "font" else kind:
+                    if node.get("typeface"):
+                        yield name, f"{group}{k}" + (f":{node.get('script')}" if local(node) == "font" else ""), node.get("typeface"), None
+        scheme = first(root, "clrScheme")
+        held = {local(c): next(iter(c), None) for c in (scheme if scheme is not None else ())}
+        for said, own in THEME_COLORS.items():
+            node = held.get(own)
+            value = (node.get("val") if local(node) == "srgbClr" else node.get("lastClr")) if node is not None and not len(node) else None
+            if value and re.fullmatch("[0-9A-Fa-f]{6}", value):
+                yield name, said, value.upper(), None
+    if "settings" in parts:
+        lang = first(package.xml(parts["settings"]), "themeFontLang")
+        for key, k in (("val", "Ascii"), ("val", "HAnsi"), ("eastAsia", "EastAsia")):
+            if lang is not None and attr(lang, key):
+                yield name, f"lang:{k}", attr(lang, key), None
+
+
+def read_themes(files: DataFrame) -> DataFrame:
+    return per_file(files, themes, THEME)
+
+
+def themed(styles_: DataFrame, themes_: DataFrame) -> DataFrame:
+    """XM4: resolved styles with their theme's fonts, by language first, and colours; what the theme lacks stays as its name."""
+    from docengine.functions.arrays import merged
+    from docengine.functions.text import script_of
+
+    t = themes_.filter(F.col("error").isNull()).groupBy(F.col("doc_id").alias("d")).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("theme"))
+    both = styles_.join(t, F.col("doc_id") == F.col("d"), "left")
+    said = lambda key: F.try_element_at("theme", key)
+    font, color = F.try_element_at("props", F.lit("rFontsTheme")), F.try_element_at("props", F.lit("colorTheme"))
+    lang = said(F.concat(F.lit("lang:"), F.regexp_extract(font, "^(?:major|minor)(.*)$", 1)))
+    found = F.create_map(F.lit("rFonts"), F.coalesce(said(F.concat_ws(":", font, script_of(lang))), said(font)), F.lit("color"), said(color))
+    props = merged("props", F.map_filter(found, lambda k, v: v.isNotNull()))
+    done = F.map_filter(props, lambda k, v: ~((k == "rFontsTheme") & F.map_contains_key(props, "rFonts") | (k == "colorTheme") & F.map_contains_key(props, "color")))
+    return both.select("doc_id", "style_id", "kind", done.alias("props"))
 
 
 PAGE = "doc_id string, pos int, page int, tbl array<array<string>>, merges array<array<int>>, error string"

@@ -11,36 +11,39 @@ from docengine.sources.archive import per_file
 
 MACRO = "doc_id string, macro_name string, module_name string, source_line int, qualified_name string, error string"
 MOST = 2_000_000
-#: One scan splits a line into strings, comments and code.
-LEXEME = re.compile(r"\"(?:[^\"]|\"\")*(?:\"|$)|'.*$|[^\"']+")
+#: A module's lexemes: what a string says, comments, line joints, ends of lines and of statements, code.
+LEXEME = re.compile(r"""(?P<string>"(?:[^"\n]|"")*"?)|(?P<comment>'[^\n]*)|(?P<joint>(?<=[ \t\n])_[ \t]*(?:\n|\Z))|(?P<line>\n)|(?P<colon>:)|(?P<code>[^"'\n:_]+|_)""")
+REMARK = re.compile(r"\s*rem(?:\s|$)", re.I)
 NAME = r"[^\W\d_]\w*"
 SUB = re.compile(rf"(?:(?P<scope>public|private|friend)\s+)?(?:static\s+)?sub\s+(?P<name>{NAME})\s*(?:\(\s*\))?", re.I)
 MODULE = re.compile(rf"\s*attribute\s+vb_name\s*=\s*\"(?P<name>[^\"\r\n]+)\"\s*", re.I)
 
 
-def code_of(line: str) -> str:
-    """A line without its comment and without what its strings say."""
-    return "".join(" " if x[0] == '"' else "" if x[0] == "'" else x for x in LEXEME.findall(line)).strip()
+def statements(source: str) -> Iterator[tuple[int, str]]:
+    """(first line, statement) of a source with line feeds: one walk over its lexemes.
 
-
-def statements(lines: list[str]) -> Iterator[tuple[int, str]]:
-    """(first line, statement): continuations joined, colons split, Rem ends a line."""
-    held: list[str] = []
-    start = 0
-    for n, line in enumerate(lines, 1):
-        if not held:
-            start = n
-        code = code_of(line)
-        if code.endswith(" _") or code == "_":
-            held.append(code[:-1])
-            continue
-        for s in ("".join(held) + code).split(":"):
-            if re.match(r"\s*rem\b(?!\w)", s, re.I):
-                break
-            yield start, s.strip()
-        held = []
-    if held:
-        raise ValueError("the last continuation line is missing")
+    A statement ends with its line or at a colon; a joint goes on with it in the next line; a remark lasts to the end of its line.
+    """
+    line = begin = 1
+    said, remark = "", False
+    for m in LEXEME.finditer(source + "\n"):
+        match m.lastgroup:
+            case "code":
+                said += m[0]
+            case "string":
+                said += " "
+            case "joint":
+                line += 1
+                if m.end() > len(source):
+                    raise ValueError("the last continuation line is missing")
+            case "line" | "colon":
+                remark = remark or REMARK.match(said) is not None
+                if not remark:
+                    yield begin, said.strip()
+                said = ""
+                if m.lastgroup == "line":
+                    line += 1
+                    begin, remark = line, False
 
 
 def macros(source: str) -> list[tuple[str, str, int, str]]:
@@ -52,7 +55,7 @@ def macros(source: str) -> list[tuple[str, str, int, str]]:
     if len(modules) > 1 or any(len(m) > 255 or not re.fullmatch(NAME, m) for m in modules):
         raise ValueError("module name is invalid or given twice")
     module = modules[0] if modules else ""
-    every = list(statements(lines))
+    every = list(statements("\n".join(lines)))
     if any(re.fullmatch(r"option\s+private\s+module", s, re.I) for _, s in every):
         return []
     out: dict[str, tuple[str, str, int, str]] = {}
