@@ -34,3 +34,35 @@ def test_json_objects(spark, tmp_path):
     (tmp_path / "b.json").write_text("[oops")
     with pytest.raises(Exception):
         read_json_objects(spark, str(tmp_path / "b.json"), "a int").collect()
+
+
+def test_written_tables_are_swept(spark):
+    import os
+
+    from docengine.operators import lineage
+
+    before = lineage.written(spark.range(3))
+    with lineage.scratch(spark) as keep:
+        inner = lineage.written(spark.range(4))
+        keep.append(lineage.written(inner))
+    assert not os.path.exists(inner._written_path) and keep[0].count() == 4 and before.count() == 3
+    lineage.sweep(spark, keep=(before,))
+    assert before.count() == 3 and not os.path.exists(keep[0]._written_path)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from docengine.operators import lineage
+
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: Conf)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        lineage.shared_dir(Session)
