@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.operators.lineage import drop_written, shared_dir, written  # noqa: F401  also for the operators here
+from docengine.operators.lineage import drop_written, noted, scratch, shared_dir, written  # noqa: F401  also for the operators here
 
 #: A word: a maximal run of anything but ASCII white space (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,7 +20,7 @@ def bucketed(df: DataFrame, n: int, *keys: str, sort: bool = False) -> DataFrame
     """df as a table in the shared folder, cut into n buckets by the hash of keys: what groups or joins by them doesn't shuffle
     it again. sort: files are in the order of the keys."""
     spark, name = df.sparkSession, f"docengine_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
+    path = noted(f"{shared_dir(spark)}/{name}")
     writer = df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, *keys)
     (writer.sortBy(*keys) if sort else writer).saveAsTable(name)
     out = spark.table(name)
