@@ -56,7 +56,7 @@ def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     name = path.rsplit("/", 1)[-1]
-    if spark.catalog.tableExists(name):
+    if name.replace("_", "").isalnum() and spark.catalog.tableExists(name):  # bucketed ones are in the catalog
         spark.sql(f"DROP TABLE {name}")
     if path in _made:
         _made.remove(path)
