@@ -17,7 +17,7 @@ a fingerprint, not the square of the crowd.
 Wide fingerprints (`keep_one`) serve a similarity instead of a few bits: five words a shingle, 128 bits, and two texts link at `distance`
 bits or fewer, which a share of common shingles of 0.8 stays below nine times in ten. Each of `tables` tables takes 46 of
 the bits and sends a fingerprint to every anchor with excess <= 1 (9.6 on average); two that share an anchor in any table are compared.
-At a similarity of 0.8, 0.85 and 0.9 a pair meets with a chance of 0.91, 0.98 and 1.00 in 12 tables (simulated).
+At a similarity of 0.8, 0.85 and 0.9 a pair meets with a chance of 0.96, 0.99 and 1.00 in 16 tables (simulated).
 A wide anchor with more than `crowd` fingerprints is cut into blocks; each block is linked, components are linked again through one
 fingerprint each, and what is then outside an anchor's largest component meets every block: no pair is lost and no block's
 square is taken twice.
@@ -355,7 +355,7 @@ def _crowd_links(members: DataFrame, distance: int, crowd: int) -> DataFrame:
     return edges.unionByName(_seeded(placed.select(*columns).unionByName(guests.select(*columns)).distinct(), distance))
 
 
-def wide_links(distinct: DataFrame, distance: int = 24, tables: int = 12, crowd: int = 4000) -> DataFrame:
+def wide_links(distinct: DataFrame, distance: int = 24, tables: int = 16, crowd: int = 4000) -> DataFrame:
     """distinct (hi, lo), no repeats -> edges (a, b) between their nodes."""
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = distinct.select("hi", "lo").repartition(n).mapInArrow(lambda it: _wide_spread(it, tables), "cell long, hi long, lo long")
@@ -392,7 +392,7 @@ def near_groups(docs: DataFrame, *, width: int = 3, bits: int = 2, crowd: int =
     return _grouped(prints, F.col("doc_id"), lambda c: links(c, bits, crowd)).select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, width: int = 5, distance: int = 24, tables: int = 12, crowd: int = 4000, bound: int = 300_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, *, width: int = 5, distance: int = 24, tables: int = 16, crowd: int = 4000, bound: int = 300_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of texts whose wide fingerprints link: the one with the smallest doc_id, null ids last; where the id stands
     on several texts, the one with the least hash of id and text. Of rows with the same id and text, one."""
     given = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__key": F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))})
