@@ -518,6 +518,15 @@ def user_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.permissions(users, {"editor": ["read", "write"], "viewer": ["read"]})
 
 
+@query("""SELECT o_orderkey AS id, o_custkey AS user_id, coalesce(c_custkey % 3 = 0 OR (c_custkey % 3 <> 0 AND c_nationkey % 2 = 0 AND c_custkey % 5 <> 0), FALSE) AS allowed FROM orders LEFT JOIN customer ON c_custkey = o_custkey""")
+def allowed_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletes that their users may make."""
+    t = Tables(spark, sf_dir)
+    own = F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("delete"))).when(F.col("c_custkey") % 5 == 0, F.array(F.lit("read")))
+    users = t.customer.select(F.col("c_custkey").alias("id"), F.when(F.col("c_nationkey") % 2 == 0, "editor").otherwise("viewer").alias("role"), own.alias("permissions"))
+    return W.deletable(t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id")), users, {"editor": ["read", "delete"], "viewer": ["read"]})
+
+
 @query("""SELECT CAST(0 AS BIGINT) + count(*) FILTER (WHERE o_orderstatus = 'O') AS interrupted, count(*) FILTER (WHERE o_orderstatus = 'P') AS paused, count(*) FILTER (WHERE o_orderstatus = 'F') AS failed, count(*) FILTER (WHERE o_orderstatus IN ('O', 'F')) AS retryable FROM orders""")
 def startup_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running tasks are interrupted at start-up; what can go on."""
@@ -630,6 +639,28 @@ def notes_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("doc_id").cast("long").alias("c_custkey"), "shown")
 
 
+@query("""SELECT n_nationkey || x AS doc_id, m AS media, l AS locations FROM nation, (VALUES ('.docx', 'word/media/a.png', ['正文（页码待排版定位） · word/document.xml · 第 2 段', '页眉 · word/header1.xml · 第 1 段']), ('.pptx', 'ppt/media/a.png', ['幻灯片第 2 页 · ppt/slides/slide1.xml'])) t(x, m, l)
+UNION ALL SELECT n_nationkey || '.xlsx', 'xl/media/a.png', ['工作表 表 · ' || chr(CAST(65 + n_nationkey AS INTEGER)) || '10', '工作表 表 · 绝对位置（无单元格锚点）'] FROM nation""")
+def picture_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where pictures are shown: paragraph of a story, slide, anchor cell."""
+    ns = f'xmlns:w="{writers.NS["w"]}" xmlns:a="{writers.NS["a"]}" xmlns:r="{writers.NS["r"]}" xmlns:p="{writers.NS["p"]}" xmlns:s="{writers.NS["s"]}"'
+    blip, image = '<a:blip r:embed="rId1"/>', ("rId1", "image", "media/a.png")
+    up = ("rId1", "image", "../media/a.png")
+
+    def build(rows: list[dict]) -> bytes:
+        n, kind = int(rows[0]["n"]), rows[0]["kind"]
+        if kind == ".docx":
+            return writers.zipped({"word/document.xml": f'<w:document {ns}><w:body><w:p/><w:p><w:drawing>{blip}</w:drawing></w:p><w:sectPr><w:headerReference r:id="rId2"/></w:sectPr></w:body></w:document>', "word/_rels/document.xml.rels": writers.rels([image, ("rId2", "header", "header1.xml")]), "word/header1.xml": f"<w:hdr {ns}><w:p>{blip}</w:p></w:hdr>", "word/_rels/header1.xml.rels": writers.rels([image])})
+        if kind == ".pptx":
+            return writers.zipped({"ppt/presentation.xml": f'<p:presentation {ns}><p:sldIdLst><p:sldId r:id="rId2"/><p:sldId r:id="rId1"/></p:sldIdLst></p:presentation>', "ppt/_rels/presentation.xml.rels": writers.rels([("rId1", "slide", "slides/slide1.xml"), ("rId2", "slide", "slides/slide2.xml")]), "ppt/slides/slide1.xml": f"<p:sld {ns}>{blip}</p:sld>", "ppt/slides/_rels/slide1.xml.rels": writers.rels([up]), "ppt/slides/slide2.xml": f"<p:sld {ns}/>"})
+        anchors = f"<x><from><col>{n}</col><row>9</row></from>{blip}</x><x>{blip}</x>"
+        return writers.zipped({"xl/workbook.xml": f'<s:workbook {ns}><s:sheets><s:sheet name="表" sheetId="1" r:id="rId1"/></s:sheets></s:workbook>', "xl/_rels/workbook.xml.rels": writers.rels([("rId1", "worksheet", "worksheets/sheet1.xml")]), "xl/worksheets/sheet1.xml": f"<s:worksheet {ns}/>", "xl/worksheets/_rels/sheet1.xml.rels": writers.rels([("rId1", "drawing", "../drawings/d.xml")]), "xl/drawings/d.xml": f"<d {ns}>{anchors}</d>", "xl/drawings/_rels/d.xml.rels": writers.rels([up])})
+
+    kinds = F.explode(F.array(*[F.lit(x) for x in (".docx", ".pptx", ".xlsx")]))
+    rows = Tables(spark, sf_dir).nation.select(F.col("n_nationkey").alias("n"), kinds.alias("kind"), F.lit(0).alias("pos")).withColumn("file", F.concat(F.col("n").cast("string"), "kind"))
+    return ooxml.read_picture_places(_files(writers.per_group(rows, "file", ["pos"], build, str)))
+
+
 @query("""SELECT CAST(n_nationkey AS VARCHAR) AS doc_id, 'word/media/a.png' AS media, CAST(914400 * (n_nationkey + 1) AS BIGINT) AS width, CAST(n_nationkey * 10 AS INTEGER) AS crop, CAST(((n_nationkey - 12) * 60000 % 21600000 + 21600000) % 21600000 AS INTEGER) AS rotation, n_nationkey % 2 = 1 AS flip_h FROM nation""")
 def picture_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures of Word files with extent, crop, turn and flip."""

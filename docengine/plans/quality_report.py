@@ -15,6 +15,7 @@ from docengine.operators import relational as R
 from docengine.plans.report_build import CANCELLED, FAILED, PENDING, SKIPPED, SUCCESS
 from docengine.plans.tables import Tables
 from docengine.registry import query
+from docengine.sources.writers import sectioned_html
 
 PASS, ASK, FAIL = "通过", "需确认", "失败"
 SEVERITY = {PASS: "info", ASK: "warning", FAIL: "error"}
@@ -381,3 +382,14 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The failure list of every report, of all its ten sources."""
     return failures(_frames(spark, sf_dir))
+
+
+@query(f"""WITH {FACTS}, c AS ({" UNION ALL ".join(map(_check_sql, CHECKS))}), o(id, i) AS (VALUES {", ".join(f"('{x}', {i})" for i, x in enumerate(CHECKS))}),
+h AS (SELECT report_id, '<h2>质量检查</h2><table><tr><th>label</th><th>status</th></tr>' || string_agg('<tr><td>' || label || '</td><td>' || status || '</td></tr>', '' ORDER BY i) || '</table>' AS html FROM c JOIN o USING (id) GROUP BY 1),
+g AS (SELECT r AS report_id, chr(10) || '<h2>失败清单</h2><table><tr><th>category</th><th>message</th></tr>' || string_agg('<tr><td>' || category || '</td><td>' || message || '</td></tr>', '' ORDER BY category, coalesce(CAST(k AS VARCHAR), '')) || '</table>' AS html FROM fx GROUP BY 1)
+SELECT report_id, '<!doctype html><meta charset=''utf-8''><title>报告</title>' || h.html || coalesce(g.html, '') AS html FROM h LEFT JOIN g USING (report_id)""")
+def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O9, C8, STR8: the checks and failures of every report as one page of two tables."""
+    t = _frames(spark, sf_dir)
+    order = F.element_at(F.create_map(*[x for i, c in enumerate(CHECKS) for x in (F.lit(c), F.lit(i))]), F.col("id"))
+    return sectioned_html("报告", [("质量检查", checks(facts(t)).withColumn("i", order), ["label", "status"], ["i"]), ("失败清单", failures(t), ["category", "message"], ["category", "file_id"])], "report_id")

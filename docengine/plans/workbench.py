@@ -252,6 +252,12 @@ def permissions(users: DataFrame, roles: dict[str, list[str]]) -> DataFrame:
     return users.select("id", F.array_distinct(F.when(F.size(explicit) > 0, explicit).otherwise(F.coalesce(F.try_element_at(table, "role"), none))).alias("permissions"))
 
 
+def deletable(asked: DataFrame, users: DataFrame, roles: dict[str, list[str]], permission: str = "delete") -> DataFrame:
+    """(id, user_id, allowed): which deletes their users may make, by their own permissions or their role's."""
+    can = permissions(users, roles).select(F.col("id").alias("__u"), F.array_contains("permissions", permission).alias("__can"))
+    return asked.join(can, F.col("user_id") == F.col("__u"), "left").select("id", "user_id", truthy("__can").alias("allowed"))
+
+
 @query("""SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS path, '' AS token, TRUE AS path_available FROM pages""")
 def redact_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rows with paths and secrets, as they may be shown."""

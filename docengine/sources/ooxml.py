@@ -309,6 +309,11 @@ def letters_number(letters: str) -> int:
     return n
 
 
+def column_letters(n: int) -> str:
+    """1 -> A, 27 -> AA."""
+    return (column_letters((n - 1) // 26) if n > 26 else "") + chr(65 + (n - 1) % 26) if n > 0 else ""
+
+
 REF = re.compile(r"\$?([A-Za-z]{1,3})\$?([0-9]{1,7})")
 
 
@@ -556,6 +561,59 @@ def read_pictures(files: DataFrame) -> DataFrame:
     return per_file(files, pictures, PICTURE)
 
 
+PLACE = "doc_id string, pos int, media string, location string, error string"
+#: What the stories of a document are called (fixed values).
+STORIES = {"document": "正文（页码待排版定位）", "header": "页眉", "footer": "页脚"}
+UNANCHORED = "绝对位置（无单元格锚点）"
+
+
+def picture_places(name: str, content: bytes) -> Iterator[tuple]:
+    """Where each media part is shown: story and paragraph in Word, slide in PowerPoint, sheet and anchor cell in Excel."""
+    package = Package(content)
+    has = set(package.names)
+    linked = lambda part, kind: {i: t for i, k, t, external in package.relations(part) if k == kind and not external}
+    shown: list[tuple[str, str]] = []
+
+    def story(part: str, label: str, numbered: bool) -> None:
+        images = linked(part, "image")
+        root = package.xml(part) if images else None
+        paragraph = {id(n): i for i, p in enumerate((n for n in root.iter() if local(n) == "p"), 1) for n in p.iter()} if images and numbered else {}
+        for node in root.iter() if images else ():
+            media = images.get(attr(node, "embed") or attr(node, "id")) if local(node) in ("blip", "imagedata", "svgBlip") else None
+            if media:
+                at = paragraph.get(id(node))
+                shown.append((media, f"{label} · {part}" + (f" · 第 {at} 段" if at else "")))
+
+    if "word/document.xml" in has:
+        story("word/document.xml", STORIES["document"], True)
+        used = {attr(n, "id"): local(n).removesuffix("Reference") for n in package.xml("word/document.xml").iter() if local(n) in ("headerReference", "footerReference")}
+        for rid, kind in used.items():
+            if rid in (parts := linked("word/document.xml", kind)):
+                story(parts[rid], STORIES[kind], True)
+    if "ppt/presentation.xml" in has:
+        for i, (_, part) in enumerate(package.ordered("ppt/presentation.xml", "sldId", "slide"), 1):
+            story(part, f"幻灯片第 {i} 页", False)
+    if "xl/workbook.xml" in has:
+        for title, part in _sheets(package):
+            for drawing in linked(part, "drawing").values():
+                images = linked(drawing, "image")
+                for anchor in package.xml(drawing):
+                    corner = next((n for n in anchor if local(n) == "from"), None)
+                    number = {local(n): int(n.text or -1) for n in corner if local(n) in ("row", "col")} if corner is not None else {}
+                    cell = UNANCHORED if not number else f"{column_letters(number['col'] + 1)}{number['row'] + 1}"
+                    if number:
+                        ref_at(cell)  # on the grid
+                    shown += [(images[e], f"工作表 {title} · {cell}") for n in anchor.iter() if local(n) == "blip" and (e := attr(n, "embed")) in images]
+    for pos, (media, location) in enumerate(dict.fromkeys(shown)):
+        yield name, pos, media, location, None
+
+
+def read_picture_places(files: DataFrame) -> DataFrame:
+    """(doc_id, media, locations), in order."""
+    places = per_file(files, picture_places, PLACE).filter(F.col("error").isNull())
+    return places.groupBy("doc_id", "media").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "location"))), lambda x: x["location"]).alias("locations"))
+
+
 STYLE = "doc_id string, style_id string, kind string, parent_id string, props map<string,string>, error string"
 #: Run properties that styles hand on, and the attribute that holds each (fixed values).
 RUN_PROPS = {"b": "val", "i": "val", "u": "val", "sz": "val", "color": "val", "rFonts": "ascii", "vertAlign": "val"}
