@@ -149,7 +149,7 @@ def told(spans: Column) -> Column:
 
 
 def _letters(n: int) -> str:
-    return rf"(?<!\p{{L}})\p{{L}}{{{n},}}+"
+    return rf"\p{{L}}{{{n},}}+"  # possessive: a run is matched whole from its first letter, or not at all
 
 
 def _among(rows: DataFrame, small: DataFrame, key: str, most: int = 200_000, salts: int = 32) -> DataFrame:
@@ -161,10 +161,10 @@ def _among(rows: DataFrame, small: DataFrame, key: str, most: int = 200_000, sal
     return dealt.join(small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), (F.col(key) == F.col("__k")) & (F.col("__s") == F.col("__salt")), "left_semi").drop("__s")
 
 
-def disclosing(words: DataFrame, spans: DataFrame, texts: int, *, min_letters: int, min_texts: int, min_share: float, min_bits: float) -> DataFrame:
+def disclosing(words: DataFrame, spans: DataFrame, texts: int, *, min_letters: int, min_texts: int, min_share: float, min_bits: float, in_plan: int = 10_000) -> DataFrame:
     """(__id, __row, term): where the terms that disclose an entity stand.
 
-    words: __id, __row, __same (hash of the text) and all its different terms; spans: __same, around (kind, value, near); texts: different texts.
+    words: __id, __row, __same (hash of the text) and its terms; spans: __same, around (kind, value, near); texts: different texts.
     """
     e = spans.select("__same", F.explode("around").alias("e")).select("__same", "e.*")
     e = e.withColumn("entity", F.explode(F.array(F.concat_ws(":", "kind", "value"), F.col("kind"))))
@@ -175,7 +175,12 @@ def disclosing(words: DataFrame, spans: DataFrame, texts: int, *, min_letters: i
     kinds = _among(by, often.select("term").distinct(), "term").select("term", "__same").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_tw"))
     together = written(attach(often, kinds, "term").filter(F.col("n_te") >= min_share * F.col("n_tw")).select("term", "entity", "n_te"))
     entities = _among(e.select("__same", "entity").distinct(), together.select("entity").distinct(), "entity").groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    stands = written(_among(words.select("__id", "__row", "__same", F.explode("terms").alias("term")), together.select("term").distinct(), "term"))
+    candidates = together.select("term").distinct()
+    if few(candidates, in_plan):  # they travel in the plan, so a text's other words aren't even told apart
+        known = ", ".join(f"'{r['term']}'" for r in candidates.collect())  # letters only
+        words = words.withColumn("terms", F.expr(f"filter(terms, t -> t IN ({known}))") if known else F.array().cast("array<string>"))
+    each = words.select("__id", "__row", "__same", F.explode(F.array_distinct("terms")).alias("term"))
+    stands = written(_among(each, candidates, "term"))
     holds = stands.select("term", "__same").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     judged = attach(attach(together, holds, "term"), entities, "entity")
     share = F.col("n_te") / F.col("n_t")
@@ -206,7 +211,7 @@ def find(docs: DataFrame, *, reach: int = 80, min_letters: int = 3, min_texts: i
     around = F.when(F.size(all_) > 0, told_of)
     slim = written(based.select("__id", "__row", "__same", "base", "secrets", around.alias("around")))
     texts = slim.select("__same").distinct().count()
-    words = given.select("__id", "__row", "__same", F.array_distinct(F.regexp_extract_all(F.col("masked"), F.lit(_letters(min_letters)), F.lit(0))).alias("terms"))
+    words = given.select("__id", "__row", "__same", F.regexp_extract_all(F.col("masked"), F.lit(_letters(min_letters)), F.lit(0)).alias("terms"))
     stands = disclosing(words, slim, texts, min_letters=min_letters, min_texts=min_texts, min_share=min_share, min_bits=min_bits)
     hits = written(stands.groupBy(F.col("__id").alias("hid"), F.col("__row").alias("hrow")).agg(F.sort_array(F.collect_set("term")).alias("terms")))
     # rows equal in id and text are one hit. Few hits are broadcast after a count, so no text crosses a shuffle

@@ -656,6 +656,8 @@ def test_pii_terms_that_disclose(spark, monkeypatch, bound, most, bits):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"terms": F.lit(1), "around": F.lit(2), "__same": F.lit(3)})
     real = pii._among
     monkeypatch.setattr(pii, "_among", lambda a, b, k: real(a, b, k, most, 3))
+    plain = pii.disclosing
+    monkeypatch.setattr(pii, "disclosing", lambda *a, **k: plain(*a, **k, in_plan=min(most, 10_000)))
     got = pii.find(df, min_bits=bits, bound=bound).select("doc_id", pii.told(F.col("spans")).alias("spans")).collect()
     want = plain_pii(rows, min_bits=bits)
     assert collections.Counter((r.doc_id, r.spans) for r in got) == collections.Counter(want)
