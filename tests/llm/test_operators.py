@@ -154,6 +154,15 @@ def test_line_runs_compact_and_increment(spark):
     assert runs.seen(1).count() == 9 and runs.seen(2).count() == 1 and runs.seen(3).count() == 0
 
 
+def test_line_runs_add_up_over_batches(spark, tmp_path):
+    """A line that no batch holds often enough by itself, in tables of several files."""
+    keyed = [spark.range(4000).repartition(4).select(linededup.line_keys(F.concat(F.lit("line "), (F.col("id") % 1000).cast("string"), F.lit(f"\nown {i} "), F.col("id").cast("string")), 1).alias("keys")) for i in range(4)]
+    runs = linededup.LineRuns(spark, fan_in=4)
+    for k in keyed:
+        runs.add(k, 10)
+    assert [len(x) for x in runs.levels] == [0, 1] and runs.seen(10).count() == 1000 and runs.runs()[0].count() == 1000 + 4 * 4000
+
+
 def test_line_runs_are_joined_without_a_shuffle_of_their_own(spark):
     runs = linededup.LineRuns(spark, fan_in=9)
     keyed = spark.createDataFrame([(f"l{i}\nsame",) for i in range(50)], "text string").select(linededup.line_keys(F.col("text"), 1).alias("keys"))
