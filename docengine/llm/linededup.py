@@ -80,8 +80,10 @@ class LineRuns:
                     drop_written(run)
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        """The runs' keys with their sums. Dealt by hand: a union of bucketed tables passes for dealt though its buckets stand apart."""
-        return reduce(DataFrame.unionByName, runs).repartition(self.buckets, "a", "b").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        """The runs' keys with their sums. The files are read as such: a union of bucketed tables passes for dealt by their keys, though
+        the buckets of one key stand apart in it."""
+        files = [self.spark.read.schema(run.schema).parquet(run._written_path) for run in runs]
+        return reduce(DataFrame.unionByName, files).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
     def seen(self, min_docs: int) -> DataFrame:
         """Keys (a, b) that at least min_docs documents of all batches held."""
