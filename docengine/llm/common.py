@@ -68,6 +68,17 @@ def fetch(big: DataFrame, small: DataFrame, key: str, most: int = 10_000) -> Dat
     return present.unionByName(absent, allowMissingColumns=True)
 
 
+def finite_vectors(df: DataFrame, x: str) -> DataFrame:
+    """The rows whose array x has components, all of them numbers."""
+    return df.filter(F.coalesce((F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e) < float("inf"))), F.lit(False)))
+
+
+def usual_length(df: DataFrame, x: str) -> int | None:
+    """The length that most arrays x have; of two that tie, the longer. None without rows."""
+    found = df.groupBy(F.size(x).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    return found["d"] if found else None
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

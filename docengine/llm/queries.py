@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm.common import written
-from docengine.llm import linededup, lm, mixing, packing, pii, quality, sharding, simhash, vectors, warc
+from docengine.llm.common import attach, written
+from docengine.llm import bpe, linededup, lm, mixing, packing, pii, quality, sharding, simhash, vectorcodes, vectors, warc, whitening
 
 MIX = {"weights": [5.0, 2.0, 1.0], "share": 1.5, "most": 2.0, "seed": 17}
 SHARDS = 24
@@ -99,14 +99,60 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.told(F.col("base")), 256).alias("base_sha256"), pii.told(F.col("spans")).alias("spans"), added.cast("long").alias("n_added"), (F.size("spans") > 0).alias("private"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectorcodes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+    rows = written(found.rows)  # summed by label and read again
+    by_label = rows.groupBy("label").agg(F.sum("error").alias("label_error"))
+    code = F.array_join(F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return attach(rows, by_label, "label").select("vec_id", code.alias("code"), "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    flat = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    n, error, explained = (model.n, model.identity_error, model.explained.tolist()) if model else (0, 0.0, [0.0])
+    shares = F.array(*[F.lit(e) for e in explained])
+    return flat.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", F.get(shares, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.encode(_docs(spark, sf_dir, "doc_id", "text"), ranks=ranks, packed=True).drop("text")
+    both = bpe.decode(coded, ranks=ranks)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_warc_revisits, op3_simhash, op4_quality_rules, op5_line_dedup, op6_shards, op7_lm_score, op8_pack, op9_near_vectors, op10_pii)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_warc_revisits, op3_simhash, op4_quality_rules, op5_line_dedup, op6_shards, op7_lm_score, op8_pack, op9_near_vectors, op10_pii, op11_vector_codes, op12_whitening, op13_byte_bpe)}
 
 
 W = r"[^\x20\x09-\x0D]+"
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
+def _op11(parts: int = 8, width: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Codebook rounds, one after another: every part against every entry of its position."""
+    dims = parts * width
+    at = lambda i: f"""a{i} AS MATERIALIZED (SELECT r, p, x, arg_min(e, d * {entries} + e) AS e, min(d) AS d FROM (
+  SELECT v.r, v.p, v.x, c.e, list_sum(list_transform(range(1, {width + 1}), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT AS d FROM v JOIN c{i} c ON c.p = v.p) GROUP BY r, p, x)"""
+    means = ", ".join(f"(sum(x[{i}]) - ((sum(x[{i}]) % count(*)) + count(*)) % count(*)) // count(*)" for i in range(1, width + 1))
+    after = lambda i: f"""c{i + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (
+  SELECT p, e, CAST([{means}] AS BIGINT[]) AS x FROM a{i} GROUP BY p, e) m ON m.p = c.p AND m.e = c.e)"""
+    steps = ",\n".join(f"{at(i)},\n{after(i)}" for i in range(rounds))
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS r, vec_id, label, list_transform(embedding, lambda e: CAST(floor(4096.0::DOUBLE * e::DOUBLE) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0),
+v AS MATERIALIZED (SELECT r, p, q[p * {width} + 1 : p * {width} + {width}] AS x FROM k, (SELECT unnest(range({parts})) AS p)),
+c0 AS (SELECT p, r AS e, x FROM v WHERE r < {entries}),
+{steps},
+{at(rounds)},
+o AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS digest FROM c{rounds})
+SELECT k.vec_id, o.code, o.error, CAST(sum(o.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, h.digest AS codebooks_sha256 FROM k JOIN o USING (r), h"""
+
+
 def oracle_sql() -> dict[str, str]:
     op1 = rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{W}')) AS BIGINT) AS size, length(coalesce(text, '')) AS chars FROM documents),
@@ -176,4 +222,4 @@ p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec
 c(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT c.a, p.b FROM c JOIN p ON c.b = p.a),
 m AS (SELECT a, min(b) AS component_id FROM c GROUP BY a)
 SELECT v.vec_id, CAST((SELECT count(*) FROM p WHERE p.a = v.vec_id) AS BIGINT) AS n_links, m.component_id, v.vec_id = m.component_id AS kept FROM v JOIN m ON m.a = v.vec_id"""
-    return {"op1_mix_sources": op1, "op2_warc_revisits": op2, "op4_quality_rules": op4, "op5_line_dedup": op5, "op9_near_vectors": op9}
+    return {"op11_vector_codes": _op11(), "op1_mix_sources": op1, "op2_warc_revisits": op2, "op4_quality_rules": op4, "op5_line_dedup": op5, "op9_near_vectors": op9}
