@@ -14,7 +14,7 @@ def test_query_equals_sql(spark, duck, name):  # noqa: F811
 
 
 def test_one_query_an_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(set(NAMES) - set(entry.oracle_sql())))
