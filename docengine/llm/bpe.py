@@ -1,7 +1,8 @@
 """Byte-level BPE: texts to ids and back with the tiktoken library, over a local file of ranks.
 
 Both ways are column expressions over Arrow batches: only the text, or the ids, goes to Python, nothing is shuffled, and other columns
-stay where they are. The file of ranks is a path that every executor can open; each Python worker loads it once.
+stay where they are. The file of ranks is a path that every executor can open; each Python worker loads it once, and one that only decodes
+loads the ids' raw bytes alone.
 
 A long text is encoded a chunk at a time. It is cut only where the pre-tokenizer splits whatever surrounds the place: between a
 non-blank and the space or newline after it, as no alternative of the pattern goes from a non-blank on to a blank and none looks back.
@@ -45,8 +46,13 @@ def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 class Codec:
-    """A vocabulary's encoder and decoder."""
+    """A vocabulary's encoder."""
 
     def __init__(self, ranks: str, pattern: str | None):
         import tiktoken
@@ -55,9 +61,7 @@ class Codec:
             import public_tokenizers
 
             pattern = public_tokenizers.PATTERN
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self._encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks), special_tokens={})
 
     def encode(self, text: str) -> array:
         out = array("I")
@@ -71,15 +75,18 @@ class Codec:
             out.extend(self._encoding.encode_ordinary(part[at:] if at else part))
         return out
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return self._encoding.decode_bytes(ids.tolist())
-
 
 @lru_cache(maxsize=4)
 def codec(ranks: str, pattern: str | None = None) -> Codec:
     return Codec(ranks, pattern)
 
 
+@lru_cache(maxsize=4)
+def pieces(ranks: str) -> dict[int, bytes]:
+    """id -> its raw bytes: all that decoding needs."""
+    return {i: b for b, i in read_ranks(ranks).items()}
+
+
 def ids_of(text: Column, ranks: str, pattern: str | None = None) -> Column:
     """The ids of a text as packed bytes: unsigned 32-bit integers, little-endian."""
 
@@ -91,13 +98,13 @@ def ids_of(text: Column, ranks: str, pattern: str | None = None) -> Column:
     return encoded(F.coalesce(text.cast("binary"), F.lit(b"")))
 
 
-def bytes_of(ids: Column, ranks: str, pattern: str | None = None) -> Column:
+def bytes_of(ids: Column, ranks: str) -> Column:
     """The bytes that packed ids stand for. They need not be UTF-8: ids may be cut anywhere."""
 
     @F.arrow_udf("binary")
     def decoded(packed: pa.Array) -> pa.Array:
-        one = codec(ranks, pattern).decode
-        return pa.array([one(np.frombuffer(b, dtype="<u4")) for b in packed.to_pylist()], pa.binary())
+        known = pieces(ranks).__getitem__
+        return pa.array([b"".join(map(known, np.frombuffer(b, dtype="<u4").tolist())) for b in packed.to_pylist()], pa.binary())
 
     return decoded(F.coalesce(ids, F.lit(b"")))
 
@@ -126,7 +133,7 @@ def encode(docs: DataFrame, *, ranks: str, pattern: str | None = None, text: str
     return docs.withColumn(ids, out if packed else _unpacked(out))
 
 
-def decode(docs: DataFrame, *, ranks: str, pattern: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(docs: DataFrame, *, ranks: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """docs with the bytes that their ids stand for; ids as arrays or packed. Null ids count as none."""
     packed = F.col(ids) if docs.schema[ids].dataType.simpleString() == "binary" else _packed(F.col(ids))
-    return docs.withColumn(out, bytes_of(packed, ranks, pattern))
+    return docs.withColumn(out, bytes_of(packed, ranks))

@@ -189,6 +189,10 @@ def ranks():
 ODD = ["", " ", "a", "don't  we'll\n\n\tit's 12 345.6 <|endoftext|> é中文😀", "\x1c \x1d x\x1e\n\x1f y \x85 z  　w", "a ​ b﻿", "'s 's's  's", "\r\n \r\n x", " " * 10 + "\n" + " " * 10 + "x", "ẞ ÀÉ ﬁ ½ ² ①", "\u0000\u0001", "🇩🇪👩‍👩‍👧"]
 
 
+def back(ranks, ids):
+    return b"".join(map(bpe.pieces(ranks).__getitem__, ids))
+
+
 def test_ids_are_the_librarys(plain, ranks):
     rng = random.Random(4)
     alphabet = ["a", "word", " ", "  ", "\n", "\t", "'s", "9", "é", "中", "!", "\x1c", "\x85", " ", " ", "😀"]
@@ -200,7 +204,7 @@ def test_ids_are_the_librarys(plain, ranks):
             assert "".join(parts) == t
             assert [i for p in parts for i in plain.encode_ordinary(p)] == plain.encode_ordinary(t), (t[:80], size)
         assert list(one.encode(t)) == plain.encode_ordinary(t)
-        assert one.decode(np.array(one.encode(t), dtype="<u4")) == t.encode()
+        assert back(ranks, one.encode(t)) == t.encode()
 
 
 @pytest.mark.parametrize("blank", [" ", "\n", "　", " \t\n"])
@@ -213,8 +217,7 @@ def test_long_runs_of_blanks_are_one_piece(plain, ranks, blank, before, after):
 def test_texts_on_which_the_library_gives_up(ranks):
     one = bpe.codec(ranks)
     for t in ("x" + " " * 1_200_000 + "y", "\n" * 1_200_000, "a" * 300_000, "é " * 300_000):
-        ids = one.encode(t)
-        assert one.decode(np.array(ids, dtype="<u4")) == t.encode()
+        assert back(ranks, one.encode(t)) == t.encode()
 
 
 def test_columns_round_trip(spark, plain, ranks):
