@@ -78,9 +78,9 @@ def id_list(x: Column | str) -> Column:
     return F.array_distinct(split_trim(x, ","))
 
 
-def redact_paths(x: Column | str) -> Column:
-    """Absolute paths in text cut to their last part."""
-    return reduce(lambda c, p: F.regexp_replace(c, p, "$1"), PATHS, col(x))
+def redact_paths(x: Column | str, label: str = "") -> Column:
+    """Absolute paths in text cut to their last part, led by a label."""
+    return reduce(lambda c, p: F.regexp_replace(c, p, f"{label}$1"), PATHS, col(x))
 
 
 def ascii_project(x: Column | str) -> Column:
@@ -144,11 +144,12 @@ def unique_name(stem: Column, extension: Column, rank: Column) -> Column:
 
 
 def script_of(tag: Column | str) -> Column:
-    """The script a language tag is written in."""
+    """The script a language tag is written in: the one it names, else what its language or region says, else null. Nothing is guessed."""
     parts = F.split(F.lower(F.replace(col(tag), F.lit("_"), F.lit("-"))), "-")
-    head = F.get(parts, F.lit(0))
-    hant = F.arrays_overlap(parts, F.array(F.lit("hant"), F.lit("tw"), F.lit("hk"), F.lit("mo")))
-    return F.when(head == "zh", F.when(hant, "Hant").otherwise("Hans")).when(head == "ja", "Jpan").when(head == "ko", "Hang").when(head.isin("ru", "uk", "bg", "sr"), "Cyrl").when(head.isin("ar", "fa", "ur"), "Arab").when(head == "he", "Hebr").when(head == "th", "Thai").when(head == "hi", "Deva").otherwise("Latn")
+    head, rest = F.get(parts, F.lit(0)), F.slice(parts, F.lit(2), F.size(parts))
+    named = F.initcap(F.get(F.filter(rest, lambda p: p.rlike("^[a-z]{4}$")), F.lit(0)))
+    region = F.when(F.exists(rest, lambda p: p.isin("tw", "hk", "mo")), "Hant").when(F.exists(rest, lambda p: p.isin("cn", "sg")), "Hans")
+    return F.coalesce(named, F.when(head == "zh", region).when(head == "ja", "Jpan").when(head == "ko", "Hang").when(head == "en", "Latn"))
 
 
 def alias_of(x: Column | str, aliases: dict[str, str], default: str) -> Column:

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.functions import arrays, binary, maths, temporal, text
-from docengine.operators import layout
+from docengine.functions import redaction as R
+from docengine.operators import layout, merges
 from docengine.operators.lineage import shared_dir
+from docengine.operators.upkeep import Report
 from docengine.plans import conversions as C
 from docengine.plans import workbench as W
 from docengine.plans.documents import BARE, PDF_LINES
@@ -36,6 +38,35 @@ def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.newest("labels", F.col("doc_id") % 3 == 0, order=("doc_id",))
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 100 = 7 THEN 1 - quality ELSE quality END AS quality, toxic, (SELECT count(*) FROM labels WHERE doc_id % 100 = 7) AS rows_written, (SELECT count(*) FROM labels) AS rows_before FROM labels WHERE doc_id % 100 <> 9""")
+def store_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundredth of a table upserted and another deleted by two writers with one snapshot; each writes its own rows only."""
+    s, labels = _store(spark), Tables(spark, sf_dir).labels
+    s.write("labels", labels)
+    one, other = s.begin(), s.begin()
+    one.save("labels", one.read("labels").filter("doc_id % 100 = 7").withColumn("quality", 1 - F.col("quality")), ["doc_id"])
+    other.delete("labels", other.read("labels").filter("doc_id % 100 = 9"), "doc_id")
+    one.commit()
+    other.commit()  # on top of the first: they share no key
+    base, delta, *_ = s.current()["labels"]
+    return s.read("labels").withColumns({"rows_written": F.lit(delta["rows"]).cast("long"), "rows_before": F.lit(base["rows"]).cast("long")})
+
+
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 9 = 4 THEN 'moved' ELSE lang END AS lang, CASE WHEN doc_id % 9 = 4 THEN n_chars * 2 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 11 <> 3 AND lang <> 'fr')
+SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, min(n_chars) AS shortest, max(n_chars) AS longest FROM d GROUP BY lang""")
+def report_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of languages rewritten in place after documents moved, grew and went: counters adjusted, lost extremes read again."""
+    s, docs = _store(spark), Tables(spark, sf_dir).documents.select("doc_id", "lang", "n_chars")
+    s.write("documents", docs)
+    report = Report(s, "languages", "documents", ["lang"], {"chars": F.col("n_chars")}, {"shortest": F.col("n_chars")}, {"longest": F.col("n_chars")})
+    report.build()
+    s.save("documents", docs.filter("doc_id % 9 = 4 and lang <> 'fr'").select("doc_id", F.lit("moved").alias("lang"), (F.col("n_chars") * 2).alias("n_chars")), ["doc_id"])
+    report.refresh()
+    s.delete("documents", docs.filter("doc_id % 11 = 3 or lang = 'fr'"), "doc_id")
+    report.refresh()
+    return s.read("languages")
+
+
 @query("""WITH g AS (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 3) SELECT 'orders' AS table_name, (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM g)) AS kept
 UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM g))""")
 def store_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,11 +218,11 @@ def resolved_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).part.select("p_partkey", text.resolve_part(F.concat(F.lit("xl/worksheets/sheet"), n, F.lit(".xml")), target).alias("part"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Hans' WHEN 1 THEN 'Hant' WHEN 2 THEN 'Jpan' WHEN 3 THEN 'Cyrl' WHEN 4 THEN 'Hang' ELSE 'Latn' END AS script FROM documents""")
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN CASE WHEN source IN ('src1', 'src2') THEN 'Hant' ELSE 'Hans' END WHEN 1 THEN NULL WHEN 2 THEN 'Jpan' WHEN 3 THEN 'Cyrl' WHEN 4 THEN 'Hang' ELSE CASE WHEN lang = 'en' THEN 'Latn' END END AS script FROM documents""")
 def language_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR19: the script that a language tag stands for."""
     k = F.col("doc_id") % 6
-    tag = F.when(k == 0, "zh-CN").when(k == 1, "zh_TW").when(k == 2, "ja-JP").when(k == 3, "ru").when(k == 4, "ko-KR").otherwise(F.col("lang"))
+    tag = F.when(k == 0, F.when(F.col("source").isin("src1", "src2"), "zh_TW").otherwise("zh-CN")).when(k == 1, "zh").when(k == 2, "ja-JP").when(k == 3, F.concat("lang", F.lit("-CYRL-x"))).when(k == 4, "ko-KR").otherwise(F.col("lang"))
     return Tables(spark, sf_dir).documents.select("doc_id", text.script_of(tag).alias("script"))
 
 
@@ -232,20 +263,28 @@ def top_map_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.select("user_id", F.array_join(F.transform(arrays.top_entries("m", 3), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ";").alias("top"))
 
 
-@query("""SELECT page_id, '{"items":[{"file_path":"' || regexp_extract(url, '([^/]*)$', 1) || '","note":"see x.txt"}],"meta":{"token":"","n":' || page_id || '}}' AS payload FROM pages""")
+@query(f"""SELECT page_id, '{{"items":[{{"file_path":"{R.LABEL}/' || regexp_extract(rtrim(url, '/'), '([^/]*)$', 1) || '","note":"see {R.LABEL}/x.txt","file_path_available":true}}],"meta":{{"token":"","n":' || page_id || '}}}}' AS payload FROM pages""")
 def redact_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F17, F19, JS3, JS4: nested payloads: paths are cut to names and secrets emptied, at any depth."""
+    """F17, F19, JS3, JS4: nested payloads: paths are told by labels and secrets emptied, at any depth."""
     item = F.struct(F.col("url").alias("file_path"), F.lit("see /home/user/x.txt").alias("note"))
     payload = F.struct(F.array(item).alias("items"), F.struct(F.lit("abc").alias("token"), F.col("page_id").alias("n")).alias("meta"))
     p = Tables(spark, sf_dir).pages.select("page_id", payload.alias("payload"))
-    return W.redact_rows(p).select("page_id", F.to_json("payload").alias("payload"))
+    return R.redact_rows(p).select("page_id", F.to_json("payload").alias("payload"))
 
 
-@query("""SELECT event_id, '{"a":{"token":"","list":[{"output_path":"' || event_type || '.docx"},"saw x.txt ' || user_id || '"]},"n":' || event_id || '}' AS payload FROM events""")
+@query(f"""WITH e AS (SELECT event_id, event_type AS t, user_id AS u, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+b AS (SELECT *, '{R.LABEL}/' || t || '.html' AS html, k % 4 > 0 AS given FROM e)
+SELECT event_id, '{{"a":{{"list":[{{"output_path":"{R.LABEL}/' || t || '.docx","output_path_available":true}},"saw {R.LABEL}/x.txt ' || u || '",[[' || k || ',null,"\\"html_path\\":\\"s/' || t || '\\""]]],"token":""}},"backup_available":' || given || ',"backup_path":"' || CASE WHEN given THEN '{R.LABEL}/b' || k ELSE '' END || '","backup_path_available":' || given
+|| ',"html_path":"' || html || '","html_path_available":true,"k":' || k || ',"outputs":{{"pdf":"{R.LABEL}/' || k || '.pdf","txt":""}},"outputs_available":{{"pdf":true,"txt":false}},"path":' || CASE WHEN k % 2 = 0 THEN '"","path_available":false' ELSE '"{R.LABEL}","path_available":true' END || '}}' AS payload FROM b""")
 def redact_json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F17, F18, JS3: payloads of unknown shape, as JSON texts, as they may be shown."""
-    said = F.concat(F.lit('{"a":{"token":"x\\\\\\"y","list":[{"output_path":"/home/u/out/'), "event_type", F.lit('.docx"},"saw /tmp/d/x.txt '), F.col("user_id").cast("string"), F.lit('"]},"n":'), F.col("event_id").cast("string"), F.lit("}"))
-    return Tables(spark, sf_dir).events.select("event_id", W.redacted_json(said).alias("payload"))
+    """F17, F18, JS3: payloads of unknown shape as they may be shown: the events' own with keys, escapes and nesting around them."""
+    k, t = F.get_json_object("props", "$.k"), F.col("event_type")
+    parts = [
+        '{"html_path":"secret/dir/', t, '.html","outputs":{"pdf":"C:\\\\out\\\\', k, '.pdf","txt":""},"a":{"token":"x\\"y","list":[{"output_path":"/home/u/out/', t, '.docx"},"saw /tmp/d/x.txt ', F.col("user_id").cast("string"), '",[[', k, ',null,"\\"html_path\\":\\"s/', t, '\\""]]]},"path":',
+        F.when(k.cast("long") % 2 == 0, "[]").otherwise('["/a/b"]'), ',"backup_path":', F.when(k.cast("long") % 4 > 0, F.concat(F.lit('"/var/x/b'), k, F.lit('/"'))).otherwise("null"), F.concat(F.lit(","), F.substring(F.col("props"), F.lit(2), F.length("props"))),
+    ]
+    said = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return R.redact_json(Tables(spark, sf_dir).events.select("event_id", said.alias("payload")), "payload")
 
 
 @query("""SELECT page_id, 'data:text/html;base64,' || base64(CAST(left(url, 40) AS BLOB)) AS uri, left(url, 40) AS back FROM pages""".replace("CAST(left(url, 40) AS BLOB)", "encode(left(url, 40))"))
@@ -399,6 +438,50 @@ def big_table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.groupBy(F.col("doc_id").cast("long").alias("supplier")).agg(F.count(F.lit(1)).alias("pages"), F.sum(F.size(F.flatten("tbl"))).cast("long").alias("cells"))
 
 
+PAGED = """o AS (SELECT l_suppkey AS supplier, count(*) AS total FROM lineitem GROUP BY 1),
+m AS (SELECT supplier, p * 12 + s.k % 11 AS first, p * 12 + s.k % 11 + 2 + s.k % 13 AS last FROM o, LATERAL (SELECT unnest(range(total // 12 + 1)) AS p), LATERAL (SELECT (supplier * 7 + p * 5) % 31 AS k) s WHERE s.k % 3 = 0 AND p * 12 + s.k % 11 + 2 + s.k % 13 <= total)"""
+
+
+@query(f"""WITH RECURSIVE {PAGED},
+c AS (SELECT DISTINCT supplier, unnest(range(first + 1, last)) AS cut FROM m),
+f AS (SELECT supplier, list(cut) AS cuts FROM c GROUP BY 1),
+t AS (SELECT o.supplier, total, coalesce(cuts, []) AS cuts FROM o LEFT JOIN f ON f.supplier = o.supplier),
+p(supplier, page, s, e) AS (SELECT supplier, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM t UNION ALL
+SELECT p.supplier, p.page + 1, p.e, coalesce((SELECT max(x) FROM (SELECT unnest(range(p.e + 1, least(p.e + 12, total) + 1)) AS x) WHERE NOT list_contains(cuts, x)), (SELECT min(x) FROM (SELECT unnest(range(least(p.e + 12, total), total + 1)) AS x) WHERE NOT list_contains(cuts, x)))
+FROM p JOIN t ON t.supplier = p.supplier WHERE p.e < total)
+SELECT supplier, page, s AS start, e AS "end" FROM p WHERE page >= 0""")
+def merge_aware_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of each supplier's lines, with merges of 2 to 14 rows, as pages of at most twelve rows that cut no merge."""
+    tables = Tables(spark, sf_dir).lineitem.groupBy(F.col("l_suppkey").alias("supplier")).agg(F.count(F.lit(1)).alias("total"))
+    m = tables.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("total") / 12)))).withColumn("k", (F.col("supplier") * 7 + F.col("p") * 5) % 31)
+    m = m.withColumn("first", F.col("p") * 12 + F.col("k") % 11).withColumn("last", F.col("first") + 2 + F.col("k") % 13).filter("k % 3 = 0 and last <= total")
+    return merges.merge_pages(tables, m, ["supplier"])
+
+
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS r FROM lineitem),
+w AS (SELECT l_orderkey, r, CASE WHEN l_quantity > 45 THEN 300 ELSE 0 END AS fixed, 400 * (1 + (l_partkey % 30 + l_suppkey % 7) // 10) AS need, CASE WHEN r % 2 = 0 THEN 400 * (1 + (l_partkey % 90) // 20) ELSE 0 END AS pair, r // 2 AS g, count(*) OVER (PARTITION BY l_orderkey, r // 2) AS size FROM l),
+h AS (SELECT *, CASE WHEN fixed > 0 THEN fixed ELSE need END AS own FROM w),
+s AS (SELECT *, sum(own) OVER k AS has, count(*) FILTER (WHERE fixed = 0) OVER k AS free, max(pair) OVER k AS asked, count(*) FILTER (WHERE fixed = 0) OVER (PARTITION BY l_orderkey, g ORDER BY r) AS rank FROM h WINDOW k AS (PARTITION BY l_orderkey, g)),
+d AS (SELECT *, CASE WHEN size = 2 AND fixed = 0 THEN greatest(asked - has, 0) ELSE 0 END AS lack FROM s)
+SELECT l_orderkey, r AS row, CAST(own + CASE WHEN lack > 0 THEN lack // free + CASE WHEN rank <= lack % free THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS height FROM d""")
+def table_row_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines as a table of two columns: heights from texts, a merge over the second column of every two rows, fixed rows stay."""
+    lines_ = Tables(spark, sf_dir).lineitem
+    place = C.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    items = lines_.select("l_orderkey", (F.row_number().over(place) - 1).alias("row"), F.when(F.col("l_quantity") > 45, 300).otherwise(0).cast("long").alias("fixed"), (F.col("l_partkey") % 30 + F.col("l_suppkey") % 7).cast("int").alias("short"), (F.col("l_partkey") % 90).cast("int").alias("long"))
+    narrow, broad = F.lit(10 * 114_300).cast("long"), F.lit(20 * 114_300).cast("long")
+    tables = items.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "fixed"))), lambda x: x["fixed"]).alias("heights")).withColumn("widths", F.array(narrow, broad))
+    # a column of ten half-widths: a text of 10 n characters and a newline's worth more takes n + 1 lines
+    said = lambda c, k: F.concat(F.repeat(F.lit("x"), c - c % k), F.lit("y"))
+    first = items.select("l_orderkey", "row", F.lit(0).alias("col"), said(F.col("short"), 10).alias("text"))
+    second = items.select("l_orderkey", "row", F.lit(1).alias("col"), F.when(F.col("row") % 2 == 0, said(F.col("long"), 20)).otherwise("covered").alias("text"))
+    pairs = items.filter("row % 2 = 1").select("l_orderkey", (F.col("row") - 1).alias("pos"), (F.col("row") - 1).alias("top"), F.lit(1).alias("left"), F.lit(2).alias("height"), F.lit(1).alias("span"))
+    lone = items.select("l_orderkey", "row", "long")
+    alone = lone.groupBy("l_orderkey").agg(F.max("row").alias("row")).filter("row % 2 = 0").withColumn("odd", F.lit(True))
+    second = second.join(alone, ["l_orderkey", "row"], "left").withColumn("text", F.when(F.col("odd"), "").otherwise(F.col("text"))).drop("odd")
+    return merges.row_heights(tables, first.unionByName(second), pairs, ["l_orderkey"])
+
+
 @query("""SELECT p_partkey, [10 + p_size + CASE WHEN k % 3 > 0 THEN 1 ELSE 0 END + k // 3, 20 + CASE WHEN k % 3 > 1 THEN 1 ELSE 0 END + k // 3, 30 + k // 3] AS heights FROM (SELECT p_partkey, p_size, greatest(100 - (60 + p_size), 0) AS k FROM part)""")
 def row_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows raised to the height that a cell needs, the remainder to the first ones."""

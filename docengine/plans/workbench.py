@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from docengine.functions import binary, text
 from docengine.functions.nulls import first_given, truthy
+from docengine.functions.redaction import LABEL, redact_rows
 from docengine.plans.tables import Tables
 from docengine.registry import query
 from docengine.sources import archive
@@ -122,39 +123,6 @@ def setting(option: Column, saved: Column, default: str) -> Column:
     return first_given(option, saved, F.lit(default))
 
 
-#: Keys whose values are paths or secrets (fixed values).
-PATH_KEYS = ("path", "file_path", "storage_path", "output_path", "input_path", "report_path", "image_path", "backup_path", "omml_source_path", "omml_target_path")
-SECRET_KEYS = ("token", "password", "secret", "app_key", "api_key")
-
-
-def redacted(c: Column, t: T.DataType, key: str = "") -> Column:
-    """F17, F19, JS3, JS4: a nested value with paths cut to names, and secrets emptied, at any depth of its type."""
-    if isinstance(t, T.StructType):
-        return F.when(c.isNotNull(), F.struct(*[redacted(c[f.name], f.dataType, f.name).alias(f.name) for f in t]))
-    if isinstance(t, T.ArrayType):
-        return F.transform(c, lambda x: redacted(x, t.elementType, key))
-    if isinstance(t, T.MapType) and isinstance(t.valueType, T.StringType):
-        return F.transform_values(c, lambda k, v: F.when(k.isin(*SECRET_KEYS), "").when(k.isin(*PATH_KEYS), text.base_name(v)).otherwise(text.redact_paths(v)))
-    if isinstance(t, T.StringType):
-        return F.lit("") if key in SECRET_KEYS else text.base_name(c) if key in PATH_KEYS else text.redact_paths(c)
-    return c
-
-
-def redacted_json(payload: Column) -> Column:
-    """F17, JS3: a payload of unknown shape, as JSON text: secrets emptied, paths under path keys cut to names, other texts' paths cut
-    where they stand. Keys decide at any depth; numbers and structure stay."""
-    keys = lambda ks: "|".join(ks)
-    string = r'"(?:[^"\\]|\\.)*"'
-    out = F.regexp_replace(payload, rf'("(?:{keys(SECRET_KEYS)})"\s*:\s*){string}', '$1""')
-    out = F.regexp_replace(out, rf'("(?:{keys(PATH_KEYS)})"\s*:\s*")(?:[^"\\]|\\.)*(?:/|\\\\)([^"/\\]*)"', '$1$2"')
-    return text.redact_paths(out)
-
-
-def redact_rows(df: DataFrame) -> DataFrame:
-    flags = [F.col(f.name).isNotNull().alias(f"{f.name}_available") for f in df.schema if f.name in PATH_KEYS]
-    return df.select(*[redacted(F.col(f.name), f.dataType, f.name).alias(f.name) for f in df.schema], *flags)
-
-
 def preserved(blocks: DataFrame, tables: bool = True, images: bool = True) -> DataFrame:
     """switches that drop kinds of blocks."""
     gone = [k for k, keep in (("table", tables), ("image", images)) if not keep]
@@ -258,7 +226,7 @@ def deletable(asked: DataFrame, users: DataFrame, roles: dict[str, list[str]], p
     return asked.join(can, F.col("user_id") == F.col("__u"), "left").select("id", "user_id", truthy("__can").alias("allowed"))
 
 
-@query("""SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS path, '' AS token, TRUE AS path_available FROM pages""")
+@query(f"""SELECT page_id, '{LABEL}/' || regexp_extract(rtrim(url, '/'), '([^/]*)$', 1) AS path, '' AS token, TRUE AS path_available FROM pages""")
 def redact_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rows with paths and secrets, as they may be shown."""
     p = Tables(spark, sf_dir).pages.select("page_id", F.col("url").alias("path"), F.col("url").alias("token"))

@@ -26,7 +26,8 @@ def test_text(spark):
     assert [one(spark, text.column_letters(F.lit(n))) for n in (1, 26, 27, 702, 703, 16384)] == ["A", "Z", "AA", "ZZ", "AAA", "XFD"]
     assert one(spark, text.heading_level(F.lit("Heading 3"), F.lit(5))) == 3 and one(spark, text.heading_level(F.lit(""), F.lit(1))) == 1
     assert one(spark, text.tag_count("x", "p"), x="<w:p><w:pPr/></w:p><p/>") == 2
-    assert one(spark, text.script_of(F.lit("zh-TW"))) == "Hant" and one(spark, text.alias_of(F.lit(" WIN "), {"win": "windows"}, "other")) == "windows"
+    assert [one(spark, text.script_of(F.lit(t))) for t in ("zh-TW", "zh-SG", "zh", "az-Cyrl", "zh-Hans-TW", "EN_us", "ru", "ja")] == ["Hant", "Hans", None, "Cyrl", "Hans", "Latn", None, "Jpan"]
+    assert one(spark, text.alias_of(F.lit(" WIN "), {"win": "windows"}, "other")) == "windows"
     assert one(spark, text.id_list(F.lit("a, b,,a"))) == ["a", "b"]
     assert one(spark, text.pdf_escape(F.lit("(中)"))) == "\\(?\\)"
 

@@ -56,12 +56,6 @@ def test_ingest(spark):
     assert [r.file_name for r in W.renamed(names).orderBy("id").collect()] == ["a.b.docx", "a.b-1.docx", "x"]
 
 
-def test_redaction(spark):
-    df = spark.createDataFrame([("/home/me/x.docx", {"token": "s", "note": "at /home/me/y.txt"}, [("k", "C:\\u\\z.txt")])], "file_path string, options map<string,string>, items array<struct<token:string,path:string>>")
-    r = W.redact_rows(df).first()
-    assert r.file_path == "x.docx" and r.file_path_available and r.options == {"token": "", "note": "at y.txt"} and tuple(r["items"][0]) == ("", "z.txt")
-
-
 def test_verification(spark):
     t0, t1 = datetime.datetime(2024, 1, 1), datetime.datetime(2024, 1, 2)
     import hashlib
