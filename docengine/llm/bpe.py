@@ -1,8 +1,8 @@
 """Byte-level BPE: texts to ids and back with the tiktoken library, over a local file of ranks.
 
-Both ways are column expressions over Arrow batches: only the text, or the ids, goes to Python, nothing is shuffled, and other columns
-stay where they are. The file of ranks is a path that every executor can open; each Python worker loads it once, and one that only decodes
-loads the ids' raw bytes alone.
+Both ways go over Arrow batches, a few megabytes of text or ids at a time; nothing is shuffled and other columns pass as they are. The
+file of ranks is a path that every executor can open; each Python worker loads it once, and one that only decodes loads the ids' raw
+bytes alone.
 
 A long text is encoded a chunk at a time. It is cut only where the pre-tokenizer splits whatever surrounds the place: between a
 non-blank and the space or newline after it, as no alternative of the pattern goes from a non-blank on to a blank and none looks back.
@@ -24,8 +24,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Python's \s has the blanks of the pattern's \s and four separators more: its \S is never a blank of the pattern.
 SAFE = re.compile(r"(?<=\S)(?=[ \n])")
@@ -87,53 +89,61 @@ def pieces(ranks: str) -> dict[int, bytes]:
     return {i: b for b, i in read_ranks(ranks).items()}
 
 
-def ids_of(text: Column, ranks: str, pattern: str | None = None) -> Column:
-    """The ids of a text as packed bytes: unsigned 32-bit integers, little-endian."""
+def _slices(batch: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `most` bytes of a column of bytes, a row at least."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for i, j in zip(cuts, cuts[1:]):
+        if j > i:
+            yield batch.slice(i, j - i)
 
-    @F.arrow_udf("binary")
-    def encoded(texts: pa.Array) -> pa.Array:
-        one = codec(ranks, pattern).encode
-        return pa.array([one(t.decode("utf-8", "replace")).tobytes() for t in texts.to_pylist()], pa.binary())
 
-    return encoded(F.coalesce(text.cast("binary"), F.lit(b"")))
+def _lists(packed: list[bytes]) -> pa.ListArray:
+    offsets = np.r_[0, np.cumsum([len(b) // 4 for b in packed])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
 
 
-def bytes_of(ids: Column, ranks: str) -> Column:
-    """The bytes that packed ids stand for. They need not be UTF-8: ids may be cut anywhere."""
+def _through(docs: DataFrame, given: Column, columns: list[str] | None, out: str, kind: str, make) -> DataFrame:
+    """docs' columns and `out`, which make(worker's rows of bytes) gives for the bytes of `given`."""
+    kept = [c for c in (docs.columns if columns is None else columns) if c != out]
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(out, T.StructType.fromDDL(f"x {kind}")[0].dataType)])
 
-    @F.arrow_udf("binary")
-    def decoded(packed: pa.Array) -> pa.Array:
-        known = pieces(ranks).__getitem__
-        return pa.array([b"".join(map(known, np.frombuffer(b, dtype="<u4").tolist())) for b in packed.to_pylist()], pa.binary())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in _slices(b, len(kept)):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], make(part.column(len(kept)))], names=schema.fieldNames())
 
-    return decoded(F.coalesce(ids, F.lit(b"")))
+    return docs.select(*kept, F.coalesce(given, F.lit(b"")).alias("__bytes")).mapInArrow(run, schema)
 
 
-def _unpacked(ids: Column) -> Column:
-    @F.arrow_udf("array<int>")
-    def arrays(packed: pa.Array) -> pa.Array:
-        sizes = [len(b) // 4 for b in packed.to_pylist()]
-        flat = np.frombuffer(b"".join(packed.to_pylist()), dtype="<i4")
-        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
+def encode(docs: DataFrame, *, ranks: str, pattern: str | None = None, text: str = "text", ids: str = "ids", packed: bool = False, columns: list[str] | None = None) -> DataFrame:
+    """docs (all columns or those named) with the ids of their texts: an array of integers, or packed bytes, unsigned 32-bit and little-endian,
+    for writers of training files."""
 
-    return arrays(ids)
+    def make(texts: pa.Array) -> pa.Array:
+        one = codec(ranks, pattern).encode
+        found = [one(t.as_py().decode("utf-8", "replace")).tobytes() for t in texts]
+        return pa.array(found, pa.binary()) if packed else _lists(found)
 
+    return _through(docs, F.col(text).cast("binary"), columns, ids, "binary" if packed else "array<int>", make)
 
-def _packed(ids: Column) -> Column:
-    @F.arrow_udf("binary")
-    def packed(lists: pa.Array) -> pa.Array:
-        return pa.array([np.asarray(x or [], dtype="<u4").tobytes() for x in lists.to_pylist()], pa.binary())
 
-    return packed(ids)
+def decode(docs: DataFrame, *, ranks: str, ids: str = "ids", out: str = "decoded", columns: list[str] | None = None) -> DataFrame:
+    """docs with the bytes that their ids stand for; ids as arrays or packed. Null ids count as none. The bytes need not be UTF-8: ids may be cut
+    anywhere."""
 
+    def make(packed: pa.Array) -> pa.Array:
+        known = pieces(ranks).__getitem__
+        return pa.array([b"".join(map(known, np.frombuffer(b.as_py(), dtype="<u4").tolist())) for b in packed], pa.binary())
 
-def encode(docs: DataFrame, *, ranks: str, pattern: str | None = None, text: str = "text", ids: str = "ids", packed: bool = False) -> DataFrame:
-    """docs with the ids of their texts: an array of integers, or packed bytes for writers of training files."""
-    out = ids_of(F.col(text), ranks, pattern)
-    return docs.withColumn(ids, out if packed else _unpacked(out))
+    given = F.col(ids) if docs.schema[ids].dataType.simpleString() == "binary" else _packed(F.col(ids))
+    return _through(docs, given, columns, out, "binary", make)
 
 
-def decode(docs: DataFrame, *, ranks: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """docs with the bytes that their ids stand for; ids as arrays or packed. Null ids count as none."""
-    packed = F.col(ids) if docs.schema[ids].dataType.simpleString() == "binary" else _packed(F.col(ids))
-    return docs.withColumn(out, bytes_of(packed, ranks))
+def _packed(ids: Column) -> Column:
+    @F.arrow_udf("binary")
+    def packed(lists: pa.Array) -> pa.Array:
+        return pa.array([np.asarray(x.as_py() or [], dtype="<u4").tobytes() for x in lists], pa.binary())
+
+    return packed(ids)

@@ -119,7 +119,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.encode(_docs(spark, sf_dir, "doc_id", "text"), ranks=ranks, packed=True).drop("text")
+    coded = bpe.encode(_docs(spark, sf_dir, "doc_id", "text"), ranks=ranks, packed=True, columns=["doc_id"])
     both = bpe.decode(coded, ranks=ranks)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
