@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from docengine.plans.sheets import LINES, lines
 from docengine.plans.tables import Tables
 from docengine.registry import query
 from docengine.sources import archive, images, ooxml, pdf, vba, writers
-from docengine.streaming import logs
+from docengine.streaming import logs, taskstates
 
 
 def _files(made: DataFrame) -> DataFrame:
@@ -126,3 +127,17 @@ def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def task_state_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1, M2 over a table."""
     return logs.task_states_batch(_moves(spark, sf_dir))
+
+
+@query(MOVES_SQL.replace("SELECT task_id, arg_max(status, seq) AS status,", "SELECT task_id, CASE WHEN arg_max(status, seq) = '处理中' AND arg_max(ts, seq) + INTERVAL 6 HOUR < (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE THEN '已中断' ELSE arg_max(status, seq) END AS status,").replace("event_id AS seq,", "event_id AS seq, ts,"))
+def task_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1, M2, M4: events that land in three parts, each followed by a run of the stream from its checkpoint; tasks that were running and have been silent for six
+    hours are interrupted by timers. What the state store holds at the end."""
+    at, every = _folder(spark), Tables(spark, sf_dir).events
+    moves = _moves(spark, sf_dir).join(every.select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at")), "seq").select("task_id", "seq", "status", "progress", "at")
+    last = every.agg(F.max("event_id")).first()[0] or 0
+    for part in range(3):
+        moves.filter(F.col("seq").between(part * last // 3 + (part > 0), (part + 1) * last // 3)).write.parquet(f"{at}/in/{part}")
+        landed = spark.readStream.schema(taskstates.MOVE).parquet(f"{at}/in/*")
+        taskstates.follow(landed, datetime.timedelta(hours=6), f"{at}/checkpoint", f"{at}/out").awaitTermination()
+    return taskstates.stored(spark, f"{at}/checkpoint").select("task_id", "status", "progress", "updates")
