@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docengine.operators import layout, relational as R
+from docengine.operators import layout, markers, relational as R
 from docengine.plans.tables import Tables
 from docengine.registry import query
 
@@ -119,6 +119,30 @@ def marker_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "page", F.explode(F.filter(terms, lambda m: (F.col("page") == 1) | F.contains(F.col("low"), m["term"]))).alias("m")).select("doc_id", "page", "m.marker")
 
 
+TERMS = """b AS (SELECT item_id, lower(text) AS text FROM benchmark),
+w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM b),
+t AS (SELECT 's' || item_id AS marker, trim(s) AS term FROM (SELECT item_id, unnest(string_split(text, '.')) AS s FROM b)
+UNION SELECT 'p' || item_id, w[i] || ' ' || w[i + 1] FROM (SELECT *, unnest(range(1, len(w))) AS i FROM w)
+UNION SELECT 'w' || item_id, w[len(w) // 2] FROM w)"""
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences, pairs of words and a middle word of benchmark items."""
+    b = Tables(spark, sf_dir).benchmark.select(F.col("item_id").cast("string").alias("i"), F.lower("text").alias("text"))
+    w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    term = lambda kind, x: b.select(F.concat(F.lit(kind), "i").alias("marker"), x.alias("term"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
+    return term("s", F.explode(F.transform(F.split("text", r"\."), lambda x: F.trim(x)))).unionByName(term("p", F.explode(pairs))).unionByName(term("w", F.get(w, F.floor(F.size(w) / 2).cast("int") - 1))).distinct()
+
+
+@query(f"""WITH {TERMS}, p AS (SELECT doc_id, pos, lower(line) AS line FROM ({LINES}))
+SELECT DISTINCT doc_id, pos AS page, marker FROM p JOIN t ON term <> '' AND contains(line, term)""")
+def marker_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some thousand terms from a table, looked for in every line of every document."""
+    pages = lines(spark, sf_dir).withColumnRenamed("pos", "page")
+    return markers.found(pages, _terms(spark, sf_dir), ["doc_id", "page"], "line")
+
+
 @query("""WITH n AS (SELECT doc_id, 1 - quality AS quality, toxic FROM labels WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id + 10000000, 1, 0 FROM labels WHERE doc_id % 5 = 0)
 SELECT doc_id, quality, toxic FROM labels l WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc_id = l.doc_id) UNION ALL SELECT doc_id, quality, toxic FROM n""")
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
