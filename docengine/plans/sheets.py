@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docengine.operators import layout, markers, relational as R
+from docengine.operators.pageindex import PageIndex
 from docengine.plans.tables import Tables
 from docengine.registry import query
 
@@ -84,6 +85,22 @@ def page_n_of_m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.pages(Tables(spark, sf_dir).documents.select("doc_id", "n_chars"), 20, 2, F.desc("n_chars"), F.col("doc_id"))
 
 
+@query("""WITH o AS (SELECT doc_id, n_chars, CAST(row_number() OVER (ORDER BY n_chars DESC NULLS LAST, doc_id) AS BIGINT) AS rn, CAST(count(*) OVER () AS BIGINT) AS total_rows FROM documents)
+SELECT * FROM o WHERE (rn - 1) // 20 = (total_rows - 1) // 20 OR (rn - 1) // 20 = (total_rows - 1) // 40""")
+def deep_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last page of twenty rows and the one half way, each from the ranges of a sorted index that hold it."""
+    index = PageIndex.build(Tables(spark, sf_dir).documents.select("doc_id", "n_chars"), ["-n_chars", "doc_id"], rows_a_range=64, most_ranges=512)
+    last, half = (index.total - 1) // 20, (index.total - 1) // 40
+    return index.page(last + 1, 20).unionByName(index.page(half + 1, 20)) if half != last else index.page(last + 1, 20)
+
+
+@query("""SELECT event_id, user_id, value FROM events WHERE event_type = 'error' AND value < 20 ORDER BY ts DESC, event_id DESC LIMIT 1""")
+def first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: the newest event that fits, looked for from the newest on and no further than it takes."""
+    index = PageIndex.build(Tables(spark, sf_dir).events.select("event_id", "user_id", "event_type", "value", "ts"), ["-ts", "-event_id"], rows_a_range=256, most_ranges=512)
+    return index.first((F.col("event_type") == "error") & (F.col("value") < 20)).select("event_id", "user_id", "value")
+
+
 @query("""SELECT url, CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) AS number, page_id FROM pages ORDER BY number, url, page_id""")
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By the number in a path."""
