@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import io
 import posixpath
 import re
@@ -181,6 +182,27 @@ def _level(p: ET.Element, index: int) -> int:
     return int(m[1]) if m else 1 if name == "title" or index == 1 else 0
 
 
+def loose_paragraphs(xml: str) -> Iterator[tuple[str, int | None]]:
+    """(text, heading level) of a part that no parser takes: one walk from tag to tag; what stands between a paragraph's tags is its text."""
+    said: list[str] | None = None
+    level, at = None, 0
+    while (opened := xml.find("<", at)) >= 0:
+        if said is not None:
+            said.append(xml[at:opened])
+        closed = xml.find(">", opened)
+        if closed < 0:
+            return
+        tag, at = xml[opened + 1 : closed], closed + 1
+        kind = tag.strip("/ ").split(None, 1)[0].rsplit(":", 1)[-1] if tag.strip("/ ") else ""
+        if kind == "p" and tag.startswith("/") and said is not None:
+            yield " ".join(html.unescape("".join(said)).split()), level
+            said = None
+        elif kind == "p" and not tag.startswith("/") and not tag.endswith("/"):
+            said, level = [], None
+        elif kind == "pStyle" and (style := tag.partition("val=")[2][1:].lower()).startswith("heading") and style[7:8] in set("123456789"):
+            level = int(style[7])
+
+
 def docx_blocks(name: str, content: bytes) -> Iterator[tuple]:
     package = Package(content)
     xml = package.zip.read("word/document.xml")
@@ -188,11 +210,9 @@ def docx_blocks(name: str, content: bytes) -> Iterator[tuple]:
     try:
         root = parse(xml)
     except ET.ParseError:
-        for i, p in enumerate(re.findall(rb"<w:p\b[\s\S]*?</w:p>", xml), 1):
-            text = " ".join(re.sub(r"<[^>]+>", "", p.decode("utf-8", "ignore")).split())
+        for i, (text, level) in enumerate(loose_paragraphs(xml.decode("utf-8", "ignore")), 1):
             if text:
-                m = re.search(rb'w:pStyle w:val="[Hh]eading([1-9])"', p)
-                out.append(("paragraph", text, int(m[1]) if m else int(i == 1), None, None, None))
+                out.append(("paragraph", text, int(i == 1) if level is None else level, None, None, None))
         root = None
     index = 0
 

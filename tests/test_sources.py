@@ -207,8 +207,17 @@ def test_legacy_header(spark):
 def test_vba(spark):
     source = 'Attribute VB_Name = "模块1"\r\nPublic Sub One() \' Sub No()\r\nSub Two _\r\n  ()\r\nPrivate Sub P()\r\nSub WithArg(x)\r\nx = "Sub Three()": Static Sub Four()\r\nRem Sub Five()\r\nFriend Sub Six()'
     assert vba.macros(source) == [("One", "模块1", 2, "模块1.One"), ("Two", "模块1", 3, "模块1.Two"), ("Four", "模块1", 7, "模块1.Four")]
-    assert vba.macros("Option Private Module\nSub A()") == []
-    for bad in ("Sub A()\nSub a()", "Sub A _", "x\0", 'Attribute VB_Name = "A"\nAttribute VB_Name = "B"'):
+    assert vba.macros("Option Private Module\nSub A()") == [] and vba.macros("Sub _Hidden()") == [] and vba.macros("") == []
+    faked = "' Sub Fake()\nRem comment: Sub FakeTwo()\nvalue = \"Sub FakeThree(): Public Sub FakeFour()\"\nPublic _\nSub Real(): End Sub"
+    assert vba.macros(faked) == [("Real", "", 4, "Real")]
+    assert vba.macros("\ufeffAttribute VB_Name = \"Module_1\"\nSub Prepare()")[0][3] == "Module_1.Prepare"
+    assert [m[0] for m in vba.macros("Public Sub 整理标题()\nEnd Sub\nSub NeedsArgument(value As String)\nPublic Function Value() As String\nSub Refresh\nEnd Sub\nPublic Static Sub Kept()\nREM\nremember = 1: Sub Last() ' Sub No() _\nSub Joined()\n' x _\ny: Sub Not()\nSub A_1()")] == ["整理标题", "Refresh", "Kept", "Last", "A_1"]
+    for module in ("bad.name", "bad name", "123Module", "Module[1]", "_Module", "M" * 256, ""):
+        with pytest.raises(ValueError, match="module"):
+            vba.macros(f'Attribute VB_Name = "{module}"\nPublic Sub Prepare()')
+    with pytest.raises(ValueError, match="too long"):
+        vba.macros("Sub " + "M" * 256 + "()")
+    for bad in ("Sub A()\nSub a()", "Sub A _", "Public _", "Sub A _\n", "x\0", 'Attribute VB_Name = "A"\nAttribute VB_Name = "B"'):
         with pytest.raises(ValueError):
             vba.macros(bad)
     assert vba.read_macros(files(spark, a_bas=b"Sub A()", b_bas=b"\xff\xfe")).filter("error is null").count() == 1
@@ -289,3 +298,9 @@ def test_big_table_pages():
     assert len(pages) == 6 and sorted(x for p in pages for row in p[3] for x in row) == sorted(x for row in tbl for x in row)
     cut = list(ooxml.table_pages("d", 0, tbl, [[10, 2, 5, 2]]))
     assert [len(p[3]) for p in cut if p[3][0][0].endswith(".0")] == [10, 12, 3] and sum(len(p[4]) for p in cut) == 1
+
+
+def test_broken_word_parts_keep_their_text():
+    xml = '<w:document><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>One &amp; two</w:t></w:r></w:p><w:p w:rsid="1"><w:r><w:t>a</w:t><w:t> b</w:t></w:r></w:p><w:p/><w:pict>no</w:pict><w:p><w:t>open'
+    assert list(ooxml.loose_paragraphs(xml)) == [("One & two", 2), ("a b", None)]
+    assert list(ooxml.loose_paragraphs("")) == [] and list(ooxml.loose_paragraphs("<>< /><p>x</p>")) == [("x", None)]
