@@ -13,8 +13,10 @@ from docengine.operators.lineage import shared_dir
 from docengine.plans.sheets import LINES, lines
 from docengine.plans.tables import Tables
 from docengine.registry import query
-from docengine.sources import archive, images, ooxml, pdf, vba, writers
-from docengine.streaming import logs, taskstates
+from docengine.plans import workbench
+from docengine.sources import archive, images, ooxml, pdf, store, vba, writers
+from docengine.streaming import ingest, logs, taskstates
+from docengine.streaming.retention import DayTable
 
 
 def _files(made: DataFrame) -> DataFrame:
@@ -141,3 +143,34 @@ def task_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         landed = spark.readStream.schema(taskstates.MOVE).parquet(f"{at}/in/*")
         taskstates.follow(landed, datetime.timedelta(hours=6), f"{at}/checkpoint", f"{at}/out").awaitTermination()
     return taskstates.stored(spark, f"{at}/checkpoint").select("task_id", "status", "progress", "updates")
+
+
+LANDINGS = """g AS (SELECT page_id % 8 AS k, page_id, regexp_replace(html, '[\\r\\n]', ' ', 'g') || chr(10) AS line FROM pages),
+a AS (SELECT k, 0 AS run, string_agg(line, '' ORDER BY page_id) AS body FROM g GROUP BY k UNION ALL SELECT k, 1, string_agg(line, '' ORDER BY CASE WHEN k < 4 THEN page_id ELSE -page_id END) FROM g GROUP BY k)"""
+
+
+@query(f"""WITH {LANDINGS}, f AS (SELECT k, run, sha256(body) AS sha256, CAST(strlen(body) AS BIGINT) AS file_size FROM a)
+SELECT sha256, file_size, count(*) AS arrivals FROM f GROUP BY 1, 2""")
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight files of pages land, and eight more of which four hold what came before; a stream registers each content once."""
+    at, pages = _folder(spark), Tables(spark, sf_dir).pages
+    line = F.regexp_replace("html", "[\r\n]", " ").alias("value")
+    registry = store.Store(spark, f"{at}/registry")
+    for run, order in enumerate((F.col("page_id"), F.when(F.col("page_id") % 8 < 4, F.col("page_id")).otherwise(-F.col("page_id")))):
+        parts = pages.withColumn("k", F.col("page_id") % 8)
+        parts.repartition(8, "k").sortWithinPartitions("k", order).select("k", line).write.partitionBy("k").text(f"{at}/in/{run}")
+        ingest.follow(ingest.landed(spark, f"{at}/in/*/*", "part-*"), registry, f"{at}/checkpoint", workbench.ingest).awaitTermination()
+    came = registry.read(ingest.ARRIVALS).groupBy("sha256").agg(F.count(F.lit(1)).alias("arrivals"))
+    return registry.read(ingest.FILES).join(came, "sha256").select("sha256", "file_size", "arrivals")
+
+
+@query("""WITH e AS (SELECT event_id, ts, max(ts) OVER () - INTERVAL 10 DAY AS cut FROM events)
+SELECT CAST(ts AS DATE) AS day, count(*) AS n, (SELECT count(DISTINCT CAST(ts AS DATE)) FROM e WHERE CAST(ts AS DATE) < CAST(cut AS DATE)) AS days_dropped FROM e WHERE ts > cut GROUP BY 1""")
+def retention_by_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: events as a table a day; what is over ten days old goes: whole days from the manifest, the day of the cut by writing it anew."""
+    events = Tables(spark, sf_dir).events.select("event_id", F.col("ts").cast("timestamp").alias("created_at"))
+    table = DayTable(store.Store(spark, f"{_folder(spark)}/days"), "events")
+    table.append(events)
+    newest = events.agg(F.max("created_at")).first()[0]
+    dropped = table.retain(newest, 10)
+    return table.read().groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("n")).withColumn("days_dropped", F.lit(dropped["days_dropped"]).cast("long"))
