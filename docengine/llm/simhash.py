@@ -14,13 +14,14 @@ An anchor with more than `crowd` fingerprints isn't compared pairwise: its membe
 at most one bit away from them, which two fingerprints share exactly if they differ in 2 bits or fewer. That is 65 rows
 a fingerprint, not the square of the crowd.
 
-Wide fingerprints (`keep_one`) serve a similarity instead of a few bits: five words a shingle, 128 bits, and two texts link at `distance`
-bits or fewer, which a share of common shingles of 0.8 stays below nine times in ten. Each of `tables` tables takes 46 of
-the bits and sends a fingerprint to every anchor with excess <= 1 (9.6 on average); two that share an anchor in any table are compared.
-At a similarity of 0.8, 0.85 and 0.9 a pair meets with a chance of 0.96, 0.99 and 1.00 in 16 tables (simulated).
+Wide fingerprints (`keep_one`) serve a similarity instead of a few bits: five words a shingle, 128 bits. Each of `tables` tables takes 46 of
+the bits and sends a fingerprint to every anchor with excess <= 1 (9.6 on average); two that share an anchor in any table and differ in at most `distance`
+bits are candidates. Of the candidates of a cell only a least spanning forest by bits goes on, so a group of n copies gives n - 1 pairs a cell and not n squared;
+the tables' forests differ, so a document has several pairs. Each pair is then decided by the texts themselves: it counts if the sets of shingles have
+`similarity` or more of their union in common. At a similarity of 0.8, 0.85 and 0.9 a pair meets with a chance of 0.95, 0.99 and 1.00 in 18 tables.
 A wide anchor with more than `crowd` fingerprints is cut into blocks; each block is linked, components are linked again through one
-fingerprint each, and what is then outside an anchor's largest component meets every block: no pair is lost and no block's
-square is taken twice.
+fingerprint each, and what is then outside an anchor's largest component meets every block of those inside it, and outsiders meet in blocks of
+their own: no pair of components is lost and no block's square is taken twice.
 
 Null and empty texts have no shingles: fingerprint zero. Fewer words than a shingle: one shingle of all words. Repeated
 rows share a fingerprint. A null doc_id gets a row, and counts for a component only if nothing else is in it.
@@ -249,21 +250,41 @@ def _far(hi: np.ndarray, lo: np.ndarray, x: np.ndarray | int, y: np.ndarray | in
     return np.bitwise_count(hi[x] ^ hi[y]).astype(np.int16) + np.bitwise_count(lo[x] ^ lo[y])
 
 
-def _link_many(hi: np.ndarray, lo: np.ndarray, group: np.ndarray, distance: int, link) -> None:
-    """Links all pairs within the distance that aren't of one group yet: a member meets only what is outside its group."""
-    group = np.unique(group, return_inverse=True)[1]
+def _link_many(hi: np.ndarray, lo: np.ndarray, group: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Pairs that join all groups within the distance: a member meets only what is outside its group, and takes the nearest of each group."""
+    group, out = np.unique(group, return_inverse=True)[1], []
     for x in range(len(hi)):
         others = np.flatnonzero(group != group[x])
         if not len(others):
-            return
-        near = others[_far(hi, lo, x, others) <= distance]
+            break
+        far = _far(hi, lo, x, others)
+        near = others[far <= distance]
+        near = near[np.argsort(far[far <= distance], kind="stable")]
         for y in near[np.unique(group[near], return_index=True)[1]].tolist():
-            link(x, y)
+            out.append((x, y))
             group[group == group[y]] = group[x]
+    return out
+
+
+def _spanning(hi: np.ndarray, lo: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Pairs of a least spanning forest of all pairs within the distance (Prim)."""
+    rest, out = np.arange(1, len(hi)), []
+    best, via = _far(hi, lo, 0, rest), np.zeros(len(rest), dtype=np.int64)
+    while len(rest):
+        k = int(best.argmin())
+        x = int(rest[k])
+        if best[k] <= distance:
+            out.append((int(via[k]), x))
+        keep = np.arange(len(rest)) != k
+        rest, best, via = rest[keep], best[keep], via[keep]
+        far = _far(hi, lo, x, rest)
+        nearer = far < best
+        best, via = np.where(nearer, far, best), np.where(nearer, x, via)
+    return out
 
 
 def _wide_compare(batches: Iterator[pa.RecordBatch], distance: int, crowd: int, seeded: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, hi, lo and, if seeded, group) come sorted by cell. Gives (kind, cell, a, b): 0 links of a forest (nodes), 1 members
+    """Rows (cell, hi, lo and, if seeded, group) come sorted by cell. Gives (kind, cell, a, b): 0 pairs (nodes) of forests, 1 members
     of a cell of more than crowd (hi, lo)."""
     handful = 24
 
@@ -271,25 +292,36 @@ def _wide_compare(batches: Iterator[pa.RecordBatch], distance: int, crowd: int,
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), pa.array(cell), pa.array(a), pa.array(b)], names=["kind", "cell", "a", "b"])
 
     def linked(cell: np.ndarray, hi: np.ndarray, lo: np.ndarray, group: np.ndarray | None) -> pa.RecordBatch:
-        forest, ids = Forest(), node(hi, lo)
+        ids = node(hi, lo)
+        found: list[tuple[int, int]] = []
         starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         sizes = np.diff(np.r_[starts, len(cell)])
         small = np.repeat(sizes <= handful, sizes) if group is None else np.zeros(len(cell), dtype=bool)
         live, lag = np.flatnonzero(small), 1
+        close: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(live):
             live = live[live + lag < len(cell)]
             live = live[cell[live] == cell[live + lag]]
-            near = live[_far(hi, lo, live, live + lag) <= distance]
-            for a, b in zip(ids[near].tolist(), ids[near + lag].tolist()):
-                forest.link(a, b)
+            far = _far(hi, lo, live, live + lag)
+            near = far <= distance
+            close.append((far[near], ids[live[near]], ids[live[near] + lag]))
             lag += 1
+        if close:
+            far, left, right = (np.concatenate(c) for c in zip(*close))
+            order, forest = np.argsort(far, kind="stable"), Forest()
+            for x, y in zip(left[order].tolist(), right[order].tolist()):  # Kruskal: near pairs first
+                if forest.root(x) != forest.root(y):
+                    forest.link(x, y)
+                    found.append((x, y))
         more = np.flatnonzero((sizes > 1) & ~small[starts])
         for s, n in zip(starts[more].tolist(), sizes[more].tolist()):
             part = slice(s, s + n)
             own = ids[part].tolist()
-            _link_many(hi[part], lo[part], ids[part] if group is None else group[part], distance, lambda x, y, own=own: forest.link(own[x], own[y]))
-        a, b = forest.edges()
-        return out(0, np.zeros(len(a), dtype=np.int64), np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))
+            alone = group is None or len(np.unique(group[part])) == n
+            pairs = _spanning(hi[part], lo[part], distance) if alone else _link_many(hi[part], lo[part], group[part], distance)
+            found += [(own[x], own[y]) for x, y in pairs]
+        a, b = (np.array(c, dtype=np.int64) for c in (zip(*found) if found else ((), ())))
+        return out(0, np.zeros(len(a), dtype=np.int64), a, b)
 
     held: tuple | None = None
     crowded: int | None = None
@@ -350,13 +382,21 @@ def _crowd_links(members: DataFrame, distance: int, crowd: int) -> DataFrame:
         before = most
     largest = named.groupBy("cell", "group").count().groupBy("cell").agg(F.max_by("group", F.struct("count", "group")).alias("main"))
     placed = written(attach(blocked(named), largest, "cell"))
-    guests = placed.filter(F.col("group") != F.col("main")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["cell", "block", "hi", "lo", "group"]
-    return edges.unionByName(_seeded(placed.select(*columns).unionByName(guests.select(*columns)).distinct(), distance))
-
-
-def wide_links(distinct: DataFrame, distance: int = 24, tables: int = 16, crowd: int = 4000) -> DataFrame:
-    """distinct (hi, lo), no repeats -> edges (a, b) between their nodes."""
+    # outsiders meet the insiders' blocks, and one another, as blocks against blocks: a task never holds more than two blocks
+    outside = placed.filter(F.col("group") != F.col("main"))
+    rooms = written(outside.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / crowd).cast("int").alias("rooms")))
+    guests = attach(outside, rooms, "cell").withColumn("room", F.pmod(F.xxhash64(F.lit("room"), "id"), F.col("rooms")).cast("int"))
+    columns = ["cell", "meeting", "hi", "lo", "group"]
+    meeting = lambda kind, x, y: F.xxhash64(F.lit(kind), x, y)
+    visits = guests.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("meeting", meeting("in", "room", "block"))
+    hosts = attach(placed.filter(F.col("group") == F.col("main")), rooms, "cell").filter("rooms is not null").withColumn("room", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1))).withColumn("meeting", meeting("in", "room", "block"))
+    among = guests.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1))).withColumn("meeting", meeting("out", F.least("room", "other"), F.greatest("room", "other")))
+    every = visits.select(*columns).unionByName(hosts.select(*columns)).unionByName(among.select(*columns)).withColumnRenamed("meeting", "block")
+    return edges.unionByName(_seeded(every, distance))
+
+
+def wide_links(distinct: DataFrame, distance: int = 32, tables: int = 18, crowd: int = 4000) -> DataFrame:
+    """distinct (hi, lo), no repeats -> pairs (a, b) of nodes within the distance that join all that meet, near ones first."""
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = distinct.select("hi", "lo").repartition(n).mapInArrow(lambda it: _wide_spread(it, tables), "cell long, hi long, lo long")
     dealt = spread.repartition(n, "cell").sortWithinPartitions("cell")
@@ -392,14 +432,54 @@ def near_groups(docs: DataFrame, *, width: int = 3, bits: int = 2, crowd: int =
     return _grouped(prints, F.col("doc_id"), lambda c: links(c, bits, crowd)).select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, width: int = 5, distance: int = 24, tables: int = 16, crowd: int = 4000, bound: int = 300_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of texts whose wide fingerprints link: the one with the smallest doc_id, null ids last; where the id stands
-    on several texts, the one with the least hash of id and text. Of rows with the same id and text, one."""
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(fp, shingles): 32 bits of each different shingle's hash, sorted."""
+    for b in batches:
+        for i in range(0, b.num_rows, 256):
+            part = b.slice(i, 256)
+            found = [np.unique(np.ascontiguousarray(shingle_hashes(t.as_py(), width)[:, 4:]).view(">i4").ravel()) for t in part.column(1)]
+            offsets = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.zeros(0, dtype=np.int32)]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["fp", "shingles"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the rows (a, b, one, two) whose sets are as similar as that."""
+    for b in batches:
+        keep = []
+        for x, y in zip(b.column(2), b.column(3)):
+            one, two = (np.asarray(v.values.to_numpy(zero_copy_only=False) if v.is_valid else (), dtype=np.int32) for v in (x, y))
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            keep.append(both >= similarity * (len(one) + len(two) - both) - 1e-9)
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
+
+
+def similar(pairs: DataFrame, classes: DataFrame, given: DataFrame, *, width: int, similarity: float, bound: int, text: str = "text") -> DataFrame:
+    """The pairs (a, b) of fingerprints whose texts' sets of shingles have that similarity: the exact check.
+
+    classes: fp and least, (is null, __id, __key) of a row with it; given: rows with __id, __key and the text. Only texts that are in a
+    pair are read again; their rows are told by a broadcast of up to `bound` keys, beyond it by a join.
+    """
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    nodes = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    need = written(classes.join(nodes, F.col("fp") == F.col("a")).select(F.col("fp").alias("__fp"), F.col("least.__id").alias("__i"), F.col("least.__key").alias("__k")))
+    told = F.broadcast(need) if few(need, bound) else need
+    rows = given.select("__id", "__key", F.col(text).cast("string").alias("__text")).join(told, (F.col("__key") == F.col("__k")) & F.col("__id").eqNullSafe(F.col("__i"))).select("__fp", "__text")
+    sets = written(rows.mapInArrow(lambda it: _sets(it, width), "fp long, shingles array<int>").dropDuplicates(["fp"]))
+    one = fetch(pairs, sets.withColumnsRenamed({"fp": "a", "shingles": "one"}), "a")
+    two = fetch(written(one), sets.withColumnsRenamed({"fp": "b", "shingles": "two"}), "b")
+    return written(two.select("a", "b", "one", "two").mapInArrow(lambda it: _alike(it, similarity), "a long, b long"))
+
+
+def keep_one(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, distance: int = 32, tables: int = 18, crowd: int = 4000, bound: int = 300_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of texts that are linked by pairs of that similarity: the one with the smallest doc_id, null ids last; where the id stands
+    on several texts, the one with the least hash of id and text. Of rows with the same id and text, one. Texts whose 128 bits are equal count as copies."""
     given = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__key": F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))})
     prints = written(given.select("__id", "__key", F.col(text).cast("string").alias("text")).mapInArrow(lambda it: _wide_prints(it, width), "__id long, __key long, fp long, hi long, lo long"))
     order = F.struct(F.col("__id").isNull(), "__id", "__key")
     # rows with the same id and text share a fingerprint, so they stay or go together
-    rows = written(_grouped(prints, order, lambda c: wide_links(c, distance, tables, crowd)).groupBy("__id", "__key").agg(F.bool_or(order.eqNullSafe(F.col("first"))).alias("stays"), F.count(F.lit(1)).alias("n")))
+    link = lambda c: similar(wide_links(c, distance, tables, crowd), c, given, width=width, similarity=similarity, bound=bound, text=text)
+    rows = written(_grouped(prints, order, link).groupBy("__id", "__key").agg(F.bool_or(order.eqNullSafe(F.col("first"))).alias("stays"), F.count(F.lit(1)).alias("n")))
     # what goes is less than what stays: counted first, it is broadcast up to `bound` rows, and texts aren't dealt again
     gone = rows.filter(~F.col("stays")).select(F.col("__id").alias("gone_id"), F.col("__key").alias("gone_key"))
     scarce = few(gone, bound)

@@ -254,10 +254,27 @@ def test_simhash(docs, rows, none):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(groups.values()))
 
 
-def wide_groups(texts, distance=24):
-    """doc -> smallest doc reachable by wide fingerprints."""
-    fps = {d: (lambda f: f[0] << 64 | f[1])(simhash.wide_fingerprint(t, 5)) for d, t in texts.items()}
-    return plain_groups(fps, distance)
+def shingles(text, width=5):
+    w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in WORD.findall(text or "")]
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def wide_groups(texts, similarity=0.8):
+    """doc -> smallest doc reachable by pairs with that share of five-word shingles in common."""
+    sets, root = {d: shingles(t) for d, t in texts.items()}, {d: d for d in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in sets:
+        for y in sets:
+            both = len(sets[x] & sets[y])
+            if x < y and both >= similarity * (len(sets[x]) + len(sets[y]) - both):
+                a, b = sorted((find(x), find(y)))
+                root[b] = a
+    return {d: find(d) for d in texts}
 
 
 def test_wide_fingerprint_is_a_majority_of_five_word_shingles():
@@ -326,6 +343,41 @@ def test_keep_one_without_unique_ids(spark):
     assert collections.Counter(got) == collections.Counter(want)
 
 
+@pytest.mark.parametrize("crowd", [5, 4000])
+def test_keep_one_by_similarity(spark, crowd):
+    """Of pairs at each step of similarity: nine in ten or more found from 0.8 on, none below, crowded cells or not."""
+    rng = random.Random(12)
+    pool = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    rows, bands = [], {}
+    for i in range(400):
+        w = [rng.choice(pool) for _ in range(rng.choice([120, 200, 400]))]
+        v = [rng.choice(pool) if rng.random() < rng.choice([0.01, 0.02, 0.025, 0.03, 0.04]) else x for x in w]
+        a, b = shingles(" ".join(w)), shingles(" ".join(v))
+        bands[i] = len(a & b) / len(a | b)
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(v))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd).collect()}
+    assert set(range(400)) <= kept
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        some = [i for i, s in bands.items() if low <= s < high]
+        assert len(some) > 20 and sum(1000 + i not in kept for i in some) >= 0.9 * len(some), (low, len(some))
+    assert all(1000 + i in kept for i, s in bands.items() if s < 0.8) and sum(s < 0.8 for s in bands.values()) > 50
+
+
+def test_spanning_forests_are_least():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    hi = np.array([base[rng.integers(6)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(0, 7)).astype(np.uint64), initial=np.uint64(0)) for _ in range(80)], dtype=np.uint64)
+    lo = np.zeros(80, dtype=np.uint64)
+    far = lambda x, y: int(hi[x] ^ hi[y]).bit_count()
+    pairs = simhash._spanning(hi, lo, 9)
+    forest, least = components.Forest(), 0
+    for d, x, y in sorted((far(x, y), x, y) for x in range(80) for y in range(x)):
+        if d <= 9 and forest.root(x) != forest.root(y):
+            forest.link(x, y)
+            least += d
+    assert sum(far(x, y) for x, y in pairs) == least and len(pairs) == len(forest.edges()[0])
+
+
 @pytest.mark.parametrize("crowd", [3, 10_000])
 def test_links_find_every_close_pair(spark, crowd):
     rng = random.Random(5)
