@@ -155,8 +155,8 @@ SELECT k.vec_id, o.code, o.error, CAST(sum(o.error) OVER (PARTITION BY k.label)
 
 def oracle_sql() -> dict[str, str]:
     op1 = rf"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{W}')) AS BIGINT) AS size, length(coalesce(text, '')) AS chars FROM documents),
-q AS (SELECT *, CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS draw,
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{W}')) AS BIGINT) AS size, length(coalesce(text, '')) AS chars, md5(coalesce(text, '')) AS told FROM documents),
+q AS (SELECT *, CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || told), 1, 13) AS BIGINT) AS draw,
   least(1.0::DOUBLE, greatest(0.25::DOUBLE, size / 200.0::DOUBLE)) * CASE WHEN chars / greatest(size, 1)::DOUBLE BETWEEN 3 AND 12 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS quality FROM d),
 k AS (SELECT *, -ln((draw::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / quality AS key FROM q),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),

@@ -105,6 +105,26 @@ def test_mix_refines_cuts_like_a_full_sort(spark):
         assert r.cut == last or taken == {key for s, _, key in rows if s == r.source and key <= last}
 
 
+@pytest.mark.parametrize("how", ["doc_id is null", "doc_id % 3 = 0", "repeated"])
+def test_mix_without_unique_ids(spark, sf, how):
+    """Ids that are null or repeat, and rows that repeat whole: every source ends within half a document of its target."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    if how == "repeated":
+        docs = docs.unionByName(docs.filter("source = 'src1'")).unionByName(docs.filter("doc_id = 3").withColumn("__n", F.explode(F.sequence(F.lit(1), F.lit(60)))).drop("__n"))
+    else:
+        docs = docs.withColumn("doc_id", F.when(~F.expr(how.replace("doc_id is null", "true")), F.col("doc_id")))
+    slim = mixing.slim_table(docs, 17)
+    run = lambda: mixing.mix_slim(slim, weights=[5.0, 2.0, 1.0], share=1.5)
+    by = run().groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target"), F.max("size").alias("largest")).collect()
+    assert len(by) > 5 and all(abs(r.taken - r.target) <= r.largest / 2 + 1 for r in by)
+    key = lambda rows: collections.Counter((r.source, r["size"], r.key, r.copies) for r in rows)
+    assert key(run().collect()) == key(run().collect())
+    if how != "repeated":
+        mixed = mixing.mix(docs, weights=[5.0, 2.0, 1.0], share=1.5)
+        both = mixed.groupBy("source").agg(F.sum(F.col("mix_copies") * F.col("mix_size")).alias("taken"), F.first("mix_target").alias("target"), F.max("mix_size").alias("largest")).collect()
+        assert all(abs(r.taken - r.target) <= r.largest for r in both)
+
+
 def test_mix_breaks_ties_by_size(spark):
     """Equal keys: whatever the order of the rows, the same are taken."""
     rows = [("s", n, 1.0) for n in (5, 1, 9, 3)] + [("s", 4, 2.0), ("s", 6, 0.5)]
