@@ -29,8 +29,8 @@ def kind_of(content: Column | str) -> Column:
 
 
 def data_uri(content: Column | str, mime: Column) -> Column:
-    """BI2: bytes inside a document, as base64."""
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(col(content)))
+    """BI2: bytes inside a document, as base64 in one line."""
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.regexp_replace(F.base64(col(content)), r"\s", ""))
 
 
 def from_data_uri(uri: Column | str) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import html
+import json
+from functools import lru_cache, reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,10 +20,39 @@ RESERVED = ("CON", "PRN", "AUX", "NUL", *[f"COM{i}" for i in range(1, 10)], *[f"
 PATHS = (r"[A-Za-z]:\\(?:[^\\\s\"'<>|]+\\)*([^\\\s\"'<>|]+)", r"\\\\(?:[^\\\s\"'<>|]+\\)+([^\\\s\"'<>|]+)", r"~/(?:[^/\s\"'<>|]+/)*([^/\s\"'<>|]+)", r"file://(?:/[^/\s\"'<>|]+)*/([^/\s\"'<>|]+)", r"(?:/(?:Users|home|var|tmp|private|opt|etc|mnt|Volumes)(?:/[^/\s\"'<>|]+)*)/([^/\s\"'<>|]+)")
 
 
+#: A reference to a character: by number, or by a name that may lack its semicolon.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@lru_cache(maxsize=1)
+def _references() -> tuple[str, str, str]:
+    """As JSON: what names stand for, those of them that need no semicolon, and the numbers below 160 that stand for something else than themselves."""
+    bare = {k: v for k, v in html5.items() if not k.endswith(";")}
+    odd = {str(n): html.unescape(f"&#{n};") for n in range(160) if html.unescape(f"&#{n};") != chr(n)}
+    return json.dumps(html5), json.dumps(bare), json.dumps(odd)
+
+
+def _referred(t: Column) -> Column:
+    """The characters that one reference stands for; what stands for nothing stays."""
+    names, bare, odd = (F.from_json(F.lit(x), "map<string,string>") for x in _references())
+    given_as = F.regexp_extract(t, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
+    short = F.left(given_as, F.lit(9))
+    n = F.when(t.rlike("^&#[xX]"), F.conv(F.concat(F.lit("0"), short), 16, 10)).otherwise(F.concat(F.lit("0"), F.regexp_extract(short, "^[0-9]*", 0))).cast("long")
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    nothing = n.between(0xFDD0, 0xFDEF) | ((n >= 0xFFFE) & (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE))
+    number = F.when((F.length(given_as) > 8) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "\ufffd").when(nothing, "").otherwise(F.coalesce(F.try_element_at(odd, n.cast("string")), char))
+    name = F.substring(t, 2, 40)
+    longest = max(map(len, json.loads(_references()[1])))
+    starts = [F.when(F.length(name) > k, F.concat(F.try_element_at(bare, F.left(name, F.lit(k))), F.substring(name, k + 1, 40))) for k in range(longest, 1, -1)]
+    return F.when(t.startswith("&#"), number).otherwise(F.coalesce(F.try_element_at(names, name), *starts, t))
+
+
 def unescape(x: Column | str) -> Column:
-    """Entities decoded exactly once."""
-    c = reduce(lambda c, e: F.replace(c, F.lit(e[1]), F.lit(e[0])), ENTITIES, col(x))
-    return F.replace(F.replace(c, F.lit("&nbsp;"), F.lit(" ")), F.lit("&amp;"), F.lit("&"))
+    """STR1: references to characters decoded exactly once: all names of HTML, numbers in either notation, names without their semicolon by their
+    longest known beginning."""
+    c = col(x)
+    said = F.concat(F.transform(F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0)), _referred), F.array(F.lit("")))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.zip_with(F.split(c, REFERENCE, -1), said, lambda p, t: F.concat(p, t)), "")).otherwise(c)
 
 
 def escape(x: Column | str) -> Column:
@@ -34,7 +66,8 @@ def squeeze(x: Column | str) -> Column:
 
 
 def clean_text(x: Column | str) -> Column:
-    return squeeze(unescape(x))
+    """White space as single spaces, then references decoded, then none at the ends."""
+    return F.regexp_replace(unescape(F.regexp_replace(col(x), r"(?U)\s+", " ")), r"(?U)^\s+|\s+$", "")
 
 
 def strip_tags(x: Column | str) -> Column:

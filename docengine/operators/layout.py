@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docengine.operators.lineage import written
+
 
 def sections(blocks: DataFrame, doc: str = "doc_id", pos: str = "pos", heading: str = "level", title: str = "text", top: int = 2) -> DataFrame:
     """blocks with the section they belong to (a heading of level 1..top opens one) and its title carried forward."""
@@ -24,6 +28,18 @@ def budget_pages(blocks: DataFrame, most: int, doc: str = "doc_id", pos: str = "
     return b.select(doc, F.col("page").cast("long").alias("page"), pos, F.substring(F.col(text), (lo - F.col("__from") + 1).cast("int"), (hi - lo).cast("int")).alias("piece"))
 
 
+def ranked(rows: DataFrame, key: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """rows with their place (from 1) within the key, by order. A key may hold any share of the rows: they are dealt into ranges of (key, order), ranked
+    inside, and each range starts where the counts of those before it end."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(n, *key, *order).withColumn("__range", F.spark_partition_id()))
+    by = Window.partitionBy(*key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*key, "__range").agg(F.count(F.lit(1)).alias("__n")).select(*[F.col(k).alias(f"__k_{k}") for k in key], F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(by), F.lit(0)).alias("__before"))
+    same = (F.col("__range") == F.col("__r")) & reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in key])
+    inside = F.row_number().over(Window.partitionBy(*key, "__range").orderBy(*order))
+    return dealt.withColumn("__inside", inside).join(starts, same).select(*rows.columns, (F.col("__before") + F.col("__inside")).cast("long").alias(name))
+
+
 def chunks(lines: DataFrame, k: int, doc: str = "doc_id", pos: str = "pos") -> DataFrame:
     """lines with chunk: every k of a document's lines."""
     w = Window.partitionBy(doc).orderBy(pos)

@@ -126,3 +126,21 @@ def ancestors(nodes: DataFrame, most: int = 1 << 40) -> DataFrame:
     return checked.select("id", F.when(cycle.isNull(), F.col("up")).alias("root"), "depth")
 
 
+def inherited(nodes: DataFrame, props: str = "props", most: int = 1 << 20) -> DataFrame:
+    """J14, AR4: (id, props): maps of a forest (id, parent_id) with what they inherit; the nearest one's value wins.
+
+    Pointer doubling: every round a node takes in as many more ancestors as it has. Nodes that have reached their root leave the join, so a root
+    that all end on isn't joined by all. A parent that doesn't exist ends the chain; a cycle raises.
+    """
+    now = written(nodes.select("id", F.col("parent_id").alias("up"), F.col(props).alias("own")))
+    done = []
+    for _ in range(most.bit_length() + 1):
+        moving = now.filter(F.col("up").isNotNull())
+        done.append(now.filter(F.col("up").isNull()).select("id", "own"))
+        if not moving.limit(1).count():
+            return union_all(done).withColumnRenamed("own", props)
+        known = union_all([now.select(F.col("id").alias("k"), F.col("up").alias("up2"), F.col("own").alias("far")), *[d.select(F.col("id").alias("k"), F.lit(None).cast(now.schema["up"].dataType).alias("up2"), F.col("own").alias("far")) for d in done[:-1]]])
+        far = F.coalesce("far", F.create_map().cast(now.schema["own"].dataType))
+        kept = F.map_filter(far, lambda k, _: ~F.map_contains_key(F.col("own"), k))
+        now = written(moving.join(known, F.col("up") == F.col("k"), "left").select("id", F.col("up2").alias("up"), F.map_concat("own", kept).alias("own")))
+    raise ValueError("a cycle of parents")

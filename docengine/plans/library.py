@@ -19,6 +19,7 @@ from docengine.plans.sheets import LINES, lines
 from docengine.plans.tables import Tables
 from docengine.registry import query
 from docengine.sources import archive, images, ooxml, pdf, store, writers
+from docengine.streaming import taskstates
 
 
 def _files(made: DataFrame) -> DataFrame:
@@ -144,12 +145,12 @@ def formula_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.formula_mode(_cells(spark, sf_dir)).select("doc_id", "sheet_index", "row", "col", "value")
 
 
-@query("""SELECT k AS key, v AS value FROM (VALUES ('AFRICA', '0'), ('ASIA', '2'), ('missing', 'default'), ('EUROPE', 'forced')) t(k, v)""")
+@query("""WITH s AS (SELECT source AS key, max(lang) AS value FROM documents GROUP BY 1), d(key, fallback, forced) AS (VALUES ('src1', 'default', NULL), ('src2', 'default', 'forced'), ('missing', 'default', NULL), ('src3', 'default', NULL), ('only', 'forced too', 'forced too'))
+SELECT d.key, coalesce(d.forced, s.value, d.fallback) AS value FROM d LEFT JOIN s ON s.key = d.key""")
 def settings_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F16, M9: known settings over defaults, forced ones over both; unknown keys are ignored."""
-    saved = Tables(spark, sf_dir).region.select(F.col("r_name").alias("key"), F.col("r_regionkey").cast("string").alias("value"))
-    found = W.settings(saved, {"AFRICA": "default", "ASIA": "default", "missing": "default", "EUROPE": "default"}, {"EUROPE": "forced"})
-    return spark.createDataFrame(list(found.items()), "key string, value string")
+    """F16, M9: settings saved by source over defaults, forced ones over both; unknown keys are ignored."""
+    saved = Tables(spark, sf_dir).documents.groupBy(F.col("source").alias("key")).agg(F.max("lang").alias("value"))
+    return W.settings(saved, {"src1": "default", "src2": "default", "missing": "default", "src3": "default"}, {"src2": "forced", "only": "forced too"})
 
 
 @query(f"""SELECT doc_id, pos FROM ({LINES}) WHERE NOT contains(line, '|')""")
@@ -287,11 +288,11 @@ def redact_json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.redact_json(Tables(spark, sf_dir).events.select("event_id", said.alias("payload")), "payload")
 
 
-@query("""SELECT page_id, 'data:text/html;base64,' || base64(CAST(left(url, 40) AS BLOB)) AS uri, left(url, 40) AS back FROM pages""".replace("CAST(left(url, 40) AS BLOB)", "encode(left(url, 40))"))
+@query("""SELECT page_id, sha256('data:text/html;base64,' || base64(encode(html))) AS uri_sha256, sha256(html) AS back_sha256 FROM pages""")
 def base64_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BI2: bytes inside documents, there and back."""
-    p = Tables(spark, sf_dir).pages.select("page_id", binary.data_uri(F.left("url", F.lit(40)).cast("binary"), F.lit("text/html")).alias("uri"))
-    return p.withColumn("back", F.decode(binary.from_data_uri("uri"), "UTF-8"))
+    """BI2: whole pages inside documents, there and back."""
+    p = Tables(spark, sf_dir).pages.select("page_id", binary.data_uri(F.col("html").cast("binary"), F.lit("text/html")).alias("uri"))
+    return p.select("page_id", F.sha2("uri", 256).alias("uri_sha256"), F.sha2(binary.from_data_uri("uri"), 256).alias("back_sha256"))
 
 
 HEADS = [("89504E470D0A1A0A00", "png"), ("47494638396100", "gif"), ("424D0000", "bmp"), ("FFD8FFE0", "jpeg"), ("49492A00", "tiff"), ("4D4D002A", "tiff"), ("255044462D", "pdf"), ("504B030414", "zip"), ("D0CF11E0A1B11AE1", "ole"), ("00112233", None)]
@@ -617,17 +618,32 @@ def startup_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.recovery(Tables(spark, sf_dir).orders.select(status.alias("status")))
 
 
-@query("""SELECT source, string_agg('<tr><td>' || doc_id || '</td><td>' || lang || '</td></tr>', chr(10) ORDER BY doc_id) AS body FROM documents GROUP BY 1""")
+PARTS = "r AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 50 + 1 AS part FROM documents)"
+
+
+@query(f"""WITH {PARTS} SELECT source, CAST(part AS BIGINT) AS part, string_agg('<tr><td>' || doc_id || '</td><td>' || lang || '</td></tr>', chr(10) ORDER BY doc_id) AS body FROM r GROUP BY 1, 2""")
 def html_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O9, STR8: an HTML report a source; its rows."""
-    made = writers.html_report("报告", Tables(spark, sf_dir).documents.select("source", "doc_id", "lang"), "source", ["doc_id", "lang"], ["doc_id"])
-    return made.select("source", F.regexp_extract("html", r"(?s)</tr>\n(.*)\n</table>", 1).alias("body"))
+    """O9, STR8: an HTML report a source, in files of fifty rows; their rows."""
+    made = writers.html_report("报告", Tables(spark, sf_dir).documents.select("source", "doc_id", "lang"), "source", ["doc_id", "lang"], ["doc_id"], rows_a_part=50)
+    return made.select("source", "part", F.regexp_extract("html", r"(?s)</tr>\n(.*)\n</table>", 1).alias("body"))
 
 
-@query("""SELECT source, string_agg('文件 ' || doc_id || '：' || n_chars || ' 字', chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY 1""")
+@query(f"""WITH {PARTS} SELECT source, CAST(part AS BIGINT) AS part, string_agg('文件 ' || doc_id || '：' || n_chars || ' 字', chr(10) ORDER BY doc_id) AS text FROM r GROUP BY 1, 2""")
 def text_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text report a source."""
-    return writers.text_report(Tables(spark, sf_dir).documents, "source", F.concat(F.lit("文件 "), F.col("doc_id").cast("string"), F.lit("："), F.col("n_chars").cast("string"), F.lit(" 字")), ["doc_id"])
+    """A text report a source, in files of fifty lines."""
+    line = F.concat(F.lit("文件 "), F.col("doc_id").cast("string"), F.lit("："), F.col("n_chars").cast("string"), F.lit(" 字"))
+    return writers.text_report(Tables(spark, sf_dir).documents, "source", line, ["doc_id"], rows_a_part=50)
+
+
+@query("""WITH t AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN '失败' ELSE '已取消' END WHEN 'P' THEN '已暂停' ELSE CASE WHEN o_orderkey % 3 = 0 THEN '成功' ELSE '处理中' END END AS status, ['retry', 'cancel', 'pause', 'resume', 'dance'][o_custkey % 5 + 1] AS action FROM orders),
+n AS (SELECT *, CASE WHEN action = 'retry' AND status IN ('失败', '已取消') THEN '待处理' WHEN action = 'cancel' AND status IN ('处理中', '已暂停') THEN '已取消' WHEN action = 'pause' AND status = '处理中' THEN '已暂停' WHEN action = 'resume' AND status = '已暂停' THEN '待处理' END AS moved FROM t)
+SELECT id, action, status, coalesce(moved, status) AS next_status, moved IS NOT NULL AS allowed FROM n""")
+def task_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Asked-for actions on tasks by the table of moves; what a state doesn't allow changes nothing."""
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    status = F.when(s == "F", F.when(k % 2 == 0, "失败").otherwise("已取消")).when(s == "P", "已暂停").otherwise(F.when(k % 3 == 0, "成功").otherwise("处理中"))
+    action = F.get(F.array(*[F.lit(a) for a in ("retry", "cancel", "pause", "resume", "dance")]), (F.col("o_custkey") % 5).cast("int"))
+    return taskstates.acted(Tables(spark, sf_dir).orders.select(k.alias("id"), action.alias("action"), status.alias("status")))
 
 
 LOGS = "l AS (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS said_at, event_type, user_id, props FROM events ORDER BY event_id DESC LIMIT 5000)"
@@ -647,22 +663,21 @@ def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id % 20 AS task_id, event_type, count(*) AS n, min(event_id) AS first_id FROM events WHERE event_type IN ('error', 'purchase') GROUP BY 1, 2""")
 def upload_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queues of jobs and of results to upload, as views over tasks and reports."""
-    e = Tables(spark, sf_dir).events.select((F.col("user_id") % 20).alias("task_id"), "event_type", "event_id")
-    results = e.groupBy("task_id").agg(F.collect_list(F.struct("event_type", "event_id")).alias("results"))
-    return W.queued(results, "results", ["error", "purchase"])
+    return W.queued(Tables(spark, sf_dir).events.select((F.col("user_id") % 20).alias("task_id"), "event_type", "event_id"), ["error", "purchase"])
 
 
-@query("""WITH f AS (SELECT source AS name, sha256(lang) AS digest, min(doc_id) AS id FROM documents GROUP BY 1, 2) SELECT name, digest, id, row_number() OVER (PARTITION BY digest ORDER BY id) > 1 AS again FROM f""")
+@query("""WITH f AS (SELECT doc_id AS id, source AS name, sha256(coalesce(text, '')) AS digest, CASE WHEN strlen(coalesce(text, '')) > 20000 THEN '宏源码过大' ELSE '' END AS error FROM documents)
+SELECT name, digest, id, min(id) OVER (PARTITION BY digest) < id AS again, error FROM f""")
 def macro_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P11, BI1: imports known by their content: the first of a digest is new, later ones are the same macro."""
-    d = Tables(spark, sf_dir).documents.groupBy(F.col("source").alias("name"), "lang").agg(F.min("doc_id").alias("id"))
-    return W.imported(d.select("name", F.col("lang").alias("source_text"), "id")).select("name", "digest", "id", "again")
+    """P11, BI1: whole sources known by their content: the first of a digest is new, later ones are the same macro; too large ones are named."""
+    d = Tables(spark, sf_dir).documents.select(F.col("source").alias("name"), F.coalesce("text", F.lit("")).alias("source_text"), F.col("doc_id").alias("id"))
+    return W.imported(d, most_bytes=20_000).select("name", "digest", "id", "again", "error")
 
 
-@query("""SELECT doc_id AS id, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS sha256, doc_id % 3 = 0 AS replaced, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 4 END AS children FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT doc_id AS id, sha256(coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN '!' ELSE '' END) AS sha256, doc_id % 3 = 0 AS replaced, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 4 END AS children FROM documents""")
 def replaced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploaded files replaced under their ids; what hung on the old contents goes."""
-    d = Tables(spark, sf_dir).documents.filter("text is not null")
+    d = Tables(spark, sf_dir).documents.withColumn("text", F.coalesce("text", F.lit("")))
     files = d.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("content"))
     new = d.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.concat("text", F.lit("!")).cast("binary").alias("content"))
     kids = d.select(F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 4).cast("int"))).alias("i"), F.col("doc_id").alias("parent_id")).filter("i > 0")

@@ -127,21 +127,19 @@ def thread_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ancestors(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), up.alias("parent_id")))
 
 
-STYLES = [("Base", None, "size=10;font=Serif"), ("Body", "Base", "size=11"), ("Quote", "Body", "italic=1"), ("Title", "Base", "bold=1;size=20"), ("Sub", "Title", "size=14")]
-
-
-@query("""WITH RECURSIVE s(id, parent_id, props) AS (VALUES """ + ", ".join(f"('{a}', {f"'{b}'" if b else 'NULL'}, '{c}')" for a, b, c in STYLES) + """),
-w AS (SELECT id, id AS at, parent_id, props, 0 AS depth FROM s UNION ALL SELECT w.id, s.id, s.parent_id, s.props, w.depth + 1 FROM w JOIN s ON w.parent_id = s.id),
-p AS (SELECT id, depth, unnest(string_split(props, ';')) AS kv FROM w),
-k AS (SELECT id, string_split(kv, '=')[1] AS name, string_split(kv, '=')[2] AS value, row_number() OVER (PARTITION BY id, string_split(kv, '=')[1] ORDER BY depth) AS rn FROM p)
-SELECT id, string_agg(name || '=' || value, ';' ORDER BY name) AS resolved FROM k WHERE rn = 1 GROUP BY id""")
+@query("""WITH RECURSIVE s AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN p_partkey // 2 END AS parent_id, p_partkey % 3 AS k, p_brand AS brand, p_size AS size FROM part),
+v AS (SELECT id, 'font' AS name, brand AS value FROM s WHERE k = 0 UNION ALL SELECT id, 'size', CAST(size AS VARCHAR) FROM s WHERE k <> 1 UNION ALL SELECT id, 'bold', '1' FROM s WHERE size > 45),
+w AS (SELECT id, id AS at, parent_id, 0 AS depth FROM s UNION ALL SELECT w.id, s.id, s.parent_id, w.depth + 1 FROM w JOIN s ON w.parent_id = s.id),
+b AS (SELECT w.id, v.name, arg_min(v.value, w.depth) AS value FROM w JOIN v ON v.id = w.at GROUP BY 1, 2)
+SELECT s.id, coalesce(string_agg(name || '=' || value, ';' ORDER BY name), '') AS resolved FROM s LEFT JOIN b USING (id) GROUP BY 1""")
 def style_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J14, AR4: styles with what they inherit; the nearest style's value wins. A recursive CTE, as chains are short."""
-    spark.createDataFrame(STYLES, "id string, parent_id string, props string").createOrReplaceTempView("__styles")
-    chain = spark.sql("WITH RECURSIVE w AS (SELECT id, parent_id, props, 0 AS depth FROM __styles UNION ALL SELECT w.id, s.parent_id, s.props, w.depth + 1 FROM w JOIN __styles s ON w.parent_id = s.id) SELECT * FROM w")
-    flat = chain.select("id", "depth", F.explode(F.split("props", ";")).alias("kv")).select("id", "depth", F.split_part("kv", F.lit("="), F.lit(1)).alias("name"), F.split_part("kv", F.lit("="), F.lit(2)).alias("value"))
-    best = flat.groupBy("id", "name").agg(F.min_by("value", "depth").alias("value"))
-    return best.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "name", "value"))), ";").alias("resolved"))
+    """J14, AR4: parts as styles, each on the one with half its number, with what they inherit; the nearest style's value wins."""
+    k = F.col("p_partkey")
+    given = lambda when, name, value: F.when(when, F.create_map(F.lit(name), value)).otherwise(F.create_map().cast("map<string,string>"))
+    props = F.map_concat(given(k % 3 == 0, "font", F.col("p_brand")), given(k % 3 != 1, "size", F.col("p_size").cast("string")), given(F.col("p_size") > 45, "bold", F.lit("1")))
+    styles = Tables(spark, sf_dir).part.select(k.alias("id"), F.when(k > 0, F.floor(k / 2)).alias("parent_id"), props.alias("props"))
+    told = F.array_sort(F.transform(F.map_entries("props"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return R.inherited(styles).select("id", F.array_join(told, ";").alias("resolved"))
 
 
 @query("""SELECT r_name, count(*) AS items, count(DISTINCT o_orderkey) AS tasks FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey

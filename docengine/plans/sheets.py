@@ -23,12 +23,14 @@ def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).conversations.groupBy("role").agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("first_pos"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH u(task, pos) AS (VALUES ('pdf_to_word', 1), ('word_to_ppt', 2)), r(task, pos) AS (VALUES ('formula', 1), ('word_to_ppt', 2), ('images', 3), ('pdf_to_word', 4))
-SELECT r.task, CAST(row_number() OVER (ORDER BY coalesce(u.pos, 1000000000), r.pos) AS BIGINT) AS place FROM r LEFT JOIN u USING (task)""")
+@query("""WITH s AS (SELECT source AS task, count(*) AS n, row_number() OVER (ORDER BY source) AS pos FROM documents GROUP BY 1),
+u AS (SELECT task, row_number() OVER (ORDER BY n DESC, task) AS pos FROM s WHERE n % 2 = 0)
+SELECT s.task, CAST(row_number() OVER (ORDER BY coalesce(u.pos, 1000000000), s.pos) AS BIGINT) AS place FROM s LEFT JOIN u USING (task)""")
 def ordered_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The user's order first, then the recommended rest."""
-    user = spark.createDataFrame([("pdf_to_word", 1), ("word_to_ppt", 2)], "task string, pos int")
-    recommended = spark.createDataFrame([("formula", 1), ("word_to_ppt", 2), ("images", 3), ("pdf_to_word", 4)], "task string, pos int")
+    """The user's order first (sources by their documents), then the recommended rest by name."""
+    n = Tables(spark, sf_dir).documents.groupBy(F.col("source").alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    recommended = n.select("task", F.row_number().over(Window.orderBy("task")).alias("pos"))
+    user = n.filter("n % 2 = 0").select("task", F.row_number().over(Window.orderBy(F.desc("n"), "task")).alias("pos"))
     merged = recommended.join(user.select("task", F.col("pos").alias("u")), "task", "left")
     return merged.select("task", F.row_number().over(Window.orderBy(F.coalesce("u", F.lit(1_000_000_000)), "pos")).cast("long").alias("place"))
 

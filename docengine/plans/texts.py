@@ -11,12 +11,23 @@ from docengine.plans.tables import Tables
 from docengine.registry import query
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""")
+DECODED = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '&middot;?', '·', 'g'), '&copy;?', '©', 'g'), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g')"""
+
+
+@query(f"""SELECT page_id, trim({DECODED.format("regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')")}) AS title FROM pages""")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR1, STR3."""
     return Tables(spark, sf_dir).pages.select("page_id", text.clean_text(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
 
 
+@query(f"""SELECT page_id, sha256({DECODED.format("html")} || ' ' || chr(CAST(200 + page_id % 700 AS INTEGER)) || chr(CAST(9000 + page_id % 400 AS INTEGER)) || '€ é ¬it; &bogus; &eacute;') AS decoded_sha256 FROM pages""")
+def decoded_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR1: references in whole pages, and after them numbers, a name without its semicolon, an unknown one and one that is escaped twice."""
+    n = F.col("page_id")
+    tail = F.concat(F.lit(" &#"), (200 + n % 700).cast("string"), F.lit(";&#x"), F.hex(9000 + n % 400), F.lit(";&#128; &eacute &notit; &bogus; &amp;eacute;"))
+    return Tables(spark, sf_dir).pages.select("page_id", F.sha2(text.unescape(F.concat("html", tail)), 256).alias("decoded_sha256"))
+
+
 @query(r"""SELECT page_id, sha256(regexp_replace(html, '<[^>]+>', '', 'g')) AS bare_sha256, CAST(length(regexp_replace(html, '<[^>]+>', '', 'g')) AS BIGINT) AS bare_length FROM pages""")
 def strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR2."""
@@ -39,10 +50,12 @@ def safe_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).pages.select("page_id", bare.alias("bare"), text.safe_file_name("url").alias("name"))
 
 
-@query("""SELECT n AS number, CASE WHEN n > 702 THEN chr(CAST(65 + (n - 703) // 676 AS INTEGER)) ELSE '' END || CASE WHEN n > 26 THEN chr(CAST(65 + ((n - 27) // 26) % 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + (n - 1) % 26 AS INTEGER)) AS letters, n AS back FROM range(1, 16385) t(n)""")
+@query("""WITH p AS (SELECT p_partkey, (p_partkey * 37 + p_size) % 16384 + 1 AS n FROM part)
+SELECT p_partkey, n AS number, CASE WHEN n > 702 THEN chr(CAST(65 + (n - 703) // 676 AS INTEGER)) ELSE '' END || CASE WHEN n > 26 THEN chr(CAST(65 + ((n - 27) // 26) % 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + (n - 1) % 26 AS INTEGER)) AS letters, n AS back FROM p""")
 def column_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR16: sheet columns from 1 to 16384 and back."""
-    named = spark.range(1, 16385).select(F.col("id").alias("number"), text.column_letters("id").alias("letters"))
+    """STR16: sheet columns from 1 to 16384, named and read back."""
+    n = (F.col("p_partkey") * 37 + F.col("p_size")) % 16384 + 1
+    named = Tables(spark, sf_dir).part.select("p_partkey", n.alias("number")).withColumn("letters", text.column_letters("number"))
     return named.withColumn("back", text.column_number("letters").cast("long"))
 
 
@@ -88,12 +101,12 @@ def retention_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).events.filter(gone).select("event_id", gone.alias("expired"))
 
 
-@query("""SELECT s, CASE WHEN ok THEN epoch_us(CAST(strptime(n, '%Y-%m-%dT%H:%M:%S') AS TIMESTAMP)) - shift * 3600000000 END AS micros FROM (VALUES
-('2024-05-01T10:00:00Z', '2024-05-01T10:00:00', 0, TRUE), ('2024-05-01T10:00:00+08:00', '2024-05-01T10:00:00', 8, TRUE), ('2024-05-01T10:00:00', '2024-05-01T10:00:00', 0, TRUE), ('soon', '2024-05-01T10:00:00', 0, FALSE), ('', '2024-05-01T10:00:00', 0, FALSE)) t(s, n, shift, ok)""")
+@query("""SELECT event_id, CASE WHEN event_id % 5 < 3 THEN epoch_us(date_trunc('second', ts)) - CASE WHEN event_id % 5 = 1 THEN (user_id % 12) * 3600000000 ELSE 0 END END AS micros FROM events""")
 def parse_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DT2: Z and offsets read, naive as UTC, junk null."""
-    said = spark.createDataFrame([("2024-05-01T10:00:00Z",), ("2024-05-01T10:00:00+08:00",), ("2024-05-01T10:00:00",), ("soon",), ("",)], "s string")
-    return said.select("s", F.unix_micros(temporal.parse_instant("s")).alias("micros"))
+    """DT2: events' instants as texts: Z and offsets read, naive as UTC, junk null."""
+    k, at = F.col("event_id") % 5, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    said = F.when(k == 0, F.concat(at, F.lit("Z"))).when(k == 1, F.concat(at, F.format_string("+%02d:00", F.col("user_id") % 12))).when(k == 2, at).when(k == 3, F.concat(F.lit("soon "), at)).otherwise("")
+    return Tables(spark, sf_dir).events.select("event_id", F.unix_micros(temporal.parse_instant(said)).alias("micros"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_discount, CAST(round(CAST(l_discount AS DECIMAL(20, 6)) * 100000, 0) AS BIGINT) AS crop,

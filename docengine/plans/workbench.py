@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from docengine.functions import binary, text
 from docengine.functions.nulls import first_given, truthy
 from docengine.functions.redaction import LABEL, redact_rows
+from docengine.operators import layout
 from docengine.plans.tables import Tables
 from docengine.registry import query
 from docengine.sources import archive
@@ -42,8 +43,8 @@ def renamed(files: DataFrame) -> DataFrame:
     """P2, STR7: doubled names get -1, -2 ... by order of arrival."""
     ext = F.regexp_extract("file_name", r"(\.[^.]*)$", 1)
     stem = F.substring(F.col("file_name"), F.lit(1), F.length("file_name") - F.length(ext))
-    rank = F.row_number().over(Window.partitionBy("file_name").orderBy("id"))
-    return files.withColumn("file_name", text.unique_name(stem, ext, rank))
+    numbered = layout.ranked(files, ["file_name"], ["id"], "__rank")
+    return numbered.withColumn("file_name", text.unique_name(stem, ext, F.col("__rank"))).drop("__rank")
 
 
 def stored_names(files: DataFrame, how: str = "rename") -> DataFrame:
@@ -84,10 +85,9 @@ def imported(sources: DataFrame, most_bytes: int = 2_000_000) -> DataFrame:
     return s.join(first, "digest").withColumns({"again": F.col("id") > F.col("__first"), "error": error}).drop("__first")
 
 
-def queued(tasks: DataFrame, column: str, kinds: list[str]) -> DataFrame:
-    """What waits in the tasks' results: (task_id, kind, n, first_id). column: array of (event_type, event_id)."""
-    flat = tasks.select("task_id", F.explode(column).alias("r")).select("task_id", "r.*").filter(F.col("event_type").isin(*kinds))
-    return flat.groupBy("task_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+def queued(results: DataFrame, kinds: list[str]) -> DataFrame:
+    """What waits in tasks' results, a row each (task_id, event_type, event_id): (task_id, kind, n, first_id). Counted before the shuffle."""
+    return results.filter(F.col("event_type").isin(*kinds)).groupBy("task_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
 
 def restorable(registered: DataFrame, held: DataFrame) -> DataFrame:
@@ -112,10 +112,13 @@ def allowed(payload: Column, schema: str, most: int = 200, known: dict[str, list
     return F.when(p.isNotNull(), F.struct(*[field(f).alias(f.name) for f in T.StructType.fromDDL(schema)]))
 
 
-def settings(saved: DataFrame, defaults: dict[str, str], forced: dict[str, str] | None = None) -> dict[str, str]:
-    """F16, M9: the known settings; unknown keys are ignored, forced ones stay. A few rows by nature, so they come to the driver."""
-    known = saved.filter(F.col("key").isin(list(defaults))).select("key", "value").limit(len(defaults)).collect()
-    return defaults | {r["key"]: r["value"] for r in known} | (forced or {})
+def settings(saved: DataFrame, defaults: dict[str, str], forced: dict[str, str] | None = None) -> DataFrame:
+    """F16, M9: (key, value) of the known settings: saved ones over defaults, forced ones over both; unknown keys are ignored."""
+    forced = forced or {}
+    known = [F.struct(F.lit(k).alias("key"), F.lit(v).alias("fallback"), F.lit(forced.get(k)).cast("string").alias("forced")) for k, v in (defaults | forced).items()]
+    table = saved.sparkSession.range(1).select(F.explode(F.array(*known)).alias("d")).select("d.*")
+    own = saved.select(F.col("key").alias("__k"), F.col("value").alias("__v")).filter(F.col("__k").isin(list(defaults)))
+    return table.join(own, F.col("key") == F.col("__k"), "left").select("key", F.coalesce("forced", "__v", "fallback").alias("value"))
 
 
 def setting(option: Column, saved: Column, default: str) -> Column:

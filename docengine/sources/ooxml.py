@@ -494,7 +494,11 @@ def sourced_points(points: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def relations(name: str, content: bytes) -> Iterator[tuple]:
+    """A package's relations; one with an entry whose checksum is wrong has none."""
     package = Package(content)
+    broken = package.zip.testzip()
+    if broken is not None:
+        raise ValueError(f"the checksum of {broken} is wrong")
     for part in [n for n in package.names if "_rels/" not in n] + [""]:
         for rid, kind, target, external in package.relations(part):
             yield name, part, rid, kind, target, external, None

@@ -32,6 +32,20 @@ def test_text(spark):
     assert one(spark, text.pdf_escape(F.lit("(中)"))) == "\\(?\\)"
 
 
+def test_references_equal_the_library(spark):
+    import html
+    import random
+
+    rng = random.Random(1)
+    names = [*html.entities.html5, "amp", "bogus", "notit", "eacutes"]
+    bits = ["&", ";", " ", "#", "x", "a", "é", "<", "\n"]
+    said = ["".join(rng.choice([f"&{rng.choice(names)}", f"&#{rng.choice([0, 9, 13, 38, 128, 150, 159, 233, 8364, 55296, 64976, 65534, 128512, 1114111, 1114112, 10**12, 10**20])};", f"&#x{rng.choice(['26', 'E9', '1f600', 'D800', '110000', '0', 'ffffffffffffffff', '000000000000041'])}", rng.choice(bits)]) for _ in range(8)) for _ in range(400)]
+    said += ["caf&eacute; &#233; &copy;", "&amp;lt;", "&copy中文;", "&", "", "&#;", "&#x;", "no"]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, x string").select("i", text.unescape("x").alias("y")).collect()
+    for r in rows:
+        assert r.y == html.unescape(said[r.i]).encode("utf-8", "replace").decode(), said[r.i]
+
+
 def test_numbers(spark):
     assert one(spark, maths.half_up(F.lit("0.125"), 100)) == 13 and one(spark, maths.half_up(F.lit("-0.125"), 100)) == -13
     assert one(spark, maths.angle_60000(F.lit(-90))) == 16_200_000

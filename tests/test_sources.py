@@ -304,3 +304,18 @@ def test_broken_word_parts_keep_their_text():
     xml = '<w:document><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>One &amp; two</w:t></w:r></w:p><w:p w:rsid="1"><w:r><w:t>a</w:t><w:t> b</w:t></w:r></w:p><w:p/><w:pict>no</w:pict><w:p><w:t>open'
     assert list(ooxml.loose_paragraphs(xml)) == [("One & two", 2), ("a b", None)]
     assert list(ooxml.loose_paragraphs("")) == [] and list(ooxml.loose_paragraphs("<>< /><p>x</p>")) == [("x", None)]
+
+
+def test_a_wrong_checksum_is_an_error(spark):
+    import io
+    import zipfile
+
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as z:
+        z.writestr("_rels/.rels", '<Relationships><Relationship Id="a" Type="x/officeDocument" Target="word/document.xml"/></Relationships>')
+        z.writestr("word/document.xml", "<w:p/>" * 9)
+    whole = made.getvalue()
+    at = whole.index(b"<w:p/>")
+    broken = whole[:at] + b"<w:q/>" + whole[at + 6 :]
+    got = {r.doc_id: r.error for r in ooxml.read_relations(files(spark, a=whole, b=broken)).collect()}
+    assert got["a"] is None and "word/document.xml" in got["b"]

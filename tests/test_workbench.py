@@ -94,5 +94,5 @@ def test_tasks(spark):
     users = spark.createDataFrame([("u", "viewer", None), ("v", "x", ["b", "a", "b"])], "id string, role string, permissions array<string>")
     assert {r.id: r.permissions for r in W.permissions(users, {"viewer": ["read"]}).collect()} == {"u": ["read"], "v": ["b", "a"]}
     saved = spark.createDataFrame([("a", "2"), ("zz", "9"), ("k", "off")], "key string, value string")
-    assert W.settings(saved, {"a": "1", "b": "1", "k": "on"}, {"k": "on"}) == {"a": "2", "b": "1", "k": "on"}
+    assert {r.key: r.value for r in W.settings(saved, {"a": "1", "b": "1", "k": "on"}, {"k": "on"}).collect()} == {"a": "2", "b": "1", "k": "on"}
     assert W.preserved(spark.createDataFrame([("table",), ("p",)], "kind string"), tables=False).count() == 1
