@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.plans import conversions as C
+from docengine.functions import surface
 from docengine.operators.lineage import shared_dir
 from docengine.plans.sheets import LINES, lines
 from docengine.plans.tables import Tables
@@ -174,3 +175,21 @@ def retention_by_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest = events.agg(F.max("created_at")).first()[0]
     dropped = table.retain(newest, 10)
     return table.read().groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("n")).withColumn("days_dropped", F.lit(dropped["days_dropped"]).cast("long"))
+
+
+@query("""SELECT p_partkey, chr(CAST(65 + p_size % 26 AS INTEGER)) AS letters, CAST(p_size % 26 + 1 AS BIGINT) AS number, CASE p_partkey % 3 WHEN 0 THEN 'xl/media/image' || p_size || '.png' WHEN 1 THEN 'docProps/' || p_size ELSE NULL END AS part FROM part""")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR16, STR17: the library's functions called from SQL."""
+    surface.register(spark)
+    Tables(spark, sf_dir).part.createOrReplaceTempView("__surface_part")
+    return spark.sql("""SELECT p_partkey, column_letters(p_size % 26 + 1) AS letters, column_number(column_letters(p_size % 26 + 1)) AS number,
+        resolve_part('xl/worksheets/sheet1.xml', CASE p_partkey % 3 WHEN 0 THEN concat('../media/./image', p_size, '.png#x') WHEN 1 THEN concat('/docProps/', p_size) ELSE '../../../out' END) AS part FROM __surface_part""")
+
+
+@query("""SELECT (page_id // 50) || '.zip' AS archive, CAST(row_number() OVER (PARTITION BY page_id // 50 ORDER BY page_id || '.html') - 1 AS INTEGER) AS pos, page_id || '.html' AS part, CAST(strlen(html) AS BIGINT) AS size, CAST(NULL AS VARCHAR) AS error FROM pages""")
+def zip_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of pages listed by a table function over a partitioned table argument."""
+    surface.register(spark)
+    p = Tables(spark, sf_dir).pages.select(F.floor(F.col("page_id") / 50).cast("string").alias("task"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.col("html").cast("binary").alias("content"))
+    writers.bundle(p, "task").select("name", "content").createOrReplaceTempView("__surface_archives")
+    return spark.sql("SELECT archive, pos, part, size, error FROM zip_parts(TABLE(SELECT name, content FROM __surface_archives) PARTITION BY name)")

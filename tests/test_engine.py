@@ -137,3 +137,17 @@ def test_log_gate_and_windows(spark, tmp_path):
     q = logs.rollup(logs.read_logs(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("rolled").outputMode("update").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(n) as n from rolled").first().n == 5
+
+
+def test_sql_functions_equal_the_library(spark):
+    from docengine.functions import surface
+
+    surface.register(spark)
+    numbers = spark.range(1, 16385).select(F.col("id").alias("n"), F.expr("column_letters(id)").alias("a"), text.column_letters("id").alias("b"))
+    assert numbers.filter("a <> b or column_number(a) <> n").count() == 0
+    targets = ["media/a.png", "/ppt/x.xml", "../y.xml", "../../z", "#frag", "./a/../b.xml", "", "..", "a//b", None]
+    df = spark.createDataFrame([(b, t) for b in ("word/document.xml", "top.xml", "a/b/c.xml") for t in targets], "base string, target string")
+    assert df.filter(~F.expr("resolve_part(base, target)").eqNullSafe(text.resolve_part("base", "target"))).count() == 0
+    assert spark.sql("SELECT base_name('C:\\\\u\\\\x.docx'), base_name('/a/b')").first() == ("x.docx", "b")
+    bad = spark.sql("SELECT * FROM zip_parts(TABLE(SELECT 'n' AS name, x'00' AS content) PARTITION BY name)").collect()
+    assert len(bad) == 1 and bad[0].archive == "n" and bad[0].error

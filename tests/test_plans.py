@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-CODECS = {"ooxml_word_round_trip", "ooxml_word_to_slides", "ooxml_sheet_round_trip", "pdf_round_trip", "zip_bundle_listing", "image_headers", "vba_macro_listing", "log_stream", "task_state_stream", "ingest_stream"}
+CODECS = {"ooxml_word_round_trip", "ooxml_word_to_slides", "ooxml_sheet_round_trip", "pdf_round_trip", "zip_bundle_listing", "image_headers", "vba_macro_listing", "log_stream", "task_state_stream", "ingest_stream", "zip_parts"}
 CODECS |= {"word_object_counts", "valid_packages", "pdf_as_word", "sheets_as_pdf", "sheets_as_word", "sheets_as_slides", "native_charts", "merged_tables", "big_table_pages", "word_previews", "file_previews", "notes_placeholders", "picture_properties", "resolved_styles", "theme_styles", "shared_strings", "slide_tables", "word_pictures", "picture_places"}
 NAMES = sorted(k for k in entry.queries() if not re.match(r"op\d|pipeline", k) and k not in CODECS)
 
