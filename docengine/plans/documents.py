@@ -193,3 +193,15 @@ def zip_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Tables(spark, sf_dir).pages.select(F.floor(F.col("page_id") / 50).cast("string").alias("task"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.col("html").cast("binary").alias("content"))
     writers.bundle(p, "task").select("name", "content").createOrReplaceTempView("__surface_archives")
     return spark.sql("SELECT archive, pos, part, size, error FROM zip_parts(TABLE(SELECT name, content FROM __surface_archives) PARTITION BY name)")
+
+
+@query("""SELECT user_id AS client_id, count(*) AS beats, max(ts) AS last_seen FROM events GROUP BY 1""")
+def heartbeat_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5: heartbeats that come twice, in two landings; the stream lets each through once, late repeats fall behind the watermark."""
+    at = _folder(spark)
+    beats = Tables(spark, sf_dir).events.select(F.col("user_id").alias("client_id"), F.col("event_id").alias("beat_id"), F.col("ts").cast("timestamp").alias("at"))
+    for landing in range(2):
+        beats.unionByName(beats.filter("beat_id % 2 = 0")).write.parquet(f"{at}/in/{landing}")
+        stream = spark.readStream.schema(beats.schema).parquet(f"{at}/in/*")
+        logs.heartbeats(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").groupBy("client_id").agg(F.count(F.lit(1)).alias("beats"), F.max("at").cast("timestamp_ntz").alias("last_seen"))
