@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import written
+from docengine.llm.common import fetch, written
 from docengine.llm.components import Forest, components
 
 
@@ -143,9 +143,10 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, recall: float =
     kind = "array<float>" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "array<double>"
     given = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kind).alias("x"))
     fine = F.coalesce(F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(x, lambda e: e != 0), F.lit(False))
-    given = written(given.withColumn("fine", fine).withColumn("k1", F.when(fine, F.xxhash64("x"))).withColumn("k2", F.when(fine, F.xxhash64(F.lit("v"), "x"))))
+    given = given.withColumn("fine", fine).withColumn("k1", F.when(fine, F.xxhash64("x"))).withColumn("k2", F.when(fine, F.xxhash64(F.lit("v"), "x")))
+    given = written(given.withColumn("v", F.col("k1").bitwiseXOR(F.shiftleft("k2", 1))))
     # one row for equal vectors: first() of equal values
-    classes = written(given.filter("fine").groupBy("k1", "k2").agg(F.first("x").alias("x"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least")).withColumn("v", F.col("k1").bitwiseXOR(F.shiftleft("k2", 1))))
+    classes = written(given.filter("fine").groupBy("k1", "k2").agg(F.first("x").alias("x"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"), F.first("v").alias("v")))
     bits = bits_for(classes.count(), bucket)
     tables = tables_for(bits, threshold, recall)
     hashed = written(classes.select("v", "x", "n").mapInArrow(lambda it: _hash(it, bits, tables, seed), f"v long, x {kind}, n long, dim int, codes array<int>"))
@@ -166,8 +167,10 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, recall: float =
     found = written(rows.repartition(parts, *cell).sortWithinPartitions(*cell).mapInArrow(lambda it: _compare(it, threshold), "kind int, a long, b long"))
     counts = found.filter("kind = 1").groupBy(F.col("a").alias("cv")).agg(F.sum("b").alias("far"))
     comps = components(found.filter("kind = 0").select("a", "b"))
-    named = classes.join(comps, F.col("v") == F.col("node"), "left").join(counts, F.col("v") == F.col("cv"), "left").select("k1", "k2", "least", F.coalesce("component", "v").alias("root"), (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
-    answer = named.join(roots, F.col("root") == F.col("r")).select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "n_links", "component_id")
-    out = given.join(answer, (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")), "left")
+    named = classes.join(comps, F.col("v") == F.col("node"), "left").join(counts, F.col("v") == F.col("cv"), "left").select("v", "least", F.coalesce("component", "v").alias("root"), (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    # a component's classes meet its root, a vector's copies their class: hot ones are dealt out, invalid vectors have no key and are spread
+    named = written(named)
+    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    answer = fetch(named, roots, "root").select("v", "n_links", "component_id")
+    out = fetch(given.select("vec_id", "v"), answer, "v")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
