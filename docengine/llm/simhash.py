@@ -235,6 +235,7 @@ def _wide_prints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
         found = np.array([wide_fingerprint(x.as_py(), width) for x in texts], dtype=np.uint64).reshape(-1, 2)
         hi, lo = np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1])
         yield pa.RecordBatch.from_arrays([*others, pa.array(node(hi, lo)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64))], names=[*b.schema.names[:-1], "fp", "hi", "lo"])
+    pa.default_memory_pool().release_unused()
 
 
 def _wide_spread(batches: Iterator[pa.RecordBatch], tables: int) -> Iterator[pa.RecordBatch]:
@@ -346,6 +347,7 @@ def _wide_compare(batches: Iterator[pa.RecordBatch], distance: int, crowd: int,
             held = tuple(c[cell == last] for c in cols)
     if held is not None:
         yield linked(held[0], held[1].view(np.uint64), held[2].view(np.uint64), held[3] if seeded else None)
+    pa.default_memory_pool().release_unused()
 
 
 _LINKS = "kind int, cell long, a long, b long"
@@ -441,17 +443,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             offsets = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.zeros(0, dtype=np.int32)]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["fp", "shingles"])
-
-
-def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """(a, b) of the rows (a, b, one, two) whose sets are as similar as that."""
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column(2), b.column(3)):
-            one, two = (np.asarray(v.values.to_numpy(zero_copy_only=False) if v.is_valid else (), dtype=np.int32) for v in (x, y))
-            both = len(np.intersect1d(one, two, assume_unique=True))
-            keep.append(both >= similarity * (len(one) + len(two) - both) - 1e-9)
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
+    pa.default_memory_pool().release_unused()  # workers live on, and so would what they hold
 
 
 def similar(pairs: DataFrame, classes: DataFrame, given: DataFrame, *, width: int, similarity: float, bound: int, text: str = "text") -> DataFrame:
@@ -465,10 +457,13 @@ def similar(pairs: DataFrame, classes: DataFrame, given: DataFrame, *, width: in
     need = written(classes.join(nodes, F.col("fp") == F.col("a")).select(F.col("fp").alias("__fp"), F.col("least.__id").alias("__i"), F.col("least.__key").alias("__k")))
     told = F.broadcast(need) if few(need, bound) else need
     rows = given.select("__id", "__key", F.col(text).cast("string").alias("__text")).join(told, (F.col("__key") == F.col("__k")) & F.col("__id").eqNullSafe(F.col("__i"))).select("__fp", "__text")
-    sets = written(rows.mapInArrow(lambda it: _sets(it, width), "fp long, shingles array<int>").dropDuplicates(["fp"]))
+    sets = written(rows.mapInArrow(lambda it: _sets(it, width), "fp long, shingles array<int>"))
+    if sets.count() > need.count():  # rows that repeat id and text
+        sets = written(sets.dropDuplicates(["fp"]))
     one = fetch(pairs, sets.withColumnsRenamed({"fp": "a", "shingles": "one"}), "a")
     two = fetch(written(one), sets.withColumnsRenamed({"fp": "b", "shingles": "two"}), "b")
-    return written(two.select("a", "b", "one", "two").mapInArrow(lambda it: _alike(it, similarity), "a long, b long"))
+    both = F.size(F.array_intersect("one", "two"))
+    return written(two.filter(both >= F.lit(similarity) * (F.size("one") + F.size("two") - both) - 1e-9).select("a", "b"))
 
 
 def keep_one(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, distance: int = 32, tables: int = 18, crowd: int = 4000, bound: int = 300_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
