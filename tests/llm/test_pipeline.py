@@ -5,6 +5,7 @@ import random
 
 import pytest
 from docengine.llm import quality
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from test_operators import DOC, WORD, wide_groups
@@ -65,3 +66,45 @@ def test_run_and_empty_tables(spark, sf):
     empty = spark.createDataFrame([], DOC)
     for _, stage in P.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+LONG = " ".join(f"word{i % 977} tells{i % 331} more{i % 53}" for i in range(9_000)) + "."
+CLEAN = [f"This is sentence number {i} about the {w}, and it ends well. It has some more words to say about {w}s." for i, w in enumerate(["river", "harbour", "garden", "street", "mountain"])]
+
+
+def odd_rows():
+    """Null and empty texts, null ids and sources, repeated ids, repeated rows, a very long text."""
+    rows = [(i, t, "en", f"s{i % 2}", 0) for i, t in enumerate(CLEAN)]
+    rows += [(10, None, None, None, None), (11, "", "en", "s0", 0), (12, " \n\t ", "en", None, 0), (None, CLEAN[0] + " And one more.", None, "s1", None), (None, "Another clean text that nobody has said before, all on its own. It goes on for a while.", "en", None, 0)]
+    rows += [(3, "A text under an id that stands on another one as well, which is fine with us.", "en", "s1", 0), rows[1], rows[1], (20, LONG, "en", "s0", len(LONG))]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), DOC).repartition(3).withColumn("line_kept", F.lit("clash")).withColumn("q_kept", F.lit(0)).withColumn("mix_copies", F.lit("x")).withColumn("fp", F.lit("f"))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
+def test_every_stage_takes_odd_rows(spark, odd, name):
+    rows, stage = odd_rows(), dict(P.STAGES)[name]
+    df = stage(spark, odd, "")
+    got = [tuple(r) for r in df.collect()]
+    texts = collections.Counter((r[0], r[1] or "") for r in rows)
+    if name == "pack":
+        assert {r.doc_id for r in df.collect()} == {r[0] for r in rows}
+        assert sum(r.start == 0 for r in df.collect()) == len(rows)
+        return
+    assert df.columns == P.COLUMNS
+    have = collections.Counter((r[0], r[1] or "") for r in got)
+    if name == "quality_rules":
+        assert have == collections.Counter({k: n for k, n in texts.items() if k[1].strip()})
+    elif name == "line_dedup":
+        assert have == texts
+    elif name == "near_dedup":
+        groups = wide_groups({i: t for i, (_, t) in enumerate(sorted(texts, key=lambda k: (k[0] is None, k[0] or 0)))})
+        assert max(have.values()) == 1 and len(have) == len(set(groups.values()))
+        assert (1, CLEAN[1]) in have and (20, LONG) in have and (0, CLEAN[0]) in have
+    else:
+        assert set(have) <= set(texts) and max(have[k] / texts[k] for k in have) <= 2
+        assert have[(20, LONG)] in (1, 2)
