@@ -28,16 +28,26 @@ def budget_pages(blocks: DataFrame, most: int, doc: str = "doc_id", pos: str = "
     return b.select(doc, F.col("page").cast("long").alias("page"), pos, F.substring(F.col(text), (lo - F.col("__from") + 1).cast("int"), (hi - lo).cast("int")).alias("piece"))
 
 
-def ranked(rows: DataFrame, key: list[str], order: list[str], name: str = "rank") -> DataFrame:
-    """rows with their place (from 1) within the key, by order. A key may hold any share of the rows: they are dealt into ranges of (key, order), ranked
-    inside, and each range starts where the counts of those before it end."""
+def _dealt(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """rows dealt into ranges of (key, order), written, with the range's number in __range: a key of any size is many tasks, and ranges are in order."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = written(rows.repartitionByRange(n, *key, *order).withColumn("__range", F.spark_partition_id()))
+    return written(rows.repartitionByRange(n, *key, *order).withColumn("__range", F.spark_partition_id()))
+
+
+def _carried(dealt: DataFrame, key: list[str], of_range: Column, over_before) -> DataFrame:
+    """dealt with __before: what over_before(column) makes of the ranges of the key before a row's; of_range sums a range up. One row a key and range is sorted."""
     by = Window.partitionBy(*key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy(*key, "__range").agg(F.count(F.lit(1)).alias("__n")).select(*[F.col(k).alias(f"__k_{k}") for k in key], F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(by), F.lit(0)).alias("__before"))
+    ranges = dealt.groupBy(*key, "__range").agg(of_range.alias("__of")).select(*[F.col(k).alias(f"__k_{k}") for k in key], F.col("__range").alias("__r"), over_before(F.col("__of")).over(by).alias("__before"))
     same = (F.col("__range") == F.col("__r")) & reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in key])
+    return dealt.join(ranges, same)
+
+
+def ranked(rows: DataFrame, key: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """rows with their place (from 1) within the key, by order. A key may hold any share of the rows: they are ranked inside ranges, and each
+    range starts where the counts of those before it end."""
     inside = F.row_number().over(Window.partitionBy(*key, "__range").orderBy(*order))
-    return dealt.withColumn("__inside", inside).join(starts, same).select(*rows.columns, (F.col("__before") + F.col("__inside")).cast("long").alias(name))
+    dealt = _carried(_dealt(rows, key, order).withColumn("__inside", inside), key, F.count(F.lit(1)), F.sum)
+    return dealt.select(*rows.columns, (F.coalesce("__before", F.lit(0)) + F.col("__inside")).cast("long").alias(name))
 
 
 def chunks(lines: DataFrame, k: int, doc: str = "doc_id", pos: str = "pos") -> DataFrame:
@@ -135,6 +145,7 @@ def spread_deficit(heights: list[int], need: int) -> list[int]:
 
 
 def monotone(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """events with progress: the largest value so far; late, smaller values don't move it back."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("progress", F.max(value).over(w))
+    """events with progress: the largest value so far; late, smaller values don't move it back. A key may hold any share of the events."""
+    inside = F.max(value).over(Window.partitionBy(key, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    dealt = _carried(_dealt(events, [key], order).withColumn("__inside", inside), [key], F.max(value), F.max)
+    return dealt.select(*events.columns, F.greatest("__before", "__inside").alias("progress"))

@@ -151,3 +151,20 @@ def test_sql_functions_equal_the_library(spark):
     assert spark.sql("SELECT base_name('C:\\\\u\\\\x.docx'), base_name('/a/b')").first() == ("x.docx", "b")
     bad = spark.sql("SELECT * FROM zip_parts(TABLE(SELECT 'n' AS name, x'00' AS content) PARTITION BY name)").collect()
     assert len(bad) == 1 and bad[0].archive == "n" and bad[0].error
+
+
+def test_ranks_and_progress_of_hot_keys(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None, "b"]), i, rng.randrange(50)) for i in range(600)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, at int, v int")
+    want = {}
+    for k, at, v in sorted(rows, key=lambda r: r[1]):
+        n, most = want.get(k, (0, [], 0))[0], want.get(k, (0, [], -1))[2]
+        want[k] = (n + 1, [*want.get(k, (0, [], 0))[1], (at, n + 1, max(most, v))], max(most, v))
+    flat = sorted((str(k), *x) for k, (_, xs, _) in want.items() for x in xs)
+    ranks = {(r.k, r.at): r["rank"] for r in layout.ranked(df, ["k"], ["at"]).collect()}
+    got = layout.monotone(df, "k", ["at"], "v").collect()
+    assert sorted((str(r.k), r["at"], ranks[r.k, r["at"]], r.progress) for r in got) == flat
