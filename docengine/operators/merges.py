@@ -138,4 +138,4 @@ def row_heights(tables: DataFrame, cells: DataFrame, merges: DataFrame, key: lis
         return F.transform(members, lambda x: F.when(inside(x) & x["auto"], x.withField("height", x["height"] + share(x))).otherwise(x))
 
     folded = of_tie.join(asked, [*key, "tie"]).select(*key, F.explode(F.aggregate("asks", F.col("members"), met)).alias("x")).select(*key, "x.row", F.col("x.height").alias("raised"))
-    return base.join(folded, [*key, "row"], "left").select(*key, "row", F.coalesce("raised", "height").alias("height"))
+    return base.join(folded, [*key, "row"], "left").select(*key, F.col("row").cast("long").alias("row"), F.coalesce("raised", "height").alias("height"))
