@@ -3,7 +3,8 @@
 A term that stands in a text parts into pieces at its blanks. Pieces inside it are whole words of the text, so a term of three words or more is looked
 up by the inner one that fewest pages hold; of a term of two words the first ends a word of the text, the second begins the next; a single
 word is part of one. So every term has words of the corpus' vocabulary that betray it, found by equality of whole words, ends, beginnings
-or grams, over the vocabulary alone. Pages that hold such a word are candidates, and the text itself decides. No page meets a term that it has no such word of.
+or grams, over the vocabulary alone. Pages that hold such a word are candidates, and the text itself decides, where it is read: the index travels to the
+pages, neither texts nor candidates are shuffled. No page meets a term that it has no such word of.
 """
 
 from __future__ import annotations
@@ -14,12 +15,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.functions.nulls import col
+from docengine.operators.lineage import written
 
 GRAM = 6
+#: White space as Unicode has it, as a class that is quick to match.
+BLANKS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+#: A term whose words stand on more than one page in so many is looked for on every page, without the index.
+FREE = 8
+#: Entries of the index (word, term, marker) that every task holds at once; a larger index takes more passes over the pages.
+MOST = 500_000
 
 
 def _words(x: Column) -> Column:
-    return F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")
+    return F.array_remove(F.split(x, BLANKS), "")
 
 
 def page_text(*parts: Column | str) -> Column:
@@ -27,32 +35,50 @@ def page_text(*parts: Column | str) -> Column:
     return F.lower(F.array_join(F.array(*[F.coalesce(col(p), F.lit("")) for p in parts]), " "))
 
 
-def found(pages: DataFrame, terms: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+def found(pages: DataFrame, terms: DataFrame, key: list[str], text: str = "text", most: int = MOST) -> DataFrame:
     """(key, marker) of terms that stand in the pages' texts, cases ignored.
 
     pages: key, text. terms: marker, term. A row per pair, however often terms or pages repeat. Null texts hold nothing; terms without a letter or sign stand nowhere.
     """
-    t = terms.select("marker", F.lower("term").alias("term")).distinct().withColumn("w", _words(F.col("term"))).filter(F.size("w") > 0)
+    t = terms.select("marker", F.lower("term").alias("term")).distinct()
+    told = t.select("term").distinct().withColumn("w", _words(F.col("term"))).filter(F.size("w") > 0)
     p = pages.select(*key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__low"))
-    held = p.select(*key, F.explode(F.array_distinct(_words(F.col("__low")))).alias("word"))
-    vocabulary = held.groupBy("word").agg(F.count(F.lit(1)).alias("pages"))
+    held = p.select(F.explode(F.array_distinct(_words(F.col("__low")))).alias("word"))
+    vocabulary = written(held.groupBy("word").agg(F.count(F.lit(1)).alias("pages")))
     # three words or more: the rarest inner word
-    inner = t.filter(F.size("w") > 2).select("marker", "term", F.explode(F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2))).alias("word")).join(vocabulary, "word", "left")
-    rank = F.row_number().over(Window.partitionBy("marker", "term").orderBy(F.coalesce("pages", F.lit(0)), "word"))
-    whole = inner.withColumn("n", rank).filter("n = 1 and pages > 0").select("marker", "term", "word")
-    # two words: the longer one, at the end or the beginning of a word
-    pair = t.filter(F.size("w") == 2).withColumn("ends", F.length(F.get("w", F.lit(0))) >= F.length(F.get("w", F.lit(1)))).select("marker", "term", "ends", F.when(F.col("ends"), F.get("w", F.lit(0))).otherwise(F.get("w", F.lit(1))).alias("piece"))
-    places = F.sequence(F.lit(1), F.length("word"))
-    tails = vocabulary.select("word", F.explode(F.transform(places, lambda i: F.substring(F.col("word"), i, F.length("word")))).alias("piece"), F.lit(True).alias("ends"))
-    heads = vocabulary.select("word", F.explode(F.transform(places, lambda i: F.left(F.col("word"), i))).alias("piece"), F.lit(False).alias("ends"))
-    at_edge = pair.join(tails.unionByName(heads), ["piece", "ends"]).select("marker", "term", "word")
+    inner = told.filter(F.size("w") > 2).select("term", F.explode(F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2))).alias("word")).join(vocabulary, "word", "left")
+    rank = F.row_number().over(Window.partitionBy("term").orderBy(F.coalesce("pages", F.lit(0)), "word"))
+    whole = inner.withColumn("n", rank).filter("n = 1 and pages > 0").select("term", "word")
+    # two words: the first at the end of a word or the second at the beginning of one, whichever fewer pages hold; a term that lacks either stands nowhere
+    edge = lambda i: F.struct(F.lit(i == 0).alias("ends"), F.get("w", F.lit(i)).alias("piece"))
+    pair = told.filter(F.size("w") == 2).select("term", F.explode(F.array(edge(0), edge(1))).alias("e")).select("term", "e.*")
+    placed = vocabulary.select("word", "pages", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
+    tails = placed.select("word", "pages", F.substring(F.col("word"), F.col("at"), F.length("word")).alias("piece"), F.lit(True).alias("ends"))
+    heads = placed.select("word", "pages", F.left(F.col("word"), F.col("at")).alias("piece"), F.lit(False).alias("ends"))
+    at_edge = pair.join(tails.unionByName(heads), ["piece", "ends"]).select("term", "ends", "word", "pages")
+    sides = at_edge.groupBy("term", "ends").agg(F.sum("pages").alias("n")).groupBy("term").agg(F.count(F.lit(1)).alias("sides"), F.min_by("ends", F.struct("n", "ends")).alias("ends")).filter("sides = 2")
+    at_edge = at_edge.join(sides.select("term", "ends"), ["term", "ends"], "left_semi").select("term", "word")
     # one word: by its first characters, anywhere in a word
-    lone = t.filter(F.size("w") == 1).select("marker", "term", F.left(F.get("w", F.lit(0)), F.lit(GRAM)).alias("piece"), F.get("w", F.lit(0)).alias("said"))
-    grams = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("word") - i + 1)), lambda n: F.substring(F.col("word"), i, n))))
-    inside = lone.join(vocabulary.select("word", F.explode(F.array_distinct(grams)).alias("piece")), "piece").filter(F.contains("word", "said")).select("marker", "term", "word")
-    betrayed = reduce(DataFrame.unionByName, [whole, at_edge, inside])
-    candidates = held.join(betrayed, "word").select(*key, "marker", "term").distinct()
-    return candidates.join(p, key).filter(F.contains("__low", "term")).select(*key, "marker").distinct()
+    lone = told.filter(F.size("w") == 1).select("term", F.left(F.get("w", F.lit(0)), F.lit(GRAM)).alias("piece"), F.get("w", F.lit(0)).alias("said"))
+    sizes = [n for (n,) in lone.select(F.length("piece")).distinct().collect()]  # GRAM at most
+    grams = placed.select("word", F.explode(F.array(*[F.substring(F.col("word"), F.col("at"), F.lit(n)) for n in sizes]).cast("array<string>")).alias("piece"))
+    inside = lone.join(grams, "piece").filter(F.contains("word", "said")).select("term", "word")
+    betrayed = reduce(DataFrame.unionByName, [whole, at_edge, inside]).distinct()
+    told_by = written(betrayed.join(vocabulary, "word"))
+    counted = p.count()
+    sums = told_by.groupBy("term").agg(F.sum("pages").alias("n")).join(t, "term").groupBy("term", "n").agg(F.collect_set("marker").alias("markers"))
+    sums = written(sums.withColumn("free", F.col("n") * FREE > counted))
+    free = sums.filter("free").select("term", "markers")
+    index = written(told_by.join(sums.filter("not free"), "term").select("word", "term", "markers"))
+    passes = max(1, -(-(index.agg(F.sum(F.size("markers") + 1)).first()[0] or 0) // most))
+    part = F.pmod(F.xxhash64("word", "term"), F.lit(passes))
+
+    def met(i: int) -> DataFrame:
+        words = p.withColumn("word", F.explode(F.array_distinct(_words(F.col("__low")))))
+        return words.join(F.broadcast(index.filter(part == i)), "word").filter(F.contains("__low", "term"))
+
+    hits = [p.join(F.broadcast(free), F.contains("__low", "term")), *map(met, range(passes))]
+    return reduce(DataFrame.unionByName, [h.select(*key, F.explode("markers").alias("marker")) for h in hits]).distinct()
 
 
 def attached(pages: DataFrame, terms: DataFrame, flagged: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:

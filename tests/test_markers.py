@@ -27,3 +27,14 @@ def test_attached(spark):
     flagged = spark.createDataFrame([(1, "f"), (1, "m"), (2, "m"), (2, "m")], "doc_id long, marker string")
     assert sorted(map(tuple, markers.attached(pages, terms, flagged).collect())) == [(1, 1, "f"), (1, 1, "m"), (1, 2, "f"), (2, 5, "m")]
     assert markers.page_text(F.lit("A"), F.lit(None).cast("string"), F.lit("b")) is not None
+
+
+def test_found_shuffles_no_texts_and_takes_passes(spark):
+    """The index travels to the pages: only (key, marker) is shuffled, and an index beyond the bound takes passes with the same result."""
+    pages = spark.createDataFrame([(i, 0, f"alpha{i} beta gamma delta{i % 7} epsilon") for i in range(60)], PAGES)
+    terms = spark.createDataFrame([("w", "pha1"), ("p", "ta gam"), ("t", "beta gamma delta3"), ("f", "eta"), ("q", "a1 beta")], TERMS)
+    once = markers.found(pages, terms, ["doc_id", "page"])
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [doc_id" in plan and plan.count("rightHint=(strategy=broadcast)") == plan.count("Join Inner")
+    many = markers.found(pages, terms, ["doc_id", "page"], most=3)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, many.collect()))
