@@ -11,6 +11,11 @@ from docengine.functions.nulls import first_given
 from docengine.operators.lineage import written
 
 
+def spread(keys: DataFrame) -> DataFrame:
+    """Keys dealt out before files are made of them, so that a small table's files are many tasks' work."""
+    return keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def named(items: DataFrame, files: DataFrame, key: str = "file_id", name: str = "file_name") -> DataFrame:
     """items with the file's name; the id itself where there's no such file. The planner picks the strategy by size."""
     f = files.select(F.col(key).alias("__k"), F.col(name).alias("__n"))

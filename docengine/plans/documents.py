@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docengine.plans import conversions as C
 from docengine.functions import surface
 from docengine.operators.lineage import shared_dir
+from docengine.operators.relational import spread
 from docengine.plans.sheets import LINES, lines
 from docengine.plans.tables import Tables
 from docengine.registry import query
@@ -97,7 +98,7 @@ def image_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vba_macro_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Macros of modules made from customers."""
     source = F.concat(F.lit('Attribute VB_Name = "M'), F.col("c_custkey").cast("string"), F.lit("\"\nPublic Sub Run_\n  ' Sub No()\nEnd Sub\nPrivate Sub Hidden()\nEnd Sub\nSub Also(): x = \"Sub Neither()\"\nEnd Sub\n"))
-    files = Tables(spark, sf_dir).customer.select(F.col("c_custkey").cast("string").alias("path"), F.replace(source, F.lit("Run_"), F.lit("Run()")).cast("binary").alias("content"))
+    files = spread(Tables(spark, sf_dir).customer.select("c_custkey")).select(F.col("c_custkey").cast("string").alias("path"), F.replace(source, F.lit("Run_"), F.lit("Run()")).cast("binary").alias("content"))
     return vba.read_macros(files)
 
 

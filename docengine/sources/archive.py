@@ -20,21 +20,37 @@ def landed(spark: SparkSession, folder: str, pattern: str = "*", most_bytes: int
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).filter(F.col("length") <= most_bytes)
 
 
+#: Many small files' rows travel together: a batch ends with the file that reaches this many rows, or bytes read.
+ROWS, BYTES = 1024, 4 * 1024 * 1024
+
+
+def _batch(rows: list[tuple], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """By column: no row of its own is built for Arrow."""
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+
 def per_file(files: DataFrame, parse: Callable[[str, bytes], Iterator[tuple]], schema: str) -> DataFrame:
     """Rows that parse(path, bytes) gives for each file. The last column takes the error of a file that can't be read."""
     fields = T.StructType.fromDDL(schema)
     arrow = arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
         for b in batches:
             for path, content in zip(b.column(0), b.column(1)):
-                name = path.as_py()
+                name, data = path.as_py(), content.as_py()
                 try:
-                    rows = list(parse(name, content.as_py()))
+                    rows = list(parse(name, data))
                 except Exception as e:  # noqa: BLE001  one bad file is a row, not a lost job
                     rows = [(name, *[None] * (len(fields) - 2), f"{type(e).__name__}: {e}")]
-                if rows:  # by column: no row of its own is built for Arrow
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+                held += rows
+                size += len(data or b"")
+                if len(held) >= ROWS or size >= BYTES:
+                    yield from _batch(held, arrow)
+                    held, size = [], 0
+        yield from _batch(held, arrow)
 
     return files.select(F.col("path"), F.col("content")).mapInArrow(run, fields)
 

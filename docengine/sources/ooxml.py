@@ -8,6 +8,7 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 from xml.etree import ElementTree as ET
 
@@ -30,8 +31,13 @@ RELATION = "doc_id string, src_part string, rel_id string, type string, target s
 UNDERSTOOD = {"wps", "wpg", "a14", "p14", "x14", "w14", "asvg"}
 
 
+@lru_cache(4096)
+def _bare(tag: object) -> str:
+    return tag.rsplit("}", 1)[-1] if isinstance(tag, str) else ""
+
+
 def local(node: ET.Element) -> str:
-    return node.tag.rsplit("}", 1)[-1] if isinstance(node.tag, str) else ""
+    return _bare(node.tag)
 
 
 def attr(node: ET.Element, name: str, default: str = "") -> str:
@@ -40,12 +46,19 @@ def attr(node: ET.Element, name: str, default: str = "") -> str:
 
 
 def first(node: ET.Element | None, name: str) -> ET.Element | None:
-    return None if node is None else next((n for n in node.iter() if local(n) == name and n is not node), None)
+    if node is None or not len(node):
+        return None
+    for n in node.iter():
+        if _bare(n.tag) == name and n is not node:
+            return n
+    return None
 
 
 def parse(xml: bytes) -> ET.Element:
     """Markup with every AlternateContent replaced by its first understood Choice, else its Fallback."""
     root = ET.fromstring(xml)
+    if b"AlternateContent" not in xml and b"<!" not in xml and b"\0" not in xml:  # nor by an entity, nor in UTF-16
+        return root
     for parent in list(root.iter()):
         for i, child in reversed(list(enumerate(parent))):
             if local(child) == "AlternateContent":
