@@ -117,21 +117,21 @@ class Package:
 def visible(node: ET.Element) -> str:
     """Text with tabs and breaks; a nested table's text isn't the paragraph's."""
     out: list[str] = []
+    _say(node, out)
+    return "".join(out).strip()
 
-    def walk(n: ET.Element) -> None:
-        name = local(n)
-        if name == "t":
-            out.append(n.text or "")
-        elif name == "tab" and len(n.attrib) == 0:
-            out.append("\t")
-        elif name in ("br", "cr"):
-            out.append("\n")
-        for c in n:
-            if local(c) != "tbl":
-                walk(c)
 
-    walk(node)
-    return "".join(out).strip()
+def _say(n: ET.Element, out: list[str]) -> None:
+    name = _bare(n.tag)
+    if name == "t":
+        out.append(n.text or "")
+    elif name == "tab" and len(n.attrib) == 0:
+        out.append("\t")
+    elif name in ("br", "cr"):
+        out.append("\n")
+    for c in n:
+        if _bare(c.tag) != "tbl":
+            _say(c, out)
 
 
 def _on(node: ET.Element | None, name: str) -> bool:
@@ -155,10 +155,16 @@ def _table_cells(tbl: ET.Element) -> Iterator[tuple[int, int, int, str, str]]:
     for row, tr in enumerate(own(tbl, "tr")):
         column = sum(number(first(pr, "gridBefore"), 0) for pr in own(tr, "trPr"))
         for tc in own(tr, "tc"):
-            pr = next(iter(own(tc, "tcPr")), None)
+            pr, said = None, []
+            for n in tc:
+                kind = _bare(n.tag)
+                if kind == "p":
+                    said.append(visible(n))
+                elif kind == "tcPr" and pr is None:
+                    pr = n
             span, merge = max(1, number(first(pr, "gridSpan"), 1)), first(pr, "vMerge")
             mark = "" if merge is None else attr(merge, "val", "continue")
-            yield column, span, row, mark, "\n".join(filter(None, map(visible, own(tc, "p"))))
+            yield column, span, row, mark, "\n".join(filter(None, said))
             column += span
 
 
@@ -170,7 +176,8 @@ def table_grid(tbl: ET.Element) -> tuple[list[list[str]], list[list[int]]]:
     """
     cells = sorted(_table_cells(tbl))
     rows = sum(local(n) == "tr" for n in tbl)
-    grid = [[""] * max((c + span for c, span, *_ in cells), default=0) for _ in range(rows)]
+    columns = max((c + span for c, span, *_ in cells), default=0)
+    grid = [[""] * columns for _ in range(rows)]
     merges = []
     for (left, width), place in groupby(cells, key=lambda x: x[:2]):
         islands: list[list[tuple]] = []

@@ -32,3 +32,19 @@ def test_groups_in_order_over_batches(spark):
         want.setdefault("None" if i < 100 else str(i % 40), []).append(str(3000 - i))
     assert got == {k: ",".join(v) for k, v in want.items()}
     assert "FlatMapGroups" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_tables_width_is_found_once():
+    """Reading a table takes time in proportion to its cells, not to its cells times its rows."""
+    import time
+
+    from docengine.sources import ooxml
+
+    def seconds(n):
+        made = writers.docx([{"tbl": [[f"{i}", "", "x"] for i in range(n)]}])
+        start = time.perf_counter()
+        (block,) = ooxml.docx_blocks("t.docx", made)
+        assert block[6][n - 1] == [f"{n - 1}", "", "x"]
+        return time.perf_counter() - start
+
+    assert seconds(4000) < 14 * min(seconds(500) for _ in range(3))
