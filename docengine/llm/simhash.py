@@ -14,15 +14,17 @@ An anchor with more than `crowd` fingerprints isn't compared pairwise: its membe
 at most one bit away from them, which two fingerprints share exactly if they differ in 2 bits or fewer. That is 65 rows
 a fingerprint, not the square of the crowd.
 
-Wide fingerprints (`keep_one`) serve a similarity instead of a few bits: five words a shingle, 128 bits. Each of `tables` tables takes 46 of
+Wide fingerprints (`wide_links`) serve a similarity instead of a few bits: five words a shingle, 128 bits. Each of `tables` tables takes 46 of
 the bits and sends a fingerprint to every anchor with excess <= 1 (9.6 on average); two that share an anchor in any table and differ in at most `distance`
-bits are candidates. Of the candidates of a cell only a least spanning forest by bits goes on, so a group of n copies gives n - 1 pairs a cell and not n squared;
-the tables' forests differ, so a document has several pairs. Each pair is then decided by the texts themselves: it counts if the sets of shingles have
-`similarity` or more of their union in common. At a similarity of 0.8, 0.85 and 0.9 a pair meets with a chance of 0.95, 0.99 and 1.00 in 18 tables.
+bits are linked. Of the pairs of a cell only a least spanning forest by bits goes on, so a group of n copies gives n - 1 pairs a cell and not n squared.
+At a similarity of 0.8, 0.85 and 0.9 a pair meets with a chance of 0.95, 0.99 and 1.00 in 18 tables.
 A wide anchor with more than `crowd` fingerprints is cut into blocks; each block is linked, components are linked again through one
 fingerprint each, and what is then outside an anchor's largest component meets every block of those inside it, and outsiders meet in blocks of
 their own: no pair of components is lost and no block's square is taken twice.
 
+`keep_one` leaves nothing to chance: texts are linked if their sets of shingles (64 bits each) have `similarity` or more of their union in common, and
+`setjoin` finds all such pairs that tell components apart.
+
 Null and empty texts have no shingles: fingerprint zero. Fewer words than a shingle: one shingle of all words. Repeated
 rows share a fingerprint. A null doc_id gets a row, and counts for a component only if nothing else is in it.
 """
@@ -38,7 +40,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import attach, fetch, few, written
+from docengine.llm import setjoin
+from docengine.llm.common import attach, drop_written, fetch, few, written
 from docengine.llm.components import Forest, components
 
 SEED = 42
@@ -419,13 +422,13 @@ def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _grouped(prints: DataFrame, least: Column, link) -> DataFrame:
     """prints (fp, ...) with `first`: the least over all rows reachable by links."""
-    wide = [F.first(c).alias(c) for c in ("hi", "lo") if c in prints.columns]
-    classes = written(prints.groupBy("fp").agg(F.min(least).alias("least"), *wide))
+    of_print = [c for c in ("size", "prefix") if c in prints.columns]
+    classes = written(prints.groupBy("fp").agg(F.min(least).alias("least"), *[F.first(c).alias(c) for c in of_print]))
     comps = components(link(classes))
     rooted = written(classes.join(comps, classes["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root")))
     roots = rooted.groupBy("root").agg(F.min("least").alias("first"))
     named = fetch(rooted, roots, "root").select("fp", "first")
-    return fetch(prints, named, "fp")
+    return fetch(prints.drop(*of_print), named, "fp")
 
 
 def near_groups(docs: DataFrame, *, width: int = 3, bits: int = 2, crowd: int = 1500, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -434,18 +437,44 @@ def near_groups(docs: DataFrame, *, width: int = 3, bits: int = 2, crowd: int =
     return _grouped(prints, F.col("doc_id"), lambda c: links(c, bits, crowd)).select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The different shingles' hashes, sorted."""
+    return np.unique(shingle_hashes(text, width).view(">u8").ravel().astype(np.uint64))
+
+
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.zeros(0, dtype=np.uint64)]).view(np.int64)))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(fp, shingles): 32 bits of each different shingle's hash, sorted."""
+    """(fp, shingles): each different shingle's hash, sorted."""
     for b in batches:
         for i in range(0, b.num_rows, 256):
             part = b.slice(i, 256)
-            found = [np.unique(np.ascontiguousarray(shingle_hashes(t.as_py(), width)[:, 4:]).view(">i4").ravel()) for t in part.column(1)]
-            offsets = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.zeros(0, dtype=np.int32)]).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingle_set(t.as_py(), width) for t in part.column(1)])], names=["fp", "shingles"])
     pa.default_memory_pool().release_unused()  # workers live on, and so would what they hold
 
 
+def _tokens(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(token), a row for each different shingle of a text."""
+    for b in batches:
+        for t in b.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), width).view(np.int64))], names=["token"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, similarity: float, common: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The columns but the text, with fp (of the set of shingles), its size and its prefix."""
+    for b in batches:
+        for i in range(0, b.num_rows, 256):
+            *others, texts = b.slice(i, 256).columns
+            found = [shingle_set(t.as_py(), width) for t in texts]
+            fps = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in found], dtype=np.uint64).view(np.int64)
+            told = [pa.array(fps), pa.array(np.array([len(x) for x in found], dtype=np.int32)), _lists([setjoin.prefix(x, common, rank, similarity) for x in found])]
+            yield pa.RecordBatch.from_arrays([*others, *told], names=[*b.schema.names[:-1], "fp", "size", "prefix"])
+    pa.default_memory_pool().release_unused()
+
+
 def similar(pairs: DataFrame, classes: DataFrame, given: DataFrame, *, width: int, similarity: float, bound: int, text: str = "text") -> DataFrame:
     """The pairs (a, b) of fingerprints whose texts' sets of shingles have that similarity: the exact check.
 
@@ -457,23 +486,31 @@ def similar(pairs: DataFrame, classes: DataFrame, given: DataFrame, *, width: in
     need = written(classes.join(nodes, F.col("fp") == F.col("a")).select(F.col("fp").alias("__fp"), F.col("least.__id").alias("__i"), F.col("least.__key").alias("__k")))
     told = F.broadcast(need) if few(need, bound) else need
     rows = given.select("__id", "__key", F.col(text).cast("string").alias("__text")).join(told, (F.col("__key") == F.col("__k")) & F.col("__id").eqNullSafe(F.col("__i"))).select("__fp", "__text")
-    sets = written(rows.mapInArrow(lambda it: _sets(it, width), "fp long, shingles array<int>"))
+    sets = written(rows.mapInArrow(lambda it: _sets(it, width), "fp long, shingles array<long>"))
     if sets.count() > need.count():  # rows that repeat id and text
-        sets = written(sets.dropDuplicates(["fp"]))
-    one = fetch(pairs, sets.withColumnsRenamed({"fp": "a", "shingles": "one"}), "a")
-    two = fetch(written(one), sets.withColumnsRenamed({"fp": "b", "shingles": "two"}), "b")
+        repeated, sets = sets, written(sets.dropDuplicates(["fp"]))
+        drop_written(repeated)
+    one = written(fetch(pairs, sets.withColumnsRenamed({"fp": "a", "shingles": "one"}), "a"))
+    two = fetch(one, sets.withColumnsRenamed({"fp": "b", "shingles": "two"}), "b")
     both = F.size(F.array_intersect("one", "two"))
-    return written(two.filter(both >= F.lit(similarity) * (F.size("one") + F.size("two") - both) - 1e-9).select("a", "b"))
+    found = written(two.filter(both >= F.lit(similarity) * (F.size("one") + F.size("two") - both) - 1e-9).select("a", "b"))
+    for done in (one, sets, need, pairs):
+        drop_written(done)
+    return found
 
 
-def keep_one(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, distance: int = 32, tables: int = 18, crowd: int = 4000, bound: int = 300_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, crowd: int = 4000, sample: int = 16, bound: int = 300_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of texts that are linked by pairs of that similarity: the one with the smallest doc_id, null ids last; where the id stands
-    on several texts, the one with the least hash of id and text. Of rows with the same id and text, one. Texts whose 128 bits are equal count as copies."""
+    on several texts, the one with the least hash of id and text. Of rows with the same id and text, one. Texts with equal sets of shingles are copies.
+    Shingles that are common in one of `sample` texts come last in the order of the join."""
     given = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__key": F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))})
-    prints = written(given.select("__id", "__key", F.col(text).cast("string").alias("text")).mapInArrow(lambda it: _wide_prints(it, width), "__id long, __key long, fp long, hi long, lo long"))
+    texts = docs.select(F.col(text).cast("string").alias("text"))
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0).dropDuplicates(["text"]).mapInArrow(lambda it: _tokens(it, width), "token long")
+    common, rank = setjoin.frequent(some)
+    prints = written(given.select("__id", "__key", F.col(text).cast("string").alias("text")).mapInArrow(lambda it: _prefixes(it, width, similarity, common, rank), "__id long, __key long, fp long, size int, prefix array<long>"))
     order = F.struct(F.col("__id").isNull(), "__id", "__key")
     # rows with the same id and text share a fingerprint, so they stay or go together
-    link = lambda c: similar(wide_links(c, distance, tables, crowd), c, given, width=width, similarity=similarity, bound=bound, text=text)
+    link = lambda c: setjoin.links(c, lambda p: similar(p, c, given, width=width, similarity=similarity, bound=bound, text=text), similarity=similarity, crowd=crowd)
     rows = written(_grouped(prints, order, link).groupBy("__id", "__key").agg(F.bool_or(order.eqNullSafe(F.col("first"))).alias("stays"), F.count(F.lit(1)).alias("n")))
     # what goes is less than what stays: counted first, it is broadcast up to `bound` rows, and texts aren't dealt again
     gone = rows.filter(~F.col("stays")).select(F.col("__id").alias("gone_id"), F.col("__key").alias("gone_key"))
