@@ -12,14 +12,12 @@ bounded and only a partition's last window is short. Nothing is shuffled. Texts
 input only doc_id and text are read; other columns don't come through.
 
 Ids are those of the byte-level BPE vocabulary given as ranks, and of the added tokens that the tokenizer's JSON beside it lists:
-texts are split at those first, as `tokenizers` does. The encoder splits at
-single spaces between non-blanks, where the pre-tokenizer splits too, and keeps the ids of short pieces, so repeated words cost a
-look-up. `tests/llm` holds it to the `tokenizers` library's ids.
+texts are split at those first, as `tokenizers` does. What is between them goes through `bpe`'s codec, the tiktoken library over a text at
+a time. `tests/llm` holds it to the `tokenizers` library's ids.
 """
 
 from __future__ import annotations
 
-import base64
 import json
 import os
 import re
@@ -34,31 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Between these the pre-tokenizer always splits: one space, non-blanks at both sides.
-SPLIT = re.compile(r"(?<=\S) (?=\S)")
-PIECES_KEPT, PIECE_CHARS = 120_000, 40
-
-
-class _Odd(Exception):
-    """A piece with blanks beside the space."""
-
-
-class _Pieces(dict):
-    """piece -> the ids of " " + piece, as bytes; short pieces are kept, the table starts anew when full."""
-
-    def __init__(self, ordinary):
-        super().__init__()
-        self.ordinary = ordinary
-
-    def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise _Odd
-        got = np.array(self.ordinary(" " + piece), dtype="<u4").tobytes()
-        if len(piece) <= PIECE_CHARS:
-            if len(self) >= PIECES_KEPT:
-                self.clear()
-            self[piece] = got
-        return got
+from docengine.llm import bpe
 
 
 def added_tokens(ranks: str) -> dict[str, int]:
@@ -76,13 +50,8 @@ class Encoder:
     """text -> ids, as a numpy array, and the counts of ids before each cut after a sentence."""
 
     def __init__(self, ranks: str):
-        import public_tokenizers
-        import tiktoken
-
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.ordinary = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        self.pieces = _Pieces(self.ordinary)
+        table = bpe.read_ranks(ranks)
+        self.codec = bpe.codec(ranks)
         self.added = added_tokens(ranks)
         self.at_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         self.closes = np.zeros(max([*table.values(), *self.added.values()]) + 1, dtype=bool)
@@ -102,15 +71,7 @@ class Encoder:
 
     def _plain(self, text: str) -> bytes:
         """The ids of a text without added tokens."""
-        parts = text.split(" ")
-        try:
-            if parts[0][-1:].isspace():
-                raise _Odd
-            rest = b"".join(map(self.pieces.__getitem__, parts[1:]))
-        except _Odd:
-            parts = SPLIT.split(text)
-            rest = b"".join(np.array(self.ordinary(" " + p), dtype="<u4").tobytes() if p[-1:].isspace() else self.pieces[p] for p in parts[1:])
-        return np.array(self.ordinary(parts[0]), dtype="<u4").tobytes() + rest
+        return self.codec.encode(text).tobytes()
 
 
 @lru_cache(maxsize=2)
