@@ -133,27 +133,30 @@ def _entry(k: Column, v: Column) -> Column:
 
 def walked(v: Column, depth: int) -> Column:
     """A VARIANT redacted down to `depth` levels of containers; containers below them become null, so nothing of them shows."""
-    scalar = F.when(_is_string(v), _variant(labelled_text(_string(v)))).otherwise(v)
+    scalar = lambda x: F.when(_is_string(x), _variant(labelled_text(_string(x)))).otherwise(x)
     if not depth:
-        return F.when(_object(v).isNull() & _array(v).isNull(), scalar)
-    o, a = _object(v), _array(v)
-    entries = F.coalesce(F.transform(F.map_entries(o), lambda e: _entry(e["key"], e["value"])), F.transform(a, lambda x: _entry(F.lit(None).cast("string"), x)))
+        return F.when(_object(v).isNull() & _array(v).isNull(), scalar(v))
 
     def value(k: Column, x: Column) -> Column:
         labels = F.to_variant_object(F.transform_values(_object(x), lambda _, p: _path(p)))
         shown = F.when(k.isin(*SECRET_KEYS), _variant(F.lit(""))).when(k.isin(*PATH_KEYS), _variant(_path(x)))
         return shown.when((k == OUTPUTS) & _object(x).isNotNull(), labels).otherwise(walked(x, depth - 1))
 
-    done = F.transform(entries, lambda e: _entry(e["k"], value(e["k"], e["v"])))
-    flags = F.transform(F.filter(entries, lambda e: e["k"].isin(*PATH_KEYS)), lambda e: _entry(F.concat(e["k"], F.lit("_available")), _variant(_given(e["v"]))))
-    backup = F.transform(F.filter(entries, lambda e: e["k"] == "backup_path"), lambda e: _entry(F.lit("backup_available"), _variant(_given(e["v"]))))
-    outputs = F.transform(F.filter(entries, lambda e: (e["k"] == OUTPUTS) & _object(e["v"]).isNotNull()), lambda e: _entry(F.lit(f"{OUTPUTS}_available"), F.to_variant_object(F.transform_values(_object(e["v"]), lambda _, p: _given(p)))))
-    new = F.filter(F.concat(flags, backup, outputs), lambda e: ~F.map_contains_key(o, e["k"]))
-
-    def together(d: Column) -> Column:
-        return F.when(o.isNotNull(), F.to_variant_object(F.map_from_entries(F.concat(d, new)))).when(a.isNotNull(), F.to_variant_object(F.transform(d, lambda e: e["v"]))).otherwise(scalar)
-
-    return _let(done, together)
+    def together(o: Column, entries: Column) -> Column:
+        done = F.transform(entries, lambda e: _entry(e["k"], value(e["k"], e["v"])))
+        flags = F.transform(F.filter(entries, lambda e: e["k"].isin(*PATH_KEYS)), lambda e: _entry(F.concat(e["k"], F.lit("_available")), _variant(_given(e["v"]))))
+        backup = F.transform(F.filter(entries, lambda e: e["k"] == "backup_path"), lambda e: _entry(F.lit("backup_available"), _variant(_given(e["v"]))))
+        outputs = F.transform(F.filter(entries, lambda e: (e["k"] == OUTPUTS) & _object(e["v"]).isNotNull()), lambda e: _entry(F.lit(f"{OUTPUTS}_available"), F.to_variant_object(F.transform_values(_object(e["v"]), lambda _, p: _given(p)))))
+        new = F.filter(F.concat(flags, backup, outputs), lambda e: ~F.map_contains_key(o, e["k"]))
+        return _let(done, lambda d: F.when(o.isNotNull(), F.to_variant_object(F.map_from_entries(F.concat(d, new)))).otherwise(F.to_variant_object(F.transform(d, lambda e: e["v"]))))
+
+    # a container is taken apart once; below, `walked` stands once only, so that expressions stay linear in depth
+    def parted(c: Column) -> Column:
+        entries = F.coalesce(F.transform(F.map_entries(c["o"]), lambda e: _entry(e["key"], e["value"])), F.transform(c["a"], lambda x: _entry(F.lit(None).cast("string"), x)))
+        whole = _let(F.struct(c["o"].alias("o"), entries.alias("entries")), lambda s: together(s["o"], s["entries"]))
+        return F.when(c["o"].isNotNull() | c["a"].isNotNull(), whole).otherwise(scalar(c["v"]))
+
+    return _let(F.struct(v.alias("v"), _object(v).alias("o"), _array(v).alias("a")), parted)
 
 
 def redacted_json(payload: Column | str, depth: int = 6) -> Column:

@@ -286,7 +286,9 @@ def redact_json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k.cast("long") % 2 == 0, "[]").otherwise('["/a/b"]'), ',"backup_path":', F.when(k.cast("long") % 4 > 0, F.concat(F.lit('"/var/x/b'), k, F.lit('/"'))).otherwise("null"), F.concat(F.lit(","), F.substring(F.col("props"), F.lit(2), F.length("props"))),
     ]
     said = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    return R.redact_json(Tables(spark, sf_dir).events.select("event_id", said.alias("payload")), "payload")
+    # the events' file is a split or two, and the work is in the texts
+    dealt = Tables(spark, sf_dir).events.select("event_id", said.alias("payload")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return R.redact_json(dealt, "payload")
 
 
 @query("""SELECT page_id, sha256('data:text/html;base64,' || base64(encode(html))) AS uri_sha256, sha256(html) AS back_sha256 FROM pages""")

@@ -76,3 +76,15 @@ def test_typed_rows(spark):
     assert r.outputs == {"pdf": f"{R.LABEL}/a.pdf", "txt": ""} and r.outputs_available == {"pdf": True, "txt": False} and r.backup_path == "" and not r.backup_path_available and not r.backup_available
     kept = R.redact_rows(df.withColumn("file_path_available", F.lit("own"))).first()
     assert kept.file_path_available == "own"
+
+
+def test_texts_are_dealt_out(spark, sf):
+    from docengine.plans import library
+
+    assert library.redact_json_texts(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_expressions_are_linear_in_depth_and_take_an_object_once(spark):
+    plan = lambda d: spark.range(1).select(F.to_json(R.walked(F.parse_json(F.lit("{}")), d)).alias("x"))._jdf.queryExecution().analyzed().toString()
+    size = [len(plan(d)) for d in (1, 2, 3)]
+    assert size[2] - size[1] < 1.6 * (size[1] - size[0])
