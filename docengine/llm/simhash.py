@@ -422,13 +422,16 @@ def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _grouped(prints: DataFrame, least: Column, link) -> DataFrame:
     """prints (fp, ...) with `first`: the least over all rows reachable by links."""
-    of_print = [c for c in ("size", "prefix") if c in prints.columns]
+    of_print = [c for c in ("size", "sketch", "prefix") if c in prints.columns]
     classes = written(prints.groupBy("fp").agg(F.min(least).alias("least"), *[F.first(c).alias(c) for c in of_print]))
+    if of_print:  # once classes have them, they needn't lie on the disk twice
+        whole, prints = prints, written(prints.drop(*of_print))
+        drop_written(whole)
     comps = components(link(classes))
     rooted = written(classes.join(comps, classes["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root")))
     roots = rooted.groupBy("root").agg(F.min("least").alias("first"))
     named = fetch(rooted, roots, "root").select("fp", "first")
-    return fetch(prints.drop(*of_print), named, "fp")
+    return fetch(prints, named, "fp")
 
 
 def near_groups(docs: DataFrame, *, width: int = 3, bits: int = 2, crowd: int = 1500, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -464,24 +467,29 @@ def _tokens(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], width: int, similarity: float, common: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The columns but the text, with fp (of the set of shingles), its size and its prefix."""
+    """The columns but the text, with fp (of the set of shingles), its size, its sketch and its prefix."""
     for b in batches:
         for i in range(0, b.num_rows, 256):
             *others, texts = b.slice(i, 256).columns
             found = [shingle_set(t.as_py(), width) for t in texts]
             fps = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in found], dtype=np.uint64).view(np.int64)
-            told = [pa.array(fps), pa.array(np.array([len(x) for x in found], dtype=np.int32)), _lists([setjoin.prefix(x, common, rank, similarity) for x in found])]
-            yield pa.RecordBatch.from_arrays([*others, *told], names=[*b.schema.names[:-1], "fp", "size", "prefix"])
+            told = [pa.array(fps), pa.array(np.array([len(x) for x in found], dtype=np.int32)), _lists([setjoin.sketch(x) for x in found]), _lists([setjoin.prefix(x, common, rank, similarity) for x in found])]
+            yield pa.RecordBatch.from_arrays([*others, *told], names=[*b.schema.names[:-1], "fp", "size", "sketch", "prefix"])
     pa.default_memory_pool().release_unused()
 
 
 def similar(pairs: DataFrame, classes: DataFrame, given: DataFrame, *, width: int, similarity: float, bound: int, text: str = "text") -> DataFrame:
     """The pairs (a, b) of fingerprints whose texts' sets of shingles have that similarity: the exact check.
 
-    classes: fp and least, (is null, __id, __key) of a row with it; given: rows with __id, __key and the text. Only texts that are in a
-    pair are read again; their rows are told by a broadcast of up to `bound` keys, beyond it by a join.
+    classes: fp, its size and sketch, and least, (is null, __id, __key) of a row with it; given: rows with __id, __key and the text. Only texts
+    that are in a pair whose sketches allow the similarity are read again; their rows are told by a broadcast of up to `bound` keys, beyond it by a join.
     """
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    met = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    of = lambda end: classes.select(F.col("fp").alias(end), F.struct("size", "sketch").alias(f"of_{end}"))
+    half = written(fetch(met, of("a"), "a"))
+    pairs = written(fetch(half, of("b"), "b").filter(~setjoin.unlike(F.col("of_a"), F.col("of_b"), similarity)).select("a", "b"))
+    drop_written(half)
+    drop_written(met)
     nodes = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
     need = written(classes.join(nodes, F.col("fp") == F.col("a")).select(F.col("fp").alias("__fp"), F.col("least.__id").alias("__i"), F.col("least.__key").alias("__k")))
     told = F.broadcast(need) if few(need, bound) else need
@@ -507,7 +515,7 @@ def keep_one(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, crowd:
     texts = docs.select(F.col(text).cast("string").alias("text"))
     some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0).dropDuplicates(["text"]).mapInArrow(lambda it: _tokens(it, width), "token long")
     common, rank = setjoin.frequent(some)
-    prints = written(given.select("__id", "__key", F.col(text).cast("string").alias("text")).mapInArrow(lambda it: _prefixes(it, width, similarity, common, rank), "__id long, __key long, fp long, size int, prefix array<long>"))
+    prints = written(given.select("__id", "__key", F.col(text).cast("string").alias("text")).mapInArrow(lambda it: _prefixes(it, width, similarity, common, rank), "__id long, __key long, fp long, size int, sketch array<long>, prefix array<long>"))
     order = F.struct(F.col("__id").isNull(), "__id", "__key")
     # rows with the same id and text share a fingerprint, so they stay or go together
     link = lambda c: setjoin.links(c, lambda p: similar(p, c, given, width=width, similarity=similarity, bound=bound, text=text), similarity=similarity, crowd=crowd)
