@@ -555,7 +555,7 @@ def media_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.concat(F.when(F.col("n") <= 3, "s").when(F.col("n") <= 5, "w").otherwise("h"), n)
     edge = lambda df, src, kind, target: df.select("doc_id", src.alias("src_part"), kind.alias("type"), target.alias("target"), F.lit(False).alias("external"), F.lit(None).cast("string").alias("error"))
     sheet = F.col("n").between(4, 5)
-    edges = edge(i, F.lit("root"), kind, part).unionByName(edge(i.filter(~sheet), part, F.lit("image"), F.col("media"))).unionByName(edge(i.filter(sheet), part, F.lit("drawing"), F.concat(F.lit("d"), n))).unionByName(edge(i.filter(sheet), F.concat(F.lit("d"), n), F.lit("image"), F.col("media"))).distinct()
+    edges = edge(i, F.lit("root"), kind, part).unionByName(edge(i.filter(~sheet), part, F.lit("image"), F.col("media"))).unionByName(edge(i.filter(sheet), part, F.lit("drawing"), F.concat(F.lit("d"), n))).unionByName(edge(i.filter(sheet), F.concat(F.lit("d"), n), F.lit("image"), F.col("media")))
     return W.image_locations(edges, W.part_labels(edges))
 
 

@@ -170,13 +170,13 @@ def tex_formulas(sources: DataFrame) -> DataFrame:
 
 
 def image_locations(edges: DataFrame, order: DataFrame) -> DataFrame:
-    """(doc_id, media, locations). edges: package relations; order: (doc_id, part, label) of what is shown."""
+    """(doc_id, media, locations). edges: package relations, repeats too; order: (doc_id, part, label) of what is shown."""
     inner = edges.filter(F.col("error").isNull() & ~F.col("external"))
     direct = inner.filter("type = 'image'").select("doc_id", F.col("src_part").alias("part"), F.col("target").alias("media"))
-    drawn = inner.filter("type = 'drawing'").select("doc_id", F.col("src_part").alias("sheet"), F.col("target").alias("part"))
+    drawn = inner.filter("type = 'drawing'").select("doc_id", F.col("src_part").alias("sheet"), F.col("target").alias("part")).distinct()
     over = direct.join(drawn, ["doc_id", "part"]).select("doc_id", F.col("sheet").alias("part"), "media")
-    placed = direct.unionByName(over).join(order, ["doc_id", "part"]).select("doc_id", "media", F.concat_ws(" · ", "label", "part").alias("location")).distinct()
-    return placed.groupBy("doc_id", "media").agg(F.array_sort(F.collect_list("location")).alias("locations"))
+    placed = direct.unionByName(over).join(order, ["doc_id", "part"]).select("doc_id", "media", F.concat_ws(" · ", "label", "part").alias("location"))
+    return placed.groupBy("doc_id", "media").agg(F.array_sort(F.collect_set("location")).alias("locations"))
 
 
 def part_labels(edges: DataFrame) -> DataFrame:

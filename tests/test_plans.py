@@ -38,3 +38,9 @@ def test_documents_are_whole(spark, sf):
         got = entry.queries()[name](spark, sf)
         assert {r.doc_id.rsplit(".", 1)[0] for r in got.select("doc_id").distinct().collect()} == every, name
         assert not got.filter("error is not null").count(), name
+
+
+def test_media_locations_hold_no_set_of_all_relations(spark):
+    """Repeats are told apart by the columns that matter, not by whole relations once more in every branch."""
+    sets = [line for line in plan(spark, "media_locations").splitlines() if "HashAggregate(" in line]
+    assert sets and not [line for line in sets if "external" in line]
