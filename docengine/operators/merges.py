@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docengine.functions import text as X
 from docengine.operators import relational as R
+from docengine.operators.lineage import written
 
 BAND = 4096
 
@@ -110,7 +111,7 @@ def row_heights(tables: DataFrame, cells: DataFrame, merges: DataFrame, key: lis
     tables: key, heights (one a row, 0: automatic), widths (one a column). cells: key, row, col, text. merges: key, pos, top, left, height,
     span; a cell is of the first that holds it, and only its first cell's text counts, over its whole width. What one row needs is a maximum. What several rows need together is shared
     out over their automatic rows, smaller merges first, the remainder to the upper rows: a fold over an array of heights, for
-    each group of rows that merges tie together.
+    each group of rows that merges tie together. Needs, heights of single rows and ties are each read twice or more, so they are written once.
     """
     m = merges.withColumn("id", F.struct("pos", "top", "left", "height", "span")).withColumns({"bottom": F.col("top") + F.col("height") - 1, "right": F.col("left") + F.col("span") - 1})
     c = R.within_regions(cells.select(*key, "row", "col", "text"), m, key)
@@ -118,13 +119,13 @@ def row_heights(tables: DataFrame, cells: DataFrame, merges: DataFrame, key: lis
     c = c.filter(g.isNull() | ((F.col("row") == g["top"]) & (F.col("col") == g["left"]))).join(tables.select(*key, "widths"), key)
     wide = F.aggregate(F.slice("widths", F.col("col") + 1, F.coalesce(g["span"], F.lit(1))), F.lit(0).cast("long"), lambda s, w: s + w)
     need = F.lit(line).cast("long") * lines_needed(F.coalesce("text", F.lit("")), F.greatest(F.floor(wide / unit), F.lit(1).cast("long")))
-    c = c.select(*key, "row", "col", F.coalesce(g["height"], F.lit(1)).cast("long").alias("rows"), need.alias("need"))
+    c = written(c.select(*key, "row", "col", F.coalesce(g["height"], F.lit(1)).cast("long").alias("rows"), need.alias("need")))
     single = c.filter("rows = 1").groupBy(*key, "row").agg(F.max("need").alias("need"))
     given = tables.select(*key, F.posexplode("heights").alias("row", "given"))
     auto = F.coalesce(F.col("given") <= 0, F.lit(True))
-    base = given.join(single, [*key, "row"], "left").select(*key, "row", auto.alias("auto"), F.when(auto, F.greatest(F.lit(line), F.coalesce("need", F.lit(0)))).otherwise(F.col("given")).cast("long").alias("height"))
+    base = written(given.join(single, [*key, "row"], "left").select(*key, "row", auto.alias("auto"), F.when(auto, F.greatest(F.lit(line), F.coalesce("need", F.lit(0)))).otherwise(F.col("given")).cast("long").alias("height")))
     tied = runs(merges.filter("height > 1").select(*key, F.col("top").alias("first"), (F.col("top") + F.col("height")).alias("last")), key)
-    member = tied.select(*key, F.col("a").alias("tie"), F.explode(F.sequence(F.col("a") - 1, F.col("b"))).alias("row"))
+    member = written(tied.select(*key, F.col("a").alias("tie"), F.explode(F.sequence(F.col("a") - 1, F.col("b"))).alias("row")))
     of_tie = base.join(member, [*key, "row"]).groupBy(*key, "tie").agg(F.array_sort(F.collect_list(F.struct("row", "height", "auto"))).alias("members"))
     asked = c.filter("rows > 1").join(member, [*key, "row"]).groupBy(*key, "tie").agg(F.array_sort(F.collect_list(F.struct("rows", "row", "col", "need"))).alias("asks"))
 

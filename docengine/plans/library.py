@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docengine.functions import arrays, binary, maths, temporal, text
 from docengine.functions import redaction as R
 from docengine.operators import layout, merges
-from docengine.operators.lineage import shared_dir
+from docengine.operators.lineage import shared_dir, written
 from docengine.operators.relational import spread
 from docengine.operators.upkeep import Report
 from docengine.plans import conversions as C
@@ -472,7 +472,7 @@ def table_row_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's lines as a table of two columns: heights from texts, a merge over the second column of every two rows, fixed rows stay."""
     lines_ = Tables(spark, sf_dir).lineitem
     place = C.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    items = lines_.select("l_orderkey", (F.row_number().over(place) - 1).alias("row"), F.when(F.col("l_quantity") > 45, 300).otherwise(0).cast("long").alias("fixed"), (F.col("l_partkey") % 30 + F.col("l_suppkey") % 7).cast("int").alias("short"), (F.col("l_partkey") % 90).cast("int").alias("long"))
+    items = written(lines_.select("l_orderkey", (F.row_number().over(place) - 1).alias("row"), F.when(F.col("l_quantity") > 45, 300).otherwise(0).cast("long").alias("fixed"), (F.col("l_partkey") % 30 + F.col("l_suppkey") % 7).cast("int").alias("short"), (F.col("l_partkey") % 90).cast("int").alias("long")))  # read five times below
     narrow, broad = F.lit(10 * 114_300).cast("long"), F.lit(20 * 114_300).cast("long")
     tables = items.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "fixed"))), lambda x: x["fixed"]).alias("heights")).withColumn("widths", F.array(narrow, broad))
     # a column of ten half-widths: a text of 10 n characters and a newline's worth more takes n + 1 lines
