@@ -48,3 +48,15 @@ def test_a_tables_width_is_found_once():
         return time.perf_counter() - start
 
     assert seconds(4000) < 14 * min(seconds(500) for _ in range(3))
+
+
+def test_files_are_dealt_out_after_a_window_by_their_key(spark):
+    """Rows that already lie by the key aren't left in the few tasks that their bytes ask for."""
+    from pyspark.sql import Window
+
+    rows = spark.range(400).select((F.col("id") % 80).alias("k"), F.col("id").alias("pos"))
+    ranked = rows.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("pos")))
+    made = writers.per_group(ranked, "k", ["pos"], lambda rs: ",".join(str(r["pos"]) for r in rs).encode(), str)
+    got = made.withColumn("task", F.spark_partition_id()).groupBy("name").agg(F.count("*").alias("n"), F.first("task").alias("task"), F.first("content").alias("content")).collect()
+    assert len(got) == 80 and all(r["n"] == 1 and bytes(r["content"]) == b"1,2,3,4,5" for r in got)
+    assert len({r["task"] for r in got}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
