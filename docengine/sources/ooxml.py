@@ -7,6 +7,7 @@ import io
 import posixpath
 import re
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -80,6 +81,7 @@ class Package:
     def __init__(self, content: bytes):
         self.zip = zipfile.ZipFile(io.BytesIO(content))
         self.names = self.zip.namelist()
+        self.held = set(self.names)
 
     def xml(self, part: str) -> ET.Element:
         return parse(self.zip.read(part))
@@ -88,7 +90,7 @@ class Package:
         """(id, type's last word, target part or URI, external)."""
         folder, name = posixpath.split(part)
         path = posixpath.join(folder, "_rels", f"{name}.rels")
-        if path not in self.names:
+        if path not in self.held:
             return []
         out = []
         for r in ET.fromstring(self.zip.read(path)):
@@ -267,13 +269,14 @@ def _paragraphs(root: ET.Element, skip_tables: bool) -> list[str]:
     out = []
 
     def walk(n: ET.Element) -> None:
-        if skip_tables and local(n) == "tbl":
+        name = _bare(n.tag)
+        if skip_tables and name == "tbl":
             return
-        if local(n) == "sp":
+        if name == "sp":
             ph = first(n, "ph")
             if ph is not None and ph.get("type") in PLACEHOLDERS:
                 return
-        if local(n) == "p":
+        if name == "p":
             text = visible(n)
             if text:
                 out.append(text)
@@ -287,15 +290,15 @@ def _paragraphs(root: ET.Element, skip_tables: bool) -> list[str]:
 
 def pptx_slides(name: str, content: bytes) -> Iterator[tuple]:
     package = Package(content)
-    count = lambda root, *tags: sum(local(n) in tags for n in root.iter())
     for i, (_, part) in enumerate(package.ordered("ppt/presentation.xml", "sldId", "slide"), 1):
         root = package.xml(part)
+        count = Counter(_bare(n.tag) for n in root.iter())  # one walk for all of them
         texts = _paragraphs(root, True)
         related = package.relations(part)
         notes = [t for _, k, target, x in related if k == "notesSlide" and not x for t in _paragraphs(package.xml(target), True)]
-        tables = [[[" ".join(_paragraphs(tc, False)) for tc in tr if local(tc) == "tc"] for tr in tbl if local(tr) == "tr"] for tbl in root.iter() if local(tbl) == "tbl"]
+        tables = [[[" ".join(_paragraphs(tc, False)) for tc in tr if local(tc) == "tc"] for tr in tbl if local(tr) == "tr"] for tbl in root.iter() if local(tbl) == "tbl"] if count["tbl"] else []
         media, charts = {t for _, k, t, _ in related if "/media/" in f"/{t.lower()}"}, {t for _, _, t, _ in related if "/charts/" in f"/{t.lower()}"}
-        yield name, i, texts[0] if texts else f"幻灯片 {i}", texts[1:], notes, count(root, "txBody"), count(root, "sp"), len(tables), len(media), len(charts), count(root, "oMath"), tables, None
+        yield name, i, texts[0] if texts else f"幻灯片 {i}", texts[1:], notes, count["txBody"], count["sp"], len(tables), len(media), len(charts), count["oMath"], tables, None
 
 
 SLIDE_TABLE = "doc_id string, idx int, pos int, tbl array<array<string>>, merges array<array<int>>, widths array<bigint>, heights array<bigint>, alignments array<array<string>>, error string"

@@ -60,3 +60,14 @@ def test_files_are_dealt_out_after_a_window_by_their_key(spark):
     got = made.withColumn("task", F.spark_partition_id()).groupBy("name").agg(F.count("*").alias("n"), F.first("task").alias("task"), F.first("content").alias("content")).collect()
     assert len(got) == 80 and all(r["n"] == 1 and bytes(r["content"]) == b"1,2,3,4,5" for r in got)
     assert len({r["task"] for r in got}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_slides_tags_are_counted_in_one_walk(monkeypatch):
+    from docengine.sources import ooxml
+
+    made = writers.pptx([{"title": "t", "body": [f"line {i}" for i in range(50)], "notes": ["n"], "tables": [], "charts": []}] * 5)
+    asked, plain = [], ooxml.local
+    monkeypatch.setattr(ooxml, "local", lambda node: asked.append(1) or plain(node))
+    got = list(ooxml.pptx_slides("d", made))
+    assert [(x[2], len(x[3]), x[4], x[5], x[6], x[7], x[10]) for x in got] == [("t", 50, ["n"], 2, 2, 0, 0)] * 5
+    assert len(asked) < 5 * 50  # before, five times for each of a slide's 200 nodes
