@@ -44,3 +44,8 @@ def test_media_locations_hold_no_set_of_all_relations(spark):
     """Repeats are told apart by the columns that matter, not by whole relations once more in every branch."""
     sets = [line for line in plan(spark, "media_locations").splitlines() if "HashAggregate(" in line]
     assert sets and not [line for line in sets if "external" in line]
+
+
+def test_listings_of_decks_are_written(spark):
+    """The decks are made for their listing and once for their relations, not again for every check of the listing."""
+    assert plan(spark, "valid_packages").count("MapInArrow") == 2  # made, then read for the relations
