@@ -1,10 +1,10 @@
-"""Marker terms from a table, found as parts of page texts (E9): any number of terms, through an index of words.
+"""Marker terms from a table, found as parts of page texts (E9): any number of terms, through an index of the terms alone.
 
-A term that stands in a text parts into pieces at its blanks. Pieces inside it are whole words of the text, so a term of three words or more is looked
-up by the inner one that fewest pages hold; of a term of two words the first ends a word of the text, the second begins the next; a single
-word is part of one. So every term has words of the corpus' vocabulary that betray it, found by equality of whole words, ends, beginnings
-or grams, over the vocabulary alone. Pages that hold such a word are candidates, and the text itself decides, where it is read: the index travels to the
-pages, neither texts nor candidates are shuffled. No page meets a term that it has no such word of.
+Texts and terms are cut behind every blank, so a token is what stands up to a blank, with it. A term of one token is part of a token; of a term of two the
+first ends a token and the second begins the next; of more tokens, the inner ones are whole tokens of the text. So pages look up the ends of their tokens,
+what follows them, grams for single words, and whole tokens for the rest, all by equality; only terms of three tokens or more, looked up by the inner one that
+stands in fewest places, are then looked for in the text itself. The index grows with the terms, not with the texts or their vocabulary: it travels to the
+pages, neither texts nor candidates are shuffled, and no page meets a term that it has no such token of.
 """
 
 from __future__ import annotations
@@ -17,17 +17,16 @@ from pyspark.sql import functions as F
 from docengine.functions.nulls import col
 from docengine.operators.lineage import written
 
-GRAM = 6
+GRAM = 4
 #: White space as Unicode has it, as a class that is quick to match.
-BLANKS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-#: A term whose words stand on more than one page in so many is looked for on every page, without the index.
-FREE = 8
-#: Entries of the index (word, term, marker) that every task holds at once; a larger index takes more passes over the pages.
+SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+BEHIND = f"(?<=[{SPACE}])"
+#: Entries of the index (term, marker) that every task holds at once; a larger index takes more passes over the pages.
 MOST = 500_000
 
 
-def _words(x: Column) -> Column:
-    return F.array_remove(F.split(x, BLANKS), "")
+def _tokens(x: Column) -> Column:
+    return F.split(x, BEHIND)
 
 
 def page_text(*parts: Column | str) -> Column:
@@ -40,45 +39,40 @@ def found(pages: DataFrame, terms: DataFrame, key: list[str], text: str = "text"
 
     pages: key, text. terms: marker, term. A row per pair, however often terms or pages repeat. Null texts hold nothing; terms without a letter or sign stand nowhere.
     """
-    t = terms.select("marker", F.lower("term").alias("term")).distinct()
-    told = t.select("term").distinct().withColumn("w", _words(F.col("term"))).filter(F.size("w") > 0)
-    p = pages.select(*key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__low"))
-    held = p.select(F.explode(F.array_distinct(_words(F.col("__low")))).alias("word"))
-    vocabulary = written(held.groupBy("word").agg(F.count(F.lit(1)).alias("pages")))
-    # three words or more: the rarest inner word
-    inner = told.filter(F.size("w") > 2).select("term", F.explode(F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2))).alias("word")).join(vocabulary, "word", "left")
-    rank = F.row_number().over(Window.partitionBy("term").orderBy(F.coalesce("pages", F.lit(0)), "word"))
-    whole = inner.withColumn("n", rank).filter("n = 1 and pages > 0").select("term", "word")
-    # two words: the first at the end of a word or the second at the beginning of one, whichever fewer pages hold; a term that lacks either stands nowhere
-    edge = lambda i: F.struct(F.lit(i == 0).alias("ends"), F.get("w", F.lit(i)).alias("piece"))
-    pair = told.filter(F.size("w") == 2).select("term", F.explode(F.array(edge(0), edge(1))).alias("e")).select("term", "e.*")
-    placed = vocabulary.select("word", "pages", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
-    tails = placed.select("word", "pages", F.substring(F.col("word"), F.col("at"), F.length("word")).alias("piece"), F.lit(True).alias("ends"))
-    heads = placed.select("word", "pages", F.left(F.col("word"), F.col("at")).alias("piece"), F.lit(False).alias("ends"))
-    at_edge = pair.join(tails.unionByName(heads), ["piece", "ends"]).select("term", "ends", "word", "pages")
-    sides = at_edge.groupBy("term", "ends").agg(F.sum("pages").alias("n")).groupBy("term").agg(F.count(F.lit(1)).alias("sides"), F.min_by("ends", F.struct("n", "ends")).alias("ends")).filter("sides = 2")
-    at_edge = at_edge.join(sides.select("term", "ends"), ["term", "ends"], "left_semi").select("term", "word")
-    # one word: by its first characters, anywhere in a word
-    lone = told.filter(F.size("w") == 1).select("term", F.left(F.get("w", F.lit(0)), F.lit(GRAM)).alias("piece"), F.get("w", F.lit(0)).alias("said"))
-    sizes = [n for (n,) in lone.select(F.length("piece")).distinct().collect()]  # GRAM at most
-    grams = placed.select("word", F.explode(F.array(*[F.substring(F.col("word"), F.col("at"), F.lit(n)) for n in sizes]).cast("array<string>")).alias("piece"))
-    inside = lone.join(grams, "piece").filter(F.contains("word", "said")).select("term", "word")
-    betrayed = reduce(DataFrame.unionByName, [whole, at_edge, inside]).distinct()
-    told_by = written(betrayed.join(vocabulary, "word"))
-    counted = p.count()
-    sums = told_by.groupBy("term").agg(F.sum("pages").alias("n")).join(t, "term").groupBy("term", "n").agg(F.collect_set("marker").alias("markers"))
-    sums = written(sums.withColumn("free", F.col("n") * FREE > counted))
-    free = sums.filter("free").select("term", "markers")
-    index = written(told_by.join(sums.filter("not free"), "term").select("word", "term", "markers"))
-    passes = max(1, -(-(index.agg(F.sum(F.size("markers") + 1)).first()[0] or 0) // most))
-    part = F.pmod(F.xxhash64("word", "term"), F.lit(passes))
-
-    def met(i: int) -> DataFrame:
-        words = p.withColumn("word", F.explode(F.array_distinct(_words(F.col("__low")))))
-        return words.join(F.broadcast(index.filter(part == i)), "word").filter(F.contains("__low", "term"))
-
-    hits = [p.join(F.broadcast(free), F.contains("__low", "term")), *map(met, range(passes))]
-    return reduce(DataFrame.unionByName, [h.select(*key, F.explode("markers").alias("marker")) for h in hits]).distinct()
+    t = terms.select("marker", F.lower("term").alias("term")).distinct().filter(F.col("term").rlike(f"[^{SPACE}]"))
+    told = t.groupBy("term").agg(F.collect_set("marker").alias("markers")).withColumn("t", _tokens(F.col("term")))
+    p = pages.select(*key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__low")).withColumn("__t", _tokens(F.col("__low")))
+    # three tokens or more: the inner one that stands in fewest places; one that stands nowhere betrays that the term doesn't
+    inner = written(told.filter(F.size("t") > 2).select("term", F.explode(F.array_distinct(F.slice("t", F.lit(2), F.size("t") - 2))).alias("token")))
+    places = p.select(F.explode_outer("__t").alias("token")).join(inner.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = inner.join(places, "token", "left").groupBy("term").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("rarest"), F.min(F.coalesce("n", F.lit(0))).alias("n")).filter("n > 0").drop("n")
+    # one token is looked up by its first characters, two by the first of them, then by the whole
+    key_of = F.when(F.size("t") == 1, F.left("term", F.lit(GRAM))).when(F.size("t") == 2, F.get("t", F.lit(0))).otherwise(F.col("rarest"))
+    index = written(told.join(rarest, "term", "left").select("term", "markers", F.least(F.size("t"), F.lit(3)).alias("kind"), key_of.alias("piece")).filter("piece is not null"))
+    sizes = index.agg(F.sum(F.size("markers") + 1), F.collect_set(F.when(F.col("kind") == 1, F.length("piece"))), F.collect_set(F.when(F.col("kind") == 2, F.length("piece")))).first()
+    passes, grams = max(1, -(-(sizes[0] or 0) // most)), sorted(sizes[1])  # grams: GRAM at most
+    shortest, longest = min(sizes[2], default=1), max(sizes[2], default=0)
+    whole = p.select(*key, F.explode(F.array_distinct("__t")).alias("__a")).withColumn("__n", F.length("__a"))
+    said = p.select(*key, "__t", F.posexplode_outer("__t").alias("__i", "__a")).select(*key, "__a", F.length("__a").alias("__n"), F.get("__t", F.col("__i") + 1).alias("__b"))
+    hashed = lambda x: F.xxhash64(x).alias("__h")  # noqa: E731  lookups by a number are the quick ones; texts decide
+
+    def met(i: int) -> list[DataFrame]:
+        own = lambda kind: index.filter((F.pmod(F.xxhash64("term"), F.lit(passes)) == i) & (F.col("kind") == kind))
+        at = whole.select(*key, "__a", "__n", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__at"))
+        at = at.select(*key, "__a", "__n", "__at", F.explode(F.array(*map(F.lit, grams)).cast("array<int>")).alias("__size")).filter("__at + __size <= __n + 1")
+        at = at.select(*key, "__a", hashed(F.substring(F.col("__a"), F.col("__at"), F.col("__size"))))
+        one = at.join(F.broadcast(own(1).select(hashed("piece"), "term", "markers")), "__h").filter(F.contains("__a", "term"))
+        ends = said.filter(F.col("__b").isNotNull() & (F.col("__n") >= shortest)).select(*key, "__a", "__b", F.explode(F.sequence(F.lit(shortest), F.least("__n", F.lit(max(shortest, longest))))).alias("__size"))
+        firsts = own(2).groupBy("piece").agg(F.collect_set(F.length("term") - F.length("piece")).alias("lengths"))
+        ends = ends.select(*key, "__a", "__b", hashed(F.right("__a", "__size"))).join(F.broadcast(firsts.withColumn("__h", hashed("piece"))), "__h").filter(F.endswith("__a", "piece"))
+        ends = ends.select(*key, "piece", "__b", F.explode("lengths").alias("__size")).filter(F.col("__size") <= F.length("__b"))
+        two = ends.select(*key, F.concat("piece", F.left("__b", F.col("__size"))).alias("__said")).withColumn("__h", hashed("__said"))
+        two = two.join(F.broadcast(own(2).select(hashed("term"), "term", "markers")), "__h").filter("__said = term")
+        more = p.select(*key, "__low", F.explode(F.array_distinct("__t")).alias("piece")).join(F.broadcast(own(3).select("piece", "term", "markers")), "piece").filter(F.contains("__low", "term"))
+        return [one, two, more]
+
+    hits = [h.select(*key, F.explode("markers").alias("marker")) for i in range(passes) for h in met(i)]
+    return reduce(DataFrame.unionByName, hits).distinct()
 
 
 def attached(pages: DataFrame, terms: DataFrame, flagged: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:

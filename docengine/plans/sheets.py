@@ -158,7 +158,8 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT DISTINCT doc_id, pos AS page, marker FROM p JOIN t ON term <> '' AND contains(line, term)""")
 def marker_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some thousand terms from a table, looked for in every line of every document."""
-    pages = lines(spark, sf_dir).withColumnRenamed("pos", "page")
+    dealt = Tables(spark, sf_dir).documents.select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # few row groups are many tasks' work
+    pages = dealt.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", F.col("pos").cast("long").alias("page"), "line")
     return markers.found(pages, _terms(spark, sf_dir), ["doc_id", "page"], "line")
 
 

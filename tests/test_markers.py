@@ -38,3 +38,14 @@ def test_found_shuffles_no_texts_and_takes_passes(spark):
     assert "Aggregate [doc_id" in plan and plan.count("rightHint=(strategy=broadcast)") == plan.count("Join Inner")
     many = markers.found(pages, terms, ["doc_id", "page"], most=3)
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_the_index_grows_with_the_terms_alone(spark):
+    """However many different words hold them, terms are one pass; blanks of any kind and number are told apart."""
+    pages = spark.createDataFrame([(i, 0, f"x{i}mac y{i}pub  the{i}\n end{i} of　a{i} line") for i in range(300)], PAGES)
+    terms = spark.createDataFrame([("w", "mac"), ("p", "pub  the"), ("q", "pub the"), ("n", "\n end"), ("i", "of　a1"), ("t", "7\n end7 of"), ("b", "line "), ("c", " line")], TERMS)
+    got = markers.found(pages, terms, ["doc_id", "page"], most=40)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 4 and "BuildLeft" not in plan  # a pass: one join for single words, two for pairs, one for longer terms
+    counts = {r["marker"]: r["count"] for r in got.groupBy("marker").count().collect()}
+    assert counts == {"w": 300, "p": 300, "n": 300, "i": 111, "t": 1, "c": 300}
