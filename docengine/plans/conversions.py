@@ -81,16 +81,17 @@ def excel_to_pdf(cells: DataFrame) -> DataFrame:
 
 def sheet_tables(cells: DataFrame, group: int = 60) -> DataFrame:
     """(doc_id, sheet_index, part, tbl): existing rows and columns only, `group` columns a table, row numbers first."""
-    cols = cells.select("doc_id", "sheet_index", "col").distinct()
-    place = cols.withColumn("at", F.row_number().over(Window.partitionBy("doc_id", "sheet_index").orderBy("col")) - 1)
-    placed = cells.join(place, ["doc_id", "sheet_index", "col"]).withColumn("part", F.floor(F.col("at") / group).cast("int"))
-    heads = place.withColumn("part", F.floor(F.col("at") / group).cast("int")).groupBy("doc_id", "sheet_index", "part").agg(F.array_sort(F.collect_list("col")).alias("cols"))
-    rows = placed.groupBy("doc_id", "sheet_index", "part", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("m"))
     from docengine.functions.text import column_letters
 
-    wide = rows.join(heads, ["doc_id", "sheet_index", "part"]).withColumn("cells", F.concat(F.array(F.col("row").cast("string")), F.transform("cols", lambda c: F.coalesce(F.try_element_at("m", c), F.lit("")))))
-    body = wide.groupBy("doc_id", "sheet_index", "part").agg(F.first("cols").alias("cols"), F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda x: x["cells"]).alias("body"))
-    return body.select("doc_id", "sheet_index", "part", F.concat(F.array(F.concat(F.array(F.lit("行号")), F.transform("cols", lambda c: column_letters(c)))), "body").alias("tbl"))
+    sheet = ["doc_id", "sheet_index"]  # cells are shuffled once, by sheet; all that follows stays where it lies
+    at = F.dense_rank().over(Window.partitionBy(*sheet).orderBy("col")) - 1
+    placed = cells.select(*sheet, "row", "col", "value", at.alias("at")).withColumn("part", F.floor(F.col("at") / group).cast("int")).withColumn("at", F.col("at") % group)
+    rows = placed.groupBy(*sheet, "part", "row").agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("m"), F.collect_list("col").alias("cols"), F.max("at").alias("last"))
+    filled = F.transform(F.array("m"), lambda m: F.transform(F.sequence(F.lit(0), "last"), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(""))))  # as an item, the map is made once a row
+    wide = rows.select(*sheet, "part", "row", "cols", "last", F.concat(F.array(F.col("row").cast("string")), F.get(filled, F.lit(0))).alias("cells"))
+    body = wide.groupBy(*sheet, "part").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cols")))).alias("cols"), F.max("last").alias("last"), F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("body"))
+    lines = F.transform("body", lambda x: F.concat(x["cells"], F.array_repeat(F.lit(""), F.col("last") + 2 - F.size(x["cells"]))))
+    return body.select(*sheet, "part", F.concat(F.array(F.concat(F.array(F.lit("行号")), F.transform("cols", lambda c: column_letters(c)))), lines).alias("tbl"))
 
 
 def excel_to_word(cells: DataFrame) -> DataFrame:

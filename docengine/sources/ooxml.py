@@ -170,12 +170,33 @@ def _table_cells(tbl: ET.Element) -> Iterator[tuple[int, int, int, str, str]]:
             column += span
 
 
-def table_grid(tbl: ET.Element) -> tuple[list[list[str]], list[list[int]]]:
+#: What makes a table's cells more or less than one place of their row.
+SPANS = {"gridSpan", "vMerge", "gridBefore"}
+
+
+def _plain_grid(tbl: ET.Element) -> list[list[str]]:
+    """The grid of a table without merges: a row's cells in their order, and blanks up to the widest row."""
+    grid = []
+    for tr in tbl:
+        if _bare(tr.tag) == "tr":
+            line = []
+            for tc in tr:
+                if _bare(tc.tag) == "tc":
+                    said = [visible(p) for p in tc if len(p) and _bare(p.tag) == "p"]  # an empty paragraph says nothing
+                    line.append("" if not said else said[0] if len(said) == 1 else "\n".join(filter(None, said)))
+            grid.append(line)
+    columns = max(map(len, grid), default=0)
+    return [line + [""] * (columns - len(line)) for line in grid]
+
+
+def table_grid(tbl: ET.Element, tags: set[str] | None = None) -> tuple[list[list[str]], list[list[int]]]:
     """A full grid of texts, and merges [top, left, height, width].
 
     Cells of the same column and span are looked at from top to bottom: one that is marked as going on, right below a marked one,
-    belongs to the island above it. An island shows its first text.
+    belongs to the island above it. An island shows its first text. tags: those of SPANS that the table may hold, if that is known.
     """
+    if not SPANS & (tags if tags is not None else {_bare(t) for t in {n.tag for n in tbl.iter()}}):
+        return _plain_grid(tbl), []
     cells = sorted(_table_cells(tbl))
     rows = sum(local(n) == "tr" for n in tbl)
     columns = max((c + span for c, span, *_ in cells), default=0)
@@ -237,6 +258,8 @@ def docx_blocks(name: str, content: bytes) -> Iterator[tuple]:
                 out.append(("paragraph", text, int(i == 1) if level is None else level, None, None, None))
         root = None
     index = 0
+    # names stand in the markup as they are, but by an entity or in UTF-16
+    plain = set() if b"tbl" in xml and b"<!" not in xml and not any(x.encode() in xml for x in SPANS) else None
 
     def walk(node: ET.Element) -> None:
         nonlocal index
@@ -248,8 +271,8 @@ def docx_blocks(name: str, content: bytes) -> Iterator[tuple]:
                 if text:
                     out.append(("paragraph", text, _level(child, index), _runs(child), None, None))
             elif kind == "tbl":
-                index += sum(local(n) == "p" for n in child.iter())
-                grid, merges = table_grid(child)
+                index += first(child, "p") is not None  # it tells whether a paragraph is the first, no more
+                grid, merges = table_grid(child, plain)
                 if grid:
                     out.append(("table", "\n".join("\t".join(r) for r in grid), 0, None, grid, merges))
             else:

@@ -71,3 +71,39 @@ def test_a_slides_tags_are_counted_in_one_walk(monkeypatch):
     got = list(ooxml.pptx_slides("d", made))
     assert [(x[2], len(x[3]), x[4], x[5], x[6], x[7], x[10]) for x in got] == [("t", 50, ["n"], 2, 2, 0, 0)] * 5
     assert len(asked) < 5 * 50  # before, five times for each of a slide's 200 nodes
+
+
+def test_a_plain_tables_cells_are_written_and_read_at_once(spark, monkeypatch):
+    """A table without merges makes no walk for every cell, reads as before, and merges, blanks and short rows are as they were."""
+    from docengine.plans import conversions as C
+    from docengine.sources import ooxml
+
+    tbl = [[f"{i % 3}" if j == i % 20 else "" for j in range(20)] for i in range(50)]
+    asked, plain = [], ooxml.first
+    monkeypatch.setattr(ooxml, "first", lambda *a: asked.append(1) or plain(*a))
+    (block,) = ooxml.docx_blocks("t.docx", writers.docx([{"tbl": tbl}]))
+    assert block[6] == tbl and block[7] == [] and len(asked) < 100  # before, twice a cell
+    merged = [["a", "", "b"], ["", "", "c\nd"]]
+    (block,) = ooxml.docx_blocks("t.docx", writers.docx([{"tbl": merged, "merges": [[0, 0, 2, 2]]}]))
+    assert block[6] == merged and block[7] == [[0, 0, 2, 2]]
+    w = f'xmlns:w="{writers.NS["w"]}"'
+    cell = lambda *ps: f"<w:tc>{''.join(f'<w:p><w:r><w:t>{p}</w:t></w:r></w:p>' if p else '<w:p/>' for p in ps)}</w:tc>"
+    markup = f"<w:document {w}><w:body><w:tbl><w:tr>{cell('x', '', 'y')}{cell('')}</w:tr><w:tr>{cell('z')}</w:tr></w:tbl></w:body></w:document>"
+    for encoding in ("utf-8", "utf-16"):
+        (block,) = ooxml.docx_blocks("t.docx", writers.zipped({"word/document.xml": f'<?xml version="1.0" encoding="{encoding}"?>{markup}'.encode(encoding)}))
+        assert block[6] == [["x\ny", ""], ["z", ""]] and block[7] == []
+    # a sheet of 70 columns is two tables; cells are shuffled once
+    cells = spark.createDataFrame([("d", 1, r, c, f"{r}.{c}") for r in (9, 2) for c in range(3, 73) if (r + c) % 2 or c > 70], "doc_id string, sheet_index int, row int, col int, value string")
+    made = C.sheet_tables(cells)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    parts = {r.part: [list(x) for x in r.tbl] for r in made.collect()}
+    assert [[len(x) for x in parts[p]] for p in (0, 1)] == [[61] * 3, [11] * 3] and parts[0][0][:2] == ["行号", "C"]
+    assert parts[0][1][:3] == ["2", "2.3", ""] and parts[0][2][:3] == ["9", "", "9.4"] and parts[1][1][-2:] == ["2.71", "2.72"]
+
+
+def test_nested_columns_as_python_values():
+    import pyarrow as pa
+
+    b = pa.record_batch({"k": pa.array(["a", None, "c"]), "t": pa.array([[["x", None], None, []], None, [["y"]]], pa.list_(pa.list_(pa.string()))), "n": pa.array([1, None, 3]), "s": pa.array([[{"a": "x"}], None, []])})
+    for i in range(3):
+        assert list(writers._rows(b.slice(i, 2))) == b.slice(i, 2).to_pylist()
