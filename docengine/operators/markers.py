@@ -40,7 +40,7 @@ def found(pages: DataFrame, terms: DataFrame, key: list[str], text: str = "text"
     pages: key, text. terms: marker, term. A row per pair, however often terms or pages repeat. Null texts hold nothing; terms without a letter or sign stand nowhere.
     """
     t = terms.select("marker", F.lower("term").alias("term")).distinct().filter(F.col("term").rlike(f"[^{SPACE}]"))
-    told = t.groupBy("term").agg(F.collect_set("marker").alias("markers")).withColumn("t", _tokens(F.col("term")))
+    told = t.groupBy("term").agg(F.collect_set("marker").alias("markers")).withColumn("t", F.array_remove(_tokens(F.col("term")), ""))  # behind a last blank stands nothing
     p = pages.select(*key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__low")).withColumn("__t", _tokens(F.col("__low")))
     # three tokens or more: the inner one that stands in fewest places; one that stands nowhere betrays that the term doesn't
     inner = written(told.filter(F.size("t") > 2).select("term", F.explode(F.array_distinct(F.slice("t", F.lit(2), F.size("t") - 2))).alias("token")))
@@ -63,8 +63,9 @@ def found(pages: DataFrame, terms: DataFrame, key: list[str], text: str = "text"
         at = at.select(*key, "__a", hashed(F.substring(F.col("__a"), F.col("__at"), F.col("__size"))))
         one = at.join(F.broadcast(own(1).select(hashed("piece"), "term", "markers")), "__h").filter(F.contains("__a", "term"))
         ends = said.filter(F.col("__b").isNotNull() & (F.col("__n") >= shortest)).select(*key, "__a", "__b", F.explode(F.sequence(F.lit(shortest), F.least("__n", F.lit(max(shortest, longest))))).alias("__size"))
-        firsts = own(2).groupBy("piece").agg(F.collect_set(F.length("term") - F.length("piece")).alias("lengths"))
-        ends = ends.select(*key, "__a", "__b", hashed(F.right("__a", "__size"))).join(F.broadcast(firsts.withColumn("__h", hashed("piece"))), "__h").filter(F.endswith("__a", "piece"))
+        next_ = F.substring("term", F.length("piece") + 1, F.lit(1))  # an end is looked up with the character that follows: fewer meet
+        firsts = own(2).groupBy("piece", F.xxhash64("piece", next_).alias("__h")).agg(F.collect_set(F.length("term") - F.length("piece")).alias("lengths"))
+        ends = ends.select(*key, "__a", "__b", F.xxhash64(F.right("__a", "__size"), F.left("__b", F.lit(1))).alias("__h")).join(F.broadcast(firsts), "__h").filter(F.endswith("__a", "piece"))
         ends = ends.select(*key, "piece", "__b", F.explode("lengths").alias("__size")).filter(F.col("__size") <= F.length("__b"))
         two = ends.select(*key, F.concat("piece", F.left("__b", F.col("__size"))).alias("__said")).withColumn("__h", hashed("__said"))
         two = two.join(F.broadcast(own(2).select(hashed("term"), "term", "markers")), "__h").filter("__said = term")
